@@ -7,15 +7,20 @@ executors. Everything after that (intents, counts, names) is built-in functions.
 
 from __future__ import annotations
 
+import sys
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.schemas import DEFINITION_ROOTS
 
+# executors get the functions themselves, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TEXT = T.StringType()
 
 

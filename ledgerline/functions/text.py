@@ -126,8 +126,13 @@ def preview(text: Column, lines: int = PREVIEW_LINES) -> Column:
 
 
 def parse_json(text: Column, schema: str, fallback: Column) -> Column:
-    """The parsed value, or ``fallback`` when the text is not valid JSON."""
-    return F.coalesce(F.from_json(text, schema), fallback)
+    """The parsed value, or ``fallback`` when the text does not begin with JSON.
+
+    Spark gives a struct of NULLs for other text; ``get_json_object`` tells the
+    two apart.
+    """
+    is_json = F.get_json_object(text, "$").isNotNull()
+    return F.when(is_json, F.from_json(text, schema)).otherwise(fallback)
 
 
 def record_json(df: DataFrame) -> Column:

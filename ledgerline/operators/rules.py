@@ -98,6 +98,18 @@ def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None =
     return {"runs": runs, "flows": flow_updates, "events": events}
 
 
+def new_attempts(accepted: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Old-style attempts for accepted starts: number, first time and key."""
+    so_far = runs.groupBy("flow_id").agg(F.count("*").alias("_n"),
+                                         F.min("start_ts").alias("_first"))
+    return accepted.select("flow_id", "flow_name").join(so_far, "flow_id", "left").select(
+        run_key(F.col("flow_name"), as_of, "attempt").alias("attempt_id"), "flow_id", "flow_name",
+        F.lit("CREATING").alias("status"), as_of.alias("started_at"),
+        (F.coalesce("_n", F.lit(0)) + 1).alias("attempt_number"),
+        F.lit("user").alias("triggered_by"),
+        F.coalesce("_first", as_of).alias("first_attempt_at"))
+
+
 def agent_call_check(calls: DataFrame) -> DataFrame:
     """The first rule an agent call breaks; NULL message when it may start."""
     missing = [present(F.col(c)).isNull() for c in ("run_id", "flow_id", "flow_name")]

@@ -76,5 +76,11 @@ def write_files(files: DataFrame, base: str) -> int:
 
 
 def write_artifacts(artifacts: DataFrame, base: str) -> None:
-    """Artifact rows (flow, intent, name, content) as a partitioned Parquet table."""
-    artifacts.write.mode("overwrite").partitionBy("flow", "intent").parquet(base)
+    """Artifact rows (flow, intent, name, content) as a partitioned Parquet table.
+
+    Sorted by range first: a folder is written by few tasks, and one with many
+    artifacts by several.
+    """
+    (artifacts.repartitionByRange("flow", "intent", "name")
+     .sortWithinPartitions("flow", "intent", "name")
+     .write.mode("overwrite").partitionBy("flow", "intent").parquet(base))
