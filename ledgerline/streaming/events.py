@@ -80,17 +80,17 @@ def keep_latest(store: Store, table: str = "latest", counts: str | None = None
     return handle
 
 
-def ingest_once(folder: str, key: str = "event_id", time: str = "ts"
+def ingest_once(folder: str, key: str = "event_id", time: str = "ts", first_batch: int = 0
                 ) -> Callable[[DataFrame, int], None]:
     """Handler that keeps every event id once, in a Parquet table by event date.
 
     A repeat carries the time of the first delivery, so only the dates of the
     batch are read to find ids that are there already. Each batch owns a folder
     per date and overwrites it when it runs again. No event is dropped for being
-    late.
+    late. A new stream into the same folder starts at ``first_batch``.
     """
     def handle(batch_rows: DataFrame, batch: int) -> None:
-        spark = batch_rows.sparkSession
+        spark, number = batch_rows.sparkSession, batch + first_batch
         rest = [c for c in batch_rows.columns if c != key]
         once = (
             batch_rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
@@ -100,15 +100,28 @@ def ingest_once(folder: str, key: str = "event_id", time: str = "ts"
         days = [row[0] for row in once.select("event_date").distinct().collect()]
         written = _written(spark, folder, key, once.schema[key].dataType)
         if written is not None:
-            known = written.filter(F.col("event_date").isin(days) & (F.col("batch") < batch))
+            known = written.filter(F.col("event_date").isin(days) & (F.col("batch") < number))
             once = once.join(known.select(key), key, "left_anti")
-        (once.withColumn("batch", F.lit(batch).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch", "event_date").parquet(folder))
+        _write_batch(once, folder, number, ["event_date"])
 
     return handle
 
 
+def append_batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """Handler that adds the rows of a batch to a Parquet table."""
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        _write_batch(batch_rows, folder, batch, [])
+
+    return handle
+
+
+def _write_batch(rows: DataFrame, folder: str, batch: int, by: list[str]) -> None:
+    """A folder per batch (and more columns), overwritten when the batch runs again."""
+    (rows.withColumn("batch", F.lit(batch).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", *by).parquet(folder))
+
+
 def _written(spark: SparkSession, folder: str, key: str, key_type: T.DataType
              ) -> DataFrame | None:
     """Keys written so far with batch and date, None before the first batch."""
