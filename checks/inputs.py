@@ -170,26 +170,37 @@ def with_views(body: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
+_raw: dict[tuple[str, str], DataFrame] = {}
+
+
+def raw_table(spark: SparkSession, path: str) -> DataFrame:
+    """A given table; its schema is read once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _raw:
+        _raw[key] = spark.read.parquet(path)
+    return _raw[key]
+
+
 class Inputs:
     """The given tables and the views over them in one session."""
 
     def __init__(self, spark: SparkSession, folder: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.folder = spark, folder
-
-    def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self._known: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            self._known[name] = self._read(name)
+        return self._known[name]
+
+    def _read(self, name: str) -> DataFrame:
         if name in RAW:
-            return self.raw(name)
+            return raw_table(self.spark, f"{self.folder}/{name}.parquet")
         text = VIEWS[name]
-        for raw in RAW:
-            if re.search(rf"\b{raw}\b", text):
-                self.raw(raw).createOrReplaceTempView(raw)
-        for other in closure(text):
-            if other != name:
-                self(other).createOrReplaceTempView(other)
+        needed = [raw for raw in RAW if re.search(rf"\b{raw}\b", text)]
+        for other in needed + [view for view in _NAMES.findall(text) if view in VIEWS]:
+            self(other).createOrReplaceTempView(other)
         return self.spark.sql(text)
 
     def ledger(self) -> dict[str, DataFrame]:

@@ -16,12 +16,13 @@ def with_current_run(flows: DataFrame, right: DataFrame) -> DataFrame:
     """Flows left joined to rows that carry the current run as ``run_id``.
 
     Flows without a run would all meet on the NULL key. They match nothing, so
-    they get a key of their own that spreads them instead.
+    their flow_id stands in as a key that spreads them.
     """
     pointer = present(F.col("current_run_id"))
-    own_key = F.concat(F.lit("\u0000none:"), F.col("flow_id"))
-    keyed = flows.withColumn("_run", F.coalesce(pointer, own_key))
-    return keyed.join(right.withColumnRenamed("run_id", "_run"), "_run", "left").drop("_run")
+    keyed = flows.withColumns({"_run": F.coalesce(pointer, F.col("flow_id")),
+                               "_points": pointer.isNotNull()})
+    runs = right.withColumnRenamed("run_id", "_run").withColumn("_points", F.lit(True))
+    return keyed.join(runs, ["_run", "_points"], "left").drop("_run", "_points")
 
 
 def status_snapshot(flows: DataFrame, runs: DataFrame, events: DataFrame) -> DataFrame:

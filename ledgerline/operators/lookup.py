@@ -32,10 +32,10 @@ def identifiers(flows: DataFrame, *facts: str) -> DataFrame:
 
     An id wins over a name; of equal names the lowest flow_id counts.
     """
-    flow = F.struct("flow_id", *facts).alias("_flow")
-    ids = flows.select(F.col("flow_id").alias("identifier"), F.lit(0).alias("_way"), flow)
-    names = flows.select(F.col("flow_name").alias("identifier"), F.lit(1).alias("_way"), flow)
-    picked = ids.unionByName(names).groupBy("identifier").agg(
+    ways = F.array(F.struct(F.col("flow_id").alias("identifier"), F.lit(0).alias("_way")),
+                   F.struct(F.col("flow_name").alias("identifier"), F.lit(1).alias("_way")))
+    named = flows.select(F.struct("flow_id", *facts).alias("_flow"), F.inline(ways))
+    picked = named.groupBy("identifier").agg(
         F.min_by("_flow", F.struct("_way", "_flow.flow_id")).alias("_flow"))
     return picked.select("identifier", "_flow.*")
 

@@ -152,14 +152,14 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
     job = present(F.col("job_run_id"))
     open_run = ~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))
     polled = job_states.select(
-        F.col("job_run_id").alias("_job"), "life_cycle_state", "result_state",
-        "state_message", "poll_error")
-    # runs that need no poll get a key of their own, so NULL jobs do not meet
-    keyed = runs.select("run_id", "flow_id", "status", "job_run_id").withColumn(
-        "_job", F.when(job.isNotNull() & open_run, F.col("job_run_id"))
-        .otherwise(F.concat(F.lit("\u0000run:"), F.col("run_id"))))
+        F.col("job_run_id").alias("_job"), F.lit(True).alias("_asks"), "life_cycle_state",
+        "result_state", "state_message", "poll_error")
+    # runs that need no poll take their own id as key, so NULL jobs do not meet
+    asks = job.isNotNull() & open_run
+    keyed = runs.select("run_id", "flow_id", "status", "job_run_id").withColumns({
+        "_asks": asks, "_job": F.when(asks, F.col("job_run_id")).otherwise(F.col("run_id"))})
     last = latest.select("run_id", "step", "iteration_num")
-    facts = keyed.join(polled, "_job", "left").join(last, "run_id", "left")
+    facts = keyed.join(polled, ["_job", "_asks"], "left").join(last, "run_id", "left")
 
     step, state, result = F.col("step"), F.col("life_cycle_state"), F.col("result_state")
     done = state == "TERMINATED"
