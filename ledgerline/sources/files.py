@@ -16,8 +16,8 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.xml", recursi
     """Files below a folder whose name matches (path, content as bytes, size).
 
     Files that vanish or cannot be read are skipped, as Spark's file source does
-    with these two options. Names that begin with ``_`` or ``.`` are hidden from
-    Spark and so are not found.
+    with these two options. Names that begin with ``_`` or ``.`` and files without
+    content are hidden from Spark and so are not found.
     """
     return (
         spark.read.format("binaryFile")
