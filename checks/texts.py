@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from checks.inputs import AS_OF
 from checks.registry import check
 from ledgerline.functions import text, timing
+from ledgerline.functions.definition import validity
 from ledgerline.functions.status import legacy_flow_status, legacy_run_status, placeholder_event
 from ledgerline.operators import joins
+from ledgerline.operators.spread import join_many_to_one
 from ledgerline.operators.totals import ingest_report
 from ledgerline.plans import ingest, migrate
 from ledgerline.session import new_dir
@@ -177,6 +179,32 @@ def definition_files(i):
     return found.select(below(F.col("path"), base).alias("path"), "flow_id", "server")
 
 
+@check("c2_descriptions", """
+SELECT path, CASE WHEN form = 'template' THEN 'defs of ' || flow_id END AS description FROM b_paths""")
+def descriptions(i):
+    parsed = ingest.parsed_files(i.definitions())
+    return parsed.select("path", F.col("parsed.description").alias("description"))
+
+
+@check("c3_validity", """
+SELECT path, form <> 'broken' AS valid, CASE form WHEN 'controller' THEN 'flowController'
+  WHEN 'template' THEN 'template' END AS root FROM b_paths
+UNION ALL SELECT 'page ' || CAST(page_id AS VARCHAR), false, NULL FROM pages
+UNION ALL SELECT 'wrapped ' || CAST(page_id AS VARCHAR), false, 'page' FROM pages""")
+def validity_of_files(i):
+    """Definitions, web pages (not well formed) and well-formed text with another root."""
+    pages = i("pages").select(
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("path"),
+        F.concat(F.lit("<"), F.col("html")).alias("content"))
+    wrapped = i("pages").select(
+        F.concat(F.lit("wrapped "), F.col("page_id").cast("string")).alias("path"),
+        F.concat(F.lit("<page><![CDATA["), F.col("html"), F.lit("]]></page>")).alias("content"))
+    every = i.definitions().select("path", "content").unionByName(pages).unionByName(wrapped)
+    parsed = ingest.parsed_files(every)
+    return parsed.select("path", validity(F.col("parsed"))["valid"].alias("valid"),
+                         F.col("parsed.root").alias("root"))
+
+
 @check("c4_process_groups", """
 SELECT path, 0 AS place, CASE WHEN form = 'controller' THEN 'g-' || flow_id ELSE 'main_flow' END AS group_id,
   CASE WHEN form = 'controller' THEN 'group ' || flow_id ELSE 'Main Flow' END AS group_name
@@ -375,7 +403,7 @@ FROM b_exec e JOIN b_runs r ON r.run_id = e.run_id""")
 def history_texts(i):
     ends = i("b_runs").select("run_id", "end_ts")
     seconds = timing.duration_text(F.col("runtime_s"))
-    return i("b_exec").join(ends, "run_id").select(
+    return join_many_to_one(i("b_exec"), ends, ["run_id"]).select(
         "run_id", "iteration_num", "logs_ref", "job_type", "ts", seconds.alias("duration"),
         timing.short_error(F.col("error")).alias("error"),
         timing.time_text(F.col("end_ts"), "In Progress").alias("ended"))

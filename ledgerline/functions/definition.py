@@ -12,7 +12,7 @@ import xml.etree.ElementTree as ET
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,3 +94,12 @@ def process_groups(parsed: Column) -> Column:
     """Groups at any depth; a document without any is one flow."""
     whole = F.array(F.struct(F.lit("main_flow").alias("id"), F.lit("Main Flow").alias("name")))
     return F.when(F.size(parsed["groups"]) > 0, parsed["groups"]).otherwise(whole)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``parse_definition(text)`` known to SQL.
+
+    ``SELECT inline(parse_definition(content).processors) FROM files`` lists the
+    processors of every document.
+    """
+    spark.udf.register("parse_definition", parse_definition)

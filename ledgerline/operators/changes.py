@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.spread import join_many_to_one
 from ledgerline.sources.tables import conform
 
 
@@ -105,7 +106,7 @@ def bulk_set(target: DataFrame, chosen: DataFrame, key: str, values: Mapping[str
     hit = F.col("_hit").isNotNull()
     columns = [F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
                for c in target.columns]
-    return target.join(marks, key, "left").select(*columns)
+    return join_many_to_one(target, marks, [key], "left").select(*columns)
 
 
 def changes_between(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,17 +12,25 @@ from ledgerline.operators.spread import join_many_to_one, number_rows
 from ledgerline.schemas import EVENT_ORDER, HISTORY_ROWS, KEEP_LATEST
 
 
+CUT_LIMIT = 1000   # Spark cuts groups before the shuffle up to this many rows
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
              rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key.
 
     ``row_number() <= n`` lets Spark cut every input split to n rows per key
     before the shuffle, so a hot key sends n rows per split, not all of them.
+    Beyond CUT_LIMIT it does not, and hot keys are numbered by range instead.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn(rank or "_rank", F.row_number().over(window))
-    kept = ranked.filter(F.col(rank or "_rank") <= n)
-    return kept if rank else kept.drop("_rank")
+    place = rank or "_rank"
+    if n > CUT_LIMIT:
+        kept = number_rows(df, keys, order, place).withColumn(place, F.col(place).cast("int"))
+    else:
+        kept = df.withColumn(place, F.row_number().over(
+            Window.partitionBy(*keys).orderBy(*order)))
+    kept = kept.filter(F.col(place) <= n)
+    return kept if rank else kept.drop(place)
 
 
 def latest_events(events: DataFrame) -> DataFrame:
@@ -136,12 +144,14 @@ DETAIL_ORDER = {
 def run_details(child: DataFrame, table: str, run_id: str | None = None) -> DataFrame:
     """Rows of a child table in reading order: of one run, or of all runs.
 
-    For all runs the sort is by range over the full order, so a run with many
-    rows is cut over several tasks.
+    For all runs the sort is by range over all columns, so a run or an iteration
+    with many rows is cut over several tasks.
     """
+    order = DETAIL_ORDER[table]
     if run_id is not None:
-        return child.filter(F.col("run_id") == run_id).orderBy(*DETAIL_ORDER[table])
-    return child.orderBy("run_id", *DETAIL_ORDER[table])
+        return child.filter(F.col("run_id") == run_id).orderBy(*order)
+    first = ["run_id", *order]
+    return child.orderBy(*first, *[c for c in child.columns if c not in first])
 
 
 def details_with_run(child: DataFrame, runs: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def search(flows: DataFrame, query: str | None = None, status: str | None = None
 def among(table: DataFrame, key: str, values: Iterable[str] | DataFrame) -> DataFrame:
     """Rows whose key is in a short list, or in the key column of a table."""
     if isinstance(values, DataFrame):
-        return table.join(values.select(key).distinct(), key, "left_semi")
+        return join_many_to_one(table, values.select(key).distinct(), [key], "left_semi")
     return table.filter(F.col(key).isin(list(values)))
 
 

@@ -1,4 +1,4 @@
-"""Joins and numbering that stay even when one key holds much of the data."""
+"""Joins and numbering that stay even when one key, or one row, fills much of the data."""
 
 from __future__ import annotations
 
@@ -11,95 +11,97 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import ensure_checkpoint_dir
 
-SLICE_ROWS = 1_000_000   # rows one task may hold of a single key
+HOT_ROWS = 1_000_000     # a key with more rows than one task should hold is hot
 MAX_HOT_KEYS = 10_000    # bound on the broadcast list of hot keys
+CHUNK = 100_000          # copies of one row that are written out together
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Keys with more than ``slice_rows`` rows and the slices each needs.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, counted with map-side combining.
 
-    Counted with map-side combining. At most MAX_HOT_KEYS rows, the largest
-    first with the key as tie-break, so every evaluation gives the same list and
-    it may be broadcast whatever the size of ``df``.
+    At most MAX_HOT_KEYS rows, the largest first with the key as tie-break, so
+    every evaluation gives the same list and it may be broadcast whatever the
+    size of ``df``.
     """
     return (
         df.filter(_all(F.col(k).isNotNull() for k in keys))
         .groupBy(*keys).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > slice_rows)
+        .filter(F.col("_n") > hot_rows)
         .orderBy(F.desc("_n"), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))
+        .select(*keys)
     )
 
 
 def join_many_to_one(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-    slice_rows: int = SLICE_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi join where ``right`` has few rows per key and ``left`` may be skewed.
+    """Equi join with a ``right`` that has one row per key and a ``left`` that may be skewed.
 
-    Rows of a hot key are cut into slices by a hash of the whole row and the
-    matching right rows are repeated once per slice; all other keys have one
-    slice. NULL keys match nothing, so they are spread as well.
+    Rows of hot keys are not shuffled at all: the right rows of those keys, at
+    most MAX_HOT_KEYS, are broadcast to them. All other rows take the ordinary
+    join. NULL keys match nothing and stay where they are too.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(left, keys, slice_rows))
-    whole_row = F.xxhash64(*[F.col(c) for c in left.columns])
-    null_key = ~_all(F.col(k).isNotNull() for k in keys)
-    cut = (
-        left.join(hot, keys, "left")
-        .withColumn("_slice", F.when(null_key, F.pmod(whole_row, F.lit(4096)))
-                    .otherwise(F.pmod(whole_row, F.coalesce("_slices", F.lit(1)))).cast("int"))
-        .drop("_slices")
-    )
-    copies = (
-        right.join(hot, keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)))
-        .drop("_slices")
-    )
-    return cut.join(copies, [*keys, "_slice"], how).drop("_slice")
+    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    known = _all(F.col(k).isNotNull() for k in keys)
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    staying = left.join(hot, keys, "left_semi")
+    if how in ("left", "left_anti"):
+        staying = staying.unionByName(left.filter(~known))
+    moving = left.filter(known).join(hot, keys, "left_anti")
+    return moving.join(right, keys, how).unionByName(staying.join(few, keys, how))
 
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
-    start: int = 1, slice_rows: int = SLICE_ROWS,
+    start: int = 1, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Consecutive numbers per key in ``order`` (which must be total).
+    """Consecutive numbers per key in ``order`` (total but for equal rows).
 
-    A plain window while every key fits one task. Keys beyond ``slice_rows`` are
-    sorted over many tasks by range, numbered from the place in the sorted
-    output, and shifted by the rows of the key in earlier ranges.
+    A plain window while every key fits one task. Hot keys are first reduced to
+    their distinct rows, sorted over many tasks by range, and numbered by the
+    rows before them in the range and in earlier ranges; copies are written out
+    at the end, in chunks.
     """
     keys, order = list(keys), list(order)
     window = Window.partitionBy(*keys).orderBy(*order)
-    small = F.row_number().over(window) + F.lit(start - 1)
-    hot = hot_keys(df, keys, slice_rows).select(*keys)
+    plain = (F.row_number().over(window) + F.lit(start - 1)).cast("long")
+    hot = hot_keys(df, keys, hot_rows)
     if hot.isEmpty():
-        return df.withColumn(name, small.cast("long"))
+        return df.withColumn(name, plain)
 
-    rest = df.join(F.broadcast(hot), keys, "left_anti").withColumn(name, small.cast("long"))
+    rest = df.join(F.broadcast(hot), keys, "left_anti").withColumn(name, plain)
     ensure_checkpoint_dir(df.sparkSession)
-    placed = (
+    ranges = (
         df.join(F.broadcast(hot), keys, "left_semi")
-        .repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+        .repartitionByRange(*keys, *order)
         .withColumn("_range", F.spark_partition_id())
-        .checkpoint()   # places must not move when a lost range is computed again
+        .checkpoint()   # rows must not change range when a lost one is computed again
     )
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
-    # one row per hot key and range it reaches: a range continues at most one key
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1)
+    # one row per hot key and range it reaches; a range continues at most one key
     shifts = (
-        placed.groupBy(*keys, "_range")
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+        ranges.groupBy(*keys, "_range").agg(F.sum("_copies").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
-    numbered = (
-        placed.join(F.broadcast(shifts), [*keys, "_range"])
-        .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + F.lit(start))
-        .select(*df.columns, name)
+    last_chunk = F.floor((F.col("_copies") - 1) / CHUNK)
+    chunks = (
+        ranges.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+        .join(F.broadcast(shifts), [*keys, "_range"])
+        .withColumn("_first", F.col("_before") + F.col("_inside") + F.lit(start))
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
+        .repartition(*keys, "_first", "_chunk")
     )
+    begin = F.col("_first") + F.col("_chunk") * CHUNK
+    end = F.least(begin + CHUNK, F.col("_first") + F.col("_copies")) - 1
+    numbered = chunks.select(*df.columns, F.explode(F.sequence(begin, end)).alias(name))
     return rest.select(*df.columns, name).unionByName(numbered)
 
 

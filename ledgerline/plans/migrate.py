@@ -11,6 +11,7 @@ from ledgerline.functions.status import (
 from ledgerline.functions.text import flow_name_of
 from ledgerline.operators.changes import upsert
 from ledgerline.operators.joins import by_flow_name
+from ledgerline.operators.spread import join_many_to_one
 
 MIGRATION_UPDATE = ["flow_name", "status", "server", "source_path", "description", "priority",
                     "owner"]
@@ -32,7 +33,7 @@ def migrated_flows(old_flows: DataFrame, catalogued: DataFrame | None = None) ->
         with_id = old_flows.withColumn("_id", F.lit(None).cast("string"))
     else:
         ids = catalogued.select(F.col("path").alias("source_path"), F.col("flow_id").alias("_id"))
-        with_id = old_flows.join(ids, "source_path", "left")
+        with_id = join_many_to_one(old_flows, ids, ["source_path"], "left")
     return with_id.select(
         F.coalesce("_id", fallback_id(F.col("source_path"), F.col("flow_name"))).alias("flow_id"),
         "flow_name", legacy_flow_status(F.col("status")).alias("status"),

@@ -85,6 +85,18 @@ KEYS = {
 }
 EVENT_ORDER = ["iteration_num", "ts", "event_seq"]
 
+# Order of rows in compacted files: rows of a run lie together, so that reads by
+# run skip files and "latest per run" meets each run in one or two splits.
+LAYOUT = {
+    "flows": ["flow_id"],
+    "runs": ["run_id"],
+    "events": ["run_id", *EVENT_ORDER],
+    "artifacts": ["run_id", "iteration_num", "artifact_ref", "ts"],
+    "scans": ["run_id", "iteration_num", "artifact_ref", "ts"],
+    "executions": ["run_id", "iteration_num", "job_type", "ts"],
+    "requests": ["run_id", "iteration_num", "ts"],
+}
+
 # child table, child column, parent table, parent column
 LINKS = [
     ("runs", "flow_id", "flows", "flow_id"),

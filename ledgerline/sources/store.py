@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ledgerline.operators.quality import duplicate_keys
-from ledgerline.schemas import KEYS, TABLES
+from ledgerline.schemas import KEYS, LAYOUT, TABLES
 
 _ENTRY = "version bigint, table string, paths array<string>, batch bigint"
 
@@ -75,6 +75,12 @@ class Store:
                 f"{self.base}/versions")
         return version
 
+    def compact(self, table: str) -> int:
+        """One folder in place of the many that appends leave, its rows in reading order."""
+        order = LAYOUT[table]
+        rows = self.read(table).repartitionByRange(*order).sortWithinPartitions(*order)
+        return self.commit(replace={table: rows})
+
     def materialize(self, df: DataFrame) -> DataFrame:
         """The rows as written to the shared folder, to read several times."""
         path = f"{self.base}/scratch/{uuid.uuid4().hex}"

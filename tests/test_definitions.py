@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text, timing
+from ledgerline.functions.definition import register
 from ledgerline.plans import ingest, migrate
 
 DOCUMENTS = {
@@ -71,6 +72,13 @@ def test_document_is_parsed_once(files):
     assert plan.count("ArrowEvalPython") == 1
 
 
+def test_sql_users_can_parse(spark, files):
+    register(spark)
+    files.createOrReplaceTempView("definition_files")
+    got = spark.sql("SELECT inline(parse_definition(content).processors) FROM definition_files")
+    assert [r["id"] for r in got.collect()] == ["1", "2"]
+
+
 def test_two_files_with_one_id(spark, files):
     flows = spark.createDataFrame([], "flow_id string, flow_name string, status string, "
                                   "current_run_id string, updated_ts timestamp, server string, "

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import spread
 from ledgerline.operators.spread import hot_keys, join_many_to_one, number_rows
 from tests.conftest import rows
 
@@ -22,38 +23,60 @@ def skewed(spark):
 @pytest.fixture(scope="module")
 def lookup(spark):
     return spark.createDataFrame(
-        [("hot", "h1"), ("hot", "h2")] + [(f"k{n}", f"x{n}") for n in range(0, 200, 2)],
+        [("hot", "h1")] + [(f"k{n}", f"x{n}") for n in range(0, 200, 2)],
         "k string, label string")
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join_equals_plain_join(skewed, lookup, how):
     plain = skewed.join(lookup, "k", how)
-    assert rows(join_many_to_one(skewed, lookup, ["k"], how, slice_rows=100)) == rows(plain)
+    assert rows(join_many_to_one(skewed, lookup, ["k"], how, hot_rows=100)) == rows(plain)
 
 
-def test_hot_rows_are_cut_into_slices(skewed):
-    hot = hot_keys(skewed, ["k"], 100).collect()
-    assert [(r["k"], r["_slices"]) for r in hot] == [("hot", 10)]
+def test_hot_keys(skewed):
+    assert [r["k"] for r in hot_keys(skewed, ["k"], 100).collect()] == ["hot"]
+    assert hot_keys(skewed, ["k"]).isEmpty()
 
 
-def test_hot_keys_reach_many_partitions(skewed, lookup, spark):
+def test_hot_rows_stay_where_they_are(skewed, lookup, spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = join_many_to_one(skewed, lookup, ["k"], slice_rows=100)
+        joined = join_many_to_one(skewed, lookup, ["k"], hot_rows=100)
         per_part = (joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p"))
                     .count().collect())
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(per_part) >= 3
+    assert len(per_part) == 5       # the five partitions of the table
 
 
-@pytest.mark.parametrize("slice_rows", [100, 10**6])
-def test_numbers_follow_the_order(skewed, slice_rows):
+def test_keys_of_two_columns_with_nulls(spark):
+    left = spark.createDataFrame(
+        [("a", 1), ("a", 1), ("a", None), (None, 1), (None, None), ("b", 2)] * 30, "k string, n int")
+    right = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 1, "no")],
+                                  "k string, n int, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = join_many_to_one(left, right, ["k", "n"], how, hot_rows=40)
+        assert rows(got) == rows(left.join(right, ["k", "n"], how))
+
+
+def test_copies_of_one_row_are_numbered(spark):
+    data = spark.range(3000).select(
+        F.lit("k").alias("k"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("v"))
+    spread.CHUNK, kept = 100, spread.CHUNK
+    try:
+        got = number_rows(data, ["k"], [F.asc("v")], "place", 1, 50).collect()
+    finally:
+        spread.CHUNK = kept
+    assert sorted(r["place"] for r in got) == list(range(1, 3001))
+    assert {r["place"] for r in got if r["v"] == 7} == set(range(1, 2501))
+
+
+@pytest.mark.parametrize("hot_rows", [100, 10**6])
+def test_numbers_follow_the_order(skewed, hot_rows):
     kept = skewed.filter("k IS NOT NULL")
-    got = number_rows(kept, ["k"], [F.asc("v"), F.asc("n")], "place", 0, slice_rows).collect()
+    got = number_rows(kept, ["k"], [F.asc("v"), F.asc("n")], "place", 0, hot_rows).collect()
     by_key = {}
     for r in got:
         by_key.setdefault(r["k"], []).append((r["place"], r["v"], r["n"]))

@@ -31,6 +31,17 @@ def test_versions(spark, store):
     assert store.read_or_empty("scans").isEmpty()
 
 
+def test_compaction_keeps_the_rows(spark, store):
+    for n in range(4):
+        store.commit(append={"events": table(spark, "events", [
+            event(f"r{k}", n, "s", seq=k) for k in range(5)])})
+    before = rows(store.read("events"))
+    assert len(store._current()["events"][1]) == 4
+    store.compact("events")
+    assert len(store._current()["events"][1]) == 1
+    assert rows(store.read("events")) == before
+
+
 def test_unlisted_data_is_not_seen(spark, store):
     store.commit(replace={"flows": table(spark, "flows", [flow("1")])})
     table(spark, "flows", [flow("2")]).write.parquet(f"{store.base}/data/flows/2-lost")
