@@ -40,10 +40,9 @@ CASE WHEN path LIKE '/vol/defs/prod/%' THEN 'prod' WHEN path LIKE '/vol/defs/dev
 def written_definitions(i, label):
     """The definition documents as files in the shared folder; where they are."""
     base = new_dir(i.spark, label)
-    uri = base if "://" in base else f"file://{base}"
     named = i.definitions().select(F.substring("path", 2, 1 << 20).alias("name"), "content")
-    files.write_files(named, uri)
-    return uri
+    files.write_files(named, base)
+    return base
 
 
 def below(path, base):
@@ -71,15 +70,14 @@ SELECT '/logs/run-' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR) AS fo
 FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL""")
 def log_counts(i):
     base = new_dir(i.spark, "logs")
-    uri = base if "://" in base else f"file://{base}"
     ending = F.when(F.col("doc_id") % 3 != 0, ".log").otherwise(".txt")
     run = F.floor(F.col("doc_id") / 20).cast("string")
     named = i("documents").select(
         F.concat(F.lit("logs/run-"), run, F.lit("/"), F.col("doc_id").cast("string"), ending)
         .alias("name"), F.col("text").alias("content"))
-    files.write_files(named, uri)
-    counted = files.log_counts(i.spark, f"{uri}/logs/*")
-    return counted.select(below(F.col("folder"), uri).alias("folder"), "log_files")
+    files.write_files(named, base)
+    counted = files.log_counts(i.spark, f"{base}/logs/*")
+    return counted.select(below(F.col("folder"), base).alias("folder"), "log_files")
 
 
 @check("s5_fetch_artifacts", """

@@ -18,10 +18,16 @@ def current_runs(flows: DataFrame, runs: DataFrame) -> DataFrame:
     return runs.join(pointers, "run_id", "left_semi")
 
 
-def decide(tables: dict[str, DataFrame], job_states: DataFrame) -> DataFrame:
-    """The next action of every current run."""
+def decide(tables: dict[str, DataFrame], job_states: DataFrame,
+           latest: DataFrame | None = None) -> DataFrame:
+    """The next action of every current run.
+
+    ``latest`` is the last event per run where a stream keeps it; without it the
+    events are read.
+    """
     return next_actions(
-        current_runs(tables["flows"], tables["runs"]), job_states, latest_of(tables["events"]),
+        current_runs(tables["flows"], tables["runs"]), job_states,
+        latest_of(tables["events"]) if latest is None else latest,
         tables["artifacts"], tables["executions"])
 
 

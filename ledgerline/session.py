@@ -54,6 +54,16 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark resolves it."""
+    if "://" in folder:
+        return folder
+    probe = f"{folder}/file-system-probe"
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(probe)
+    found = spark.read.parquet(probe).select("_metadata.file_path").first()[0]
+    return found.split("/file-system-probe")[0]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable: keep a set folder, else use ours."""
     if spark.sparkContext.getCheckpointDir() is None:

@@ -10,6 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import qualified
+
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.xml", recursive: bool = True,
                ) -> DataFrame:
@@ -57,8 +59,10 @@ def write_files(files: DataFrame, base: str) -> int:
     Each task writes its own rows. A file appears under its name only when it is
     complete, so a repeated task overwrites with the same bytes.
     """
+    uri = qualified(files.sparkSession, base).replace("s3a://", "s3://")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, root = pafs.FileSystem.from_uri(base)
+        target, root = pafs.FileSystem.from_uri(uri)
         written = 0
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):

@@ -61,7 +61,8 @@ class Store:
                append: Mapping[str, DataFrame] | None = None,
                batch: int | None = None, check_keys: bool = False) -> int:
         """Write new states and added rows, then switch to all of them at once."""
-        current, version, entries = self._current(), self.version() + 1, []
+        current, entries = self._current(), []
+        version = 1 + max((entry[0] for entry in current.values()), default=0)
         for mode, tables in (("replace", replace or {}), ("append", append or {})):
             for name, df in tables.items():
                 path = f"{self.base}/data/{name}/{version}-{uuid.uuid4().hex}"

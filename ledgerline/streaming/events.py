@@ -17,6 +17,8 @@ from pyspark.sql.utils import AnalysisException
 
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import upsert
+from ledgerline.operators.latest import latest_events
+from ledgerline.operators.spread import join_many_to_one
 from ledgerline.operators.totals import status_distribution
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
@@ -153,11 +155,14 @@ def silent_runs(latest: DataFrame, as_of: Column, limit_s: int = AGENT_LIMIT_S)
 
 
 def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: str = "",
-                      launches: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+                      launches: DataFrame | None = None, latest: str = "latest"
+                      ) -> Callable[[DataFrame, int], None]:
     """Handler for a stream of job states: decide and write for the touched runs.
 
     ``store`` holds the ledger. Flows and runs get a new version; events and
-    requests are added to; all four switch together.
+    requests are added to; all switch together. Where the store keeps the last
+    event per run (table ``latest``, see ``keep_latest``) that is read and kept
+    up to date, and the events are not read at all.
     """
     def handle(states: DataFrame, batch: int) -> None:
         if batch <= store.last_batch() or states.isEmpty():
@@ -170,11 +175,26 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
             .agg(F.max_by(F.struct(*rest), F.struct("ts", *rest)).alias("_s"))
             .select("job_run_id", "_s.*")
         )
-        touched = tables["runs"].join(newest.select("job_run_id"), "job_run_id", "left_semi")
-        decisions = store.materialize(poll.decide({**tables, "runs": touched}, newest))
+        runs = store.materialize(
+            tables["runs"].join(newest.select("job_run_id"), "job_run_id", "left_semi"))
+        ids = runs.select("run_id")
+
+        def of_touched(df: DataFrame) -> DataFrame:
+            return join_many_to_one(df, ids, ["run_id"], "left_semi")
+
+        touched = {**tables, "runs": runs, "events": of_touched(tables["events"]),
+                   "artifacts": of_touched(tables["artifacts"]),
+                   "executions": of_touched(tables["executions"])}
+        kept = store.read(latest) if store.exists(latest) else None
+        last = kept if kept is None else kept.join(ids, "run_id", "left_semi")
+        decisions = store.materialize(poll.decide(touched, newest, last))
         result = poll.apply(tables, decisions, as_of(batch), launches, logs_base)
-        store.commit(
-            replace={"flows": result["flows"], "runs": result["runs"]},
-            append={"events": result["events"], "requests": result["requests"]}, batch=batch)
+        replaced = {"flows": result["flows"], "runs": result["runs"]}
+        if kept is not None:
+            columns = [c for c in kept.columns if c != "run_id"]
+            moved = latest_events(last.unionByName(result["events"].select(*kept.columns)))
+            replaced[latest] = upsert(kept, moved, ["run_id"], columns, columns)
+        store.commit(replace=replaced, batch=batch, append={
+            "events": result["events"], "requests": result["requests"]})
 
     return handle

@@ -15,7 +15,8 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+        "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2",
+        "spark.driver.memory": "4g",
         "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -65,7 +65,7 @@ def test_files_round_trip(spark):
         [("a/x.xml", "é1"), ("a/b/y.xml", "y"), ("a/empty.xml", ""), ("a/b/Y.XML", "no"), ("a/_z.xml", "hidden"),
          ("a/n.log", "l"), ("b/m.log", "l"), ("b/deep/o.log", "l"), ("a/x.xml.txt", "no")],
         "name string, content string")
-    assert files.write_files(named, f"file://{base}") == 9
+    assert files.write_files(named, base) == 9
     found = {os.path.basename(r["path"]): r["content"]
              for r in files.read_texts(spark, base).collect()}
     assert found == {"x.xml": "é1", "y.xml": "y"}     # hidden and empty files are not listed

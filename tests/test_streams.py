@@ -66,7 +66,8 @@ def test_each_event_once(spark, event_files):
     assert spark.read.parquet(f"{base}/t").select("event_seq").distinct().count() == 200
 
 
-def test_transitions_per_batch(spark):
+@pytest.mark.parametrize("keeps_latest", [False, True])
+def test_transitions_per_batch(spark, keeps_latest):
     base = new_dir(spark, "st3")
     store = Store(spark, f"{base}/ledger")
     tables = ledger(
@@ -74,6 +75,8 @@ def test_transitions_per_batch(spark):
         runs=[run("ra", "a", "QUEUED"), run("rb", "b"), run("rc", "c")],
         events=[event("ra", 1, "agent_generate"), event("rb", 1, "agent_generate")])
     store.commit(replace={n: tables[n] for n in ("flows", "runs", "events")})
+    if keeps_latest:
+        store.commit(replace={"latest": latest_events(tables["events"])})
     columns = "job_run_id string, life_cycle_state string, result_state string, " \
               "state_message string, poll_error string, ts int"
     told = [[("job-ra", "PENDING", None, None, None, 1), ("job-ra", "RUNNING", None, None, None, 2)],
@@ -95,6 +98,9 @@ def test_transitions_per_batch(spark):
     steps = [r["step"] for r in store.read("events").filter("run_id = 'ra'").orderBy(
         "iteration_num", "ts", "event_seq").collect()]
     assert steps == ["agent_generate", "agent_generate", "needs_human"]
+    if keeps_latest:
+        last = latest_events(store.read("events"))
+        assert rows(store.read("latest")) == rows(last)
 
 
 def test_silent_runs(spark):
