@@ -328,7 +328,7 @@ def keys_with_time(i):
     flow, run, ts, two = F.col("flow_id"), F.col("run_id"), F.col("start_ts"), F.lit(2)
     return i("b_runs").select(
         "run_id", timing.run_key(flow, ts).alias("run_key"),
-        timing.run_key(flow, ts, "attempt").alias("attempt_key"),
+        timing.attempt_key(flow, ts).alias("attempt_key"),
         timing.agent_job_name(flow, run, two, ts).alias("agent_job"),
         timing.execution_job_name(flow, two, ts).alias("execution_job"),
         timing.conversion_job_name(flow, ts).alias("conversion_job"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import fill
 from ledgerline.schemas import (
     LEGACY_FLOW_STATUS, LEGACY_RUN_STATUS, STARTABLE, STATUS_BADGES,
 )
@@ -29,20 +30,22 @@ def legacy_run_status(status: Column) -> Column:
     return F.when(status.isin(LEGACY_RUN_STATUS), status).otherwise(F.lit("FAILED"))
 
 
+# Texts of the event that stands for an old run
+PLACEHOLDER = "Conversion {what} (migrated from old schema)"
+PLACEHOLDER_WHAT = {"SUCCESS": "completed", "RUNNING": "in progress"}
+PLACEHOLDER_ERROR = "Migrated from old schema - check original history for details"
+
+
 def placeholder_event(status: Column) -> Column:
     """Summary, step_status and error of the event that stands for an old run."""
+    what = F.lower(status)
+    for value, words in PLACEHOLDER_WHAT.items():
+        what = F.when(status == value, words).otherwise(what)
     return F.struct(
-        F.concat(
-            F.lit("Conversion "),
-            F.when(status == "SUCCESS", "completed")
-            .when(status == "RUNNING", "in progress")
-            .otherwise(F.lower(status)),
-            F.lit(" (migrated from old schema)"),
-        ).alias("summary"),
+        fill(PLACEHOLDER, what=what).alias("summary"),
         F.when(status.isin("FAILED", "RUNNING"), status)
         .otherwise("COMPLETED").alias("step_status"),
-        F.when(status == "FAILED",
-               "Migrated from old schema - check original history for details").alias("error"),
+        F.when(status == "FAILED", PLACEHOLDER_ERROR).alias("error"),
     )
 
 

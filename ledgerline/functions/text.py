@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,37 +70,37 @@ def safe_function_name(name: Column) -> Column:
 
 
 def artifact_path(base: Column, flow_name: Column, intent: Column, name: Column) -> Column:
-    return F.concat(base, F.lit("/"), flow_name, F.lit("/"), intent, F.lit("/"),
-                    safe_file_name(name), F.lit(".py"))
+    return fill("{base}/{flow}/{intent}/{name}.py", base=base, flow=flow_name, intent=intent,
+                name=safe_file_name(name))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """The template with each ``{name}`` replaced by a value; other braces stay."""
+    pieces = []
+    for at, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        if at % 2 and piece in values:
+            pieces.append(values[piece].cast("string"))
+        elif at % 2:
+            pieces.append(F.lit("{" + piece + "}"))
+        elif piece:
+            pieces.append(F.lit(piece))
+    return F.concat(*pieces)
 
 
 def artifact_text(flow_name: Column, name: Column, processor_type: Column, intent: Column,
                   template: str = ARTIFACT_TEMPLATE) -> Column:
     """Fill the template for one processor row; missing values become ''."""
-    values = {
-        "{flow_name}": flow_name, "{processor_name}": name, "{processor_type}": processor_type,
-        "{intent}": intent, "{function_name}": safe_function_name(name),
-    }
-    pieces, rest = [], template
-    while rest:
-        hits = [(rest.find(mark), mark) for mark in values if mark in rest]
-        if not hits:
-            pieces.append(F.lit(rest))
-            break
-        at, mark = min(hits)
-        if at:
-            pieces.append(F.lit(rest[:at]))
-        pieces.append(F.coalesce(values[mark], F.lit("")))
-        rest = rest[at + len(mark):]
-    return F.concat(*pieces)
+    values = {"flow_name": flow_name, "processor_name": name, "processor_type": processor_type,
+              "intent": intent, "function_name": safe_function_name(name)}
+    return fill(template, **{k: F.coalesce(v, F.lit("")) for k, v in values.items()})
 
 
 def logs_path(base: str, run_id: Column, iteration: Column) -> Column:
-    return F.concat(F.lit(f"{base}/"), run_id, F.lit("/iter"), iteration.cast("string"))
+    return fill("{base}/{run}/iter{n}", base=F.lit(base), run=run_id, n=iteration)
 
 
 def output_path(base: str, flow_name: Column) -> Column:
-    return F.concat(F.lit(f"{base}/"), flow_name)
+    return fill("{base}/{flow}", base=F.lit(base), flow=flow_name)
 
 
 def artifact_name(path: Column) -> Column:
@@ -120,8 +122,8 @@ def preview(text: Column, lines: int = PREVIEW_LINES) -> Column:
     """The first lines of a text and how many more there are."""
     parts = F.split(text, "\n")
     more = F.size(parts) - lines
-    cut = F.concat(F.array_join(F.slice(parts, 1, lines), "\n"), F.lit("\n... ("),
-                   more.cast("string"), F.lit(" more lines)"))
+    cut = fill("{head}\n... ({more} more lines)", more=more,
+               head=F.array_join(F.slice(parts, 1, lines), "\n"))
     return F.when(more > 0, cut).otherwise(text)
 
 

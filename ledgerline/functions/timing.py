@@ -6,30 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerline.functions.status import present
+from ledgerline.functions.text import fill
 
 
 def epoch_seconds(ts: Column) -> Column:
     return F.unix_timestamp(ts.cast("timestamp"))
 
 
-def run_key(flow: Column, ts: Column, kind: str = "run") -> Column:
-    """``{flow}_run_{epoch seconds}``; ``kind='attempt'`` for the old history."""
-    return F.concat(flow, F.lit(f"_{kind}_"), epoch_seconds(ts).cast("string"))
+# Formats of keys and job names
+RUN_KEY = "{flow}_run_{seconds}"
+ATTEMPT_KEY = "{flow}_attempt_{seconds}"
+AGENT_JOB = "Agent_{flow}_{run}_iter{n}_{seconds}"
+EXECUTION_JOB = "Execute_{flow}_iter{n}_{seconds}"
+CONVERSION_JOB = "{prefix}_{flow}_{seconds}"
+
+
+def run_key(flow: Column, ts: Column) -> Column:
+    return fill(RUN_KEY, flow=flow, seconds=epoch_seconds(ts))
+
+
+def attempt_key(flow: Column, ts: Column) -> Column:
+    return fill(ATTEMPT_KEY, flow=flow, seconds=epoch_seconds(ts))
 
 
 def agent_job_name(flow_name: Column, run_id: Column, iteration: Column, ts: Column) -> Column:
-    return F.concat(F.lit("Agent_"), flow_name, F.lit("_"), run_id, F.lit("_iter"),
-                    iteration.cast("string"), F.lit("_"), epoch_seconds(ts).cast("string"))
+    return fill(AGENT_JOB, flow=flow_name, run=run_id, n=iteration, seconds=epoch_seconds(ts))
 
 
 def execution_job_name(flow_name: Column, iteration: Column, ts: Column) -> Column:
-    return F.concat(F.lit("Execute_"), flow_name, F.lit("_iter"), iteration.cast("string"),
-                    F.lit("_"), epoch_seconds(ts).cast("string"))
+    return fill(EXECUTION_JOB, flow=flow_name, n=iteration, seconds=epoch_seconds(ts))
 
 
 def conversion_job_name(flow_name: Column, ts: Column, prefix: str = "Conversion") -> Column:
     """Name of a whole-flow job; the caller may put a product label in ``prefix``."""
-    return F.concat(F.lit(f"{prefix}_"), flow_name, F.lit("_"), epoch_seconds(ts).cast("string"))
+    return fill(CONVERSION_JOB, prefix=F.lit(prefix), flow=flow_name, seconds=epoch_seconds(ts))
 
 
 def from_millis(ms: Column) -> Column:
@@ -51,8 +61,7 @@ def duration_seconds(start: Column, end: Column) -> Column:
 def duration_text(seconds: Column) -> Column:
     """``Xm Ys``; ``N/A`` for 0 or missing."""
     minutes = F.floor(seconds / 60).cast("long")
-    text = F.concat(minutes.cast("string"), F.lit("m "),
-                    (seconds % 60).cast("string"), F.lit("s"))
+    text = fill("{m}m {s}s", m=minutes, s=seconds % 60)
     return F.when(seconds.isNull() | (seconds == 0), "N/A").otherwise(text)
 
 

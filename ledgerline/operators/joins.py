@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.status import present
-from ledgerline.functions.text import WAITING_TEXT
+from ledgerline.functions.text import WAITING_TEXT, fill
 from ledgerline.operators.latest import latest_events
 from ledgerline.operators.spread import join_many_to_one
 from ledgerline.schemas import TERMINAL_RUN
@@ -96,6 +96,6 @@ def fetch_artifacts(wanted: DataFrame, files: DataFrame) -> DataFrame:
     """
     found = join_many_to_one(
         wanted, files.select("path", "content", F.lit(True).alias("found")), ["path"], "left")
-    note = F.concat(F.lit(f"{WAITING_TEXT}\n# "), F.col("path"), F.lit(" not found"))
+    note = fill(f"{WAITING_TEXT}\n# {{path}} not found", path=F.col("path"))
     return found.withColumn("found", F.coalesce("found", F.lit(False))).withColumn(
         "content", F.coalesce("content", note))

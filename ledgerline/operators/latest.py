@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import artifact_name, last_segment
+from ledgerline.functions.text import artifact_name, fill, last_segment, logs_path
 from ledgerline.operators.spread import join_many_to_one, number_rows
 from ledgerline.schemas import EVENT_ORDER, HISTORY_ROWS, KEEP_LATEST
 
@@ -78,13 +78,12 @@ def execution_tasks(artifacts: DataFrame, logs_base: str) -> DataFrame:
     numbered = number_rows(artifacts.select("run_id", "iteration_num", "artifact_ref", "ts"),
                            ["run_id", "iteration_num"],
                            [F.asc("artifact_ref"), F.asc("ts")], "task_index", start=0)
-    name, index = artifact_name(F.col("artifact_ref")), F.col("task_index").cast("string")
+    name, index = artifact_name(F.col("artifact_ref")), F.col("task_index")
+    logs = logs_path(logs_base, F.col("run_id"), F.col("iteration_num"))
     return numbered.select(
         "run_id", "iteration_num", "task_index", "artifact_ref",
-        F.concat(F.lit("execute_"), name, F.lit("_"), index).alias("task_key"),
-        F.concat(F.lit(f"{logs_base}/"), F.col("run_id"), F.lit("/iter"),
-                 F.col("iteration_num").cast("string"), F.lit("/"), name,
-                 F.lit(".log")).alias("log_path"),
+        fill("execute_{name}_{i}", name=name, i=index).alias("task_key"),
+        fill("{logs}/{name}.log", logs=logs, name=name).alias("log_path"),
     )
 
 
@@ -92,11 +91,11 @@ def deployment_tasks(listing: DataFrame, order: Sequence[str]) -> DataFrame:
     """Task keys of a deployment: ``task_{i}_{flow}`` and artifact ids ``nb_{i}``."""
     numbered = number_rows(listing.select("flow_id", "artifact_ref", *order), ["flow_id"],
                            [F.asc(c) for c in order], "task_index", start=0)
-    index = F.col("task_index").cast("string")
+    index = F.col("task_index")
     return numbered.select(
         "flow_id", "task_index", "artifact_ref", last_segment(F.col("artifact_ref")).alias("name"),
-        F.concat(F.lit("task_"), index, F.lit("_"), F.col("flow_id")).alias("task_key"),
-        F.concat(F.lit("nb_"), index).alias("artifact_id"),
+        fill("task_{i}_{flow}", i=index, flow=F.col("flow_id")).alias("task_key"),
+        fill("nb_{i}", i=index).alias("artifact_id"),
     )
 
 

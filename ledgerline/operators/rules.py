@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.status import present
-from ledgerline.functions.text import logs_path
-from ledgerline.functions.timing import epoch_seconds, run_key
+from ledgerline.functions.text import fill, logs_path
+from ledgerline.functions.timing import attempt_key, epoch_seconds, run_key
 from ledgerline.operators.joins import with_current_run
 from ledgerline.operators.latest import latest_events
 from ledgerline.operators.lookup import identifiers
@@ -16,17 +16,37 @@ from ledgerline.schemas import (
     ACTIVE_JOB, AGENT_LIMIT_S, EXECUTION_LIMIT_S, MAX_ITERATIONS, TERMINAL_RUN,
 )
 
-# Messages and reasons
+# messages
 NOT_FOUND = "Flow not found"
 IN_PROGRESS = "Conversion already in progress"
 NO_SOURCE = "XML path not configured for this flow"
 NO_JOB = "No running job found"
 JOB_FAILED = "Job failed"
 EXECUTION_FAILED = "Execution failed"
-MISSING_PARAMETERS = ("Missing required parameters: run_id, flow_id, and flow_name are required.")
+MISSING_PARAMETERS = "Missing required parameters: run_id, flow_id, and flow_name are required."
 SOURCE_REQUIRED = "source_path is required for iteration 1 (generation)"
 LOGS_REQUIRED = "logs_path is required for iteration 2+ (error fixing)"
 
+# Texts of events and requests
+GENERATING = "Agent generating notebooks (iteration 1)..."
+GENERATED = "Agent completed notebook generation"
+EXECUTING = "Executing {count} notebooks..."
+EXECUTED = "All notebooks executed successfully"
+FIXING = "Agent analyzing logs and fixing errors (iteration {n})..."
+FIXED = "Agent completed error fixing (iteration {n})"
+CANCELLED = "Cancelled by user"
+HANDED_OVER = "Marked as NEEDS_HUMAN: {reason}"
+ASK_JOB = "Agent job failed: {error}"
+ASK_LIMIT = "Agent tried {limit} iterations but could not fix errors. Review logs at {logs}"
+ASK_ERROR = "Error during orchestration: {error}"
+ASK_DEFAULT = "Review logs and execution results for {run}"
+
+# Reasons of requests
+REASON_JOB = "agent_job_failed"
+REASON_LIMIT = "max_iterations_reached"
+REASON_ERROR = "orchestration_error"
+REASON_SCAN = "sast_blocked"
+
 
 # ------------------------------------------------------------------ admission
 def admit(requests: DataFrame, flows: DataFrame, no_source: str = NO_SOURCE) -> DataFrame:
@@ -91,7 +111,7 @@ def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None =
         "run_id", F.lit(1).alias("iteration_num"),
         F.when(F.col("started"), "agent_generate").otherwise("job_creation").alias("step"),
         F.when(F.col("started"), "RUNNING").otherwise("FAILED").alias("step_status"), "ts",
-        F.when(F.col("started"), "Agent generating notebooks (iteration 1)...").alias("summary"),
+        F.when(F.col("started"), GENERATING).alias("summary"),
         F.when(~F.col("started"), F.coalesce("error", F.lit("job was not created"))
                ).alias("error"),
         F.lit(1).cast("long").alias("event_seq"))
@@ -103,7 +123,7 @@ def new_attempts(accepted: DataFrame, runs: DataFrame, as_of: Column) -> DataFra
     so_far = runs.groupBy("flow_id").agg(F.count("*").alias("_n"),
                                          F.min("start_ts").alias("_first"))
     return accepted.select("flow_id", "flow_name").join(so_far, "flow_id", "left").select(
-        run_key(F.col("flow_name"), as_of, "attempt").alias("attempt_id"), "flow_id", "flow_name",
+        attempt_key(F.col("flow_name"), as_of).alias("attempt_id"), "flow_id", "flow_name",
         F.lit("CREATING").alias("status"), as_of.alias("started_at"),
         (F.coalesce("_n", F.lit(0)) + 1).alias("attempt_number"),
         F.lit("user").alias("triggered_by"),
@@ -227,10 +247,6 @@ def _event(iteration, step, step_status, summary=None, error=None) -> Column:
     return F.struct(*columns).cast(EVENT_TYPE)
 
 
-def _number(iteration: Column) -> Column:
-    return iteration.cast("string")
-
-
 def _failure_message() -> Column:
     return F.coalesce(present(F.col("state_message")), F.lit(JOB_FAILED))
 
@@ -240,19 +256,15 @@ def hand_offs(decisions: DataFrame, logs_base: str = "",
     """Runs to give to a human: reason, instructions and the iteration asked about."""
     action, follow = F.col("action"), F.col("follow_up")
     reason = (
-        F.when(action == "FAIL_NEEDS_HUMAN", "agent_job_failed")
-        .when(action == "ERROR", "orchestration_error")
-        .when(follow == "HAND_OFF", "max_iterations_reached"))
+        F.when(action == "FAIL_NEEDS_HUMAN", REASON_JOB)
+        .when(action == "ERROR", REASON_ERROR)
+        .when(follow == "HAND_OFF", REASON_LIMIT))
     logs = F.coalesce(F.col("logs_ref"),
                       logs_path(logs_base, F.col("run_id"), F.col("exec_iteration")))
     instructions = (
-        F.when(action == "FAIL_NEEDS_HUMAN",
-               F.concat(F.lit("Agent job failed: "), _failure_message()))
-        .when(action == "ERROR",
-              F.concat(F.lit("Error during orchestration: "), F.col("poll_error")))
-        .otherwise(F.concat(
-            F.lit(f"Agent tried {max_iterations} iterations but could not fix errors. "
-                  "Review logs at "), logs)))
+        F.when(action == "FAIL_NEEDS_HUMAN", fill(ASK_JOB, error=_failure_message()))
+        .when(action == "ERROR", fill(ASK_ERROR, error=F.col("poll_error")))
+        .otherwise(fill(ASK_LIMIT, limit=F.lit(max_iterations), logs=logs)))
     return decisions.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
         "run_id", "flow_id", F.coalesce("iteration_num", F.lit(1)).alias("iteration_num"),
         "reason", instructions.alias("instructions"))
@@ -264,16 +276,14 @@ def human_rows(asked: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     ``iteration_num`` is the latest of the run, or 1. NULL instructions get the
     default text.
     """
-    text = F.coalesce(
-        present(F.col("instructions")),
-        F.concat(F.lit("Review logs and execution results for "), F.col("run_id")))
+    text = F.coalesce(present(F.col("instructions")), fill(ASK_DEFAULT, run=F.col("run_id")))
     requests = asked.select("run_id", "iteration_num", "reason", text.alias("instructions"),
                             F.lit("PENDING").alias("status"), as_of.alias("ts"))
     events = asked.select(
         "run_id", (F.col("iteration_num") + 1).alias("iteration_num"),
         F.lit("needs_human").alias("step"), F.lit("COMPLETED").alias("step_status"),
         as_of.alias("ts"),
-        F.concat(F.lit("Marked as NEEDS_HUMAN: "), F.col("reason")).alias("summary"),
+        fill(HANDED_OVER, reason=F.col("reason")).alias("summary"),
         F.lit(None).cast("string").alias("error"), F.lit(100).cast("long").alias("event_seq"))
     runs = asked.select("run_id", F.lit("FAILED").alias("status"), as_of.alias("end_ts"),
                         F.lit(None).cast("string").alias("job_run_id"))
@@ -289,27 +299,22 @@ def step_events(decisions: DataFrame, as_of: Column) -> DataFrame:
     """
     n, k = F.col("iteration_num"), F.col("exec_iteration")
     action, follow = F.col("action"), F.col("follow_up")
-    closing = F.when(action == "EXECUTE_GENERATED",
-                     _event(n, "agent_generate", "COMPLETED", "Agent completed notebook generation")
-                     ).when(action == "EXECUTE_FIXED", _event(
-                         n, "agent_fix_errors", "COMPLETED",
-                         F.concat(F.lit("Agent completed error fixing (iteration "),
-                                  _number(n), F.lit(")")))
-                     ).when((action == "FAIL_NEEDS_HUMAN") & n.isNotNull(),
-                            _event(n, F.col("step"), "FAILED", error=_failure_message()))
+    closing = (
+        F.when(action == "EXECUTE_GENERATED", _event(n, "agent_generate", "COMPLETED", GENERATED))
+        .when(action == "EXECUTE_FIXED",
+              _event(n, "agent_fix_errors", "COMPLETED", fill(FIXED, n=n)))
+        .when((action == "FAIL_NEEDS_HUMAN") & n.isNotNull(),
+              _event(n, F.col("step"), "FAILED", error=_failure_message()))
+    )
     running = F.when(follow.isin("AWAIT", "FINISH", "NEXT_ITERATION", "HAND_OFF"), _event(
-        k, "execute_notebooks", "RUNNING",
-        F.concat(F.lit("Executing "), F.col("n_artifacts").cast("string"),
-                 F.lit(" notebooks..."))))
+        k, "execute_notebooks", "RUNNING", fill(EXECUTING, count=F.col("n_artifacts"))))
     result = F.when(follow == "FINISH", _event(
-        k, "execute_notebooks", "COMPLETED", "All notebooks executed successfully")
+        k, "execute_notebooks", "COMPLETED", EXECUTED)
     ).when(follow.isin("NEXT_ITERATION", "HAND_OFF"), _event(
         k, "execute_notebooks", "FAILED",
         error=F.coalesce(present(F.col("outcome_error")), F.lit(EXECUTION_FAILED))))
     fixing = F.when(follow == "NEXT_ITERATION", _event(
-        k + 1, "agent_fix_errors", "RUNNING",
-        F.concat(F.lit("Agent analyzing logs and fixing errors (iteration "),
-                 _number(k + 1), F.lit(")..."))))
+        k + 1, "agent_fix_errors", "RUNNING", fill(FIXING, n=k + 1)))
     happened = F.filter(F.array(closing, running, result, fixing), lambda e: e.isNotNull())
     return decisions.select("run_id", F.posexplode(happened).alias("_at", "_e")).select(
         "run_id", "_e.iteration_num", "_e.step", "_e.step_status", as_of.alias("ts"),
@@ -388,7 +393,7 @@ def stop_rows(stops: DataFrame, as_of: Column) -> dict[str, DataFrame]:
         "events": done.select(
             "run_id", F.col("next_iteration").alias("iteration_num"),
             F.lit("user_cancellation").alias("step"), F.lit("COMPLETED").alias("step_status"),
-            as_of.alias("ts"), F.lit("Cancelled by user").alias("summary"),
+            as_of.alias("ts"), F.lit(CANCELLED).alias("summary"),
             F.lit(None).cast("string").alias("error"),
             F.lit(1).cast("long").alias("event_seq")),
     }
@@ -419,7 +424,7 @@ def scan_gate(scans: DataFrame) -> DataFrame:
         .agg(F.bool_or(blocked).alias("blocked"), F.count_if(blocked).alias("blocked_scans"),
              F.max(F.when(blocked, severity)).alias("worst_severity"))
         .filter("blocked").drop("blocked")
-        .withColumn("reason", F.lit("sast_blocked"))
+        .withColumn("reason", F.lit(REASON_SCAN))
     )
 
 
@@ -427,7 +432,7 @@ def scan_hand_offs(scans: DataFrame, runs: DataFrame) -> DataFrame:
     """Hand-offs for runs whose scans are blocked, at their last blocked iteration."""
     last = scan_gate(scans).groupBy("run_id").agg(F.max("iteration_num").alias("iteration_num"))
     return runs.select("run_id", "flow_id").join(last, "run_id").select(
-        "run_id", "flow_id", "iteration_num", F.lit("sast_blocked").alias("reason"),
+        "run_id", "flow_id", "iteration_num", F.lit(REASON_SCAN).alias("reason"),
         F.lit(None).cast("string").alias("instructions"))
 
 
@@ -448,11 +453,10 @@ def execution_rows(jobs: DataFrame, as_of: Column, logs_base: str) -> DataFrame:
 def execution_events(jobs: DataFrame, as_of: Column) -> DataFrame:
     """The start event of every execution and, when finished, its end event."""
     k, ok = F.col("iteration_num"), F.col("result_state").eqNullSafe(F.lit("SUCCESS"))
-    begin = _event(k, "execute_notebooks", "RUNNING", F.concat(
-        F.lit("Executing "), F.col("n_artifacts").cast("string"), F.lit(" notebooks...")))
+    begin = _event(k, "execute_notebooks", "RUNNING",
+                   fill(EXECUTING, count=F.col("n_artifacts")))
     end = F.when(F.col("life_cycle_state") == "TERMINATED", F.when(ok, _event(
-        k, "execute_notebooks", "COMPLETED", "All notebooks executed successfully"
-    )).otherwise(_event(k, "execute_notebooks", "FAILED", error=F.coalesce(
+        k, "execute_notebooks", "COMPLETED", EXECUTED)).otherwise(_event(k, "execute_notebooks", "FAILED", error=F.coalesce(
         present(F.col("state_message")), F.lit(EXECUTION_FAILED)))))
     happened = F.filter(F.array(begin, end), lambda e: e.isNotNull())
     return jobs.select("run_id", F.posexplode(happened).alias("_at", "_e")).select(

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.definition import parse_definition, process_groups, validity
 from ledgerline.functions.text import (
-    artifact_path, artifact_text, flow_name_of, intent_of, server_of,
+    artifact_path, artifact_text, fill, flow_name_of, intent_of, server_of,
 )
 from ledgerline.operators.changes import upsert
 
+# messages
+PARSE_ERROR = "XML parse error: {error}"
+NO_ID = "No groupId element or rootGroup id attribute found in XML"
+GENERATED = "Generated test notebook for {name} ({intent})"
+
 INGEST_UPDATE = ["flow_name", "status", "server", "source_path", "description", "priority",
                  "owner"]
 
@@ -29,9 +34,8 @@ def catalogue(files: DataFrame, volume: str) -> DataFrame:
         server_of(F.col("path"), volume).alias("server"),
         parsed["description"].alias("description"),
         check["valid"].alias("valid"), check["message"].alias("message"),
-        F.when(parsed["error"].isNotNull(), F.concat(F.lit("XML parse error: "), parsed["error"]))
-        .when(parsed["flow_id"].isNull(),
-              F.lit("No groupId element or rootGroup id attribute found in XML")).alias("error"),
+        F.when(parsed["error"].isNotNull(), fill(PARSE_ERROR, error=parsed["error"]))
+        .when(parsed["flow_id"].isNull(), NO_ID).alias("error"),
     )
 
 
@@ -82,5 +86,4 @@ def generated_artifacts(procs: DataFrame, base: str) -> DataFrame:
         "flow_id", "id", "intent",
         artifact_path(F.lit(base), flow, intent, name).alias("artifact_ref"),
         artifact_text(flow, name, kind, intent).alias("content"),
-        F.concat(F.lit("Generated test notebook for "), name, F.lit(" ("), intent, F.lit(")"))
-        .alias("patch_summary"))
+        fill(GENERATED, name=name, intent=intent).alias("patch_summary"))
