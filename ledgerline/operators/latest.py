@@ -143,14 +143,15 @@ DETAIL_ORDER = {
 def run_details(child: DataFrame, table: str, run_id: str | None = None) -> DataFrame:
     """Rows of a child table in reading order: of one run, or of all runs.
 
-    For all runs the sort is by range over all columns, so a run or an iteration
-    with many rows is cut over several tasks.
+    For all runs the sort is by range, with a hash of the other columns as the last
+    key, so a run or an iteration with many rows is cut over several tasks.
     """
     order = DETAIL_ORDER[table]
     if run_id is not None:
         return child.filter(F.col("run_id") == run_id).orderBy(*order)
     first = ["run_id", *order]
-    return child.orderBy(*first, *[c for c in child.columns if c not in first])
+    rest = [c for c in child.columns if c not in first]
+    return child.orderBy(*first, F.xxhash64(*rest))
 
 
 def details_with_run(child: DataFrame, runs: DataFrame) -> DataFrame:
