@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.language import identify, learn
+from ledgerline.llm.mixing import mix
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
+from ledgerline.llm.rules_ledger import BASE, POLICIES, ledger, passes
+from ledgerline.llm.sql import MIXING, TOP_VECTORS, quality_rules, url_filters
 from ledgerline.llm.token_counts import token_counts
+from ledgerline.llm.toxicity import fit, remainder, score
+from ledgerline.llm.top_vectors import top_k
+from ledgerline.llm.url_filters import judge, path_of
+from ledgerline.llm.word_codes import decode, encode
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -18,3 +26,79 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it exceeds the context."""
     counts = token_counts(table(spark, folder, "documents"))
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    fold = remainder("doc_id", 4)
+    texts = learn(docs.filter(F.coalesce(fold != 2, F.lit(True))))
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    return identify(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_quality_rules", quality_rules())
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failure bits and verdict of every document."""
+    entries = ledger(table(spark, folder, "documents"))
+    return entries.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~passes(BASE)).alias("base_failed"), passes(BASE + POLICIES["corpus-2"]).alias("kept"), "failures")
+
+
+@query("op5_word_bpe")
+def op5_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    encoded = encode(table(spark, folder, "documents"))
+    return decode(encoded).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fold = remainder("doc_id", 5)
+    labels = table(spark, folder, "labels").filter(fold != 0)
+    scored = score(spark, docs, fit(docs, labels))
+    return scored.select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_top_vectors", TOP_VECTORS)
+def op4_top_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best vectors for every fiftieth."""
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op6_source_mix", MIXING)
+def op6_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix(table(spark, folder, "documents")).drop("copies")
+
+
+#: Verdict, host and path of the rules.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+@query("op8_url_filters", url_filters(URL_RULES))
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page; a page is labelled by the document that its url numbers."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    number = F.regexp_extract(path_of("url"), r"/([0-9]{1,18})[^/]*/?$", 1).try_cast("long")
+    labels = (
+        pages.select("page_id", number.alias("doc_id"))
+        .join(table(spark, folder, "labels"), "doc_id")
+        .select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    )
+    return judge(pages, labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")

@@ -27,7 +27,8 @@ BYTE_SPLIT = regex.compile(
 
 FREQUENT_WORDS = 32_768      # entries of the broadcast table; its words have at most
 FREQUENT_CHARS = 24          # so many characters, so it stays below 4 MB
-TRACKED_WORDS = 262_144      # counters of the sketch that finds them
+TRACKED_WORDS = 131_072      # counters of the sketch that finds them
+MERGERS = 64                 # first-level mergers of sketches
 WORKER_PIECES = 400_000      # entries a worker's cache may hold before it starts anew
 WORKER_PIECE_CHARS = 64      # longer pieces are encoded each time
 
@@ -36,16 +37,18 @@ def frequent_words(docs: DataFrame, text: str | Column, k: int = FREQUENT_WORDS,
                    tracked: int = TRACKED_WORDS) -> list[str]:
     """About the ``k`` most frequent words of all texts, without their punctuation.
 
-    A bounded sketch counts them: partial sketches travel, words do not. The list
-    only decides what is looked up first, never what a result is.
+    Bounded sketches count them and are merged in two levels: sketches travel, words do
+    not. The list only decides what is looked up first, never what a result is.
     """
     marks = "\t\n\x0b\x0c\r.,;:!?\"()|"
     column = F.col(text) if isinstance(text, str) else text
     words = docs.select(F.explode(F.split(F.translate(column, marks, " " * len(marks)), " ")).alias("w"))
     top = (
         words.filter(F.length("w").between(1, FREQUENT_CHARS))
-        .agg(F.expr(f"approx_top_k(w, {k}, {tracked})").alias("top"))
-        .select(F.inline("top"))
+        .groupBy((F.spark_partition_id() % MERGERS).alias("merger"))
+        .agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("part"))
+        .agg(F.expr(f"approx_top_k_combine(part, {tracked})").alias("all"))
+        .select(F.inline(F.expr(f"approx_top_k_estimate(`all`, {k})")))
     )
     return [row["item"] for row in top.collect()]
 

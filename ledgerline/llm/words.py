@@ -67,12 +67,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the n + 1 offsets of its rows; a null is empty."""
+    """Bytes of a string or binary column and the n + 1 offsets of its rows; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -98,14 +98,15 @@ class Words:
         return hash_spans(self.data, self.starts, self.ends, fold)
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, space: np.ndarray = SPACE) -> Words:
+    """Words of every row; ``space`` tells which of the 256 bytes stand between words."""
     data, offsets = text_bytes(column)
-    return words_in(data, offsets)
+    return words_in(data, offsets, space)
 
 
-def words_in(data: np.ndarray, offsets: np.ndarray) -> Words:
+def words_in(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> Words:
     """Words of the rows that ``offsets`` cut ``data`` into."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     stops[:-1] &= ~solid[1:]
