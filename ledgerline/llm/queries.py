@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.language import identify, learn
 from ledgerline.llm.mixing import mix
+from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
 from ledgerline.llm.rules_ledger import BASE, POLICIES, ledger, passes
-from ledgerline.llm.sql import MIXING, TOP_VECTORS, quality_rules, url_filters
+from ledgerline.llm.sql import MIXING, TOP_VECTORS, near_duplicates_sql, quality_rules, url_filters
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.toxicity import fit, remainder, score
 from ledgerline.llm.top_vectors import top_k
@@ -102,3 +103,9 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
         .select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     )
     return judge(pages, labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+@query("op7_near_duplicates", near_duplicates_sql(4))
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 4-word shingles are near duplicates."""
+    return near_duplicates(table(spark, folder, "documents"), n=4)

@@ -139,3 +139,31 @@ tree as (select host, shape, t{last} as template, share from n{last} join s{last
 select page_id, host, path, {rule} as rule,
        coalesce({verdict}, case when share > {REJECT_SHARE} then 'block' else 'allow' end) as verdict, template
 from sh join tree using (host, shape)"""
+
+
+def near_duplicates_sql(n: int) -> str:
+    """All pairs that share a shingle, then what is reachable over links."""
+    return rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w
+  from documents),
+s as (
+  select distinct doc_id, g from (
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {n} then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) end) as g
+    from d)),
+c as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a, b from (
+    select x.doc_id as a, y.doc_id as b, count(*) as common
+    from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by all) p
+  join c ca on ca.doc_id = a join c cb on cb.doc_id = b
+  where 100 * common >= 80 * (ca.n + cb.n - common)),
+reach as (
+  select doc_id, doc_id as seen from d
+  union
+  select doc_id, b from reach join links on seen = a)
+select d.doc_id, coalesce(c.n, 0) as n_shingles, r.component_id, d.doc_id = r.component_id as kept
+from d left join c using (doc_id)
+join (select doc_id, min(seen) as component_id from reach group by doc_id) r using (doc_id)"""
