@@ -3,15 +3,77 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from ledgerline.llm.line_dups import line_removals, without_lines
+from ledgerline.llm.mixing import mix, n_words
+from ledgerline.llm.near_dups import near_duplicates
+from ledgerline.llm.settle import settled
+from ledgerline.llm.toxicity import fit, score
+from ledgerline.llm.word_codes import decode, encode
 
+REJECT_SCORE = 0.5
+SHINGLE_WORDS = 5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below REJECT_SCORE; a null or empty text has the score of the bias."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit(docs, labels)
+    return score(spark, docs, model, into="_toxicity").filter(F.col("_toxicity") < REJECT_SCORE).drop("_toxicity")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line is like.
+
+    A document that loses all its lines goes. ``n_chars`` is counted anew where lines went.
+    """
+    kept = without_lines(docs, line_removals(docs), into="_text")
+    changed = ~F.col("_text").eqNullSafe(F.col("text"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.withColumn("text", F.col("_text")).select(*docs.columns)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id; null ids stay."""
+    found = near_duplicates(docs, SHINGLE_WORDS)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; rows alike in id and size are taken alike."""
+    taken = (
+        mix(docs).groupBy(F.struct("doc_id", "size").alias("_of")).agg(F.max("copies").alias("_copies"))
+        .filter("_copies > 0")
+    )
+    sized = docs.withColumn("_is", F.struct("doc_id", n_words("text").alias("size")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return sized.join(taken, F.col("_is") == F.col("_of")).withColumn("_time", times).select(*docs.columns)
+
+
+def word_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``n_tokens``, packed ``ids`` and a digest of the text that they decode to."""
+    return decode(encode(docs)).select(
+        "doc_id", "n_tokens", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("source_mix", source_mix),
+    ("word_bpe", word_bpe),
+]
+
+#: Trained weights and an exact similarity join over all lines are beyond SQL on whole tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that ``documents`` become after all stages."""
+    """The rows that ``documents`` become after all stages, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), f"corpus-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

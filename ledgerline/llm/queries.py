@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.language import identify, learn
+from ledgerline.llm.line_dups import line_removals
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
@@ -29,6 +30,13 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > CONTEXT_TOKENS)
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document, and the numbers of those that an earlier line is like."""
+    found = line_removals(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""

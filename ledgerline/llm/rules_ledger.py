@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.words import grams, hash_spans, slices, words_of
+from ledgerline.llm.words import grams, hash_spans, row_order, slices, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_upper", "n_letters", "n_shouts")
@@ -47,13 +47,15 @@ def _per_row(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _repeated(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each value, whether its row holds it again; and whether it stood earlier."""
-    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((np.arange(len(values)), values, rows))
-    same = (values[order][1:] == values[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-    earlier, again = np.zeros((2, len(values)), dtype=bool)
-    earlier[order[1:]] = same
-    again[order[:-1]] = same
+    """For each value, whether its row holds it more than once; and whether a copy of it is in a lower place."""
+    order, new = row_order(values, first)
+    runs = np.cumsum(new) - 1
+    again, earlier = np.zeros((2, len(values)), dtype=bool)
+    if len(values):
+        sizes = np.bincount(runs)
+        again[order] = sizes[runs] > 1
+        least = np.minimum.reduceat(order, np.flatnonzero(new))
+        earlier[order] = order != least[runs]
     return np.array([again, earlier])
 
 
@@ -63,7 +65,7 @@ def measured(column: pa.Array) -> list[np.ndarray]:
     data, offsets = words.data, words.offsets
     hashes = words.hashes()
     windows, upto = grams(hashes, words.first, 3)
-    twice = _repeated(windows, upto).any(axis=0)
+    twice = _repeated(windows, upto)[0]
     covered = np.zeros(len(hashes) + 2, dtype=bool)
     at = np.arange(len(windows)) + np.repeat(words.first[:-1] - upto[:-1], np.diff(upto))
     for k in range(3):

@@ -43,7 +43,9 @@ def _features(column: pa.Array) -> list[np.ndarray]:
     values = np.concatenate([v for v, _ in kinds])
     rows = np.concatenate([_rows(first) for _, first in kinds])
     order = np.argsort(rows, kind="stable")
-    values, first = distinct_in_rows(values[order], np.searchsorted(rows[order], np.arange(n + 1)))
+    values, first = distinct_in_rows(
+        values[order].astype(np.uint64) << np.uint64(64 - BITS), np.searchsorted(rows[order], np.arange(n + 1)))
+    values = (values >> np.uint64(64 - BITS)).astype(np.int64)
     return [values[a:b] for a, b in zip(first, first[1:])]
 
 
@@ -127,15 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     return Model(np.array(sorted(weights), np.int64), np.array([weights[b] for b in sorted(weights)]), bias)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``: the probability that the label is 1.
+def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into``: the probability that the label is 1.
 
     Each whole text is scored where it lies. A null or empty text gets the score of the
     bias alone, every text 0 if the model is empty. Rows and other columns stay as they
-    are, but for a column named ``score``, which is replaced.
+    are, but for a column named ``into``, which is replaced.
     """
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(into)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -155,9 +157,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text"
                 else:
                     found = logits
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found)], names=[*part.schema.names, "score"])
+                    [*part.columns, pa.array(found)], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(apply, StructType([*docs.schema, StructField("score", DoubleType())]))
+    return docs.mapInArrow(apply, StructType([*docs.schema, StructField(into, DoubleType())]))
 
 
 def remainder(id_col: str, divisor: int) -> Column:

@@ -131,15 +131,31 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int, step: int = 1) -> tuple
     return mix(out + np.uint64(n * 64 + step)), upto
 
 
+def row_order(values: np.ndarray, first: np.ndarray, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ``values`` by row, then by ``lead`` (bytes, if given), then by value; and which are new in it.
+
+    Sorts one 64-bit key: as many high bits of a value as the row number leaves. With
+    2,000 rows that is 53 bits, so two values of a row are mixed up with a chance of 2**-53.
+    """
+    n = len(first) - 1
+    bits = np.uint64(max(1, int(n).bit_length()))
+    key = np.repeat(np.arange(n, dtype=np.uint64), np.diff(first)) << (np.uint64(64) - bits)
+    if lead is not None:
+        key |= lead.astype(np.uint64) << (np.uint64(56) - bits)
+        bits += np.uint64(8)
+    key |= values >> bits
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, new
+
+
 def distinct_in_rows(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, and their ranges."""
-    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
-    new = np.ones(len(values), dtype=bool)
-    new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-    values, rows = values[new], rows[new]
-    return values, np.searchsorted(rows, np.arange(len(first)))
+    order, new = row_order(values.astype(np.uint64, copy=False), first)
+    upto = np.concatenate([[0], np.cumsum(new)])
+    return values[order[new]], upto[first]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
