@@ -10,7 +10,6 @@ from ledgerline.functions.status import badge, progress_text
 from ledgerline.functions.text import record_json
 from ledgerline.operators import joins, latest, lookup, totals
 from ledgerline.operators.rules import admit
-from ledgerline.operators.spread import join_many_to_one
 from ledgerline.schemas import FLOWS, LEGACY_FLOWS
 from ledgerline.sources.tables import LEGACY_DEFAULTS, conform
 
@@ -51,7 +50,7 @@ SELECT r.run_id, r.flow_id, f.flow_name, f.status AS flow_status
 FROM b_runs r JOIN b_flows f ON f.flow_id = r.flow_id""")
 def flow_of_each_run(i):
     flows = i("b_flows").select("flow_id", "flow_name", F.col("status").alias("flow_status"))
-    return join_many_to_one(i("b_runs").select("run_id", "flow_id"), flows, ["flow_id"]).select(
+    return i("b_runs").select("run_id", "flow_id").join(flows, "flow_id").select(
         "run_id", "flow_id", "flow_name", "flow_status")
 
 

@@ -267,6 +267,30 @@ def new_attempts(i):
         "first_attempt_at")
 
 
+@check("u5_flows", f"""WITH {ADMITTED},
+done AS (SELECT flow_id, count(*) AS n, min(start_ts) AS first_ts FROM b_runs GROUP BY flow_id),
+old AS (SELECT f.flow_id, f.flow_name, f.status, f.current_run_id, d.n, CASE WHEN CAST(f.flow_id AS BIGINT) % 2 = 0 THEN d.first_ts END AS first_ts
+  FROM b_flows f LEFT JOIN done d ON d.flow_id = f.flow_id)
+SELECT o.flow_name, CASE WHEN a.flow_id IS NOT NULL THEN 'CONVERTING' ELSE o.status END AS status,
+  CASE WHEN a.flow_id IS NOT NULL THEN o.flow_name || '_attempt_' || CAST(CAST(epoch({AS_OF}) AS BIGINT) AS VARCHAR) ELSE o.current_run_id END AS current_attempt_id,
+  CASE WHEN a.flow_id IS NOT NULL THEN coalesce(o.n, 0) + 1 ELSE coalesce(o.n, 0) END AS total_attempts,
+  CASE WHEN a.flow_id IS NOT NULL THEN coalesce(o.first_ts, {AS_OF}) ELSE o.first_ts END AS first_attempt_at,
+  CASE WHEN a.flow_id IS NOT NULL THEN {AS_OF} END AS last_attempt_at,
+  CASE WHEN a.flow_id IS NOT NULL THEN {AS_OF} END AS last_updated
+FROM old o LEFT JOIN admitted a ON a.flow_id = o.flow_id AND a.accepted""")
+def attempted_flows(i):
+    """Old-style flows, half of them with a first attempt, after the accepted starts."""
+    so_far = i("b_runs").groupBy("flow_id").agg(F.count("*").alias("n"), F.min("start_ts").alias("first"))
+    none = F.lit(None).cast("timestamp_ntz")
+    flows = i("b_flows").join(so_far, "flow_id", "left").select(
+        "flow_name", "status", F.col("current_run_id").alias("current_attempt_id"),
+        F.coalesce("n", F.lit(0)).alias("total_attempts"),
+        F.when(F.col("flow_id").cast("long") % 2 == 0, F.col("first")).alias("first_attempt_at"),
+        none.alias("last_attempt_at"), none.alias("last_updated"))
+    accepted = rules.admit(i("b_requests"), i("b_flows")).filter("accepted")
+    return rules.attempted_flows(flows, rules.new_attempts(accepted, i("b_runs"), as_of()), as_of())
+
+
 # -------------------------------------------------------------- next action
 DECIDED = f"""{LAST},
 arts AS (SELECT run_id, iteration_num, count(*) AS n FROM b_patches GROUP BY ALL),
@@ -278,14 +302,16 @@ acted AS (SELECT r.run_id, r.flow_id, r.status, l.step, l.iteration_num, s.state
    WHEN s.life_cycle_state <> 'TERMINATED' THEN 'NONE'
    WHEN s.result_state = 'SUCCESS' AND l.step = 'agent_generate' THEN 'EXECUTE_GENERATED'
    WHEN s.result_state = 'SUCCESS' AND l.step = 'agent_fix_errors' THEN 'EXECUTE_FIXED'
+   WHEN s.result_state = 'SUCCESS' AND l.step = 'execute_notebooks' AND l.step_status = 'RUNNING' THEN 'CHECK_EXECUTION'
    WHEN s.result_state = 'SUCCESS' THEN 'NONE' WHEN s.result_state = 'FAILED' THEN 'FAIL_NEEDS_HUMAN'
    ELSE 'CANCEL_STOP' END AS action
   FROM b_runs r LEFT JOIN b_job_state s ON s.job_run_id = r.job_run_id LEFT JOIN last l ON l.run_id = r.run_id),
-placed AS (SELECT *, CASE action WHEN 'EXECUTE_GENERATED' THEN 1 WHEN 'EXECUTE_FIXED' THEN iteration_num END AS exec_iteration FROM acted),
+placed AS (SELECT *, CASE action WHEN 'EXECUTE_GENERATED' THEN 1 WHEN 'EXECUTE_FIXED' THEN iteration_num
+   WHEN 'CHECK_EXECUTION' THEN iteration_num END AS exec_iteration FROM acted),
 decided AS (SELECT p.*, coalesce(a.n, 0) AS n_artifacts, CASE WHEN a.n IS NOT NULL THEN o.status END AS outcome,
   CASE WHEN a.n IS NOT NULL THEN o.error END AS outcome_error, CASE WHEN a.n IS NOT NULL THEN o.logs_ref END AS logs_ref,
   CASE WHEN exec_iteration IS NULL THEN NULL WHEN a.n IS NULL THEN 'NO_ARTIFACTS' WHEN o.run_id IS NULL THEN 'AWAIT'
-   WHEN o.status = 'SUCCESS' THEN 'FINISH' WHEN action = 'EXECUTE_FIXED' AND exec_iteration >= 5 THEN 'HAND_OFF'
+   WHEN o.status = 'SUCCESS' THEN 'FINISH' WHEN exec_iteration >= 5 AND (action = 'EXECUTE_FIXED' OR action = 'CHECK_EXECUTION' AND exec_iteration > 1) THEN 'HAND_OFF'
    ELSE 'NEXT_ITERATION' END AS follow_up
   FROM placed p LEFT JOIN arts a ON a.run_id = p.run_id AND a.iteration_num = p.exec_iteration
   LEFT JOIN outs o ON o.run_id = p.run_id AND o.iteration_num = p.exec_iteration)"""
@@ -335,7 +361,7 @@ ev AS (
   FROM cur WHERE action IN ('EXECUTE_GENERATED','EXECUTE_FIXED') OR (action = 'FAIL_NEEDS_HUMAN' AND iteration_num IS NOT NULL)
   UNION ALL SELECT run_id, 2, exec_iteration, 'execute_notebooks', 'RUNNING',
     'Executing ' || CAST(n_artifacts AS VARCHAR) || ' notebooks...', NULL
-  FROM cur WHERE follow_up IN ('AWAIT','FINISH','NEXT_ITERATION','HAND_OFF')
+  FROM cur WHERE follow_up IN ('AWAIT','FINISH','NEXT_ITERATION','HAND_OFF') AND action <> 'CHECK_EXECUTION'
   UNION ALL SELECT run_id, 3, exec_iteration, 'execute_notebooks', CASE WHEN follow_up = 'FINISH' THEN 'COMPLETED' ELSE 'FAILED' END,
     CASE WHEN follow_up = 'FINISH' THEN 'All notebooks executed successfully' END,
     CASE WHEN follow_up <> 'FINISH' THEN coalesce(nullif(outcome_error, ''), 'Execution failed') END
@@ -350,6 +376,76 @@ handed AS (SELECT run_id, flow_id, coalesce(iteration_num, 1) AS iteration_num,
   FROM cur WHERE action = 'FAIL_NEEDS_HUMAN' OR follow_up = 'HAND_OFF')"""
 
 
+SECOND = f"""{CURRENT},
+waited AS (SELECT run_id, exec_iteration, CAST(run_id AS BIGINT) % 2 = 0 AS went_well,
+  CASE WHEN iteration_num = exec_iteration THEN 'CHECK_EXECUTION' ELSE action END AS action FROM cur WHERE follow_up = 'AWAIT'),
+second AS (SELECT *, CASE WHEN went_well THEN 'FINISH' WHEN exec_iteration > 1 AND exec_iteration >= 5 AND action <> 'EXECUTE_GENERATED'
+    THEN 'HAND_OFF' ELSE 'NEXT_ITERATION' END AS follow_up FROM waited)"""
+
+
+def second_poll(i):
+    """Tables after a first poll, the jobs that its waiting runs had running, and the results these gave."""
+    tables = i.ledger()
+    store = Store(i.spark, new_dir(i.spark, "polls"))
+    decisions = store.materialize(poll.decide(tables, i("b_job_state")))
+    result = poll.apply(tables, decisions, as_of())
+    store.commit(replace={"flows": result["flows"], "runs": result["runs"]},
+                 append={"events": tables["events"].unionByName(result["events"], allowMissingColumns=True)})
+    jobs = decisions.filter("follow_up = 'AWAIT'").select(
+        "run_id", F.col("exec_iteration").alias("iteration_num"), "n_artifacts",
+        F.lit("TERMINATED").alias("life_cycle_state"),
+        F.when(F.col("run_id").cast("long") % 2 == 0, "SUCCESS").otherwise("FAILED").alias("result_state"),
+        F.lit("lost").alias("state_message"), (F.col("run_id").cast("long") % 90).cast("int").alias("runtime_s"))
+    found = poll.record(jobs, as_of(), "/vol/logs")["executions"]
+    after = {**tables, **{name: store.read(name) for name in ("flows", "runs", "events")},
+             "executions": tables["executions"].unionByName(found)}
+    waited = store.materialize(jobs.select("run_id"))
+    return after, waited
+
+
+@check("d3_second_poll", f"""WITH {SECOND}
+SELECT run_id, action, exec_iteration, CASE WHEN went_well THEN 'SUCCESS' ELSE 'FAILED' END AS outcome,
+  CAST(run_id AS BIGINT) % 90 AS runtime_s, CASE WHEN NOT went_well THEN 'lost' END AS outcome_error,
+  '/vol/logs/' || run_id || '/iter' || CAST(exec_iteration AS VARCHAR) AS logs_ref, follow_up FROM second""")
+def decided_again(i):
+    """Results that arrive after the poll that asked for them are found by the next one."""
+    after, waited = second_poll(i)
+    return poll.decide(after, i("b_job_state")).join(waited, "run_id", "left_semi").select(
+        "run_id", "action", "exec_iteration", "outcome", F.col("runtime_s").cast("long").alias("runtime_s"),
+        "outcome_error", "logs_ref", "follow_up")
+
+
+@check("d4_second_poll_runs", f"""WITH {SECOND}
+SELECT r.run_id, CASE s.follow_up WHEN 'FINISH' THEN 'SUCCESS' WHEN 'HAND_OFF' THEN 'FAILED' ELSE r.status END AS status,
+  CASE WHEN s.follow_up = 'NEXT_ITERATION' THEN 'fix-' || r.run_id || '-' || CAST(s.exec_iteration + 1 AS VARCHAR)
+    WHEN s.follow_up = 'HAND_OFF' THEN NULL ELSE r.job_run_id END AS job_run_id
+FROM second s JOIN b_runs r ON r.run_id = s.run_id""")
+def moved_again(i):
+    """No run that waited stays as it was: it ends, or has a new job."""
+    after, waited = second_poll(i)
+    rows = rules.transition_rows(poll.decide(after, i("b_job_state")), as_of(), jobs_started(i))["runs"]
+    runs = poll.update_runs(after["runs"], rows).join(waited, "run_id", "left_semi")
+    handed = rows.filter("status = 'FAILED'").select("run_id", F.lit(True).alias("_handed"))
+    return runs.join(handed, "run_id", "left").select(
+        "run_id", "status", F.when(F.col("_handed").isNull(), F.col("job_run_id")).alias("job_run_id"))
+
+
+def lost_jobs(i):
+    """Polls that fail: every job of a run with an even number."""
+    return i("b_job_state").withColumn("poll_error", F.when(
+        F.col("run_id").cast("long") % 2 == 0, F.concat(F.lit("no answer for "), F.col("job_run_id"))))
+
+
+@check("d3_poll_errors", f"""WITH {LAST}
+SELECT r.run_id, r.flow_id, coalesce(l.iteration_num, 1) AS iteration_num, 'orchestration_error' AS reason,
+  'Error during orchestration: no answer for ' || r.job_run_id AS instructions
+FROM b_runs r JOIN b_flows f ON f.current_run_id = r.run_id LEFT JOIN last l ON l.run_id = r.run_id
+WHERE r.job_run_id IS NOT NULL AND r.status NOT IN ('SUCCESS','FAILED','CANCELLED') AND CAST(r.run_id AS BIGINT) % 2 = 0""")
+def poll_errors(i):
+    decisions = poll.decide(i.ledger(), lost_jobs(i))
+    return rules.hand_offs(decisions.filter("action = 'ERROR'"))
+
+
 @check("d4_events", f"""WITH {CURRENT}, {STEP_EVENTS}
 SELECT run_id, iteration_num, step, step_status, {AS_OF} AS ts, summary, error,
   row_number() OVER (PARTITION BY run_id ORDER BY o) AS event_seq FROM ev
@@ -385,6 +481,45 @@ def transition_runs(i):
     return poll.apply(tables, decisions, as_of(), jobs_started(i))["runs"]
 
 
+def jobs_lost(i):
+    """Jobs of new iterations of which a third failed to start and a third never came."""
+    number = F.col("run_id").cast("long") % 3
+    return jobs_started(i).filter(number < 2).withColumns({
+        "job_run_id": F.when(number == 0, F.col("job_run_id")), "error": F.when(number == 1, "no cluster")})
+
+
+LOST = f"""{DECIDED},
+lost AS (SELECT *, CASE WHEN CAST(run_id AS BIGINT) % 3 = 1 THEN 'no cluster' ELSE 'job was not created' END AS why
+  FROM decided WHERE follow_up = 'NEXT_ITERATION' AND CAST(run_id AS BIGINT) % 3 > 0)"""
+
+
+@check("d4_lost_launches", f"""WITH {LOST}
+SELECT run_id, exec_iteration + 1 AS iteration_num, 'agent_fix_errors' AS step, 'FAILED' AS step_status, CAST(NULL AS VARCHAR) AS summary, why AS error FROM lost
+UNION ALL SELECT run_id, exec_iteration + 2, 'needs_human', 'COMPLETED', 'Marked as NEEDS_HUMAN: orchestration_error', NULL FROM lost
+UNION ALL SELECT run_id, exec_iteration + 1, 'agent_fix_errors', 'RUNNING',
+  'Agent analyzing logs and fixing errors (iteration ' || CAST(exec_iteration + 1 AS VARCHAR) || ')...', NULL
+FROM decided WHERE follow_up = 'NEXT_ITERATION' AND CAST(run_id AS BIGINT) % 3 = 0""")
+def lost_launch_events(i):
+    decisions = decided(i)
+    rows = rules.transition_rows(decisions, as_of(), jobs_lost(i))["events"]
+    following = decisions.filter("follow_up = 'NEXT_ITERATION'").select("run_id")
+    return rows.join(following, "run_id", "left_semi").filter("step <> 'execute_notebooks' AND (summary IS NULL OR summary NOT LIKE '%completed%')").select(
+        "run_id", "iteration_num", "step", "step_status", "summary", "error")
+
+
+@check("d4_lost_launch_requests", f"""WITH {LOST}
+SELECT l.run_id, r.status AS before, 'FAILED' AS status, l.exec_iteration + 1 AS iteration_num, 'orchestration_error' AS reason,
+  'Error during orchestration: ' || why AS instructions FROM lost l JOIN b_runs r ON r.run_id = l.run_id""")
+def lost_launch_requests(i):
+    """The request and the status of every run whose next iteration did not start."""
+    result = rules.transition_rows(decided(i), as_of(), jobs_lost(i))
+    asked = result["requests"].filter("reason = 'orchestration_error'")
+    before = i("b_runs").select("run_id", F.col("status").alias("before"))
+    after = poll.update_runs(i("b_runs"), result["runs"]).select("run_id", "status")
+    return asked.drop("status", "ts").join(after, "run_id").join(before, "run_id").select(
+        "run_id", "before", "status", "iteration_num", "reason", "instructions")
+
+
 FLOW_STATUS = """
 CASE WHEN action = 'MARK_RUNNING' THEN 'RUNNING' WHEN action = 'CANCEL_STOP' THEN 'STOPPED'
   WHEN action = 'FAIL_NEEDS_HUMAN' OR follow_up = 'HAND_OFF' THEN 'NEEDS_HUMAN' WHEN follow_up = 'FINISH' THEN 'DONE' END"""
@@ -513,6 +648,23 @@ def scan_requests(i):
     return rules.human_rows(asked, as_of())["requests"]
 
 
+@check("d9_gate_runs", f"""WITH {GATE},
+stopped AS (SELECT g.run_id, max(g.iteration_num) AS n FROM gate g JOIN b_runs r ON r.run_id = g.run_id
+  JOIN b_flows f ON f.current_run_id = r.run_id
+  WHERE r.status NOT IN ('SUCCESS','FAILED','CANCELLED') GROUP BY g.run_id HAVING max(g.iteration_num) % 2 = 0)
+SELECT r.run_id, CASE WHEN s.run_id IS NOT NULL THEN 'FAILED' ELSE r.status END AS status, s.n AS asked
+FROM b_runs r LEFT JOIN stopped s ON s.run_id = r.run_id""")
+def gate_runs(i):
+    """Open current runs with a blocked scan stop; odd iterations were asked about before."""
+    tables = i.ledger()
+    before = i("b_scans").filter("iteration_num % 2 = 1").select(
+        "run_id", "iteration_num", F.lit("sast_blocked").alias("reason"), F.lit("seen").alias("instructions"),
+        F.lit("RESOLVED").alias("status"), "ts").distinct()
+    result = poll.security_gate({**tables, "requests": before}, as_of())
+    asked = result["requests"].select("run_id", F.col("iteration_num").alias("asked"))
+    return result["runs"].select("run_id", "status").join(asked, "run_id", "left")
+
+
 @check("d10_agent_calls", """
 SELECT run_id, iteration_num, event_seq, CASE
   WHEN coalesce(run_id,'') = '' OR coalesce(flow_id,'') = '' OR coalesce(flow_name,'') = ''

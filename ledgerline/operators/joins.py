@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerline.functions.status import present
 from ledgerline.functions.text import WAITING_TEXT, fill
 from ledgerline.operators.latest import latest_events
-from ledgerline.operators.spread import join_many_to_one
 from ledgerline.schemas import TERMINAL_RUN
 
 
@@ -58,8 +57,7 @@ def current_artifacts(flows: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Artifacts of the current run of every flow, in iteration and path order."""
     pointers = flows.select("flow_id", F.col("current_run_id").alias("run_id")).filter(
         present(F.col("run_id")).isNotNull())
-    listed = join_many_to_one(
-        artifacts.select("run_id", "iteration_num", "artifact_ref"), pointers, ["run_id"])
+    listed = artifacts.select("run_id", "iteration_num", "artifact_ref").join(pointers, "run_id")
     return listed.select("flow_id", "run_id", "iteration_num", "artifact_ref").orderBy(
         "flow_id", "iteration_num", "artifact_ref")
 
@@ -86,7 +84,7 @@ def by_flow_name(history: DataFrame, names: DataFrame) -> DataFrame:
 
     ``names`` has one flow_id per flow_name (see ``lookup.first_per_name``).
     """
-    return join_many_to_one(history, names.select("flow_name", "flow_id"), ["flow_name"], "left")
+    return history.join(names.select("flow_name", "flow_id"), "flow_name", "left")
 
 
 def fetch_artifacts(wanted: DataFrame, files: DataFrame) -> DataFrame:
@@ -94,8 +92,7 @@ def fetch_artifacts(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
     ``wanted`` has a ``path`` column, ``files`` (path, content).
     """
-    found = join_many_to_one(
-        wanted, files.select("path", "content", F.lit(True).alias("found")), ["path"], "left")
+    found = wanted.join(files.select("path", "content", F.lit(True).alias("found")), "path", "left")
     note = fill(f"{WAITING_TEXT}\n# {{path}} not found", path=F.col("path"))
     return found.withColumn("found", F.coalesce("found", F.lit(False))).withColumn(
         "content", F.coalesce("content", note))

@@ -8,27 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import artifact_name, fill, last_segment, logs_path
-from ledgerline.operators.spread import join_many_to_one, number_rows
+from ledgerline.operators.spread import number_rows
 from ledgerline.schemas import EVENT_ORDER, HISTORY_ROWS, KEEP_LATEST
 
 
-CUT_LIMIT = 1000   # Spark cuts groups before the shuffle up to this many rows
-
-
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
              rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key.
 
     ``row_number() <= n`` lets Spark cut every input split to n rows per key
-    before the shuffle, so a hot key sends n rows per split, not all of them.
-    Beyond CUT_LIMIT it does not, and hot keys are numbered by range instead.
+    before the shuffle, so a hot key sends n rows per split, not all of them. Spark
+    does so up to ``spark.sql.optimizer.windowGroupLimitThreshold`` rows; raise it
+    for a larger ``n``.
     """
     place = rank or "_rank"
-    if n > CUT_LIMIT:
-        kept = number_rows(df, keys, order, place).withColumn(place, F.col(place).cast("int"))
-    else:
-        kept = df.withColumn(place, F.row_number().over(
-            Window.partitionBy(*keys).orderBy(*order)))
+    kept = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = kept.filter(F.col(place) <= n)
     return kept if rank else kept.drop(place)
 
@@ -157,4 +151,4 @@ def run_details(child: DataFrame, table: str, run_id: str | None = None) -> Data
 def details_with_run(child: DataFrame, runs: DataFrame) -> DataFrame:
     """Child rows with flow and status of their run, for all runs at once."""
     parent = runs.select("run_id", "flow_id", F.col("status").alias("run_status"))
-    return join_many_to_one(child, parent, ["run_id"], "inner")
+    return child.join(parent, "run_id")

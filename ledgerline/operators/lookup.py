@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.status import allowed_action, can_start, progress_text
-from ledgerline.operators.spread import join_many_to_one
 
 
 def by_id(table: DataFrame, key: str, value: str) -> DataFrame:
@@ -45,7 +44,7 @@ def resolve(requests: DataFrame, flows: DataFrame) -> DataFrame:
 
     Unresolved identifiers keep a NULL flow_id; repeats and positions stay.
     """
-    return join_many_to_one(requests, identifiers(flows), ["identifier"], "left")
+    return requests.join(identifiers(flows), "identifier", "left")
 
 
 def resolved(requests: DataFrame, flows: DataFrame) -> DataFrame:
@@ -76,7 +75,7 @@ def search(flows: DataFrame, query: str | None = None, status: str | None = None
 def among(table: DataFrame, key: str, values: Iterable[str] | DataFrame) -> DataFrame:
     """Rows whose key is in a short list, or in the key column of a table."""
     if isinstance(values, DataFrame):
-        return join_many_to_one(table, values.select(key).distinct(), [key], "left_semi")
+        return table.join(values.select(key).distinct(), key, "left_semi")
     return table.filter(F.col(key).isin(list(values)))
 
 
@@ -100,4 +99,4 @@ def startable(flows: DataFrame) -> DataFrame:
 def artifacts_of_iteration(artifacts: DataFrame, iterations: DataFrame) -> DataFrame:
     """Artifacts written in the given (run_id, iteration_num) pairs."""
     wanted = iterations.select("run_id", "iteration_num").distinct()
-    return join_many_to_one(artifacts, wanted, ["run_id", "iteration_num"], "left_semi")
+    return artifacts.join(wanted, ["run_id", "iteration_num"], "left_semi")

@@ -11,7 +11,6 @@ from ledgerline.functions.timing import attempt_key, epoch_seconds, run_key
 from ledgerline.operators.joins import with_current_run
 from ledgerline.operators.latest import latest_events
 from ledgerline.operators.lookup import identifiers
-from ledgerline.operators.spread import join_many_to_one
 from ledgerline.schemas import (
     ACTIVE_JOB, AGENT_LIMIT_S, EXECUTION_LIMIT_S, MAX_ITERATIONS, TERMINAL_RUN,
 )
@@ -24,6 +23,7 @@ NO_JOB = "No running job found"
 JOB_FAILED = "Job failed"
 EXECUTION_FAILED = "Execution failed"
 MISSING_PARAMETERS = "Missing required parameters: run_id, flow_id, and flow_name are required."
+NOT_CREATED = "job was not created"
 SOURCE_REQUIRED = "source_path is required for iteration 1 (generation)"
 LOGS_REQUIRED = "logs_path is required for iteration 2+ (error fixing)"
 
@@ -68,7 +68,7 @@ def admit(requests: DataFrame, flows: DataFrame, no_source: str = NO_SOURCE) ->
     same_flow = Window.partitionBy(F.coalesce("flow_id", "identifier"))
     judged = known.withColumn("_error", refusal).withColumn(
         "_first", F.min(F.when(F.col("_error").isNull(), F.col("_asked"))).over(same_flow))
-    placed = join_many_to_one(requests, judged, ["identifier"], "left")
+    placed = requests.join(judged, "identifier", "left")
     free = F.col("_error").isNull()
     first = F.col("pos") == F.col("_first")
     return placed.select(
@@ -112,14 +112,17 @@ def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None =
         F.when(F.col("started"), "agent_generate").otherwise("job_creation").alias("step"),
         F.when(F.col("started"), "RUNNING").otherwise("FAILED").alias("step_status"), "ts",
         F.when(F.col("started"), GENERATING).alias("summary"),
-        F.when(~F.col("started"), F.coalesce("error", F.lit("job was not created"))
+        F.when(~F.col("started"), F.coalesce("error", F.lit(NOT_CREATED))
                ).alias("error"),
         F.lit(1).cast("long").alias("event_seq"))
     return {"runs": runs, "flows": flow_updates, "events": events}
 
 
 def new_attempts(accepted: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
-    """Old-style attempts for accepted starts: number, first time and key."""
+    """Old-style attempts for accepted starts: number, first time and key.
+
+    The job is not known yet (see ``attempted_flows`` for the flow's side).
+    """
     so_far = runs.groupBy("flow_id").agg(F.count("*").alias("_n"),
                                          F.min("start_ts").alias("_first"))
     return accepted.select("flow_id", "flow_name").join(so_far, "flow_id", "left").select(
@@ -130,6 +133,24 @@ def new_attempts(accepted: DataFrame, runs: DataFrame, as_of: Column) -> DataFra
         F.coalesce("_first", as_of).alias("first_attempt_at"))
 
 
+def attempted_flows(flows: DataFrame, attempts: DataFrame, as_of: Column) -> DataFrame:
+    """Old-style flows after new attempts: pointer, counts, times and status.
+
+    ``flows``: flow_name with ``current_attempt_id``, ``total_attempts``,
+    ``first_attempt_at``, ``last_attempt_at``, ``status`` and ``last_updated``; a flow
+    keeps its first time, and flows without an attempt stay as they are.
+    """
+    new = attempts.select("flow_name", F.struct("attempt_id", "attempt_number", "started_at").alias("_new"))
+    hit = F.col("_new").isNotNull()
+    given = {
+        "current_attempt_id": F.col("_new.attempt_id"), "total_attempts": F.col("_new.attempt_number"),
+        "last_attempt_at": F.col("_new.started_at"), "status": F.lit("CONVERTING"), "last_updated": as_of,
+        "first_attempt_at": F.coalesce("first_attempt_at", "_new.started_at"),
+    }
+    columns = [F.when(hit, given[c]).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in flows.columns]
+    return flows.join(new, "flow_name", "left").select(*columns)
+
+
 def agent_call_check(calls: DataFrame) -> DataFrame:
     """The first rule an agent call breaks; NULL message when it may start."""
     missing = [present(F.col(c)).isNull() for c in ("run_id", "flow_id", "flow_name")]
@@ -164,8 +185,12 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
 
     ``action`` is the first rule that matches; ``follow_up`` refines
     EXECUTE_GENERATED and EXECUTE_FIXED: NO_ARTIFACTS, AWAIT (not executed yet),
-    FINISH, NEXT_ITERATION or HAND_OFF. A job without a state row is left alone;
-    a state row with ``poll_error`` is an ERROR.
+    FINISH, NEXT_ITERATION or HAND_OFF. CHECK_EXECUTION looks again after an
+    execution that an earlier poll left running. A job without a state row is left
+    alone; a state row with ``poll_error`` is an ERROR.
+
+    Events, artifacts and executions are reduced to open runs before anything is
+    ranked or counted: history grows, open runs do not.
     """
     if "poll_error" not in job_states.columns:
         job_states = job_states.withColumn("poll_error", F.lit(None).cast("string"))
@@ -178,7 +203,7 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
     asks = job.isNotNull() & open_run
     keyed = runs.select("run_id", "flow_id", "status", "job_run_id").withColumns({
         "_asks": asks, "_job": F.when(asks, F.col("job_run_id")).otherwise(F.col("run_id"))})
-    last = latest.select("run_id", "step", "iteration_num")
+    last = latest.select("run_id", "step", "iteration_num", "step_status")
     facts = keyed.join(polled, ["_job", "_asks"], "left").join(last, "run_id", "left")
 
     step, state, result = F.col("step"), F.col("life_cycle_state"), F.col("result_state")
@@ -192,6 +217,8 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
         .when(state.isin(ACTIVE_JOB), "NONE")
         .when(done & (result == "SUCCESS") & (step == "agent_generate"), "EXECUTE_GENERATED")
         .when(done & (result == "SUCCESS") & (step == "agent_fix_errors"), "EXECUTE_FIXED")
+        .when(done & (result == "SUCCESS") & (step == "execute_notebooks")
+              & (F.col("step_status") == "RUNNING"), "CHECK_EXECUTION")
         .when(done & (result == "SUCCESS"), "NONE")
         .when(done & (result == "FAILED"), "FAIL_NEEDS_HUMAN")
         .when(done, "CANCEL_STOP")
@@ -199,8 +226,11 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
     )
     acting = facts.withColumn("action", action).withColumn(
         "exec_iteration", F.when(F.col("action") == "EXECUTE_GENERATED", 1)
-        .when(F.col("action") == "EXECUTE_FIXED", F.col("iteration_num")).cast("int"))
+        .when(F.col("action").isin("EXECUTE_FIXED", "CHECK_EXECUTION"), F.col("iteration_num")).cast("int"))
 
+    asked = keyed.filter("_asks").select("run_id")
+    artifacts = artifacts.join(asked, "run_id", "left_semi")
+    executions = executions.join(asked, "run_id", "left_semi")
     listed = artifacts.groupBy("run_id", F.col("iteration_num").alias("exec_iteration")).agg(
         F.count("*").alias("n_artifacts"))
     results = iteration_outcomes(executions).withColumnRenamed("iteration_num", "exec_iteration")
@@ -211,7 +241,8 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
         .when(F.col("n_artifacts").isNull(), "NO_ARTIFACTS")
         .when(F.col("outcome").isNull(), "AWAIT")
         .when(F.col("outcome") == "SUCCESS", "FINISH")
-        .when((F.col("action") == "EXECUTE_FIXED")
+        .when(((F.col("action") == "EXECUTE_FIXED")
+               | (F.col("action") == "CHECK_EXECUTION") & (F.col("exec_iteration") > 1))
               & (F.col("exec_iteration") >= max_iterations), "HAND_OFF")
         .otherwise("NEXT_ITERATION")
     )
@@ -251,22 +282,52 @@ def _failure_message() -> Column:
     return F.coalesce(present(F.col("state_message")), F.lit(JOB_FAILED))
 
 
+def with_launches(decisions: DataFrame, launches: DataFrame | None = None) -> DataFrame:
+    """Decisions with the job of their next iteration, or with what kept it from starting.
+
+    ``launches`` (run_id, iteration_num, job_run_id, error) is what starting the jobs gave.
+    A next iteration without a job there, or with an error, has a ``launch_error``.
+    Without ``launches`` jobs are not known yet, and nothing has failed.
+    """
+    none = F.lit(None).cast("string")
+    if launches is None:
+        return decisions.withColumns({"next_job": none, "launch_error": none})
+    error = F.col("error") if "error" in launches.columns else none
+    given = launches.select("run_id", F.col("iteration_num").alias("_next"),
+                            present(F.col("job_run_id")).alias("_job"), present(error).alias("_error"))
+    follows = F.col("follow_up") == "NEXT_ITERATION"
+    found = decisions.withColumn("_next", F.when(follows, F.col("exec_iteration") + 1)).join(
+        given, ["run_id", "_next"], "left")
+    failed = follows & (F.col("_job").isNull() | F.col("_error").isNotNull())
+    return found.select(
+        *decisions.columns, F.when(~failed, F.col("_job")).alias("next_job"),
+        F.when(failed, F.coalesce("_error", F.lit(NOT_CREATED))).alias("launch_error"))
+
+
 def hand_offs(decisions: DataFrame, logs_base: str = "",
               max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """Runs to give to a human: reason, instructions and the iteration asked about."""
+    """Runs to give to a human: reason, instructions and the iteration asked about.
+
+    A next iteration that could not start (``launch_error``, see ``with_launches``) is
+    asked about itself.
+    """
     action, follow = F.col("action"), F.col("follow_up")
+    if "launch_error" not in decisions.columns:
+        decisions = with_launches(decisions)
+    lost = F.col("launch_error").isNotNull()
     reason = (
         F.when(action == "FAIL_NEEDS_HUMAN", REASON_JOB)
-        .when(action == "ERROR", REASON_ERROR)
+        .when((action == "ERROR") | lost, REASON_ERROR)
         .when(follow == "HAND_OFF", REASON_LIMIT))
     logs = F.coalesce(F.col("logs_ref"),
                       logs_path(logs_base, F.col("run_id"), F.col("exec_iteration")))
     instructions = (
         F.when(action == "FAIL_NEEDS_HUMAN", fill(ASK_JOB, error=_failure_message()))
-        .when(action == "ERROR", fill(ASK_ERROR, error=F.col("poll_error")))
+        .when((action == "ERROR") | lost, fill(ASK_ERROR, error=F.coalesce("poll_error", "launch_error")))
         .otherwise(fill(ASK_LIMIT, limit=F.lit(max_iterations), logs=logs)))
     return decisions.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select(
-        "run_id", "flow_id", F.coalesce("iteration_num", F.lit(1)).alias("iteration_num"),
+        "run_id", "flow_id", F.when(lost, F.col("exec_iteration") + 1).otherwise(
+            F.coalesce("iteration_num", F.lit(1))).alias("iteration_num"),
         "reason", instructions.alias("instructions"))
 
 
@@ -295,8 +356,11 @@ def step_events(decisions: DataFrame, as_of: Column) -> DataFrame:
     """Events every decision leaves behind, hand-off events not included.
 
     A finished agent step closes, its artifacts are executed, and the execution
-    result closes in turn or opens the next fixing iteration.
+    result closes in turn or opens the next fixing iteration, which fails at once if
+    its job could not start. An execution that is checked again is not begun again.
     """
+    if "launch_error" not in decisions.columns:
+        decisions = with_launches(decisions)
     n, k = F.col("iteration_num"), F.col("exec_iteration")
     action, follow = F.col("action"), F.col("follow_up")
     closing = (
@@ -306,15 +370,17 @@ def step_events(decisions: DataFrame, as_of: Column) -> DataFrame:
         .when((action == "FAIL_NEEDS_HUMAN") & n.isNotNull(),
               _event(n, F.col("step"), "FAILED", error=_failure_message()))
     )
-    running = F.when(follow.isin("AWAIT", "FINISH", "NEXT_ITERATION", "HAND_OFF"), _event(
+    begun = follow.isin("AWAIT", "FINISH", "NEXT_ITERATION", "HAND_OFF") & (action != "CHECK_EXECUTION")
+    running = F.when(begun, _event(
         k, "execute_notebooks", "RUNNING", fill(EXECUTING, count=F.col("n_artifacts"))))
     result = F.when(follow == "FINISH", _event(
         k, "execute_notebooks", "COMPLETED", EXECUTED)
     ).when(follow.isin("NEXT_ITERATION", "HAND_OFF"), _event(
         k, "execute_notebooks", "FAILED",
         error=F.coalesce(present(F.col("outcome_error")), F.lit(EXECUTION_FAILED))))
-    fixing = F.when(follow == "NEXT_ITERATION", _event(
-        k + 1, "agent_fix_errors", "RUNNING", fill(FIXING, n=k + 1)))
+    lost = F.col("launch_error")
+    fixing = F.when(lost.isNotNull(), _event(k + 1, "agent_fix_errors", "FAILED", error=lost)).when(
+        follow == "NEXT_ITERATION", _event(k + 1, "agent_fix_errors", "RUNNING", fill(FIXING, n=k + 1)))
     happened = F.filter(F.array(closing, running, result, fixing), lambda e: e.isNotNull())
     return decisions.select("run_id", F.posexplode(happened).alias("_at", "_e")).select(
         "run_id", "_e.iteration_num", "_e.step", "_e.step_status", as_of.alias("ts"),
@@ -326,31 +392,25 @@ def transition_rows(decisions: DataFrame, as_of: Column, launches: DataFrame | N
                     ) -> dict[str, DataFrame]:
     """Everything the decisions write: events, run and flow updates, requests.
 
-    ``launches`` (run_id, iteration_num, job_run_id) names the jobs started for
-    new iterations, so that the run follows its current job. Decisions should be
-    of current runs only, as flows take the status of their run.
+    ``launches`` (run_id, iteration_num, job_run_id, error) is what starting the jobs
+    of new iterations gave: the run follows its new job, or fails and asks a human
+    if there is none. Decisions should be of current runs only, as flows take the
+    status of their run.
     """
+    decisions = with_launches(decisions, launches)
     human = human_rows(hand_offs(decisions, logs_base, max_iterations), as_of)
     action, follow = F.col("action"), F.col("follow_up")
     status = (F.when(action == "MARK_RUNNING", "RUNNING")
               .when(action == "CANCEL_STOP", "CANCELLED")
               .when(follow == "FINISH", "SUCCESS")
-              .when(follow == "NEXT_ITERATION", F.col("status")))
+              .when((follow == "NEXT_ITERATION") & F.col("launch_error").isNull(), F.col("status")))
     flow_status = (F.when(action == "MARK_RUNNING", "RUNNING")
                    .when(action == "CANCEL_STOP", "STOPPED").when(follow == "FINISH", "DONE"))
     ended = status.isin("SUCCESS", "CANCELLED")
     moved = decisions.withColumns({"_status": status, "_flow": flow_status, "_ended": ended})
-    if launches is None:
-        moved = moved.withColumn("_job", F.lit(None).cast("string"))
-    else:
-        jobs = launches.select("run_id", F.col("iteration_num").alias("_next"),
-                               F.col("job_run_id").alias("_job"))
-        moved = moved.withColumn("_next", F.when(
-            F.col("follow_up") == "NEXT_ITERATION", F.col("exec_iteration") + 1)
-        ).join(jobs, ["run_id", "_next"], "left")
     runs = moved.filter(F.col("_status").isNotNull()).select(
         "run_id", F.col("_status").alias("status"),
-        F.when(F.col("_ended"), as_of).alias("end_ts"), F.col("_job").alias("job_run_id"))
+        F.when(F.col("_ended"), as_of).alias("end_ts"), F.col("next_job").alias("job_run_id"))
     flows = moved.filter(F.col("_flow").isNotNull()).select(
         "flow_id", F.col("_flow").alias("status"))
     return {
@@ -428,9 +488,18 @@ def scan_gate(scans: DataFrame) -> DataFrame:
     )
 
 
-def scan_hand_offs(scans: DataFrame, runs: DataFrame) -> DataFrame:
-    """Hand-offs for runs whose scans are blocked, at their last blocked iteration."""
+def scan_hand_offs(scans: DataFrame, runs: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """Hand-offs for runs whose scans are blocked, at their last blocked iteration.
+
+    With ``requests``: for open runs only, and not where that iteration was asked about.
+    """
+    if requests is not None:
+        runs = runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False)))
+        scans = scans.join(runs.select("run_id"), "run_id", "left_semi")
     last = scan_gate(scans).groupBy("run_id").agg(F.max("iteration_num").alias("iteration_num"))
+    if requests is not None:
+        asked = requests.filter(F.col("reason") == REASON_SCAN).select("run_id", "iteration_num")
+        last = last.join(asked, ["run_id", "iteration_num"], "left_anti")
     return runs.select("run_id", "flow_id").join(last, "run_id").select(
         "run_id", "flow_id", "iteration_num", F.lit(REASON_SCAN).alias("reason"),
         F.lit(None).cast("string").alias("instructions"))
@@ -465,20 +534,24 @@ def execution_events(jobs: DataFrame, as_of: Column) -> DataFrame:
 
 # ------------------------------------------------------------------ hand-offs
 def open_requests(requests: DataFrame, runs: DataFrame, flows: DataFrame) -> DataFrame:
-    """Pending hand-offs with run and flow, oldest first."""
+    """Pending hand-offs with run and flow, oldest first.
+
+    Only runs that are waited for are joined to their flows.
+    """
     pending = requests.filter(F.col("status") == "PENDING").select(
         "run_id", "iteration_num", "reason", "instructions", "ts")
-    named = join_many_to_one(runs.select("run_id", "flow_id"),
-                             flows.select("flow_id", "flow_name"), ["flow_id"])
-    return join_many_to_one(pending, named, ["run_id"]).orderBy("ts", "run_id", "iteration_num")
+    placed = pending.join(runs.select("run_id", "flow_id"), "run_id")
+    return placed.join(flows.select("flow_id", "flow_name"), "flow_id").select(
+        "run_id", "iteration_num", "reason", "instructions", "ts", "flow_id", "flow_name",
+    ).orderBy("ts", "run_id", "iteration_num")
 
 
 def resolve_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """Requests with the status given for their (run_id, iteration_num)."""
     given = answers.select("run_id", "iteration_num", F.col("status").alias("_new"))
-    return join_many_to_one(requests, given, ["run_id", "iteration_num"], "left").withColumn(
+    return requests.join(given, ["run_id", "iteration_num"], "left").withColumn(
         "status", F.coalesce("_new", "status")).select(*requests.columns)
 
 
 def latest_of(events: DataFrame) -> DataFrame:
-    return latest_events(events.select("run_id", "iteration_num", "ts", "event_seq", "step"))
+    return latest_events(events.select("run_id", "iteration_num", "ts", "event_seq", "step", "step_status"))

@@ -1,109 +1,51 @@
-"""Joins and numbering that stay even when one key, or one row, fills much of the data."""
+"""Numbering that stays even when one key, or one row, fills much of the data."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.session import ensure_checkpoint_dir
-
-HOT_ROWS = 1_000_000     # a key with more rows than one task should hold is hot
-MAX_HOT_KEYS = 10_000    # bound on the broadcast list of hot keys
-CHUNK = 100_000          # copies of one row that are written out together
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, counted with map-side combining.
-
-    At most MAX_HOT_KEYS rows, the largest first with the key as tie-break, so
-    every evaluation gives the same list and it may be broadcast whatever the
-    size of ``df``.
-    """
-    return (
-        df.filter(_all(F.col(k).isNotNull() for k in keys))
-        .groupBy(*keys).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys)
-    )
-
-
-def join_many_to_one(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Equi join with a ``right`` that has one row per key and a ``left`` that may be skewed.
-
-    Rows of hot keys are not shuffled at all: the right rows of those keys, at
-    most MAX_HOT_KEYS, are broadcast to them. All other rows take the ordinary
-    join. NULL keys match nothing and stay where they are too.
-    """
-    keys = list(keys)
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
-    known = _all(F.col(k).isNotNull() for k in keys)
-    few = F.broadcast(right.join(hot, keys, "left_semi"))
-    staying = left.join(hot, keys, "left_semi")
-    if how in ("left", "left_anti"):
-        staying = staying.unionByName(left.filter(~known))
-    moving = left.filter(known).join(hot, keys, "left_anti")
-    return moving.join(right, keys, how).unionByName(staying.join(few, keys, how))
+WRITTEN_TOGETHER = 100_000   # numbers that one row holds while copies are written out
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str,
-    start: int = 1, hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, start: int = 1,
 ) -> DataFrame:
     """Consecutive numbers per key in ``order`` (total but for equal rows).
 
-    A plain window while every key fits one task. Hot keys are first reduced to
-    their distinct rows, sorted over many tasks by range, and numbered by the
-    rows before them in the range and in earlier ranges; copies are written out
-    at the end, in chunks.
+    Equal rows are counted, the distinct ones are sorted by key and order over a
+    fixed number of ranges, summed up within a range and shifted by the rows of their
+    key in earlier ranges. So a key, whatever its share, is numbered by many tasks, and
+    copies are written out in parts. NULL keys are keys like any other.
+
+    Both uses of the ranges read one shuffle (Spark reuses the exchange; its number
+    of partitions is given, so they are not merged differently).
     """
     keys, order = list(keys), list(order)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    plain = (F.row_number().over(window) + F.lit(start - 1)).cast("long")
-    hot = hot_keys(df, keys, hot_rows)
-    if hot.isEmpty():
-        return df.withColumn(name, plain)
-
-    rest = df.join(F.broadcast(hot), keys, "left_anti").withColumn(name, plain)
-    ensure_checkpoint_dir(df.sparkSession)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*keys)
     ranges = (
-        df.join(F.broadcast(hot), keys, "left_semi")
-        .groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-        .repartitionByRange(*keys, *order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()   # rows must not change range when a lost one is computed again
+        df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+        .repartitionByRange(partitions, *keys, *order)
+        .withColumns({"_range": F.spark_partition_id(), "_key": key})
     )
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(
+    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_range").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    # one row per hot key and range it reaches; a range continues at most one key
+    # a row per key and range: one, but for keys that reach over several ranges
     shifts = (
-        ranges.groupBy(*keys, "_range").agg(F.sum("_copies").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+        ranges.groupBy("_key", "_range").agg(F.sum("_copies").alias("_rows"))
+        .select("_key", "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     )
-    last_chunk = F.floor((F.col("_copies") - 1) / CHUNK)
-    chunks = (
+    last_part = F.floor((F.col("_copies") - 1) / WRITTEN_TOGETHER)
+    parts = (
         ranges.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
-        .join(F.broadcast(shifts), [*keys, "_range"])
+        .join(shifts, ["_key", "_range"])
         .withColumn("_first", F.col("_before") + F.col("_inside") + F.lit(start))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
-        .repartition(*keys, "_first", "_chunk")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last_part)))
     )
-    begin = F.col("_first") + F.col("_chunk") * CHUNK
-    end = F.least(begin + CHUNK, F.col("_first") + F.col("_copies")) - 1
-    numbered = chunks.select(*df.columns, F.explode(F.sequence(begin, end)).alias(name))
-    return rest.select(*df.columns, name).unionByName(numbered)
-
-
-def _all(conditions) -> Column:
-    return reduce(and_, conditions)
+    begin = F.col("_first") + F.col("_part") * WRITTEN_TOGETHER
+    end = F.least(begin + WRITTEN_TOGETHER, F.col("_first") + F.col("_copies")) - 1
+    return parts.select(*df.columns, F.explode(F.sequence(begin, end)).alias(name))

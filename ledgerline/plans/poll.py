@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerline.functions.status import present
 from ledgerline.operators.changes import keyed_update
 from ledgerline.operators.joins import status_snapshot
-from ledgerline.operators.rules import latest_of, next_actions, start_rows, transition_rows
+from ledgerline.operators.rules import (
+    execution_rows, human_rows, latest_of, next_actions, scan_hand_offs, start_rows, transition_rows)
+from ledgerline.schemas import TERMINAL_RUN
 
 
 def current_runs(flows: DataFrame, runs: DataFrame) -> DataFrame:
@@ -23,12 +25,37 @@ def decide(tables: dict[str, DataFrame], job_states: DataFrame,
     """The next action of every current run.
 
     ``latest`` is the last event per run where a stream keeps it; without it the
-    events are read.
+    events of open current runs are read and ranked. Finished runs need no last event:
+    their action does not depend on it, and they show none.
     """
-    return next_actions(
-        current_runs(tables["flows"], tables["runs"]), job_states,
-        latest_of(tables["events"]) if latest is None else latest,
-        tables["artifacts"], tables["executions"])
+    runs = current_runs(tables["flows"], tables["runs"])
+    if latest is None:
+        open_runs = runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))).select("run_id")
+        latest = latest_of(tables["events"].join(open_runs, "run_id", "left_semi"))
+    return next_actions(runs, job_states, latest, tables["artifacts"], tables["executions"])
+
+
+def record(jobs: DataFrame, as_of: Column, logs_base: str = "") -> dict[str, DataFrame]:
+    """Rows to add for execution jobs (see ``rules.execution_rows``).
+
+    Finished jobs give their result; the next poll finds it, closes the step and goes on.
+    """
+    return {"executions": execution_rows(jobs, as_of, logs_base)}
+
+
+def security_gate(tables: dict[str, DataFrame], as_of: Column) -> dict[str, DataFrame]:
+    """Stop open current runs whose scans are blocked, before they are decided on.
+
+    The same four results as ``apply``; an iteration is asked about once.
+    """
+    asked = scan_hand_offs(tables["scans"], current_runs(tables["flows"], tables["runs"]), tables["requests"])
+    rows = human_rows(asked, as_of)
+    return {
+        "flows": update_flows(tables["flows"], rows["flows"], as_of),
+        "runs": update_runs(tables["runs"], rows["runs"]),
+        "events": rows["events"],
+        "requests": rows["requests"],
+    }
 
 
 def apply(tables: dict[str, DataFrame], decisions: DataFrame, as_of: Column,

@@ -19,6 +19,8 @@ def build_session(app: str = "ledgerline", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a skewed join even where a later step must then shuffle once more
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # definition files can be large; keep Arrow batches of them small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",

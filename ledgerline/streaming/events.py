@@ -18,7 +18,6 @@ from pyspark.sql.utils import AnalysisException
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import upsert
 from ledgerline.operators.latest import latest_events
-from ledgerline.operators.spread import join_many_to_one
 from ledgerline.operators.totals import status_distribution
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
@@ -180,7 +179,7 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
         ids = runs.select("run_id")
 
         def of_touched(df: DataFrame) -> DataFrame:
-            return join_many_to_one(df, ids, ["run_id"], "left_semi")
+            return df.join(ids, "run_id", "left_semi")
 
         touched = {**tables, "runs": runs, "events": of_touched(tables["events"]),
                    "artifacts": of_touched(tables["artifacts"]),

@@ -1,4 +1,4 @@
-"""Hot keys: the spread forms give the same rows as the plain ones."""
+"""Numbering by ranges gives what a window gives, whatever share a key has."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import spread
-from ledgerline.operators.spread import hot_keys, join_many_to_one, number_rows
+from ledgerline.operators.spread import number_rows
 from tests.conftest import rows
 
 
@@ -20,63 +20,21 @@ def skewed(spark):
     return spark.createDataFrame(data, "k string, v int, n int").repartition(5)
 
 
-@pytest.fixture(scope="module")
-def lookup(spark):
-    return spark.createDataFrame(
-        [("hot", "h1")] + [(f"k{n}", f"x{n}") for n in range(0, 200, 2)],
-        "k string, label string")
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(skewed, lookup, how):
-    plain = skewed.join(lookup, "k", how)
-    assert rows(join_many_to_one(skewed, lookup, ["k"], how, hot_rows=100)) == rows(plain)
-
-
-def test_hot_keys(skewed):
-    assert [r["k"] for r in hot_keys(skewed, ["k"], 100).collect()] == ["hot"]
-    assert hot_keys(skewed, ["k"]).isEmpty()
-
-
-def test_hot_rows_stay_where_they_are(skewed, lookup, spark):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = join_many_to_one(skewed, lookup, ["k"], hot_rows=100)
-        per_part = (joined.filter("k = 'hot'").groupBy(F.spark_partition_id().alias("p"))
-                    .count().collect())
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(per_part) == 5       # the five partitions of the table
-
-
-def test_keys_of_two_columns_with_nulls(spark):
-    left = spark.createDataFrame(
-        [("a", 1), ("a", 1), ("a", None), (None, 1), (None, None), ("b", 2)] * 30, "k string, n int")
-    right = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 1, "no")],
-                                  "k string, n int, v string")
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        got = join_many_to_one(left, right, ["k", "n"], how, hot_rows=40)
-        assert rows(got) == rows(left.join(right, ["k", "n"], how))
-
-
 def test_copies_of_one_row_are_numbered(spark):
     data = spark.range(3000).select(
         F.lit("k").alias("k"), F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("v"))
-    spread.CHUNK, kept = 100, spread.CHUNK
+    spread.WRITTEN_TOGETHER, kept = 100, spread.WRITTEN_TOGETHER
     try:
-        got = number_rows(data, ["k"], [F.asc("v")], "place", 1, 50).collect()
+        got = number_rows(data, ["k"], [F.asc("v")], "place").collect()
     finally:
-        spread.CHUNK = kept
+        spread.WRITTEN_TOGETHER = kept
     assert sorted(r["place"] for r in got) == list(range(1, 3001))
     assert {r["place"] for r in got if r["v"] == 7} == set(range(1, 2501))
 
 
-@pytest.mark.parametrize("hot_rows", [100, 10**6])
-def test_numbers_follow_the_order(skewed, hot_rows):
+def test_numbers_follow_the_order(skewed):
     kept = skewed.filter("k IS NOT NULL")
-    got = number_rows(kept, ["k"], [F.asc("v"), F.asc("n")], "place", 0, hot_rows).collect()
+    got = number_rows(kept, ["k"], [F.asc("v"), F.asc("n")], "place", 0).collect()
     by_key = {}
     for r in got:
         by_key.setdefault(r["k"], []).append((r["place"], r["v"], r["n"]))
@@ -89,6 +47,35 @@ def test_numbers_follow_the_order(skewed, hot_rows):
 
 def test_descending_numbers_over_ranges(skewed):
     kept = skewed.filter("k = 'hot'")
-    got = number_rows(kept, ["k"], [F.desc("v"), F.desc("n")], "place", 1, 100).collect()
+    got = number_rows(kept, ["k"], [F.desc("v"), F.desc("n")], "place").collect()
     ordered = sorted(((r["v"], r["n"]) for r in got), reverse=True)
     assert [(r["v"], r["n"]) for r in sorted(got, key=lambda r: r["place"])] == ordered
+
+
+def test_null_keys_are_numbered(spark):
+    data = spark.createDataFrame([(None, None, 3), (None, None, 1), ("a", None, 2), ("a", 1, 9)], "k string, m int, v int")
+    got = number_rows(data, ["k", "m"], [F.asc("v")], "place")
+    assert rows(got) == rows(spark.createDataFrame(
+        [(None, None, 1, 1), (None, None, 3, 2), ("a", None, 2, 1), ("a", 1, 9, 1)], "k string, m int, v int, place long"))
+
+
+def test_no_job_runs_while_the_plan_is_built(skewed, spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("numbering", "")
+    try:
+        number_rows(skewed, ["k"], [F.asc("v"), F.asc("n")], "place")
+        assert not tracker.getJobIdsForGroup("numbering")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_hot_key_is_split_and_the_ranges_are_made_once(skewed, spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = number_rows(skewed, ["k"], [F.asc("v"), F.asc("n")], "place")
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert plan.count("Exchange rangepartitioning") == 1 + plan.count("ReusedExchange")
+    assert "ReusedExchange" in plan
