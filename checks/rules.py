@@ -483,14 +483,14 @@ def transition_runs(i):
 
 def jobs_lost(i):
     """Jobs of new iterations of which a third failed to start and a third never came."""
-    number = F.col("run_id").cast("long") % 3
+    number = F.floor(F.col("run_id").cast("long") / 6) % 3
     return jobs_started(i).filter(number < 2).withColumns({
         "job_run_id": F.when(number == 0, F.col("job_run_id")), "error": F.when(number == 1, "no cluster")})
 
 
 LOST = f"""{DECIDED},
-lost AS (SELECT *, CASE WHEN CAST(run_id AS BIGINT) % 3 = 1 THEN 'no cluster' ELSE 'job was not created' END AS why
-  FROM decided WHERE follow_up = 'NEXT_ITERATION' AND CAST(run_id AS BIGINT) % 3 > 0)"""
+lost AS (SELECT *, CASE WHEN CAST(run_id AS BIGINT) // 6 % 3 = 1 THEN 'no cluster' ELSE 'job was not created' END AS why
+  FROM decided WHERE follow_up = 'NEXT_ITERATION' AND CAST(run_id AS BIGINT) // 6 % 3 > 0)"""
 
 
 @check("d4_lost_launches", f"""WITH {LOST}
@@ -498,7 +498,7 @@ SELECT run_id, exec_iteration + 1 AS iteration_num, 'agent_fix_errors' AS step,
 UNION ALL SELECT run_id, exec_iteration + 2, 'needs_human', 'COMPLETED', 'Marked as NEEDS_HUMAN: orchestration_error', NULL FROM lost
 UNION ALL SELECT run_id, exec_iteration + 1, 'agent_fix_errors', 'RUNNING',
   'Agent analyzing logs and fixing errors (iteration ' || CAST(exec_iteration + 1 AS VARCHAR) || ')...', NULL
-FROM decided WHERE follow_up = 'NEXT_ITERATION' AND CAST(run_id AS BIGINT) % 3 = 0""")
+FROM decided WHERE follow_up = 'NEXT_ITERATION' AND CAST(run_id AS BIGINT) // 6 % 3 = 0""")
 def lost_launch_events(i):
     decisions = decided(i)
     rows = rules.transition_rows(decisions, as_of(), jobs_lost(i))["events"]
