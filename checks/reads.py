@@ -11,7 +11,7 @@ from ledgerline.functions.text import record_json
 from ledgerline.operators import joins, latest, lookup, totals
 from ledgerline.operators.rules import admit
 from ledgerline.schemas import FLOWS, LEGACY_FLOWS
-from ledgerline.sources.tables import LEGACY_DEFAULTS, conform
+from ledgerline.sources.tables import LEGACY_DEFAULTS, conform, read_table
 
 LAST = """
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id
@@ -44,6 +44,16 @@ def full_scan(i):
     return i("b_flows")
 
 
+@check("s3_read_table", "SELECT * FROM customer")
+def whole_table(i):
+    return read_table(i.spark, f"{i.folder}/customer.parquet")
+
+
+@check("s3_read_limited", "SELECT least(7, count(*)) AS rows FROM customer")
+def limited_table(i):
+    return read_table(i.spark, f"{i.folder}/customer.parquet", 7).agg(F.count("*").alias("rows"))
+
+
 # ----------------------------------------------------------------- lookups
 @check("f1_flow_of_each_run", """
 SELECT r.run_id, r.flow_id, f.flow_name, f.status AS flow_status
@@ -54,6 +64,18 @@ def flow_of_each_run(i):
         "run_id", "flow_id", "flow_name", "flow_status")
 
 
+@check("f1_by_id", "SELECT * FROM b_flows WHERE flow_id = '7'")
+def by_id(i):
+    return lookup.by_id(i("b_flows"), "flow_id", "7")
+
+
+@check("f2_by_name", """
+SELECT name AS flow_name, min(id) AS flow_id FROM b_processors WHERE name = (SELECT min(name) FROM b_processors) GROUP BY name""")
+def by_name(i):
+    named = i("b_processors").select(F.col("name").alias("flow_name"), F.col("id").alias("flow_id"))
+    return lookup.by_name(named, named.agg(F.min("flow_name")).first()[0])
+
+
 @check("f2_first_per_name", """
 SELECT name AS flow_name, min(id) AS flow_id FROM b_processors GROUP BY name""")
 def first_per_name(i):

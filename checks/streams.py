@@ -72,25 +72,53 @@ def redelivered(i):
 
 @check("st2_repeats_dropped", "SELECT event_id, user_id, event_type FROM events")
 def repeats_dropped(i):
-    """The watermark form, with a delay longer than the time the events span."""
+    """The stateful form: every id once, whatever time a repeat has."""
     base = new_dir(i.spark, "repeats")
-    twice = raw_events(i).unionByName(raw_events(i))
-    stream = streams.drop_repeats(twice, delay="400 days")
+    stream = streams.drop_repeats(raw_events(i).unionByName(raw_events(i)))
     streams.run_available(stream, streams.append_batches(f"{base}/events"), f"{base}/checkpoint")
     return i.spark.read.parquet(f"{base}/events").select("event_id", "user_id", "event_type")
 
 
+@check("st2_repeats_with_other_times", "SELECT event_id, user_id, event_type, ts FROM events")
+def repeats_with_other_times(i):
+    """Redelivered with a date of their own, or with none."""
+    base = new_dir(i.spark, "other-times")
+    keep = streams.ingest_once(f"{base}/events")
+    streams.run_available(raw_events(i), keep, f"{base}/first")
+    moved = F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("INTERVAL 3 DAYS"))
+    again = streams.ingest_once(f"{base}/events", first_batch=1)
+    streams.run_available(raw_events(i).withColumn("ts", moved), again, f"{base}/second")
+    return i.spark.read.parquet(f"{base}/events").select("event_id", "user_id", "event_type", "ts")
+
+
 @check("st3_streamed_transitions", f"""WITH {CURRENT},
 upd AS (SELECT flow_id, {FLOW_STATUS} AS new_status FROM cur)
 SELECT f.flow_id, coalesce(u.new_status, f.status) AS status, f.current_run_id
 FROM b_flows f LEFT JOIN upd u ON u.flow_id = f.flow_id""")
 def streamed_transitions(i):
     """Job states arrive as files of a stream; each batch decides and writes."""
+    return transitions(i, keeps_latest=False)
+
+
+@check("st3_two_streams", f"""WITH {CURRENT},
+upd AS (SELECT flow_id, {FLOW_STATUS} AS new_status FROM cur)
+SELECT f.flow_id, coalesce(u.new_status, f.status) AS status, f.current_run_id
+FROM b_flows f LEFT JOIN upd u ON u.flow_id = f.flow_id""")
+def two_streams(i):
+    """The same beside a stream that keeps the last events, whose batches have the same numbers."""
+    return transitions(i, keeps_latest=True)
+
+
+def transitions(i, keeps_latest):
     base = new_dir(i.spark, "transitions")
     store = Store(i.spark, f"{base}/ledger")
     tables = i.ledger()
     store.commit(replace={name: tables[name] for name in (
         "flows", "runs", "events", "artifacts", "executions")})
+    if keeps_latest:
+        tables["events"].write.parquet(f"{base}/told")
+        events = streams.event_stream(i.spark, f"{base}/told", tables["events"].schema)
+        streams.run_available(streams.latest_stream(events), streams.keep_latest(store), f"{base}/latest", "update")
     told = i("b_job_state").select(
         "job_run_id", "life_cycle_state", "result_state", "state_message", "poll_error",
         F.lit(1).alias("ts"))

@@ -64,6 +64,24 @@ def read_definitions(i):
                         F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
+@check("s1_scan_report", f"""WITH {DOCUMENTS},
+bad AS (SELECT count(*) AS n FROM docs WHERE form = 'broken')
+SELECT 'text' AS state, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM docs
+UNION ALL SELECT 'not text', n, 3 * n FROM bad UNION ALL SELECT 'empty', n, 0 FROM bad UNION ALL SELECT 'hidden', n, 2 * n FROM bad""")
+def scan_report(i):
+    """For each broken document also a file of bytes, an empty one and a hidden one."""
+    base = written_definitions(i, "reported")
+    broken = i.definitions().filter("form = 'broken'").select(F.substring("path", 2, 1 << 20).alias("name"))
+    more = F.array(
+        F.struct(F.lit(".bytes.xml").alias("ending"), F.lit(bytes([255, 254, 0])).alias("content")),
+        F.struct(F.lit(".empty.xml").alias("ending"), F.lit(b"").alias("content")),
+        F.struct(F.lit("/_hidden.xml").alias("ending"), F.lit(b"ok").alias("content")))
+    each = broken.select("name", F.inline(more))
+    files.write_files(each.select(F.concat(F.regexp_replace("name", "[.]xml$", ""), "ending").alias("name"), "content"), base)
+    return files.scan_report(i.spark, base).groupBy("state").agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
 @check("s4_log_counts", """
 SELECT '/logs/run-' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS VARCHAR) AS folder, count(*) AS log_files
 FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL""")
@@ -264,14 +282,18 @@ def report(i):
     return ingest_report(ingest.catalogue(i.definitions(), "defs"))
 
 
-@check("c16_generated_artifacts", f"""WITH {GOOD}
-SELECT flow_id, id, '/vol/out/' || flow_id || '/' || intent || '/' || replace(replace(name, ' ', '_'), '/', '_') || '.py' AS artifact_ref,
+ARTIFACTS = r"""
+SELECT flow_id, id, intent, '/vol/out/' || flow_id || '/' || intent || '/' || replace(replace(name, ' ', '_'), '/', '_') || '.py' AS artifact_ref,
   'Generated test notebook for ' || name || ' (' || intent || ')' AS patch_summary,
-  md5('\"\"\"' || chr(10) || 'Flow: ' || flow_id || chr(10) || 'Processor: ' || name || chr(10) || 'Type: ' || type
-   || chr(10) || 'Intent: ' || intent || chr(10) || '\"\"\"' || chr(10) || chr(10) || chr(10)
+  md5(repeat('"', 3) || chr(10) || 'Flow: ' || flow_id || chr(10) || 'Processor: ' || name || chr(10) || 'Type: ' || type
+   || chr(10) || 'Intent: ' || intent || chr(10) || repeat('"', 3) || chr(10) || chr(10) || chr(10)
    || 'def process_' || fn || '():' || chr(10) || '    print("' || flow_id || ': ' || name || '")' || chr(10)
    || '    return True' || chr(10) || chr(10) || chr(10) || 'result = process_' || fn || '()' || chr(10)) AS digest
-FROM (SELECT *, replace(replace(name, ' ', '_'), '-', '_') AS fn FROM good) g""")
+FROM (SELECT *, replace(replace(name, ' ', '_'), '-', '_') AS fn FROM good) g"""
+
+
+@check("c16_generated_artifacts", f"""WITH {GOOD}
+SELECT flow_id, id, artifact_ref, patch_summary, digest FROM ({ARTIFACTS}) q""")
 def generated(i):
     made = ingest.generated_artifacts(ingest.processors(i.definitions()), "/vol/out")
     return made.select("flow_id", "id", "artifact_ref", "patch_summary",
@@ -291,6 +313,17 @@ def written_artifacts(i):
         F.count("*").alias("artifacts"))
 
 
+@check("u6_artifact_contents", f"""WITH {GOOD}
+SELECT flow_id AS flow, intent, artifact_ref AS name, digest FROM ({ARTIFACTS}) q""")
+def artifact_contents(i):
+    base = new_dir(i.spark, "artifacts")
+    made = ingest.generated_artifacts(ingest.processors(i.definitions()), "/vol/out")
+    files.write_artifacts(made.select(
+        F.col("flow_id").alias("flow"), "intent", F.col("artifact_ref").alias("name"), "content"), base)
+    return i.spark.read.parquet(base).select(
+        "flow", "intent", "name", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
 # ------------------------------------------------------------------ legacy
 @check("c9_legacy_flow_status", """
 SELECT flow_name, CASE status WHEN 'CONVERTING' THEN 'RUNNING' WHEN 'NEEDS_ATTENTION' THEN 'NEEDS_HUMAN'

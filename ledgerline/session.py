@@ -57,13 +57,20 @@ def new_dir(spark: SparkSession, label: str) -> str:
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with its file system, as Spark resolves it."""
-    if "://" in folder:
-        return folder
-    probe = f"{folder}/file-system-probe"
-    spark.range(1).coalesce(1).write.mode("overwrite").parquet(probe)
-    found = spark.read.parquet(probe).select("_metadata.file_path").first()[0]
-    return found.split("/file-system-probe")[0]
+    """The folder with its file system, as Spark's own configuration resolves it."""
+    system, path = _file_system(spark, folder)
+    return system.makeQualified(path).toString()
+
+
+def remove_dir(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of our own in the shared file system, if it is there."""
+    system, path = _file_system(spark, folder)
+    system.delete(path, True)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -17,16 +17,14 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.xml", recursi
                ) -> DataFrame:
     """Files below a folder whose name matches (path, content as bytes, size).
 
-    Files that vanish or cannot be read are skipped, as Spark's file source does
-    with these two options. Names that begin with ``_`` or ``.`` and files without
-    content are hidden from Spark and so are not found.
+    A file that cannot be read ends the job with its name. Names that begin with ``_``
+    or ``.`` and files without content are hidden from Spark's file source;
+    ``scan_report`` tells of them.
     """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("ignoreMissingFiles", "true")
-        .option("ignoreCorruptFiles", "true")
         .load(folder)
         .select("path", "content", "length")
     )
@@ -43,6 +41,28 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*.xml",
     return files.select("path", as_text(F.col("content")).alias("content"))
 
 
+def listed_files(spark: SparkSession, folder: str, ending: str = ".xml") -> DataFrame:
+    """Path and size of every file below a folder whose name ends so, hidden ones too.
+
+    Names and sizes only, listed on the driver as Spark's file sources do.
+    """
+    system, root = pafs.FileSystem.from_uri(qualified(spark, folder).replace("s3a://", "s3://"))
+    found = system.get_file_info(pafs.FileSelector(root, recursive=True))
+    rows = [(f.path, f.size) for f in found if f.is_file and f.path.endswith(ending)]
+    return spark.createDataFrame(rows, "path string, length bigint")
+
+
+def scan_report(spark: SparkSession, folder: str, ending: str = ".xml") -> DataFrame:
+    """Every file and what a scan makes of it: ``text``, ``not text``, ``empty`` or ``hidden``."""
+    read = read_texts(spark, folder, f"*{ending}").select(
+        F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("path"), F.col("content").isNotNull().alias("is_text"))
+    listed = listed_files(spark, folder, ending).withColumn("path", F.regexp_replace("path", "^/*", "/"))
+    state = (
+        F.when(F.col("is_text"), "text").when(~F.col("is_text"), "not text")
+        .when(F.col("length") == 0, "empty").otherwise("hidden"))
+    return listed.join(read, "path", "left").select("path", "length", state.alias("state"))
+
+
 def log_counts(spark: SparkSession, run_folders: str) -> DataFrame:
     """Log files directly in each run folder (a folder or a glob of folders)."""
     files = scan_files(spark, run_folders, "*.log", recursive=False)
@@ -56,6 +76,8 @@ _WRITTEN = pa.schema([("files", pa.int64())])
 def write_files(files: DataFrame, base: str) -> int:
     """Write one file per row of (name, content) below ``base``; how many were written.
 
+    ``content`` is text, written as UTF-8, or bytes.
+
     Each task writes its own rows. A file appears under its name only when it is
     complete, so a repeated task overwrites with the same bytes.
     """
@@ -70,7 +92,8 @@ def write_files(files: DataFrame, base: str) -> int:
                 target.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 part = f"{path}.{uuid.uuid4().hex}.part"
                 with target.open_output_stream(part) as out:
-                    out.write((content.as_py() or "").encode("utf-8"))
+                    body = content.as_py() or ""
+                    out.write(body.encode("utf-8") if isinstance(body, str) else body)
                 target.move(part, path)
                 written += 1
         yield pa.RecordBatch.from_pydict({"files": [written]}, schema=_WRITTEN)

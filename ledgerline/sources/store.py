@@ -16,8 +16,9 @@ from pyspark.sql.utils import AnalysisException
 
 from ledgerline.operators.quality import duplicate_keys
 from ledgerline.schemas import KEYS, LAYOUT, TABLES
+from ledgerline.session import remove_dir
 
-_ENTRY = "version bigint, table string, paths array<string>, batch bigint"
+_ENTRY = "version bigint, table string, paths array<string>, batch bigint, stream string"
 
 
 class Store:
@@ -29,8 +30,10 @@ class Store:
     def _entries(self) -> DataFrame:
         try:
             return self.spark.read.schema(_ENTRY).json(f"{self.base}/versions")
-        except AnalysisException:   # nothing committed yet
-            return self.spark.createDataFrame([], _ENTRY)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _ENTRY)   # nothing committed yet
 
     def _current(self) -> dict[str, tuple[int, list[str]]]:
         newest = self._entries().groupBy("table").agg(
@@ -40,9 +43,10 @@ class Store:
     def version(self) -> int:
         return self._entries().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def last_batch(self) -> int:
-        """Highest micro-batch number committed, -1 when none."""
-        return self._entries().agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
+    def last_batch(self, stream: str) -> int:
+        """Highest micro-batch number that the stream has committed, -1 when none."""
+        own = self._entries().filter(F.col("stream") == stream)
+        return own.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0]
 
     def exists(self, table: str) -> bool:
         return table in self._current()
@@ -59,8 +63,11 @@ class Store:
 
     def commit(self, replace: Mapping[str, DataFrame] | None = None,
                append: Mapping[str, DataFrame] | None = None,
-               batch: int | None = None, check_keys: bool = False) -> int:
-        """Write new states and added rows, then switch to all of them at once."""
+               batch: int | None = None, check_keys: bool = False, stream: str | None = None) -> int:
+        """Write new states and added rows, then switch to all of them at once.
+
+        A stream numbers its batches for itself: several may write to one store.
+        """
         current, entries = self._current(), []
         version = 1 + max((entry[0] for entry in current.values()), default=0)
         for mode, tables in (("replace", replace or {}), ("append", append or {})):
@@ -70,7 +77,7 @@ class Store:
                 if check_keys and mode == "replace" and name in KEYS:
                     self._refuse_broken(name, path)
                 before = current.get(name, (0, []))[1] if mode == "append" else []
-                entries.append((version, name, before + [path], batch))
+                entries.append((version, name, before + [path], batch, stream))
         if entries:
             self.spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("append").json(
                 f"{self.base}/versions")
@@ -88,6 +95,10 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def drop_scratch(self) -> None:
+        """Remove what ``materialize`` wrote; its frames cannot be read any more."""
+        remove_dir(self.spark, f"{self.base}/scratch")
+
     def _refuse_broken(self, name: str, path: str) -> None:
         written = self.spark.read.parquet(path)
         required = [f.name for f in TABLES[name].fields if not f.nullable]

@@ -8,32 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Endings of the column names other ledgers use for ours. Vendor
-# prefixes vary, so the ending decides.
-OLD_ENDINGS = {
-    "migration_status": "status",
-    "last_update_ts": "updated_ts",
-    "xml_path": "source_path",
-    "generated_notebooks": "generated_artifacts",
-    "notebook_path": "artifact_path",
-}
-LEGACY_ENDINGS = {**OLD_ENDINGS, "_job_id": "job_id", "_run_id": "job_run_id"}
-
-
 def read_table(spark: SparkSession, source: str, limit: int | None = None) -> DataFrame:
     """A whole table by catalog name or Parquet path; 0 or None means no limit."""
     df = spark.read.parquet(source) if "/" in source else spark.table(source)
     return df.limit(limit) if limit else df
 
 
-def with_own_names(df: DataFrame, legacy: bool = False) -> DataFrame:
-    """Rename the columns of a ledger written elsewhere to the names used here."""
-    renames = {}
-    for column in df.columns:
-        for ending, own in (LEGACY_ENDINGS if legacy else OLD_ENDINGS).items():
-            if column.endswith(ending) and own not in df.columns:
-                renames[column] = own
-    return df.withColumnsRenamed(renames)
+def with_own_names(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Rename the columns of a ledger written elsewhere to the names used here.
+
+    ``names`` is the caller's: their column to ours. Columns that are not there are
+    passed over; a name that the table has already, or that two columns would get, is an error.
+    """
+    used = {theirs: own for theirs, own in names.items() if theirs in df.columns}
+    result = [used.get(c, c) for c in df.columns]
+    twice = sorted({c for c in result if result.count(c) > 1})
+    if twice:
+        raise ValueError(f"columns named twice: {', '.join(twice)}")
+    return df.withColumnsRenamed(used)
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: Mapping[str, object] | None = None

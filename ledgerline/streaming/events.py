@@ -58,14 +58,15 @@ def latest_stream(events: DataFrame) -> DataFrame:
     )
 
 
-def keep_latest(store: Store, table: str = "latest", counts: str | None = None
-                ) -> Callable[[DataFrame, int], None]:
+def keep_latest(store: Store, table: str = "latest", counts: str | None = None,
+                stream: str = "latest") -> Callable[[DataFrame, int], None]:
     """Handler for ``latest_stream`` in update mode: upsert the changed runs.
 
     With ``counts``, the number of runs per step status is written along with it.
+    ``stream`` names the stream whose batch numbers these are.
     """
     def handle(changed: DataFrame, batch: int) -> None:
-        if batch <= store.last_batch():
+        if batch <= store.last_batch(stream):
             return
         if store.exists(table):
             columns = [c for c in changed.columns if c != "run_id"]
@@ -73,10 +74,10 @@ def keep_latest(store: Store, table: str = "latest", counts: str | None = None
         else:
             state = changed
         # counts come from the written table, so the batch is evaluated once
-        store.commit(replace={table: state}, batch=None if counts else batch)
+        store.commit(replace={table: state}, batch=None if counts else batch, stream=stream)
         if counts:
             store.commit(replace={counts: status_distribution(store.read(table), "step_status")},
-                         batch=batch)
+                         batch=batch, stream=stream)
 
     return handle
 
@@ -85,10 +86,11 @@ def ingest_once(folder: str, key: str = "event_id", time: str = "ts", first_batc
                 ) -> Callable[[DataFrame, int], None]:
     """Handler that keeps every event id once, in a Parquet table by event date.
 
-    A repeat carries the time of the first delivery, so only the dates of the
-    batch are read to find ids that are there already. Each batch owns a folder
-    per date and overwrites it when it runs again. No event is dropped for being
-    late. A new stream into the same folder starts at ``first_batch``.
+    Ids alone are compared: a repeat may carry another time, or none, and the first
+    delivery stands. The ids of all earlier batches are read for it, one column, and
+    joined to those of the batch. Each batch owns a folder per date and overwrites it
+    when it runs again. No event is dropped for being late. A new stream into the same
+    folder starts at ``first_batch``.
     """
     def handle(batch_rows: DataFrame, batch: int) -> None:
         spark, number = batch_rows.sparkSession, batch + first_batch
@@ -98,10 +100,9 @@ def ingest_once(folder: str, key: str = "event_id", time: str = "ts", first_batc
             .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
             .withColumn("event_date", F.to_date(time))
         )
-        days = [row[0] for row in once.select("event_date").distinct().collect()]
         written = _written(spark, folder, key, once.schema[key].dataType)
         if written is not None:
-            known = written.filter(F.col("event_date").isin(days) & (F.col("batch") < number))
+            known = written.filter(F.col("batch") < number)
             once = once.join(known.select(key), key, "left_anti")
         _write_batch(once, folder, number, ["event_date"])
 
@@ -135,15 +136,13 @@ def _written(spark: SparkSession, folder: str, key: str, key_type: T.DataType
         return None
 
 
-def drop_repeats(events: DataFrame, key: str = "event_id", time: str = "ts",
-                 delay: str = "1 day") -> DataFrame:
-    """The stream without repeats that arrive within ``delay`` of each other.
+def drop_repeats(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """The stream with every event id once, whenever a repeat comes.
 
-    The state is bounded by the delay, but an event later than it is lost; use
-    ``ingest_once`` where nothing may be.
+    The state holds every id (on disk, see the state store of ``build_session``); no
+    event is lost to a watermark.
     """
-    return (events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-            .dropDuplicatesWithinWatermark([key]))
+    return events.dropDuplicates([key])
 
 
 def silent_runs(latest: DataFrame, as_of: Column, limit_s: int = AGENT_LIMIT_S) -> DataFrame:
@@ -154,8 +153,8 @@ def silent_runs(latest: DataFrame, as_of: Column, limit_s: int = AGENT_LIMIT_S)
 
 
 def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: str = "",
-                      launches: DataFrame | None = None, latest: str = "latest"
-                      ) -> Callable[[DataFrame, int], None]:
+                      launches: DataFrame | None = None, latest: str = "latest",
+                      stream: str = "transitions") -> Callable[[DataFrame, int], None]:
     """Handler for a stream of job states: decide and write for the touched runs.
 
     ``store`` holds the ledger. Flows and runs get a new version; events and
@@ -164,7 +163,7 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
     up to date, and the events are not read at all.
     """
     def handle(states: DataFrame, batch: int) -> None:
-        if batch <= store.last_batch() or states.isEmpty():
+        if batch <= store.last_batch(stream) or states.isEmpty():
             return
         tables = {name: store.read_or_empty(name) for name in TABLES}
         # the newest state per job; a job may report many times in a batch
@@ -193,7 +192,8 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
             columns = [c for c in kept.columns if c != "run_id"]
             moved = latest_events(last.unionByName(result["events"].select(*kept.columns)))
             replaced[latest] = upsert(kept, moved, ["run_id"], columns, columns)
-        store.commit(replace=replaced, batch=batch, append={
+        store.commit(replace=replaced, batch=batch, stream=stream, append={
             "events": result["events"], "requests": result["requests"]})
+        store.drop_scratch()
 
     return handle

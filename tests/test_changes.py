@@ -104,11 +104,17 @@ def test_old_column_names(spark):
         [("1", "n", "RUNNING", T0, "/x")],
         "flow_id string, flow_name string, migration_status string, last_update_ts timestamp, "
         "vendor_xml_path string")
-    got = conform(with_own_names(old), FLOWS).first()
+    names = {"migration_status": "status", "last_update_ts": "updated_ts", "vendor_xml_path": "source_path",
+             "absent": "owner"}
+    got = conform(with_own_names(old, names), FLOWS).first()
     assert (got["status"], got["updated_ts"], got["source_path"]) == ("RUNNING", T0, "/x")
     history = spark.createDataFrame(
         [("a", "5", "6")], "attempt_id string, vendor_job_id string, vendor_run_id string")
-    assert with_own_names(history, legacy=True).columns == ["attempt_id", "job_id", "job_run_id"]
+    names = {"vendor_job_id": "job_id", "vendor_run_id": "job_run_id"}
+    assert with_own_names(history, names).columns == ["attempt_id", "job_id", "job_run_id"]
+    for clash in ({"vendor_job_id": "attempt_id"}, {"vendor_job_id": "x", "vendor_run_id": "x"}):
+        with pytest.raises(ValueError):
+            with_own_names(history, clash)
 
 
 def test_defaults_fill_absent_columns_only(spark):

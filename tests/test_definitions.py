@@ -17,6 +17,8 @@ DOCUMENTS = {
     "root_is_not_below_itself": "<groupId>self</groupId>",
     "notes": "<template><x/><comment>first</comment><description>second</description></template>",
     "entity": '<!DOCTYPE t [<!ENTITY e "v">]><template><groupId>&e;</groupId></template>',
+    "entity_in_a_comment": "<!-- <!ENTITY e 'v'> --><template><groupId>fine</groupId><comment>&lt;!ENTITY</comment></template>",
+    "entity_in_text": "<template><groupId>fine</groupId><comment><![CDATA[<!ENTITY e 'v'>]]></comment></template>",
     "processors": "<template><p><processor><id>1</id><name>a</name><class>x.GetFile</class>"
                   "</processor><processor><id>2</id><name/><class>y</class></processor>"
                   "<processor><id>3</id><name>c</name></processor></p></template>",
@@ -40,7 +42,7 @@ def found(files):
 @pytest.mark.parametrize("name,flow_id", [
     ("stripped", "g-1"), ("root_group", "r-2"), ("empty_first", "r-5"), ("blank", ""),
     ("broken", None), ("other_root", None), ("root_is_not_below_itself", None), ("entity", None),
-    ("none", None)])
+    ("none", None), ("entity_in_a_comment", "fine"), ("entity_in_text", "fine")])
 def test_flow_id(found, name, flow_id):
     assert found[name]["flow_id"] == flow_id
     assert (found[name]["error"] is None) == (flow_id is not None)
