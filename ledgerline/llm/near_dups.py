@@ -19,6 +19,7 @@ BANDS = 32                   # of 4 minima: a pair at 0.8 meets in none with a c
 LOW_BITS = 4                 # kept of each minimum
 LEAST_MATCHES = 82           # of 128 that a pair at the threshold falls short of by 5 deviations
 THRESHOLD = 80               # per cent
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 128, 16_384, 64   # sets of a block; blocks of a cluster, if those sizes allow it
 
 _rng = np.random.default_rng(71)
 _FLIP = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -117,6 +118,11 @@ def estimated(a: str, b: str) -> Column:
     return (matches(a, b) / PERMUTATIONS - chance) / (1 - chance)
 
 
+def _alike(one: np.ndarray, other: np.ndarray) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= THRESHOLD * (len(one) + len(other) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose whole sets reach THRESHOLD."""
     of_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
@@ -124,11 +130,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for one, other in zip(batch.column(2), batch.column(3)):
-                one, other = (np.frombuffer(x.as_py(), np.uint64) for x in (one, other))
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                linked.append(100 * both >= THRESHOLD * (len(one) + len(other) - both))
+            linked = [_alike(np.frombuffer(one.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64))
+                      for one, other in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     joined = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "set_a", "set_b")
@@ -136,6 +139,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
+def _linked_in(rows: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the components of each cluster.
+
+    ``rows``: rep, component, cluster, low, shingles. A cluster is cut into blocks by hash
+    and each pair of blocks is a cell, so that a large cluster is many tasks; the
+    pairs of a cell are told apart by size and low bits, then by their whole sets.
+    """
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
+    size = F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("n") / BLOCKS)), F.lit(MOST_BLOCK))
+    sizes = sizes.filter("n > 1").select("cluster", F.ceil(F.col("n") / size).alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    cells = (
+        rows.join(sizes, "cluster").withColumn("mine", mine)
+        .withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("cluster", F.least("mine", "theirs").alias("x"), F.greatest("mine", "theirs").alias("y"), "mine",
+                "rep", "component", F.col("low"), "shingles")
+    )
+
+    def link(cell: pa.Table) -> pa.Table:
+        low = np.array(cell["low"].to_pylist(), dtype=np.int64).view(np.uint64).reshape(len(cell), LOW_BITS, -1)
+        held = [np.frombuffer(v.as_py(), np.uint64) for v in cell["shingles"]]
+        count = np.array([len(v) for v in held])
+        component = np.unique(cell["component"].to_numpy(), return_inverse=True)[1]
+        mine, x, y = (cell[c].to_numpy() for c in ("mine", "x", "y"))
+        ones, others = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        a, b = [], []
+        for one in ones:
+            other = others[others > one] if x[0] == y[0] else others
+            fits = (component[other] != component[one]) & (100 * np.minimum(count[other], count[one])
+                                                           >= THRESHOLD * np.maximum(count[other], count[one]))
+            other = other[fits]
+            differ = np.bitwise_or.reduce(low[other] ^ low[one], axis=1)
+            alike = PERMUTATIONS - np.bitwise_count(differ).astype(np.int64).sum(axis=1)
+            for two in other[alike >= LEAST_MATCHES]:
+                if _alike(held[one], held[two]):
+                    a.append(one)
+                    b.append(two)
+        return pa.table({"a": cell["rep"].take(pa.array(a, pa.int64())), "b": cell["rep"].take(pa.array(b, pa.int64()))})
+
+    kind = rows.schema["rep"].dataType.simpleString()
+    return cells.groupBy("cluster", "x", "y").applyInArrow(link, f"a {kind}, b {kind}")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that are not of one component yet."""
+    of_a = comps.select(F.col("node").alias("a"), F.col("component").alias("in_a"))
+    of_b = comps.select(F.col("node").alias("b"), F.col("component").alias("in_b"))
+    return (
+        pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        .filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
+    )
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
 
@@ -147,11 +203,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
     no links, and is kept. Rows that share an id share its component. Empty tables give none;
     other columns are not read.
 
-    Candidates share a band. First each set meets the smallest of its bands that it looks
-    most like; what that confirms is joined into components. Then sets of one band
-    that are still in different components meet pairwise, if their low bits allow it:
-    so a group of copies costs one comparison a member, yet no link between components
-    is left out. Whatever passes is confirmed on whole sets.
+    Candidates share a band. First each set meets the centre of one of its bands that it
+    looks most like, then the other centres; what that confirms is joined into components.
+    Then sets of one band that are still in different components meet pairwise, if their
+    low bits allow it: so a group of copies costs a comparison or a few for each member,
+    yet no link between components is left out. Whatever passes is confirmed on whole sets.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     signed = settled(signatures(rows, n, "text", "id"), "near-signatures")
@@ -160,7 +216,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
         signed.filter("n_shingles > 0 and id is not null").groupBy(*name)
         .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
     bands = classes.select("rep", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = settled(bands.join(shared, "band"), "near-members")
     needed = members.select(F.col("rep").alias("id")).distinct()
 
@@ -177,39 +233,43 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
         rows.join(needed, "id", "left_semi").mapInArrow(whole, f"id {kind}, shingles binary"), "near-sets")
     low = classes.select("rep", "low")
 
-    # each set with the smallest member of one of its bands: the one that it looks most like
-    least = members.groupBy("band").agg(F.min("rep").alias("b"))
-    star = (
-        members.join(least, "band").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    # a band's centre: the member that shares most bands with most sets, as an original does with its copies
+    weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    centres = members.join(weights, "rep").groupBy("band").agg(
+        F.max(F.struct("weight", "rep")).alias("centre")).select("band", F.col("centre.rep").alias("b"))
+    star = settled(
+        members.join(centres, "band").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
         .join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
         .join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
         .select("a", "b", matches("low_a", "low_b").alias("alike"))
-        .filter(F.col("alike") >= LEAST_MATCHES)
-        .groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("unlike"), "b")).alias("best"))
-        .select("a", "best.b")
-    )
-    star = settled(star, "near-star")
-    links = settled(_confirmed(star, sets), "near-links")
+        .filter(F.col("alike") >= LEAST_MATCHES), "near-star")
+    best = star.groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("unlike"), "b")).alias("best"))
+    best = settled(best.select("a", "best.b"), "near-best")
+    links = settled(_confirmed(best, sets), "near-links")
     comps = components(links, "a", "b")
 
-    # then the pairs of one band that are in different components
+    # then the other centres, where they are of another component
+    others = _apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
+    links = settled(links.unionByName(_confirmed(others, sets)), "near-links")
+    comps = components(links, "a", "b")
+
+    # then all sets that open bands connect, in blocks, where they are of different components
     placed = (
         members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select("band", "rep", F.coalesce("component", "rep").alias("component"))
     )
     open_bands = (
         placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least < most").select("band")
-    )
-    left = settled(placed.join(open_bands, "band").join(low, "rep"), "near-open")
-    one = left.select("band", F.col("rep").alias("a"), F.col("component").alias("in_a"), F.col("low").alias("low_a"))
-    other = left.select("band", F.col("rep").alias("b"), F.col("component").alias("in_b"), F.col("low").alias("low_b"))
-    cross = (
-        one.join(other, (one.band == other.band) & (F.col("b") < F.col("a")) & (F.col("in_a") != F.col("in_b"))
-                 & (matches("low_a", "low_b") >= LEAST_MATCHES))
-        .select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+        .filter("least < most")
     )
-    comps = components(settled(links.unionByName(_confirmed(cross, sets)), "near-all-links"), "a", "b")
+    left = settled(placed.join(open_bands.select("band", "least"), "band").select("rep", "component", "least"), "near-open")
+    clusters = components(left.select("component", "least"), "component", "least")
+    links = links.unionByName(_linked_in(
+        left.select("rep", "component").distinct()
+        .join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component", "left")
+        .withColumn("cluster", F.coalesce("cluster", "component"))
+        .join(low, "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")))
+    comps = components(settled(links, "near-links"), "a", "b")
 
     named = signed.select("id", *name).join(classes.select(*name, "rep"), name, "left")
     found = named.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
