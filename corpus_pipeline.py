@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from ledgerline.llm.line_dups import line_removals, without_lines
 from ledgerline.llm.mixing import mix, n_words
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.settle import settled
+from ledgerline.llm.ship import ship
 from ledgerline.llm.toxicity import fit, score
-from ledgerline.llm.word_codes import decode, encode
+from ledgerline.llm.word_codes import encode
 
 REJECT_SCORE = 0.5
 SHINGLE_WORDS = 5
@@ -55,17 +58,20 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def word_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, packed ``ids`` and a digest of the text that they decode to."""
-    return decode(encode(docs)).select(
-        "doc_id", "n_tokens", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, decoded="decoded").select(
+        "doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _stage(function):
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
 
 
-STAGES = [
-    ("toxicity", toxicity),
-    ("line_dedup", line_dedup),
-    ("minhash_near_dedup", minhash_near_dedup),
-    ("source_mix", source_mix),
-    ("word_bpe", word_bpe),
-]
+STAGES = [(f.__name__, _stage(f)) for f in (toxicity, line_dedup, minhash_near_dedup, source_mix, word_bpe)]
 
 #: Trained weights and an exact similarity join over all lines are beyond SQL on whole tables.
 ORACLE_SQL = None

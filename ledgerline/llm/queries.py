@@ -16,7 +16,7 @@ from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.toxicity import fit, remainder, score
 from ledgerline.llm.top_vectors import top_k
 from ledgerline.llm.url_filters import judge, path_of
-from ledgerline.llm.word_codes import decode, encode
+from ledgerline.llm.word_codes import encode
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -59,10 +59,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_word_bpe")
 def op5_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
-    encoded = encode(table(spark, folder, "documents"))
-    return decode(encoded).select(
+    encoded = encode(table(spark, folder, "documents"), decoded="decoded")
+    return encoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 @query("op9_toxicity")

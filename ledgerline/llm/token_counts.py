@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tokenizers_io import (
-    BYTE_SPLIT, NOT_PLAIN, WORKER_PIECE_CHARS, WORKER_PIECES, byte_bpe, frequent_words, public_path)
+    BYTE_SPLIT, WORKER_PIECE_CHARS, WORKER_PIECES, byte_bpe, frequent_words, is_plain, public_path)
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -44,7 +44,7 @@ def _count(text: str, bpe, first: dict[str, int], second: _Lengths) -> int:
             total += sum(len(f) - 1 for f in found)
             parts = [p for f in found for p in f]
     for part in parts:
-        if NOT_PLAIN.search(part):
+        if not is_plain(part):
             total += bpe.length(part)
             continue
         found = list(map(first.get, pieces := BYTE_SPLIT.findall(part)))

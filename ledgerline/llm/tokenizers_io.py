@@ -1,29 +1,28 @@
 """Public tokenizer files inside tasks: the library itself, and the same pieces by a fast path.
 
-A text of plain characters (PLAIN) is cut by the ``regex`` module, which cuts such text
-as the library does (tests hold every plain code point against it); any other text is
-cut by the library. Pieces are encoded by the library's own model either way.
+A text of Latin-1 characters is cut by the ``re`` module with the classes written out,
+which cuts it as the library does (tests hold every such character against it); any
+other text is cut by the library. Pieces are encoded by the library's own model either way.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Sequence
 from functools import lru_cache
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A character that the two cutters might not treat alike: beyond Latin, punctuation and €.
-NOT_PLAIN = regex.compile("[^\x00-įı-ɏ‐-‧€]")
-
-#: Fixed value: the split of byte-level BPE vocabularies.
-BYTE_SPLIT = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Latin-1 letters, numbers and white space, and the two splits over them.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+BYTE_SPLIT = re.compile(f" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+WORD_SPLIT = re.compile(f"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_S}{_L}{_N}]+")
 
 FREQUENT_WORDS = 32_768      # entries of the broadcast table; its words have at most
 FREQUENT_CHARS = 24          # so many characters, so it stays below 4 MB
@@ -33,6 +32,15 @@ WORKER_PIECES = 400_000      # entries a worker's cache may hold before it start
 WORKER_PIECE_CHARS = 64      # longer pieces are encoded each time
 
 
+def is_plain(text: str) -> bool:
+    """Whether the text has only Latin-1 characters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def frequent_words(docs: DataFrame, text: str | Column, k: int = FREQUENT_WORDS,
                    tracked: int = TRACKED_WORDS) -> list[str]:
     """About the ``k`` most frequent words of all texts, without their punctuation.
@@ -47,6 +55,7 @@ def frequent_words(docs: DataFrame, text: str | Column, k: int = FREQUENT_WORDS,
         words.filter(F.length("w").between(1, FREQUENT_CHARS))
         .groupBy((F.spark_partition_id() % MERGERS).alias("merger"))
         .agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("part"))
+        .groupBy((F.col("merger") * 0).alias("one"))     # grouped, so that empty partitions give none
         .agg(F.expr(f"approx_top_k_combine(part, {tracked})").alias("all"))
         .select(F.inline(F.expr(f"approx_top_k_estimate(`all`, {k})")))
     )
@@ -87,9 +96,8 @@ class WordBpe:
         config = _config(path)
         self.whole = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self._marks = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
+        self._marks = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")")
         pattern = config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self._split = regex.compile(pattern)
         self._cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         config["normalizer"] = None
         config["pre_tokenizer"] = config["pre_tokenizer"]["pretokenizers"][1]
@@ -106,10 +114,10 @@ class WordBpe:
         return self._plain_words(text)
 
     def _plain_words(self, text: str) -> list[str]:
-        if NOT_PLAIN.search(text):
-            text = self.whole.normalizer.normalize_str(text)
-            return [piece for piece, _ in self._cut.pre_tokenize_str(text)]
-        return self._split.findall(text.lower())
+        if is_plain(text):
+            return WORD_SPLIT.findall(text.lower())
+        text = self.whole.normalizer.normalize_str(text)
+        return [piece for piece, _ in self._cut.pre_tokenize_str(text)]
 
     def encode_words(self, words: Sequence[str]) -> list[list[int]]:
         found = self.one.encode_batch(list(words), add_special_tokens=False)

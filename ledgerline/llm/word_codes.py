@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,47 +10,67 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ledgerline.llm.tokenizers_io import frequent_words, public_path, word_bpe
-from ledgerline.llm.words import slices
+from ledgerline.llm.words import slices, text_bytes
 
 WORD_BPE = "word_bpe_49k.json"
 KNOWN_WORDS = 131_072        # words of at most 24 characters that are resolved by broadcast
-KNOWN_TRACKED = 524_288
+KNOWN_TRACKED = 393_216
 HELD_WORDS = 400_000         # distinct words a task holds before it passes them on
 JOIN_IDS = 1 << 19           # ids turned into text at once
+TEXTS_AT_ONCE = 200          # texts of a block that are assembled together
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+class _Letters(dict):
+    """Known words as one character each, whose code points number them from 1; any other word is 0.
 
+    UTF-8 then writes frequent words in a byte or two, and reads them back in one call.
+    """
 
-def _blocks(docs: DataFrame, text: str, id_col: str, blocks: int) -> DataFrame:
-    """Every text, compressed, in the partition of its block."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    def __init__(self, words: Sequence[str]):
+        super().__init__((w, chr(n if n < 0xD800 else n + 0x800)) for n, w in enumerate(words, 1))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            bodies = [packer.compress(t.as_py().encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(0), pa.array(bodies, pa.binary())], names=["block", "id", "body"])
+    def __missing__(self, word: str) -> str:
+        return "\0"
+
+
+def _numbers(letters: bytes) -> np.ndarray:
+    points = np.frombuffer(letters.decode().encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.where(points < 0xD800, points, points - 0x800)
+
+
+class _Codes:
+    """Ids of numbered words, the word 0 having none: one flat array and the size of each."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, np.concatenate([[0], sizes])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.starts[numbers] - before, sizes) + np.arange(sizes.sum())]
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(pack, f"block int, id {kind}, body binary").repartition(blocks, "block")
+
+def _packed(ids: list[int], kind: str) -> bytes:
+    return np.asarray(ids, kind).tobytes()
 
 
 def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_col: str = "doc_id",
-           path: str | None = None) -> DataFrame:
+           path: str | None = None, decoded: str | None = None) -> DataFrame:
     """``id_col``, ``ids`` (little-endian unsigned 32-bit, packed) and ``n_tokens`` of every text.
 
-    Texts are dealt to blocks once. Each block gives its distinct words; these meet by
+    ``decoded``: a column for the text that the ids decode to, made in the same task.
+
+    Texts are split into words once and dealt to blocks as letters for known words and
+    a list of the other words. Each block gives its distinct other words; these meet by
     word, so each is encoded once, and the codes go back to the blocks that asked,
-    where they take the positions of their words. Words that nearly every block has
-    are known beforehand (KNOWN_WORDS, a bounded broadcast): no word is asked for by
-    a share of all rows. The list of known words only decides the way of a word.
+    where they take the positions of their words. Known words are those that most
+    blocks have (KNOWN_WORDS, a bounded broadcast): no word is asked for by a share of
+    all rows. The list of known words only decides the way of a word.
 
     A null or empty text, or one of white space, has no ids. Null ids and repeated rows
     are kept; an empty table gives none; other columns of ``docs`` are not read.
@@ -61,26 +81,45 @@ def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_co
     bpe = word_bpe(path)
     frequent = frequent_words(docs, F.lower(text), KNOWN_WORDS, KNOWN_TRACKED)
     frequent = [w for w in frequent if bpe.words(w) == [w]]
-    known = session.sparkContext.broadcast(dict(zip(frequent, map(_packed, bpe.encode_words(frequent)))))
-    packed = _blocks(docs, text, id_col, blocks)
-    id_kind = packed.schema["id"].dataType.simpleString()
+    coded = bpe.encode_words(frequent)
+    known = session.sparkContext.broadcast((
+        " ".join(frequent), np.array([i for ids in coded for i in ids], "<u4"), np.array(list(map(len, coded)), np.int64)))
+    every = bpe.pieces()
+    narrow = "<u2" if len(every) <= 1 << 16 else "<u4"      # of ids on their way
+    pieces = session.sparkContext.broadcast(every) if decoded else None
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    id_kind = rows.schema["id"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, packer = word_bpe(path), zstandard.ZstdCompressor(level=6)
+        letters = _Letters(known.value[0].split(" "))
+        for batch in batches:
+            coded, others = [], []
+            for value in batch.column(1):
+                words = bpe.words(value.as_py())
+                found = "".join(map(letters.__getitem__, words))
+                coded.append(packer.compress(found.encode()))
+                others.append(packer.compress(" ".join(w for w, n in zip(words, found) if n == "\0").encode()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2), batch.column(0), pa.array(coded, pa.binary()), pa.array(others, pa.binary())],
+                names=["block", "id", "letters", "others"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each block that are not known yet."""
-        bpe, first, opener = word_bpe(path), known.value, zstandard.ZstdDecompressor()
-        held: dict[int, set[str]] = {}
+        """The distinct words of each block that are not known yet."""
+        opener, held = zstandard.ZstdDecompressor(), {}
 
         def passed_on():
             for block, words in held.items():
+                words.discard("")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(words), block, np.int32)), pa.array(list(words), pa.string())],
                     names=["block", "word"])
             held.clear()
 
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(2)):
-                words = set(bpe.words(opener.decompress(body.as_py()).decode()))
-                held.setdefault(block, set()).update(words.difference(first))
+            for block, body in zip(batch.column(0).to_pylist(), batch.column(3)):
+                held.setdefault(block, set()).update(opener.decompress(body.as_py()).decode().split(" "))
             if sum(map(len, held.values())) > HELD_WORDS:
                 yield from passed_on()
         yield from passed_on()
@@ -91,7 +130,7 @@ def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_co
         for batch in batches:
             runs = batch.column(1).to_pylist()
             new = [w for w, before in zip(runs, [last, *runs]) if w != before]
-            fresh, out = iter(map(_packed, bpe.encode_words(new))), []
+            fresh, out = (_packed(ids, narrow) for ids in bpe.encode_words(new)), []
             for word in runs:
                 if word != last:
                     last, code = word, next(fresh)
@@ -100,31 +139,51 @@ def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_co
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "word", "code"])
 
     def assemble(texts: pa.Table, codes: pa.Table) -> pa.Table:
-        bpe, first, opener = word_bpe(path), known.value, zstandard.ZstdDecompressor()
-        book = dict(zip(codes["word"].to_pylist(), codes["code"].to_pylist()))
+        opener, (_, flat, sizes) = zstandard.ZstdDecompressor(), known.value
+        book = {w: i for i, w in enumerate(codes["word"].to_pylist(), len(sizes) + 1)}
+        own, ends = text_bytes(codes["code"])
+        own, ends = own.view(narrow).astype("<u4"), ends // np.dtype(narrow).itemsize
+        table = _Codes(np.concatenate([flat, own]), np.concatenate([sizes, np.diff(ends)]))
+        words_of_ids = pa.array(pieces.value, pa.string()) if decoded else None
         out = []
-        for body in texts["body"]:
-            words = bpe.words(opener.decompress(body.as_py()).decode())
-            found = list(map(first.get, words))
-            if None in found:
-                found = [book[w] if c is None else c for w, c in zip(words, found)]
-            out.append(b"".join(found))
-        return pa.table({
-            "id": texts["id"], "ids": pa.array(out, pa.binary()),
-            "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64())})
-
-    asked = packed.mapInArrow(ask, "block int, word string")
+        for batch in texts.to_batches(TEXTS_AT_ONCE):
+            ids = []
+            for coded, others in zip(batch["letters"], batch["others"]):
+                numbers = _numbers(opener.decompress(coded.as_py()))
+                if not numbers.all():
+                    words = opener.decompress(others.as_py()).decode().split(" ")
+                    numbers[numbers == 0] = list(map(book.__getitem__, words))
+                ids.append(table.of(numbers).tobytes())
+            columns = [batch["id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded:
+                columns.append(_texts(ids, words_of_ids))
+            out.append(pa.RecordBatch.from_arrays(columns, schema=made))
+        return pa.Table.from_batches(out, schema=made)
+
+    made = to_arrow_schema(StructType([
+        StructField("id", rows.schema["id"].dataType), StructField("ids", BinaryType()), StructField("n_tokens", LongType()),
+        *([StructField(decoded, StringType())] if decoded else [])]))
+    dealt = rows.mapInArrow(
+        split, f"block int, id {id_kind}, letters binary, others binary").repartition(blocks, "block")
     codes = (
-        asked.repartition(blocks, "word").sortWithinPartitions("word")
+        dealt.mapInArrow(ask, "block int, word string")
+        .repartition(blocks, "word").sortWithinPartitions("word")
         .mapInArrow(answer, "block int, word string, code binary")
     )
     return (
-        packed.groupBy("block").cogroup(codes.groupBy("block"))
-        .applyInArrow(assemble, f"id {id_kind}, ids binary, n_tokens bigint")
+        dealt.groupBy("block").cogroup(codes.groupBy("block"))
+        .applyInArrow(assemble, f"id {id_kind}, ids binary, n_tokens bigint" + (f", `{decoded}` string" if decoded else ""))
         .withColumnRenamed("id", id_col)
     )
 
 
+def _texts(ids: Sequence[bytes], pieces: pa.Array) -> pa.Array:
+    """The text of each packed list of ids: their pieces, joined by position, a space between them."""
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    ends = np.concatenate([[0], np.cumsum([len(v) // 4 for v in ids])])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces.take(pa.array(flat))), " ")
+
+
 def decode(encoded: DataFrame, tokenizer: str = WORD_BPE, ids: str = "ids", text: str = "text",
            path: str | None = None) -> DataFrame:
     """``encoded`` with a column ``text``: the pieces of ``ids``, a space between them.
@@ -141,10 +200,7 @@ def decode(encoded: DataFrame, tokenizer: str = WORD_BPE, ids: str = "ids", text
         for batch in batches:
             for part in slices(batch, ids, 4 * JOIN_IDS):
                 packed = [v.as_py() or b"" for v in part.column(part.schema.get_field_index(ids))]
-                flat = np.frombuffer(b"".join(packed), "<u4")
-                ends = np.concatenate([[0], np.cumsum([len(v) // 4 for v in packed])])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(flat)))
-                texts = pc.binary_join(lists, " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, text])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, _texts(packed, table)], names=[*part.schema.names, text])
 
     return encoded.mapInArrow(join, StructType([*encoded.schema, StructField(text, StringType())]))
