@@ -75,8 +75,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     plan = sizes.withColumn("ranges", share).select(_named("source").alias("name"), "ranges").join(
         targets(sizes, weights, most).withColumn("name", _named("source")).drop("source"), "name")
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    # a source's row meets its documents in parts, so that a large source is many tasks
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")))
     dealt = (
-        rows.withColumn("name", _named("source")).drop("source").join(plan, "name")
+        rows.withColumn("name", _named("source")).drop("source").withColumn("part", at % ranges)
+        .join(plan.withColumn("part", parts), ["name", "part"]).drop("part")
         .withColumn("range", F.floor(at * F.col("ranges") / F.lit(1 << 32)))
     )
     earlier = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
