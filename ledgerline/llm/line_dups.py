@@ -218,7 +218,8 @@ def _proposals(entries: DataFrame, asked: np.ndarray | None = None) -> DataFrame
     """Pairs of lines that may match: ``later``, ``earlier`` (refs), ``score``, ``more``.
 
     Without ``asked``: for each entry the earliest other one of its word that it may match
-    (``more``: there are, or may be, others). ``asked`` is a filter of refs; with it, all
+    (``more``: there are, or may be, others; where none was found but some were not
+    looked at, the entry is paired with itself). ``asked`` is a filter of refs; with it, all
     pairs in which a line of the filter stands. Orders are coarse, so a pair of one order
     is proposed both ways and the lines themselves tell which is later.
     """
@@ -237,7 +238,7 @@ def _proposals(entries: DataFrame, asked: np.ndarray | None = None) -> DataFrame
             e = e[fresh]
         n = len(e)
         best = np.full(n, 1 << 30, dtype=np.int64)
-        partner = np.zeros(n, dtype=np.int64)
+        partner = np.arange(n)
         seen = np.zeros(n, dtype=np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         wanted = np.ones(n, dtype=bool) if asked is None else _asked(asked, e["ref"])
@@ -279,7 +280,7 @@ def _proposals(entries: DataFrame, asked: np.ndarray | None = None) -> DataFrame
                 less = block[ok & (score < best[block])]
                 best[less], partner[less] = score[np.searchsorted(block, less)], pivot
         if asked is None:
-            one = np.flatnonzero(best < 1 << 30)
+            one = np.flatnonzero(seen)
             other, score, more = partner[one], best[one], seen[one] > 1
         else:
             x, y = (np.concatenate(v) if found else np.zeros(0, np.int64) for v in (zip(*found) if found else ([], [])))
@@ -411,14 +412,15 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     offers = settled(
         _proposals(_entries(rows, rarity, orders, shards)).groupBy("later", "earlier")
         .agg(F.min("score").alias("score"), F.max("more").alias("more")), "line-offers")
-    refs = offers.select(F.explode(F.array("later", "earlier")).alias("ref"))
+    pairs = offers.filter("later <> earlier")
+    refs = pairs.select(F.explode(F.array("later", "earlier")).alias("ref"))
     sets = settled(_sets(rows, _filter_of(refs)), "line-sets")
 
-    best = offers.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
+    best = pairs.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
     lost = settled(_losers(best.select("later", "best.earlier"), sets), "line-lost")
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     still = settled(offers.join(gone, "later", "left_anti"), "line-still")
-    lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets), "line-lost"))
+    lost = lost.unionByName(settled(_losers(still.filter("later <> earlier").select("later", "earlier"), sets), "line-lost"))
 
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     unsure = still.filter("more").select("later").distinct().join(gone, "later", "left_anti")

@@ -93,10 +93,10 @@ def _cell(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
             out_q.append(ask[rows[keep]])
             out_v.append(ids[keep])
             out_s.append(values[keep])
-    columns = [np.concatenate(x) if x else np.zeros(0) for x in (out_q, out_v, out_s)]
+    out_s = [np.clip(s, -2**63, 2**63 - 1) if s.dtype == object else s for s in out_s]
+    columns = [np.concatenate([c.astype(np.int64) for c in x]) if x else np.zeros(0, np.int64) for x in (out_q, out_v, out_s)]
     return pa.table({
-        "query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)),
-        "score": pa.array(columns[2].astype(np.int64))})
+        "query_id": pa.array(columns[0]), "vec_id": pa.array(columns[1]), "score": pa.array(columns[2])})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
@@ -108,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     should be unique). Only vectors of the query's dimension are candidates. Rows with a
     null id, or a vector that is null or holds a null or non-finite component, take no
     part; a query with no candidate has no rows; empty tables give none; other columns
-    are not read. Scores must fit 64 bits.
+    are not read. A score beyond 64 bits stands at their end.
 
     Queries and vectors are dealt by hash to the cells of a grid, a bounded number of
     components a side. A cell multiplies tiles and keeps ``k`` a query; lists are merged

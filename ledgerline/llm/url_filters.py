@@ -42,7 +42,8 @@ def matching_rule(rules: Sequence[Rule], host: str = "host", path: str = "path")
                F.struct(F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule")))
         for verdict, h, p in order
     ]
-    return F.coalesce(*cases)
+    nothing = F.lit(None).cast("struct<verdict:string,rule:string>")
+    return F.coalesce(*cases, nothing)
 
 
 def _segments(path: str) -> Column:
