@@ -25,13 +25,14 @@ RARITY_CHUNK = 1 << 14       # counters that are merged together
 MERGE_FANIN = 256            # parts of a chunk that are merged at first
 SHARDS_PER_PARTITION = 4     # groups of words for each shuffle partition
 SPAN = 20_000                # a word's lines of fitting length that are all compared with a line
-PIVOTS = 64                  # beyond that, the earliest ones, and an exact pass for what they leave open
+PARTNERS = 4                 # lines that an entry proposes at first
+PIVOTS = 64                  # earliest entries of a word beyond SPAN, with which its others are compared at first
 ASKED_BITS = 23              # bits of the broadcast filter of lines that are asked for
 SIGNATURE_WORDS = 8          # longs of a line's wide bitmap
 
-#: One word's entry for one line: 24 bytes.
-ENTRY = np.dtype([("token", "<u4"), ("size", "<u2"), ("place", "u1"), ("order", "u1"), ("ref", "<u8"), ("bits", "<u8")])
-_SALT = np.uint64(0x5851F42D4C957F2D)
+#: One word's entry for one line: 32 bytes.
+ENTRY = np.dtype([("token", "<u4"), ("size", "<u2"), ("place", "u1"), ("order", "u1"), ("ref", "<u8"), ("bits", "<u8", 2)])
+FAR = 1 << 30
 KEY = ["set_a", "set_b", "size"]
 
 
@@ -48,8 +49,8 @@ class _Lines:
         return np.diff(self.first)
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that name each line's set of words."""
-        return self.sums(mix(self.tokens)), self.sums(mix(self.tokens ^ _SALT))
+        """128 bits that name each line's set of words: sums of their hashes and of the squares."""
+        return self.sums(self.tokens), self.sums(self.tokens * self.tokens)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
@@ -190,7 +191,7 @@ def _entries(rows: DataFrame, rarity: np.ndarray, orders: list, shards: int) ->
                 records["place"] = np.minimum(place, 0xFF)
                 records["order"] = np.repeat(order, take)
                 records["ref"] = np.repeat(lines.names()[0], take)
-                records["bits"] = np.repeat(lines.parities(64)[:, 0], take)
+                records["bits"] = np.repeat(lines.parities(128), take, axis=0)
                 shard = (token >> np.uint64(32)) % np.uint64(shards)
                 sort = np.argsort(shard, kind="stable")
                 found, at = np.unique(shard[sort], return_index=True)
@@ -202,6 +203,11 @@ def _entries(rows: DataFrame, rarity: np.ndarray, orders: list, shards: int) ->
     return rows.mapInArrow(deal, "shard int, entries binary").repartition(partitions, "shard")
 
 
+def _differ(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the bitmaps of two lines differ."""
+    return np.bitwise_count(e["bits"][x] ^ e["bits"][y]).astype(np.int64).sum(axis=-1)
+
+
 def _may_match(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether lines of entries ``x`` and ``y``, of one word and ``y`` not the larger, may reach 0.8."""
     size_x, size_y = e["size"][x].astype(np.int64), e["size"][y].astype(np.int64)
@@ -210,91 +216,100 @@ def _may_match(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     index = (place_y < _indexed(size_y)) | (place_y == 0xFF) | ((size_x == size_y) & (place_x < _indexed(size_x)))
     most = 1 + np.minimum(size_x - place_x, size_y - place_y) - 1
     ok = index & (9 * most >= 4 * both)
-    ok &= 9 * np.bitwise_count(e["bits"][x] ^ e["bits"][y]).astype(np.int64) <= both
+    ok &= 9 * _differ(e, x, y) <= both
     return (ok | huge) & (e["ref"][x] != e["ref"][y])
 
 
-def _proposals(entries: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
-    """Pairs of lines that may match: ``later``, ``earlier`` (refs), ``score``, ``more``.
+def _proposals(entries: DataFrame) -> DataFrame:
+    """Pairs of lines that may match, and the crowded words that have more of them.
 
-    Without ``asked``: for each entry the earliest other one of its word that it may match
-    (``more``: there are, or may be, others; where none was found but some were not
-    looked at, the entry is paired with itself). ``asked`` is a filter of refs; with it, all
-    pairs in which a line of the filter stands. Orders are coarse, so a pair of one order
-    is proposed both ways and the lines themselves tell which is later.
+    A pair: ``later``, ``earlier`` (refs), ``score``, ``more``: each entry proposes the
+    PARTNERS earliest others of its word that it may match, and tells if there are, or
+    may be, more. Orders are coarse, so a pair of one order is proposed both ways and the
+    lines themselves tell which is later. All entries of a word with such an entry
+    follow as its crowd: ``crowd`` (the word), ``later`` (the ref), ``size``, ``bits``.
+    So rows are as many as entries, however many lines are alike.
     """
-    shared = entries.sparkSession.sparkContext.broadcast(asked)
-
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
+        from pyspark import TaskContext
+
         blobs = [v.as_py() for batch in batches for v in batch.column(1)]
         e = np.frombuffer(b"".join(blobs), ENTRY)
         # by word, size, then set: copies of a set stand together and count once, with the least order
-        e = e[np.lexsort((e["order"], (e["ref"] ^ (e["token"].astype(np.uint64) << np.uint64(32))),
-                          e["token"].astype(np.uint64) << np.uint64(16) | e["size"]))]
+        e = e[np.lexsort((e["order"], e["ref"], e["token"].astype(np.uint64) << np.uint64(16) | e["size"]))]
         if len(e):
             fresh = np.ones(len(e), dtype=bool)
             fresh[1:] = (e["token"][1:] != e["token"][:-1]) | (e["ref"][1:] != e["ref"][:-1])
             e = e[fresh]
-        n = len(e)
-        best = np.full(n, 1 << 30, dtype=np.int64)
-        partner = np.arange(n)
+        n, size, token = len(e), e["size"].astype(np.int64), e["token"]
+        best = np.full((n, PARTNERS), FAR, dtype=np.int64)
+        partner = np.zeros((n, PARTNERS), dtype=np.int64)
         seen = np.zeros(n, dtype=np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        wanted = np.ones(n, dtype=bool) if asked is None else _asked(asked, e["ref"])
-
-        def take(x: np.ndarray, y: np.ndarray) -> None:
-            """Entries ``x`` and ``y`` may match, each at most once in a call."""
-            if asked is not None:
-                found.append((x, y))
-                return
-            alike = np.bitwise_count(e["bits"][x] ^ e["bits"][y]).astype(np.int64)
-            for one, other in ((x, y), (y, x)):
-                good = np.flatnonzero(e["order"][other] <= e["order"][one])
-                one, other, score = one[good], other[good], e["order"][other[good]].astype(np.int64) * 65 + alike[good]
-                seen[one] += 1
-                less = score < best[one]
-                best[one[less]], partner[one[less]] = score[less], other[less]
 
-        size, token = e["size"].astype(np.int64), e["token"]
+        def take(one: np.ndarray, other: np.ndarray, differ: np.ndarray) -> None:
+            """Earlier partners take the place of the worst that an entry has; each entry at most once."""
+            score = e["order"][other].astype(np.int64) * 256 + differ
+            worst = best[one].argmax(axis=1)
+            less = score < best[one, worst]
+            best[one[less], worst[less]], partner[one[less], worst[less]] = score[less], other[less]
+
         active, step = np.arange(1, n), 1
         while len(active):
             y = active - step
             fits = (token[y] == token[active]) & (5 * size[y] >= 4 * size[active])
             active, y = active[fits], y[fits]
-            if asked is None and step > SPAN:
+            if step > SPAN:
                 break
-            use = wanted[active] | wanted[y]
-            x, y = active[use], y[use]
-            ok = _may_match(e, x, y)
-            take(x[ok], y[ok])
+            ok = _may_match(e, active, y)
+            x, y = active[ok], y[ok]
+            differ = _differ(e, x, y)
+            for one, other in ((x, y), (y, x)):
+                good = e["order"][other] <= e["order"][one]
+                seen[one[good]] += 1
+                take(one[good], other[good], differ[good])
             step += 1
             active = active[active >= step]
         for group in np.unique(token[active]):     # words of very many lines of like size
             block = np.flatnonzero(token == group)
-            seen[block] += 2
+            seen[block] += PARTNERS + 1
+            best[block] = FAR
             for pivot in block[np.argsort(e["order"][block], kind="stable")[:PIVOTS]]:
                 x, y = np.maximum(block, pivot), np.minimum(block, pivot)
-                ok = (5 * size[y] >= 4 * size[x]) & _may_match(e, x, y) & (e["order"][block] >= e["order"][pivot])
-                score = e["order"][pivot].astype(np.int64) * 65 + np.bitwise_count(e["bits"][block] ^ e["bits"][pivot])
-                less = block[ok & (score < best[block])]
-                best[less], partner[less] = score[np.searchsorted(block, less)], pivot
-        if asked is None:
-            one = np.flatnonzero(seen)
-            other, score, more = partner[one], best[one], seen[one] > 1
-        else:
-            x, y = (np.concatenate(v) if found else np.zeros(0, np.int64) for v in (zip(*found) if found else ([], [])))
-            one, other = np.concatenate([x, y]), np.concatenate([y, x])
-            keep = wanted[one] & (e["order"][other] <= e["order"][one])
-            one, other = one[keep], other[keep]
-            score, more = np.zeros(len(one), np.int64), np.zeros(len(one), bool)
-        for at in range(0, len(one), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(e["ref"][one[part]].view(np.int64)), pa.array(e["ref"][other[part]].view(np.int64)),
-                 pa.array(score[part]), pa.array(more[part])], names=["later", "earlier", "score", "more"])
-
-    return entries.mapInArrow(propose, "later bigint, earlier bigint, score bigint, more boolean")
+                near = block[(5 * size[y] >= 4 * size[x]) & _may_match(e, x, y) & (e["order"][block] >= e["order"][pivot])]
+                take(near, np.full(len(near), pivot), _differ(e, near, np.full(len(near), pivot)))
+
+        crowded = seen > PARTNERS
+        one, place = np.nonzero(best < FAR)
+        crowd = np.flatnonzero(np.isin(token, token[crowded]))
+        ref = e["ref"].view(np.int64) if n else np.zeros(0, np.int64)
+        word = (np.int64(TaskContext.get().partitionId()) << np.int64(32)) + token.astype(np.int64)
+        kinds = ["later", "earlier", "score", "more", "crowd", "size", "bits"]
+        for at in range(0, len(one), 1 << 15):
+            x, k = one[at:at + (1 << 15)], place[at:at + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ref[x]), pa.array(ref[partner[x, k]]), pa.array(best[x, k]), pa.array(crowded[x]),
+                pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.list_(pa.int64()))], names=kinds)
+        for at in range(0, len(crowd), 1 << 15):
+            x = crowd[at:at + (1 << 15)]
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 2, pa.int32()), pa.array(e["bits"][x].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ref[x]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(crowded[x]),
+                pa.array(word[x]), pa.array(size[x]), bits], names=kinds)
+
+    return entries.mapInArrow(propose, "later bigint, earlier bigint, score bigint, more boolean, "
+                                       "crowd bigint, size bigint, bits array<bigint>")
+
+
+def _crowd_pairs(open_refs: DataFrame, crowds: DataFrame) -> DataFrame:
+    """All pairs ``later, earlier`` of open lines with those that may match them in their crowds."""
+    mine = crowds.join(open_refs, "later").select("crowd", "later", F.col("size").alias("size_m"), F.col("bits").alias("bits_m"))
+    every = crowds.select("crowd", F.col("later").alias("earlier"), "size", "bits")
+    most, least = F.greatest("size", "size_m"), F.least("size", "size_m")
+    differ = reduce(Column.__add__, (
+        F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_m", F.lit(i)))) for i in range(2)))
+    may = (5 * least >= 4 * most) & ((9 * differ <= most + least) | (most == 0xFFFF))
+    return mine.join(every, (mine.crowd == every.crowd) & (F.col("later") != F.col("earlier")) & may).select(
+        "later", "earlier").distinct()
 
 
 def _asked(filter_: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -304,11 +319,11 @@ def _asked(filter_: np.ndarray, refs: np.ndarray) -> np.ndarray:
 
 
 def _filter_of(refs: DataFrame) -> np.ndarray:
-    """A filter of 2**ASKED_BITS bits, one megabyte, with the refs of column ``ref``."""
+    """A filter of 2**ASKED_BITS bits, one megabyte, with the refs of all columns."""
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << ASKED_BITS, dtype=bool)
-        for batch in batches:
-            held[mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - ASKED_BITS)] = True
+        for column in (c for batch in batches for c in batch.columns):
+            held[mix(column.to_numpy().view(np.uint64)) >> np.uint64(64 - ASKED_BITS)] = True
         words = np.packbits(held, bitorder="little").view(np.int64)
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["word", "bits"])
@@ -396,9 +411,9 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     text has no lines; an empty table gives none; other columns are not read.
 
     Equal sets are found by name. The others meet by the words of their prefixes, and
-    each proposes the earliest line that it may match; what that confirms is settled.
-    Lines still open then meet the rest of their proposals and, where an entry left some
-    out, all lines of their words: nothing that may match is passed over.
+    each proposes the earliest lines that it may match; what the best of them confirms is
+    settled. Lines still open then meet the rest of their proposals and, where a word had
+    more, all lines of that word: nothing that may match is passed over.
     """
     session = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
@@ -409,32 +424,26 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     numeric = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
     orders = sorted(set(rows.approxQuantile("id", [i / 255 for i in range(1, 255)], 1e-3))) if numeric else []
     shards = SHARDS_PER_PARTITION * int(session.conf.get("spark.sql.shuffle.partitions"))
-    offers = settled(
-        _proposals(_entries(rows, rarity, orders, shards)).groupBy("later", "earlier")
-        .agg(F.min("score").alias("score"), F.max("more").alias("more")), "line-offers")
-    pairs = offers.filter("later <> earlier")
-    refs = pairs.select(F.explode(F.array("later", "earlier")).alias("ref"))
-    sets = settled(_sets(rows, _filter_of(refs)), "line-sets")
-
-    best = pairs.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
+    found = settled(_proposals(_entries(rows, rarity, orders, shards)), "line-proposals")
+    crowds = found.filter("crowd is not null")
+    offers = found.filter("crowd is null").groupBy("later", "earlier").agg(
+        F.min("score").alias("score"), F.max("more").alias("more"))
+    offers = settled(offers, "line-offers")
+    sets = settled(_sets(rows, _filter_of(found.select("later", F.coalesce("earlier", "later")))), "line-sets")
+
+    best = offers.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
     lost = settled(_losers(best.select("later", "best.earlier"), sets), "line-lost")
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     still = settled(offers.join(gone, "later", "left_anti"), "line-still")
-    lost = lost.unionByName(settled(_losers(still.filter("later <> earlier").select("later", "earlier"), sets), "line-lost"))
+    lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets), "line-lost"))
 
     gone = lost.select(F.col("set_a").alias("later")).distinct()
-    unsure = still.filter("more").select("later").distinct().join(gone, "later", "left_anti")
-    unsure = settled(unsure.withColumnRenamed("later", "ref"), "line-open")
-    if not unsure.isEmpty():
-        every = settled(
-            _proposals(_entries(rows, rarity, orders, shards), _filter_of(unsure)).select("later", "earlier").distinct(),
-            "line-every")
-        sets = settled(_sets(rows, _filter_of(every.select(F.explode(F.array("later", "earlier")).alias("ref")))), "line-sets")
-        lost = lost.unionByName(settled(_losers(every, sets), "line-lost"))
+    unsure = crowds.filter("more").select("later").distinct().join(gone, "later", "left_anti")
+    lost = settled(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct(), "line-lost")
 
     place = F.struct("id", "body", "number")
     firsts = lines.groupBy(*KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.join(lost.distinct().withColumn("lost", F.lit(True)), KEY, "left")
+    firsts = firsts.join(lost.withColumn("lost", F.lit(True)), KEY, "left")
     firsts = firsts.filter(F.col("lost") | (F.col("first") < F.col("last")))
     removed = (
         lines.join(firsts, KEY).filter(F.coalesce("lost", F.lit(False)) | (place > F.col("first")))
