@@ -8,6 +8,7 @@ from checks.registry import check
 from checks.texts import as_of
 from ledgerline.operators import changes, quality, rules
 from ledgerline.plans import ingest, migrate, poll
+from ledgerline.schemas import TABLES
 from ledgerline.session import new_dir
 from ledgerline.sources.store import Store
 
@@ -197,6 +198,44 @@ def migrated_events(i):
         "run_id", "iteration_num", "step", "step_status", "ts", "summary")
 
 
+def merged(i):
+    """Into a ledger that has half of the flows and all runs, with the ids that the files state."""
+    catalogued = i("b_legacy_flows").filter("source_path IS NOT NULL").select(
+        F.col("source_path").alias("path"), F.col("old_id").alias("flow_id"))
+    flows = i("b_flows").filter("CAST(flow_id AS BIGINT) % 2 = 0")
+    history = i("b_legacy_attempts").withColumn("attempt_id", F.concat(F.lit("old-"), F.col("attempt_id")))
+    return migrate.migrate(flows, i("b_runs"), i("b_iterations"), i("b_legacy_flows"), history, as_of(), catalogued)
+
+
+MERGED = """
+ids AS (SELECT *, CASE WHEN source_path IS NOT NULL THEN old_id ELSE md5(flow_name) END AS new_id,
+  CASE status WHEN 'CONVERTING' THEN 'RUNNING' WHEN 'NEEDS_ATTENTION' THEN 'NEEDS_HUMAN' ELSE status END AS new_status FROM b_legacy_flows),
+held AS (SELECT * FROM b_flows WHERE CAST(flow_id AS BIGINT) % 2 = 0)"""
+
+
+@check("u7_merged_flows", f"""WITH {MERGED}
+SELECT coalesce(i.new_id, h.flow_id) AS flow_id, coalesce(i.flow_name, h.flow_name) AS flow_name, coalesce(i.new_status, h.status) AS status,
+  h.current_run_id, CASE WHEN i.new_id IS NOT NULL THEN {AS_OF} ELSE h.updated_ts END AS updated_ts
+FROM held h FULL OUTER JOIN ids i ON i.new_id = h.flow_id""")
+def merged_flows(i):
+    return merged(i)["flows"].select("flow_id", "flow_name", "status", "current_run_id", "updated_ts")
+
+
+@check("u7_merged_runs", f"""WITH {MERGED}
+SELECT run_id, flow_id, job_run_id, status FROM b_runs
+UNION ALL SELECT 'old-' || a.attempt_id, i.new_id, a.job_id, CASE WHEN a.status IN ('CREATING','RUNNING','SUCCESS','FAILED','CANCELLED') THEN a.status
+  ELSE 'FAILED' END FROM b_legacy_attempts a JOIN ids i ON i.flow_name = a.flow_name""")
+def merged_runs(i):
+    return merged(i)["runs"].select("run_id", "flow_id", "job_run_id", "status")
+
+
+@check("u7_merged_events", f"""WITH {MERGED}
+SELECT run_id, iteration_num, step FROM b_iterations
+UNION ALL SELECT 'old-' || a.attempt_id, 1, 'migration_placeholder' FROM b_legacy_attempts a JOIN ids i ON i.flow_name = a.flow_name""")
+def merged_events(i):
+    return merged(i)["events"].select("run_id", "iteration_num", "step")
+
+
 @check("u7_left_out", f"""WITH {MIGRATED}
 SELECT run_id AS attempt_id, flow_name FROM moved_runs WHERE flow_id IS NULL""")
 def migration_left_out(i):
@@ -778,6 +817,16 @@ def null_report(i):
     return quality.null_report({"flows": flows, "runs": runs})
 
 
+LEDGER_VIEWS = {t: v for t, v, _ in KEYED}
+
+
+@check("dq3_null_report_of_all_tables", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, count(*) FILTER ({f.name} IS NULL) AS null_rows FROM {v}"
+    for t, v in LEDGER_VIEWS.items() for f in TABLES[t].fields if not f.nullable))
+def null_report_of_all_tables(i):
+    return quality.null_report(i.ledger())
+
+
 @check("dq4_link_report", """
 WITH fin AS (SELECT * FROM b_runs WHERE status IN ('SUCCESS','FAILED','CANCELLED'))
 SELECT 'runs' AS child, 'flow_id' AS child_column, 'flows' AS parent, count(*) AS orphan_count FROM fin WHERE flow_id NOT IN (SELECT flow_id FROM b_flows)

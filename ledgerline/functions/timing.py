@@ -25,6 +25,11 @@ def run_key(flow: Column, ts: Column) -> Column:
     return fill(RUN_KEY, flow=flow, seconds=epoch_seconds(ts))
 
 
+def base_run_key(run_id: Column) -> Column:
+    """A run id without the place that tells runs of one second apart."""
+    return F.regexp_replace(run_id, "(_run_[0-9]+)_[0-9]+$", "$1")
+
+
 def attempt_key(flow: Column, ts: Column) -> Column:
     return fill(ATTEMPT_KEY, flow=flow, seconds=epoch_seconds(ts))
 

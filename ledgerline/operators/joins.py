@@ -28,13 +28,15 @@ def status_snapshot(flows: DataFrame, runs: DataFrame, events: DataFrame) -> Dat
     """Where every flow stands: its row, its current run and the run's last event.
 
     A flow without a run, or whose run has no job yet, has no step. A finished
-    run shows step, summary and iteration only.
+    run shows step, summary and iteration only. Events of runs that no flow points to
+    are left out before they are ranked: history grows, current runs do not.
     """
+    pointers = flows.select(present(F.col("current_run_id")).alias("run_id")).filter(F.col("run_id").isNotNull())
+    live = runs.filter(present(F.col("job_run_id")).isNotNull()).select(
+        "run_id", F.col("status").alias("run_status")).join(pointers, "run_id", "left_semi")
     last = latest_events(
         events.select("run_id", "iteration_num", "ts", "event_seq", "step", "step_status",
-                      "summary", "error"))
-    live = runs.filter(present(F.col("job_run_id")).isNotNull()).select(
-        "run_id", F.col("status").alias("run_status"))
+                      "summary", "error").join(live.select("run_id"), "run_id", "left_semi"))
     finished = F.col("run_status").isin(TERMINAL_RUN)
     right = live.join(last, "run_id", "left").select(
         "run_id", "run_status",

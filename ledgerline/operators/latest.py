@@ -102,18 +102,14 @@ def next_iteration(runs: DataFrame, events: DataFrame) -> DataFrame:
 
 def last_written(artifacts: DataFrame, tie_break: Sequence[str] = ()) -> DataFrame:
     """The row that wins when the same path was written several times."""
-    rest = [c for c in artifacts.columns if c != "artifact_ref"]
-    order = F.struct("ts", *tie_break)
-    return (
-        artifacts.groupBy("artifact_ref")
-        .agg(F.max_by(F.struct(*rest), order).alias("_last"))
-        .select("artifact_ref", *[F.col(f"_last.{c}").alias(c) for c in rest])
-    )
+    return top_rows(artifacts, ["artifact_ref"], [F.desc(c) for c in ("ts", *tie_break)], 1)
 
 
 def newest_run(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("flow_id").agg(
-        F.max_by("run_id", F.struct("start_ts", "run_id")).alias("newest_run_id"))
+    """The run with the latest start of every flow; of equal starts the highest id."""
+    newest = top_rows(runs.select("flow_id", "start_ts", "run_id"), ["flow_id"],
+                      [F.desc("start_ts"), F.desc("run_id")], 1)
+    return newest.select("flow_id", F.col("run_id").alias("newest_run_id"))
 
 
 def stale_pointers(flows: DataFrame, runs: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.status import present
 from ledgerline.functions.text import fill, logs_path
-from ledgerline.functions.timing import attempt_key, epoch_seconds, run_key
+from ledgerline.functions.timing import attempt_key, base_run_key, epoch_seconds, run_key
 from ledgerline.operators.joins import with_current_run
-from ledgerline.operators.latest import latest_events
+from ledgerline.operators.latest import latest_events, top_rows
 from ledgerline.operators.lookup import identifiers
 from ledgerline.schemas import (
     ACTIVE_JOB, AGENT_LIMIT_S, EXECUTION_LIMIT_S, MAX_ITERATIONS, TERMINAL_RUN,
@@ -79,13 +79,14 @@ def admit(requests: DataFrame, flows: DataFrame, no_source: str = NO_SOURCE) ->
     )
 
 
-def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None = None
-               ) -> dict[str, DataFrame]:
+def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None = None,
+               runs: DataFrame | None = None) -> dict[str, DataFrame]:
     """Rows of every accepted start: new run, flow update, first event.
 
     ``launches`` (flow_id, job_run_id, error) is what starting the job gave; an
     error, or a flow without a launch row, leaves a failed run and a flow for a
-    human.
+    human. Run ids have a resolution of one second; with ``runs``, the runs so far, a
+    flow that is started again within it gets its place as an ending.
     """
     accepted = admitted.filter("accepted").select("flow_id", "flow_name")
     if launches is None:
@@ -98,9 +99,14 @@ def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None =
         started = present(F.col("job_run_id")).isNotNull() & F.col("error").isNull()
     rows = outcome.withColumns({
         "run_id": run_key(F.col("flow_id"), as_of), "started": started, "ts": as_of})
+    if runs is not None:
+        taken = runs.groupBy(base_run_key(F.col("run_id")).alias("run_id")).agg(F.count("*").alias("_taken"))
+        place = F.concat(F.lit("_"), (F.col("_taken") + 1).cast("string"))
+        rows = rows.join(taken, "run_id", "left").withColumn(
+            "run_id", F.concat("run_id", F.coalesce(place, F.lit(""))))
     status = (F.when(~F.col("started"), "FAILED")
               .when(F.col("job_run_id").isNull(), "CREATING").otherwise("QUEUED"))
-    runs = rows.select(
+    new_runs = rows.select(
         "run_id", "flow_id", F.when(F.col("started"), F.col("job_run_id")).alias("job_run_id"),
         F.col("ts").alias("start_ts"), F.when(F.lit(False), as_of).alias("end_ts"),
         status.alias("status"))
@@ -115,7 +121,7 @@ def start_rows(admitted: DataFrame, as_of: Column, launches: DataFrame | None =
         F.when(~F.col("started"), F.coalesce("error", F.lit(NOT_CREATED))
                ).alias("error"),
         F.lit(1).cast("long").alias("event_seq"))
-    return {"runs": runs, "flows": flow_updates, "events": events}
+    return {"runs": new_runs, "flows": flow_updates, "events": events}
 
 
 def new_attempts(accepted: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
@@ -166,16 +172,11 @@ def agent_call_check(calls: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- next action
 def iteration_outcomes(executions: DataFrame) -> DataFrame:
     """The last execution result of every (run_id, iteration_num)."""
-    result = F.struct("status", "runtime_s", "error", "logs_ref")
-    order = F.struct("ts", "job_type", "runtime_s", "error")
-    return (
-        executions.groupBy("run_id", "iteration_num")
-        .agg(F.max_by(result, order).alias("_r"))
-        .select("run_id", "iteration_num", F.col("_r.status").alias("outcome"),
-                F.col("_r.runtime_s").alias("runtime_s"),
-                F.col("_r.error").alias("outcome_error"),
-                F.col("_r.logs_ref").alias("logs_ref"))
-    )
+    last = top_rows(executions, ["run_id", "iteration_num"],
+                    [F.desc(c) for c in ("ts", "job_type", "runtime_s", "error")], 1)
+    return last.select(
+        "run_id", "iteration_num", F.col("status").alias("outcome"), "runtime_s",
+        F.col("error").alias("outcome_error"), "logs_ref")
 
 
 def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,

@@ -77,7 +77,7 @@ def apply(tables: dict[str, DataFrame], decisions: DataFrame, as_of: Column,
 def start(tables: dict[str, DataFrame], admitted: DataFrame, as_of: Column,
           launches: DataFrame | None = None) -> dict[str, DataFrame]:
     """Next flows, and rows to add to runs and events, for accepted starts."""
-    rows = start_rows(admitted, as_of, launches)
+    rows = start_rows(admitted, as_of, launches, tables["runs"])
     return {"flows": update_flows(tables["flows"], rows["flows"], as_of),
             "runs": rows["runs"], "events": rows["events"]}
 

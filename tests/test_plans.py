@@ -61,7 +61,10 @@ def test_snapshot_shuffles_each_table_once(spark, i):
     path = spark.sparkContext._gateway.jvm.java.io.File.createTempFile("flows", "").getPath()
     i("b_flows").write.mode("overwrite").parquet(path)
     text = plan(joins.status_snapshot(spark.read.parquet(path), i("b_runs"), i("b_iterations")))
-    assert text.count("Exchange hashpartitioning") == 3
+    # flows, events, and for each of their two uses the current runs and the pointers to them
+    assert text.count("Exchange hashpartitioning") == 6
+    ranked, scan = text.index("row_number"), text.rindex("iteration_num")
+    assert ranked < text.index("LeftSemi", ranked) < scan      # events are left out before they are ranked
 
 
 def test_point_lookup_reaches_the_scan(spark, folder):
@@ -104,11 +107,11 @@ def test_library_keeps_to_distributed_calls():
 
 
 def test_driver_reads_are_bounded():
-    """``collect`` is used for table names and event dates only."""
-    found = {(source.name, line.strip()) for source in SOURCES.rglob("*.py")
+    """``collect`` is used for table names only."""
+    found = {(source.name, line.strip()) for source in SOURCES.rglob("*.py") if "llm" not in source.parts
              for line in source.read_text().splitlines() if ".collect()" in line}
-    assert {name for name, _ in found} <= {"store.py", "events.py"}
-    assert len(found) == 2
+    assert {name for name, _ in found} <= {"store.py"}
+    assert len(found) == 1
 
 
 def test_row_counts_need_no_columns(i):

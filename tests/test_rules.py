@@ -263,3 +263,14 @@ def test_scan_gate(spark):
             (1, "c", "PASSED", '{"severity":9}'), (2, "a", "PASSED", None)]])
     got = [tuple(r) for r in rules.scan_gate(scans).collect()]
     assert got == [("r", 1, 2, 3, "sast_blocked")]
+
+
+def test_runs_of_one_second_have_ids_of_their_own(spark):
+    admitted = spark.createDataFrame([(True, "a", "n"), (True, "b", "m")], "accepted boolean, flow_id string, flow_name string")
+    runs, ids = table(spark, "runs"), []
+    for _ in range(3):
+        new = rules.start_rows(admitted, now(), runs=runs)["runs"]
+        ids.append(sorted(r["run_id"] for r in new.collect()))
+        runs = runs.unionByName(new.filter("flow_id = 'a'"), allowMissingColumns=True)
+    seconds = ids[0][0].removeprefix("a_run_")
+    assert ids == [[f"a_run_{seconds}{end}", f"b_run_{seconds}"] for end in ("", "_2", "_3")]

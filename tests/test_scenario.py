@@ -68,7 +68,10 @@ def test_flow_from_start_to_done(spark):
     # 4 the scan passes
     wrote("scans", iteration_num=1, artifact_ref="processor_1.py", scan_status="PASSED")
     assert rules.scan_gate(store.read("scans")).isEmpty()
-    # 5 the execution fails, 6 so the errors are fixed
+    # 5 the poll comes before the result, and again; then the execution fails, 6 so the errors are fixed
+    step("j1", "TERMINATED", "SUCCESS")
+    step("j1", "TERMINATED", "SUCCESS")
+    assert [r["step_status"] for r in store.read("events").filter("step = 'execute_notebooks'").collect()] == ["RUNNING"]
     wrote("executions", iteration_num=1, job_type="validation_job", status="FAILED")
     step("j1", "TERMINATED", "SUCCESS", launch=(2, "j2"))
     last = rules.latest_of(store.read("events")).first()
