@@ -372,18 +372,37 @@ def _far(a: str, b: str) -> Column:
         F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SIGNATURE_WORDS)))
 
 
-def _losers(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """KEY of the later line of each pair ``later, earlier`` whose words reach 0.8."""
+def _only(sets: DataFrame, asked: np.ndarray) -> DataFrame:
+    """The sets in the filter: what a join need not move."""
+    shared = sets.sparkSession.sparkContext.broadcast(asked)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refs = batch.column(batch.schema.get_field_index("ref")).to_numpy().view(np.uint64)
+            yield batch.filter(pa.array(_asked(shared.value, refs)))
+
+    return sets.mapInArrow(keep, sets.schema)
+
+
+def _losers(pairs: DataFrame, sets: DataFrame, told_apart: bool = True) -> DataFrame:
+    """KEY of the later line of each pair ``later, earlier`` whose words reach 0.8.
+
+    ``told_apart``: compare wide bitmaps before words, for pairs of which few will reach it.
+    """
+    pairs = settled(pairs, "line-pairs")
+    sets = settled(_only(sets, _filter_of(pairs)), "line-asked")
+
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("ref").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    near = (
-        pairs.join(side("later", "size", "wide"), "later").join(side("earlier", "size", "wide"), "earlier")
-        .filter(9 * _far("wide_later", "wide_earlier") <= F.col("size_later") + F.col("size_earlier"))
-        .select("later", "earlier")
-    )
+    if told_apart:
+        pairs = (
+            pairs.join(side("later", "size", "wide"), "later").join(side("earlier", "size", "wide"), "earlier")
+            .filter(9 * _far("wide_later", "wide_earlier") <= F.col("size_later") + F.col("size_earlier"))
+            .select("later", "earlier")
+        )
     every = (*KEY, "place", "words")
-    joined = near.join(side("later", *every), "later").join(side("earlier", *every), "earlier")
+    joined = pairs.join(side("later", *every), "later").join(side("earlier", *every), "earlier")
     second = F.col("place_later") > F.col("place_earlier")
     loser = [F.when(second, F.col(f"{c}_later")).otherwise(F.col(f"{c}_earlier")).alias(c) for c in KEY]
 
@@ -432,7 +451,7 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     sets = settled(_sets(rows, _filter_of(found.select("later", F.coalesce("earlier", "later")))), "line-sets")
 
     best = offers.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
-    lost = settled(_losers(best.select("later", "best.earlier"), sets), "line-lost")
+    lost = settled(_losers(best.select("later", "best.earlier"), sets, told_apart=False), "line-lost")
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     still = settled(offers.join(gone, "later", "left_anti"), "line-still")
     lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets), "line-lost"))

@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 17        # bytes hashed at once
-SLICE_BYTES = 1 << 19    # bytes of text in one slice of a batch, one text at least
+SEGMENT = 1 << 18        # bytes hashed at once
+SLICE_BYTES = 2 << 20    # bytes of text in one slice of a batch, one text at least
 
 _rng = np.random.default_rng(20240607)
 SPACE = np.zeros(256, dtype=bool)
