@@ -67,7 +67,8 @@ def read_definitions(i):
 @check("s1_scan_report", f"""WITH {DOCUMENTS},
 bad AS (SELECT count(*) AS n FROM docs WHERE form = 'broken')
 SELECT 'text' AS state, count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM docs
-UNION ALL SELECT 'not text', n, 3 * n FROM bad UNION ALL SELECT 'empty', n, 0 FROM bad UNION ALL SELECT 'hidden', n, 2 * n FROM bad""")
+UNION ALL SELECT 'not text', n, 3 * n FROM bad WHERE n > 0 UNION ALL SELECT 'empty', n, 0 FROM bad WHERE n > 0
+UNION ALL SELECT 'hidden', n, 2 * n FROM bad WHERE n > 0""")
 def scan_report(i):
     """For each broken document also a file of bytes, an empty one and a hidden one."""
     base = written_definitions(i, "reported")
