@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.settle import settled
+from ledgerline.llm.settle import held, settled
 from ledgerline.llm.words import Words, hash_spans, mix, row_order, slices, text_bytes, words_in
 
 RARITY_BITS = 20             # counters of words: 2**20
@@ -389,8 +389,8 @@ def _losers(pairs: DataFrame, sets: DataFrame, told_apart: bool = True) -> DataF
 
     ``told_apart``: compare wide bitmaps before words, for pairs of which few will reach it.
     """
-    pairs = settled(pairs, "line-pairs")
-    sets = settled(_only(sets, _filter_of(pairs)), "line-asked")
+    pairs = held(pairs)
+    sets = _only(sets, _filter_of(pairs))
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("ref").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
@@ -447,23 +447,24 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     crowds = found.filter("crowd is not null")
     offers = found.filter("crowd is null").groupBy("later", "earlier").agg(
         F.min("score").alias("score"), F.max("more").alias("more"))
-    offers = settled(offers, "line-offers")
+    offers = held(offers)
     sets = settled(_sets(rows, _filter_of(found.select("later", F.coalesce("earlier", "later")))), "line-sets")
 
     best = offers.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
-    lost = settled(_losers(best.select("later", "best.earlier"), sets, told_apart=False), "line-lost")
+    lost = held(_losers(best.select("later", "best.earlier"), sets, told_apart=False))
     gone = lost.select(F.col("set_a").alias("later")).distinct()
-    still = settled(offers.join(gone, "later", "left_anti"), "line-still")
-    lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets), "line-lost"))
+    still = held(offers.join(gone, "later", "left_anti"))
+    lost = lost.unionByName(held(_losers(still.select("later", "earlier"), sets)))
 
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     unsure = crowds.filter("more").select("later").distinct().join(gone, "later", "left_anti")
-    lost = settled(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct(), "line-lost")
+    lost = held(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct())
 
     place = F.struct("id", "body", "number")
     firsts = lines.groupBy(*KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.join(lost.withColumn("lost", F.lit(True)), KEY, "left")
-    firsts = firsts.filter(F.col("lost") | (F.col("first") < F.col("last")))
+    # kept, so that the join below stands alone and a line that many documents have is split
+    firsts = held(firsts.filter(F.col("lost") | (F.col("first") < F.col("last"))).drop("last"))
     removed = (
         lines.join(firsts, KEY).filter(F.coalesce("lost", F.lit(False)) | (place > F.col("first")))
         .groupBy(F.col("id").alias("of"), F.col("body").alias("in")).agg(F.sort_array(F.collect_set("number")).alias("removed"))

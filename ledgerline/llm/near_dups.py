@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
-from ledgerline.llm.settle import settled
+from ledgerline.llm.settle import held, settled
 from ledgerline.llm.words import distinct_in_rows, grams, mix, slices, words_of
 
 PERMUTATIONS = 128
@@ -237,20 +237,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     centres = members.join(weights, "rep").groupBy("band").agg(
         F.max(F.struct("weight", "rep")).alias("centre")).select("band", F.col("centre.rep").alias("b"))
-    star = settled(
+    star = held(
         members.join(centres, "band").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
         .join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
         .join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
         .select("a", "b", matches("low_a", "low_b").alias("alike"))
-        .filter(F.col("alike") >= LEAST_MATCHES), "near-star")
+        .filter(F.col("alike") >= LEAST_MATCHES))
     best = star.groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("unlike"), "b")).alias("best"))
-    best = settled(best.select("a", "best.b"), "near-best")
-    links = settled(_confirmed(best, sets), "near-links")
+    best = held(best.select("a", "best.b"))
+    links = held(_confirmed(best, sets))
     comps = components(links, "a", "b")
 
     # then the other centres, where they are of another component
     others = _apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
-    links = settled(links.unionByName(_confirmed(others, sets)), "near-links")
+    links = held(links.unionByName(_confirmed(others, sets)))
     comps = components(links, "a", "b")
 
     # then all sets that open bands connect, in blocks, where they are of different components
@@ -262,14 +262,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
         placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .filter("least < most")
     )
-    left = settled(placed.join(open_bands.select("band", "least"), "band").select("rep", "component", "least"), "near-open")
+    left = held(placed.join(open_bands.select("band", "least"), "band").select("rep", "component", "least"))
     clusters = components(left.select("component", "least"), "component", "least")
     links = links.unionByName(_linked_in(
         left.select("rep", "component").distinct()
         .join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component", "left")
         .withColumn("cluster", F.coalesce("cluster", "component"))
         .join(low, "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")))
-    comps = components(settled(links, "near-links"), "a", "b")
+    comps = components(held(links), "a", "b")
 
     named = signed.select("id", *name).join(classes.select(*name, "rep"), name, "left")
     found = named.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")

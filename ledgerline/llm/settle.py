@@ -1,7 +1,8 @@
-"""Intermediate tables that outlive the executors that made them."""
+"""Intermediate tables."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ledgerline.session import new_dir
@@ -12,7 +13,16 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs no recomputation, and every later use reads
     the same rows. The folder lies below ``spark.checkpoint.dir``, whose owner clears it.
+    For what is dear to make or large.
     """
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df``, kept by the executors once it is made; what a lost one had is made again.
+
+    For small tables that are used several times, which would cost a file for each task.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
