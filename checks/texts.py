@@ -208,6 +208,19 @@ SELECT path, form <> 'broken' AS valid, CASE form WHEN 'controller' THEN 'flowCo
 UNION ALL SELECT 'page ' || CAST(page_id AS VARCHAR), false, NULL FROM pages
 UNION ALL SELECT 'wrapped ' || CAST(page_id AS VARCHAR), false, 'page' FROM pages""")
 def validity_of_files(i):
+    return judged_files(i).select("path", "valid", "root")
+
+
+@check("c3_messages", """
+SELECT path, CASE WHEN form = 'broken' THEN 'Invalid XML: ' ELSE 'Valid definition XML file' END AS message FROM b_paths
+UNION ALL SELECT 'page ' || CAST(page_id AS VARCHAR), 'Invalid XML: ' FROM pages
+UNION ALL SELECT 'wrapped ' || CAST(page_id AS VARCHAR), 'Not a valid definition XML file' FROM pages""")
+def messages_of_files(i):
+    """Messages; of a parser's own words only what stands before them."""
+    return judged_files(i).select("path", F.regexp_replace("message", "(?s)^(Invalid XML: ).*", "$1").alias("message"))
+
+
+def judged_files(i):
     """Definitions, web pages (not well formed) and well-formed text with another root."""
     pages = i("pages").select(
         F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("path"),
@@ -216,8 +229,8 @@ def validity_of_files(i):
         F.concat(F.lit("wrapped "), F.col("page_id").cast("string")).alias("path"),
         F.concat(F.lit("<page><![CDATA["), F.col("html"), F.lit("]]></page>")).alias("content"))
     every = i.definitions().select("path", "content").unionByName(pages).unionByName(wrapped)
-    parsed = ingest.parsed_files(every)
-    return parsed.select("path", validity(F.col("parsed"))["valid"].alias("valid"),
+    parsed, check = ingest.parsed_files(every), validity(F.col("parsed"))
+    return parsed.select("path", check["valid"].alias("valid"), check["message"].alias("message"),
                          F.col("parsed.root").alias("root"))
 
 
