@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.settle import held
+from ledgerline.llm.settle import settled
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,12 +20,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u <> v").distinct()
     )
-    edges, before = held(edges), None
+    edges, before = settled(edges, "components", small=True), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before, old = now, edges
+        before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
@@ -34,9 +34,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         )
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("u"), "v", "m")
-        edges = held(
+        edges = settled(
             small.select("u", F.col("m").alias("v"))
-            .unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        edges.count()
-        old.unpersist()
+            .unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(),
+            "components", small=True)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame
 from ledgerline.session import new_dir
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
+FILES_SHARE = 16             # shuffle partitions that a small table has one file for
+
+
+def settled(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """``df``, written once to the shared folder of the session and read again.
 
     Cuts the lineage: a lost executor costs no recomputation, and every later use reads
     the same rows. The folder lies below ``spark.checkpoint.dir``, whose owner clears it.
-    For what is dear to make or large.
+    For what is large, dear to make, or made in a loop; ``small`` tables get fewer files.
     """
+    if small:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(1 + partitions // FILES_SHARE)
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -23,6 +29,7 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 def held(df: DataFrame) -> DataFrame:
     """``df``, kept by the executors once it is made; what a lost one had is made again.
 
-    For small tables that are used several times, which would cost a file for each task.
+    For small tables that are used a few times, which would cost a file for each task. Not
+    for loops: the plan of what is kept still grows.
     """
     return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.settle import held
+from ledgerline.llm.settle import settled
 
 DEPTH = 3                    # segments of a path that have a node of their own; the rest is one tail
 VARIABLE_VALUES = 8          # a place with more different segments than this
@@ -72,7 +72,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("t0", F.lit(""))
     )
-    nodes = held(nodes)
+    nodes = settled(nodes, "url-shapes", small=True)
     for depth in range(DEPTH + 1):
         parent, here = f"t{depth}", F.get(F.col("shape"), F.lit(depth))
         nodes = nodes.withColumn("segment", F.coalesce(here, F.lit("")))
@@ -84,7 +84,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
             F.when(here.isNull(), F.col(parent)).otherwise(
                 F.concat_ws("/", parent, F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment")))),
         ).drop("varies", "segment")
-        nodes = held(nodes)     # else the plan doubles with each level
+        nodes = settled(nodes, f"url-level-{depth}", small=True)     # else the plan doubles with each level
 
     total = nodes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()     # one row
     every = F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2))
