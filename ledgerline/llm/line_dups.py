@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.settle import held, settled
+from ledgerline.llm.settle import settled
 from ledgerline.llm.words import Words, hash_spans, mix, row_order, slices, text_bytes, words_in
 
 RARITY_BITS = 20             # counters of words: 2**20
@@ -235,12 +235,15 @@ def _proposals(entries: DataFrame) -> DataFrame:
 
         blobs = [v.as_py() for batch in batches for v in batch.column(1)]
         e = np.frombuffer(b"".join(blobs), ENTRY)
-        # by word, size, then set: copies of a set stand together and count once, with the least order
-        e = e[np.lexsort((e["order"], e["ref"], e["token"].astype(np.uint64) << np.uint64(16) | e["size"]))]
+        # by word, size, then set (16 bits of its name): copies of a set count once, with the least order
+        e = e[np.argsort(e["token"].astype(np.uint64) << np.uint64(32) | e["size"].astype(np.uint64) << np.uint64(16)
+                         | e["ref"] >> np.uint64(48))]
         if len(e):
             fresh = np.ones(len(e), dtype=bool)
             fresh[1:] = (e["token"][1:] != e["token"][:-1]) | (e["ref"][1:] != e["ref"][:-1])
+            least = np.minimum.reduceat(e["order"], np.flatnonzero(fresh))
             e = e[fresh]
+            e["order"] = least
         n, size, token = len(e), e["size"].astype(np.int64), e["token"]
         best = np.full((n, PARTNERS), FAR, dtype=np.int64)
         partner = np.zeros((n, PARTNERS), dtype=np.int64)
@@ -389,8 +392,8 @@ def _losers(pairs: DataFrame, sets: DataFrame, told_apart: bool = True) -> DataF
 
     ``told_apart``: compare wide bitmaps before words, for pairs of which few will reach it.
     """
-    pairs = held(pairs)
-    sets = _only(sets, _filter_of(pairs))
+    pairs = settled(pairs, "line-pairs", small=True)
+    sets = settled(_only(sets, _filter_of(pairs)), "line-asked")
 
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("ref").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
@@ -447,24 +450,24 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     crowds = found.filter("crowd is not null")
     offers = found.filter("crowd is null").groupBy("later", "earlier").agg(
         F.min("score").alias("score"), F.max("more").alias("more"))
-    offers = held(offers)
+    offers = settled(offers, "line-offers", small=True)
     sets = settled(_sets(rows, _filter_of(found.select("later", F.coalesce("earlier", "later")))), "line-sets")
 
     best = offers.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
-    lost = held(_losers(best.select("later", "best.earlier"), sets, told_apart=False))
+    lost = settled(_losers(best.select("later", "best.earlier"), sets, told_apart=False), "line-lost", small=True)
     gone = lost.select(F.col("set_a").alias("later")).distinct()
-    still = held(offers.join(gone, "later", "left_anti"))
-    lost = lost.unionByName(held(_losers(still.select("later", "earlier"), sets)))
+    still = settled(offers.join(gone, "later", "left_anti"), "line-still", small=True)
+    lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets), "line-lost", small=True))
 
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     unsure = crowds.filter("more").select("later").distinct().join(gone, "later", "left_anti")
-    lost = held(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct())
+    lost = settled(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct(), "line-lost", small=True)
 
     place = F.struct("id", "body", "number")
     firsts = lines.groupBy(*KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.join(lost.withColumn("lost", F.lit(True)), KEY, "left")
-    # kept, so that the join below stands alone and a line that many documents have is split
-    firsts = held(firsts.filter(F.col("lost") | (F.col("first") < F.col("last"))).drop("last"))
+    # written, so that the join below stands alone and a line that many documents have is split
+    firsts = settled(firsts.filter(F.col("lost") | (F.col("first") < F.col("last"))).drop("last"), "line-firsts")
     removed = (
         lines.join(firsts, KEY).filter(F.coalesce("lost", F.lit(False)) | (place > F.col("first")))
         .groupBy(F.col("id").alias("of"), F.col("body").alias("in")).agg(F.sort_array(F.collect_set("number")).alias("removed"))
