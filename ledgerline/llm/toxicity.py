@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ledgerline.llm.words import SPACE, distinct_in_rows, grams, slices, words_of
+from ledgerline.llm.words import SPACE, distinct_in_rows, grams, slices, text_bytes, words_of
 
 BITS = 20                    # hashed features: 2**20
 SAMPLE_ROWS = 16_384         # labelled texts that the fit reads at most
@@ -110,13 +110,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     def learn(table: pa.Table) -> pa.Table:
         labels_ = table["label"].to_numpy()
-        texts = [np.frombuffer(v.as_py(), "<i4") for v in table["features"]]
+        texts = []                                         # views, no copies: the sample is held once
+        for chunk in table["features"].chunks:
+            data, ends = text_bytes(chunk)
+            texts += [data[a:b].view("<i4") for a, b in zip(ends, ends[1:])]
         model, order = Ftrl(), np.lexsort((np.array([len(t) for t in texts]), table["id"].to_pandas()))
         for epoch in range(EPOCHS):
             for i in np.random.default_rng(epoch).permutation(order):
                 model.learn(texts[i], labels_[i])
         w = model.weights(np.arange(model.size + 1))
         at = np.union1d(np.flatnonzero(w), [model.size])
+        texts.clear()
+        pa.default_memory_pool().release_unused()
         return pa.table({"bucket": pa.array(at, pa.int64()), "weight": pa.array(w[at], pa.float64())})
 
     kind = taught.schema["id"].dataType.simpleString()
