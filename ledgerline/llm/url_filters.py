@@ -11,6 +11,8 @@ from ledgerline.llm.settle import settled
 DEPTH = 3                    # segments of a path that have a node of their own; the rest is one tail
 VARIABLE_VALUES = 8          # a place with more different segments than this
 VARIABLE_SHARE = 0.1         # and more than this share of its pages is a wildcard
+OWN_PAGES = 8                # a segment of a wildcard place with so many pages keeps its node
+OWN_LABELS = 2               # or with so many labels
 SIMILAR_Z = 1.96             # siblings whose bad shares differ less than this are merged
 SMOOTHING = 8.0              # labelled pages that a parent's share counts for
 REJECT_SHARE = 0.5
@@ -57,7 +59,8 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``pages``: page_id, host, path; ``labels``: page_id, bad (boolean), one row a page.
     A place in a host's tree whose segments vary is a wildcard: more than VARIABLE_VALUES
-    different ones, and more than VARIABLE_SHARE of its pages. A branch whose bad share
+    different ones, and more than VARIABLE_SHARE of its pages. Only its rare segments share
+    the wildcard: one with OWN_PAGES pages or OWN_LABELS labels keeps a node. A branch whose bad share
     is like that of its parent (a z-test at SIMILAR_Z, or fewer than two labels) is
     merged with it and takes its share; else its own share is smoothed towards the parent's by SMOOTHING
     pages. The parent of a host is all pages.
@@ -76,14 +79,18 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         parent, here = f"t{depth}", F.get(F.col("shape"), F.lit(depth))
         nodes = nodes.withColumn("segment", F.coalesce(here, F.lit("")))
-        values = nodes.groupBy("host", parent, "segment").agg(F.sum("pages").alias("pages"))
+        values = nodes.groupBy("host", parent, "segment").agg(
+            F.sum("pages").alias("pages"),
+            ((F.sum("pages") < OWN_PAGES) & (F.sum("n") < OWN_LABELS)).alias("rare"))
         places = values.groupBy("host", parent).agg(
             ((F.count("*") > VARIABLE_VALUES) & (F.count("*") > VARIABLE_SHARE * F.sum("pages"))).alias("varies"))
-        nodes = nodes.join(places, ["host", parent]).withColumn(
+        wild = values.join(places, ["host", parent]).select(
+            "host", parent, "segment", (F.col("varies") & F.col("rare")).alias("wild"))
+        nodes = nodes.join(wild, ["host", parent, "segment"]).withColumn(
             f"t{depth + 1}",
             F.when(here.isNull(), F.col(parent)).otherwise(
-                F.concat_ws("/", parent, F.when(F.col("varies"), F.lit("*")).otherwise(F.col("segment")))),
-        ).drop("varies", "segment")
+                F.concat_ws("/", parent, F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment")))),
+        ).drop("wild", "segment")
         nodes = settled(nodes, f"url-level-{depth}", small=True)     # else the plan doubles with each level
 
     total = nodes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()     # one row

@@ -58,3 +58,23 @@ def test_edges(spark):
     got = sorted(((r["page_id"], r["host"], r["rule"], r["verdict"]) for r in judge(df, labels, URL_RULES).collect()), key=str)
     assert got == sorted([(None, "a.com", "com/", "allow")] + [(1, "", None, got[0][3])] * 2, key=str)
     assert judge(df.filter("false"), labels, URL_RULES).count() == 0
+
+
+def verdicts(spark, urls, labels):
+    """Rows of the judged urls by url; ``labels``: whether it is bad, by page number."""
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")
+    return {r["path"]: r for r in judge(rows, marks, ()).collect()}
+
+
+def letters(i):
+    return chr(97 + i // 26) + chr(97 + i % 26)
+
+
+def test_frequent_segments_keep_their_node_beside_rare_ones(spark):
+    """The pages below /good and /bad have equal names; 60 sections have one page each."""
+    urls = [f"http://h/{'bad' if i % 2 else 'good'}/page{i}" for i in range(120)] + [f"http://h/s{letters(i)}/page1" for i in range(60)]
+    got = verdicts(spark, urls, {i: i % 2 == 1 for i in range(80)})
+    assert {r["verdict"] for p, r in got.items() if p.startswith("/bad/")} == {"block"}
+    assert {r["verdict"] for p, r in got.items() if p.startswith("/good/")} == {"allow"}
+    assert {r["template"] for r in got.values()} == {"/bad/page#", "/good/page#", "/*/page#"}
