@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -17,7 +16,7 @@ SAMPLE_TEXTS = 64            # labelled texts of a language that the fit reads a
 EXCERPT_CHARS = 4_096        # characters of such a text
 TRAIN_CHARS = 60_000         # normalised characters of a language in its automaton
 ALL_CHARS = 2_400_000        # the same over all languages: bounds a worker's memory
-LETTERS = 62                 # distinct letters of an alphabet; others match nothing
+DENSE = 64                   # codes of a language that have a column in its table; the rest are looked up
 PIECE = 256                  # characters parsed in lockstep with other pieces
 UNKNOWN = "und"
 
@@ -27,8 +26,8 @@ def _normalised(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions (state, letter) of the automaton of all substrings; -1 where there is none.
+def suffix_edges(codes: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings.
 
     The root is state 0: a walk from it goes on as long as what it has read occurs in ``codes``.
     """
@@ -56,33 +55,78 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
         while state >= 0 and nexts[state].get(code) == follower:
             nexts[state][code] = clone
             state = links[state]
-    table = np.full((len(nexts), letters), -1, dtype=np.int32)
-    for state, edges in enumerate(nexts):
-        for code, to in edges.items():
-            table[state, code] = to
+    return nexts
+
+
+def _table(edges: list[dict[int, int]], letters: int) -> np.ndarray:
+    """Transitions (state, code) of the codes below ``letters``; -1 where there is none."""
+    table = np.full((len(edges), letters), -1, dtype=np.int32)
+    for state, some in enumerate(edges):
+        for code, to in some.items():
+            if code < letters:
+                table[state, code] = to
     return table
 
 
+def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
+    """Transitions (state, letter) of the automaton of all substrings; -1 where there is none."""
+    return _table(suffix_edges(codes), letters)
+
+
+class Automaton:
+    """All substrings of one language's text, over the letters of that language.
+
+    ``own`` maps the codes of all languages to those of this one: 0 a space, 1 a letter that
+    its text lacks, then its letters, the most frequent first. The first DENSE codes have
+    columns in a table, the transitions of the others stand sorted by state and code.
+    """
+
+    def __init__(self, codes: np.ndarray, kinds: int):
+        counts = np.bincount(codes, minlength=kinds)
+        counts[:2] = 0
+        known = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        self.own = np.ones(kinds, dtype=np.int64)
+        self.own[0] = 0
+        self.own[known] = np.arange(2, 2 + len(known))
+        self.letters = 2 + len(known)
+        edges = suffix_edges(self.own[codes])
+        self.width = min(self.letters, DENSE)
+        self.flat = _table(edges, self.width).ravel()
+        rest = sorted((state * self.letters + code, to) for state, some in enumerate(edges)
+                      for code, to in some.items() if code >= self.width)
+        self.keys = np.array([key for key, _ in rest], dtype=np.int64)
+        self.targets = np.array([to for _, to in rest], dtype=np.int32)
+
+    def after(self, state: np.ndarray | int, code: np.ndarray) -> np.ndarray:
+        """The states after reading own codes; -1 where there is no transition."""
+        if not len(self.keys):
+            return self.flat[state * self.width + code].astype(np.int64)
+        rare = code >= self.width
+        found = self.flat[state * self.width + np.where(rare, 1, code)].astype(np.int64)
+        if rare.any():
+            key = (state * self.letters + code)[rare]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found[rare] = np.where(self.keys[at] == key, self.targets[at], -1)
+        return found
+
+
 class Parser:
-    """Automata of all languages over one alphabet."""
+    """Automata of all languages; a code for every letter that one of them knows."""
 
     def __init__(self, texts: Mapping[str, str]):
         self.langs = sorted(texts)
-        self.kinds = np.zeros(0x110000, dtype=np.uint8)   # 0 a space, 1 unknown letter, else known
+        alphabet = sorted({c for t in texts.values() for c in t if c != " "})
+        kinds = 2 + len(alphabet)                         # 0 a space, 1 unknown letter, else known
+        self.kinds = np.zeros(0x110000, dtype=np.min_scalar_type(kinds))
         self.kinds[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
-        counts = Counter(c for t in texts.values() for c in t if c != " ")
-        alphabet = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        self.kinds[[ord(c) for c in alphabet]] = np.arange(2, 2 + len(alphabet))
-        self.tables = [suffix_automaton(self.codes(texts[lang]), 2 + LETTERS) for lang in self.langs]
-        for table in self.tables:
-            table[:, 1] = -1     # an unknown letter is no evidence for a language that has one too
+        self.kinds[[ord(c) for c in alphabet]] = np.arange(2, kinds)
+        self.tables = [Automaton(self.codes(texts[lang]), kinds) for lang in self.langs]
 
     def codes(self, text: str) -> np.ndarray:
         return self.kinds[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
 
-    def phrases(self, pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def phrases(self, pieces: np.ndarray, lengths: np.ndarray, table: Automaton) -> np.ndarray:
         """Number of longest-match phrases of each piece; pieces stand sorted, the longest first."""
-        flat, width = table.ravel(), table.shape[1]
         state = np.zeros(len(lengths), dtype=np.int64)
         count = np.zeros(len(lengths), dtype=np.int64)
         alive = np.searchsorted(-lengths, -np.arange(pieces.shape[1]), "left")
@@ -90,12 +134,12 @@ class Parser:
             n = alive[step]
             if not n:
                 break
-            code = pieces[:n, step].astype(np.int64)
-            after = flat[state[:n] * width + code].astype(np.int64)
+            code = table.own[pieces[:n, step]]
+            after = table.after(state[:n], code)
             broken = np.flatnonzero(after < 0)
             if len(broken):
                 count[broken] += state[broken] > 0        # the phrase before ends here
-                again = flat[code[broken]].astype(np.int64)
+                again = table.after(0, code[broken])
                 count[broken] += again < 0                # a character that never occurs is one
                 after[broken] = np.maximum(again, 0)
             state[:n] = after
@@ -119,7 +163,7 @@ class Parser:
         lengths = np.array([len(c) for c in codes])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        pieces = np.zeros((len(order), int(lengths[0])), dtype=np.uint8)
+        pieces = np.zeros((len(order), int(lengths[0])), dtype=self.kinds.dtype)
         for to, at in enumerate(order):
             pieces[to, : lengths[to]] = codes[at]
         rows = np.asarray(owner)[order]

@@ -82,6 +82,40 @@ def test_languages(spark):
     assert identify(docs.filter("false"), texts).count() == 0
 
 
+def of_letters(letters, seed):
+    """A maker of texts of n words from a vocabulary over the letters."""
+    pick = random.Random(seed)
+    words_ = ["".join(pick.choice(letters) for _ in range(pick.randrange(2, 5))) for _ in range(len(letters))] + list(letters)
+    return lambda n: " ".join(pick.choice(words_) for _ in range(n))
+
+
+SCRIPTS = {
+    "bg": "".join(map(chr, range(0x430, 0x450))), "de": "abcdefghijklmnopqrstuvwxyzäöüß", "el": "αβγδεζηθικλμνξοπρσςτυφχψω",
+    "hy": "".join(map(chr, range(0x561, 0x587))), "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 900))),
+}
+
+
+def test_every_script_is_known(spark):
+    """Five alphabets, of which the least used has the fewest occurrences of a letter."""
+    made = {lang: of_letters(letters, i) for i, (lang, letters) in enumerate(SCRIPTS.items())}
+    docs = [(100 * i + j, made[lang](300 if lang != "zh" else 60), lang) for i, lang in enumerate(SCRIPTS) for j in range(20)]
+    texts = learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    ask = [(i, made[lang](40), lang) for i, lang in enumerate(list(SCRIPTS) * 4)]
+    got = identify(spark.createDataFrame(ask, "doc_id long, text string, lang string"), texts)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {i: lang for i, _, lang in ask}
+
+
+def test_phrases_over_more_letters_than_a_table_has_columns():
+    pick = random.Random(5)
+    train = {"x": "".join(pick.choice(SCRIPTS["zh"][:200]) for _ in range(900)), "y": "".join(pick.choice(SCRIPTS["zh"][100:300]) for _ in range(900))}
+    parser = Parser(train)
+    texts = [train[lang][at:at + 9] + train["x"][at:at + 5] for lang in train for at in range(0, 800, 40)]
+    pieces = np.array([parser.codes(t) for t in texts])
+    lengths = np.full(len(texts), 14)
+    for lang, table in zip(parser.langs, parser.tables):
+        assert parser.phrases(pieces, lengths, table).tolist() == [phrases(t, train[lang]) for t in texts]
+
+
 def test_ftrl_weighs_what_marks_a_label():
     pick, model = np.random.default_rng(1), Ftrl(100)
     for _ in range(400):
