@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.settle import settled
 
-DEPTH = 3                    # segments of a path that have a node of their own; the rest is one tail
+DEPTH = 3                    # segments that the tree in SQL takes apart; here all are
 VARIABLE_VALUES = 8          # a place with more different segments than this
 VARIABLE_SHARE = 0.1         # and more than this share of its pages is a wildcard
 OWN_PAGES = 8                # a segment of a wildcard place with so many pages keeps its node
@@ -49,9 +51,8 @@ def matching_rule(rules: Sequence[Rule], host: str = "host", path: str = "path")
 
 
 def _segments(path: str) -> Column:
-    """The first DEPTH segments and the tail as one more, runs of digits written as ``#``."""
-    plain = F.regexp_replace(F.ltrim(F.col(path), F.lit("/")), r"[0-9]+", "#")
-    return F.split(plain, "/", DEPTH + 1)
+    """All segments, runs of digits written as ``#``."""
+    return F.split(F.regexp_replace(F.ltrim(F.col(path), F.lit("/")), r"[0-9]+", "#"), "/")
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -60,53 +61,62 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     ``pages``: page_id, host, path; ``labels``: page_id, bad (boolean), one row a page.
     A place in a host's tree whose segments vary is a wildcard: more than VARIABLE_VALUES
     different ones, and more than VARIABLE_SHARE of its pages. Only its rare segments share
-    the wildcard: one with OWN_PAGES pages or OWN_LABELS labels keeps a node. A branch whose bad share
-    is like that of its parent (a z-test at SIMILAR_Z, or fewer than two labels) is
-    merged with it and takes its share; else its own share is smoothed towards the parent's by SMOOTHING
-    pages. The parent of a host is all pages.
+    the wildcard: one with OWN_PAGES pages or OWN_LABELS labels keeps a node. A branch
+    whose bad share is like that of its parent (a z-test at SIMILAR_Z, or fewer than two
+    labels) is merged with it and takes its share; else its own share is smoothed towards
+    the parent's by SMOOTHING pages. The parent of a host is all pages. The paths that end
+    at a place are one of its branches; a branch with all labels of its place takes the
+    place's share, in which they count already.
 
     Pages are first counted by host and shape, with partial counts before the shuffle, so
-    the tree works on shapes and a hot host is small.
+    the tree works on shapes and a hot host is small. It grows by a level at a time while
+    a place has several shapes; one that stands alone has no further place to part at.
     """
     known = pages.join(labels.filter("bad is not null").select("page_id", F.col("bad").cast("int").alias("bad")),
                        "page_id", "left")
-    nodes = (
+    shapes = (
         known.groupBy("host", _segments("path").alias("shape"))
         .agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("t0", F.lit(""))
     )
-    nodes = settled(nodes, "url-shapes", small=True)
-    for depth in range(DEPTH + 1):
-        parent, here = f"t{depth}", F.get(F.col("shape"), F.lit(depth))
-        nodes = nodes.withColumn("segment", F.coalesce(here, F.lit("")))
-        values = nodes.groupBy("host", parent, "segment").agg(
-            F.sum("pages").alias("pages"),
-            ((F.sum("pages") < OWN_PAGES) & (F.sum("n") < OWN_LABELS)).alias("rare"))
-        places = values.groupBy("host", parent).agg(
-            ((F.count("*") > VARIABLE_VALUES) & (F.count("*") > VARIABLE_SHARE * F.sum("pages"))).alias("varies"))
-        wild = values.join(places, ["host", parent]).select(
-            "host", parent, "segment", (F.col("varies") & F.col("rare")).alias("wild"))
-        nodes = nodes.join(wild, ["host", parent, "segment"]).withColumn(
-            f"t{depth + 1}",
-            F.when(here.isNull(), F.col(parent)).otherwise(
-                F.concat_ws("/", parent, F.when(F.col("wild"), F.lit("*")).otherwise(F.col("segment")))),
-        ).drop("wild", "segment")
-        nodes = settled(nodes, f"url-level-{depth}", small=True)     # else the plan doubles with each level
-
-    total = nodes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()     # one row
+    shapes = settled(shapes, "url-shapes", small=True)
+    total = shapes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()     # one row
     every = F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2))
-    counts = nodes.groupBy("host", "t0").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    shares = counts.withColumn("all_share", every).select("host", "t0", _own("all_share").alias("share"))
-    for depth in range(1, DEPTH + 2):
-        parent, mine = f"t{depth - 1}", f"t{depth}"
-        counts = nodes.groupBy("host", parent, mine).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        shares = (
-            counts.join(shares.withColumnRenamed("share", "parent_share"), ["host", parent])
-            .select("host", mine, _own("parent_share").alias("share"))
-        )
-    last = f"t{DEPTH + 1}"
-    return nodes.join(shares, ["host", last]).select(
-        "host", "shape", F.col(last).alias("template"), F.col("share").alias("bad_share"))
+    hosts = shapes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("all_share", every)
+    nodes = shapes.withColumn("node", F.lit("")).join(hosts.select("host", _own("all_share").alias("share")), "host")
+    found, depth = [], 0
+    while True:
+        level = settled(_level(nodes, depth), f"url-level-{depth}", small=True)      # else the plan doubles with each
+        found.append(level.filter("done").select("host", "shape", F.col("node").alias("template"), F.col("share").alias("bad_share")))
+        nodes, depth = level.filter("not done").drop("done"), depth + 1
+        if nodes.isEmpty():
+            return reduce(DataFrame.unionAll, found)
+
+
+def _level(nodes: DataFrame, depth: int) -> DataFrame:
+    """``nodes`` one segment further down; ``done`` where a shape has its whole template."""
+    here = F.get(F.col("shape"), F.lit(depth))
+    nodes = nodes.withColumn("step", F.when(here.isNull(), "").otherwise(F.concat(F.lit("/"), here)))
+    steps = nodes.groupBy("host", "node", "share", "step").agg(
+        F.count("*").alias("shapes"), *(F.sum(c).alias(c) for c in ("pages", "n", "bad")))
+    values = F.count(F.when(~F.col("step").isin("", "/"), 1)) + F.max(F.col("step").isin("", "/").cast("int"))
+    places = steps.groupBy("host", "node").agg(
+        F.sum("n").alias("labels"),
+        ((values > VARIABLE_VALUES) & (values > VARIABLE_SHARE * F.sum("pages"))).alias("varies"))
+    rare = (F.col("step") != "") & (F.col("pages") < OWN_PAGES) & (F.col("n") < OWN_LABELS)
+    steps = steps.join(places, ["host", "node"]).withColumn(
+        "branch", F.when(F.col("varies") & rare, "/*").otherwise(F.col("step")))
+    branches = steps.groupBy("host", "node", "share", "labels", "branch").agg(
+        *(F.sum(c).alias(c) for c in ("shapes", "n", "bad")))
+    branches = branches.select(
+        "host", "node", "branch", "shapes",
+        F.when(F.col("n") == F.col("labels"), F.col("share")).otherwise(_own("share")).alias("branch_share"))
+    moved = steps.select("host", "node", "step", "branch").join(branches, ["host", "node", "branch"])
+    done = (F.col("shapes") == 1) | (F.col("step") == "")
+    rest = F.slice("shape", depth + 2, F.greatest(F.size("shape"), F.lit(1)))
+    rest = F.when(F.col("done"), F.array_join(F.transform(rest, lambda s: F.concat(F.lit("/"), s)), "")).otherwise("")
+    return nodes.drop("share").join(moved, ["host", "node", "step"]).withColumn("done", done).select(
+        "host", "shape", "pages", "n", "bad", F.concat("node", "branch", rest).alias("node"),
+        F.col("branch_share").alias("share"), "done")
 
 
 def _own(parent: str) -> Column:

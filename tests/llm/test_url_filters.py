@@ -78,3 +78,17 @@ def test_frequent_segments_keep_their_node_beside_rare_ones(spark):
     assert {r["verdict"] for p, r in got.items() if p.startswith("/bad/")} == {"block"}
     assert {r["verdict"] for p, r in got.items() if p.startswith("/good/")} == {"allow"}
     assert {r["template"] for r in got.values()} == {"/bad/page#", "/good/page#", "/*/page#"}
+
+
+def test_branches_part_at_any_depth(spark):
+    """The fifth segment tells good from bad; a trailing slash and a path's end are branches too."""
+    urls = [f"http://h/blog/2024/{i % 12}/{'spam' if i % 2 else 'news'}/x{letters(i)}" for i in range(160)]
+    urls += ["http://h/" + "/".join("abcdefghijklmnop"), "http://h/blog/2024", "http://h/blog/2024/", "http://h", "http://i/a/b/c/d/e/1"]
+    got = verdicts(spark, urls, {i: i % 2 == 1 for i in range(100)})
+    assert len(got) == len(urls)
+    assert {r["verdict"] for p, r in got.items() if "/spam/" in p} == {"block"}
+    assert {r["verdict"] for p, r in got.items() if "/news/" in p} == {"allow"}
+    shapes = {p: r["template"] for p, r in got.items()}
+    assert {t for p, t in shapes.items() if "/spam/" in p} == {"/blog/#/#/spam/*"}
+    assert shapes["/a/b/c/d/e/1"] == "/a/b/c/d/e/#" and shapes["/" + "/".join("abcdefghijklmnop")] == "/" + "/".join("abcdefghijklmnop")
+    assert (shapes["/blog/2024"], shapes["/blog/2024/"], shapes[""]) == ("/blog/#", "/blog/#/", "/")
