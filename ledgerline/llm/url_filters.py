@@ -15,7 +15,7 @@ VARIABLE_VALUES = 8          # a place with more different segments than this
 VARIABLE_SHARE = 0.1         # and more than this share of its pages is a wildcard
 OWN_PAGES = 8                # a segment of a wildcard place with so many pages keeps its node
 OWN_LABELS = 2               # or with so many labels
-SIMILAR_Z = 1.96             # siblings whose bad shares differ less than this are merged
+SIMILAR_Z = 1.96             # branches whose bad shares differ less than this are merged
 SMOOTHING = 8.0              # labelled pages that a parent's share counts for
 REJECT_SHARE = 0.5
 
@@ -63,8 +63,10 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     different ones, and more than VARIABLE_SHARE of its pages. Only its rare segments share
     the wildcard: one with OWN_PAGES pages or OWN_LABELS labels keeps a node. A branch
     whose bad share is like that of its parent (a z-test at SIMILAR_Z, or fewer than two
-    labels) is merged with it and takes its share; else its own share is smoothed towards
-    the parent's by SMOOTHING pages. The parent of a host is all pages. The paths that end
+    labels) is merged with it and takes its share. The others of a place are pooled, in the
+    order of their bad shares, as long as the next is like the pool by a two-sample z-test;
+    a pool's share is smoothed towards the parent's by SMOOTHING pages. The parent of a host
+    is all pages, and hosts are not pooled. The paths that end
     at a place are one of its branches; a branch with all labels of its place takes the
     place's share, in which they count already.
 
@@ -107,9 +109,9 @@ def _level(nodes: DataFrame, depth: int) -> DataFrame:
         "branch", F.when(F.col("varies") & rare, "/*").otherwise(F.col("step")))
     branches = steps.groupBy("host", "node", "share", "labels", "branch").agg(
         *(F.sum(c).alias(c) for c in ("shapes", "n", "bad")))
-    branches = branches.select(
+    branches = _pooled(branches).select(
         "host", "node", "branch", "shapes",
-        F.when(F.col("n") == F.col("labels"), F.col("share")).otherwise(_own("share")).alias("branch_share"))
+        F.when(~F.col("unlike") | (F.col("n") == F.col("labels")), F.col("share")).otherwise(_smoothed("share")).alias("branch_share"))
     moved = steps.select("host", "node", "step", "branch").join(branches, ["host", "node", "branch"])
     done = (F.col("shapes") == 1) | (F.col("step") == "")
     rest = F.slice("shape", depth + 2, F.greatest(F.size("shape"), F.lit(1)))
@@ -119,12 +121,49 @@ def _level(nodes: DataFrame, depth: int) -> DataFrame:
         F.col("branch_share").alias("share"), "done")
 
 
+def _pooled(branches: DataFrame) -> DataFrame:
+    """``branches`` and ``unlike``: whether one is unlike its parent; such have the labels of their whole pool.
+
+    Siblings with equal counts go together, so a place brings one row for each pair of counts.
+    """
+    own = F.col("bad") / F.col("n")
+    unlike = F.coalesce(~_similar("share"), F.lit(False))
+    counts = branches.filter(unlike).groupBy("host", "node", "n", "bad").agg(F.count("*").alias("times"))
+    pools = counts.groupBy("host", "node").agg(
+        F.array_sort(F.collect_list(F.struct(own.alias("own"), "n", "bad", "times"))).alias("counts"))
+    kind = "array<struct<n:bigint,bad:bigint,own:double,last:bigint>>"
+
+    def pool(n: Column, bad: Column, some: Column) -> Column:
+        """The pool whose highest share and size are those of ``some``."""
+        return F.array(F.struct(n.alias("n"), bad.alias("bad"), some["own"].alias("own"), some["n"].alias("last")))
+
+    def add(before: Column, some: Column) -> Column:
+        pool_, n, bad = F.get(before, F.size(before) - 1), some["n"] * some["times"], some["bad"] * some["times"]
+        p = (pool_["bad"] + some["bad"]) / (pool_["n"] + some["n"])
+        like = F.abs(pool_["bad"] / pool_["n"] - some["own"]) <= SIMILAR_Z * F.sqrt(p * (1 - p) * (1 / pool_["n"] + 1 / some["n"]))
+        return F.when(like, F.concat(F.slice(before, 1, F.size(before) - 1), pool(pool_["n"] + n, pool_["bad"] + bad, some))
+                      ).otherwise(F.concat(before, pool(n, bad, some)))
+
+    pools = pools.select("host", "node", F.aggregate("counts", F.array().cast(kind), add).alias("pools"))
+    mine = F.get(F.filter("pools", lambda g: F.struct(g["own"], g["last"]) >= F.struct(own, F.col("n"))), F.lit(0))
+    return branches.join(pools, ["host", "node"], "left").withColumn("unlike", unlike).withColumn(
+        "pool", F.when(F.col("unlike"), mine)).withColumns(
+        {"n": F.coalesce("pool.n", "n"), "bad": F.coalesce("pool.bad", "bad")}).drop("pools", "pool")
+
+
+def _similar(parent: str) -> Column:
+    """Whether ``n`` labels, ``bad`` of them bad, are like a parent's share or too few to tell."""
+    p = F.col(parent)
+    return (F.col("n") < 2) | (F.abs(F.col("bad") / F.col("n") - p) <= SIMILAR_Z * F.sqrt(p * (1 - p) / F.col("n")))
+
+
 def _own(parent: str) -> Column:
     """The share of a node with ``n`` labels, ``bad`` of them bad, below a parent's share."""
-    own, p = F.col("bad") / F.col("n"), F.col(parent)
-    similar = (F.col("n") < 2) | (F.abs(own - p) <= SIMILAR_Z * F.sqrt(p * (1 - p) / F.col("n")))
-    smoothed = (F.col("bad") + SMOOTHING * p) / (F.col("n") + SMOOTHING)
-    return F.when(similar, p).otherwise(smoothed)
+    return F.when(_similar(parent), F.col(parent)).otherwise(_smoothed(parent))
+
+
+def _smoothed(parent: str) -> Column:
+    return (F.col("bad") + SMOOTHING * F.col(parent)) / (F.col("n") + SMOOTHING)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], url: str = "url",

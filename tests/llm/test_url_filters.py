@@ -92,3 +92,24 @@ def test_branches_part_at_any_depth(spark):
     assert {t for p, t in shapes.items() if "/spam/" in p} == {"/blog/#/#/spam/*"}
     assert shapes["/a/b/c/d/e/1"] == "/a/b/c/d/e/#" and shapes["/" + "/".join("abcdefghijklmnop")] == "/" + "/".join("abcdefghijklmnop")
     assert (shapes["/blog/2024"], shapes["/blog/2024/"], shapes[""]) == ("/blog/#", "/blog/#/", "/")
+
+
+def test_like_siblings_are_pooled(spark):
+    """Eight sections with three bad labels each beside a big clean one; one with clean labels stays apart."""
+    urls = [f"http://h/news/{i}" for i in range(2000)] + [f"http://h/s{letters(j)}/{i}" for j in range(8) for i in range(3)]
+    labels = {i: i >= 2000 or i % 50 == 0 for i in range(2024)}
+    urls += [f"http://h/ok/{i}" for i in range(3)] + [f"http://h/s{letters(j)}/9" for j in range(8)] + ["http://h/ok/9"]
+    got = verdicts(spark, urls, labels | {i: False for i in range(2024, 2027)})
+    assert {r["verdict"] for p, r in got.items() if p.startswith("/s")} == {"block"}
+    assert {r["verdict"] for p, r in got.items() if not p.startswith("/s")} == {"allow"}
+    p = 65 / 2029
+    assert abs(got["/saa/9"]["bad_share"] - (24 + 8 * p) / 32) < 1e-9
+
+
+def test_labels_count_once_on_a_short_path(spark):
+    """Four bad labels of a host are smoothed by eight pages, however many levels there are."""
+    urls = [f"http://h/news/{i}" for i in range(200)] + [f"http://x/a/{i}" for i in range(200, 204)] + ["http://x/a/b/c/d/e"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, i >= 200) for i in range(204)], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in judge(rows, marks, ()).collect()}
+    assert abs(got[200]["bad_share"] - (4 + 8 * 5 / 206) / 12) < 1e-9 and got[200]["verdict"] == "allow"
