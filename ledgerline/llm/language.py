@@ -7,13 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.words import slices
 
 SAMPLE_TEXTS = 64            # labelled texts of a language that the fit reads at most
-EXCERPT_CHARS = 4_096        # characters of such a text
+EXCERPTS = 8                 # pieces of such a text, one from each eighth of it
+EXCERPT_CHARS = 512          # characters of a piece; a text of up to 4,096 is read whole
 TRAIN_CHARS = 60_000         # normalised characters of a language in its automaton
 ALL_CHARS = 2_400_000        # the same over all languages: bounds a worker's memory
 DENSE = 64                   # codes of a language that have a column in its table; the rest are looked up
@@ -187,25 +188,47 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     """Normalised training text of each language.
 
     Of each language the SAMPLE_TEXTS rows lowest by the hash of their id are read, and
-    EXCERPT_CHARS of each, so what comes to the driver is bounded by the number of
-    languages. Rows with a null text or language teach nothing.
+    EXCERPTS pieces of EXCERPT_CHARS of each, one drawn by hash from each eighth of it, so
+    what comes to the driver is bounded by the number of languages. If a language has more
+    than TRAIN_CHARS (or its share of ALL_CHARS), all its pieces are shortened alike. Rows
+    with a null text or language teach nothing.
     """
     rows = (
-        docs.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, EXCERPT_CHARS).alias("text"),
-                    F.xxhash64(id_col).alias("key"))
-        .filter("lang is not null and text is not null and length(trim(text)) > 0")
+        docs.select(F.col(lang).alias("lang"), _excerpts(text, id_col).alias("parts"), F.xxhash64(id_col).alias("key"),
+                    F.col(text).alias("text"))
+        .filter("lang is not null and text is not null and length(trim(text)) > 0").drop("text")
     )
-    order = Window.partitionBy("lang").orderBy("key", "text")
+    order = Window.partitionBy("lang").orderBy("key", "parts")
     found = (
         rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
         .orderBy("lang", "n").collect()
     )
-    texts: dict[str, list[str]] = {}
+    texts: dict[str, list[list[str]]] = {}
     for row in found:
-        if part := _normalised(row["text"]):
-            texts.setdefault(row["lang"], []).append(part)
+        if _normalised(" ".join(row["parts"])):
+            texts.setdefault(row["lang"], []).append(row["parts"])
     limit = min(TRAIN_CHARS, ALL_CHARS // max(1, len(texts)))
-    return {name: " ".join(parts)[:limit] for name, parts in texts.items()}
+    return {name: _shortened(rows_, limit) for name, rows_ in texts.items()}
+
+
+def _excerpts(text: str, id_col: str) -> Column:
+    """A piece of each eighth of a text, from anywhere in it; of a short text the eighths themselves."""
+    eighth = F.ceil(F.length(text) / EXCERPTS).cast("int")
+    spare = F.greatest(eighth - EXCERPT_CHARS, F.lit(0))
+    return F.array(*(
+        F.substring(text, i * eighth + F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), spare + 1).cast("int") + 1,
+                    F.least(eighth, F.lit(EXCERPT_CHARS)))
+        for i in range(EXCERPTS)))
+
+
+def _shortened(rows: list[list[str]], limit: int) -> str:
+    """The rows' pieces, each cut to the greatest length at which all have ``limit`` characters."""
+    size = EXCERPT_CHARS
+    while size > 1 and sum(1 + min(len(p), size) for parts in rows for p in parts) > limit:
+        size -= 1
+    whole = [max(map(len, parts)) <= min(size, EXCERPT_CHARS - 1) for parts in rows]     # its eighths adjoin
+    texts = (("" if w else " ").join(p[:size] for p in parts) for w, parts in zip(whole, rows))
+    return " ".join(filter(None, map(_normalised, texts)))[:limit]
 
 
 def identify(docs: DataFrame, texts: Mapping[str, str], text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -116,6 +116,18 @@ def test_phrases_over_more_letters_than_a_table_has_columns():
         assert parser.phrases(pieces, lengths, table).tolist() == [phrases(t, train[lang]) for t in texts]
 
 
+def test_every_part_of_every_sampled_text_is_learned(spark):
+    """Texts open with 5,000 characters of another language; each of 64 rows has letters of its own."""
+    head = of_letters(SCRIPTS["de"], 1)(1500)[:5000]
+    body = of_letters(SCRIPTS["el"], 2)
+    docs = [(i, f"{head} " + f"{chr(0x4E00 + i)} {body(4)} " * 2000, "el") for i in range(64)]
+    found = learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"))["el"]
+    assert len(found) <= 60_000 and {chr(0x4E00 + i) for i in range(64)} <= set(found)
+    assert sum(c in SCRIPTS["el"] for c in found) > 4 * sum(c in SCRIPTS["de"] for c in found)
+    short = learn(spark.createDataFrame([(1, "abc " * 900 + "xyz", "q"), (None, "ß", "q")], "doc_id long, text string, lang string"))
+    assert len(short["q"]) >= 3600 and {"x", "z", "ß"} <= set(short["q"])
+
+
 def test_ftrl_weighs_what_marks_a_label():
     pick, model = np.random.default_rng(1), Ftrl(100)
     for _ in range(400):
