@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.filter_audit import audit
 from ledgerline.llm.language import identify, learn
 from ledgerline.llm.line_dups import line_removals
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
 from ledgerline.llm.rules_ledger import BASE, POLICIES, ledger, passes
-from ledgerline.llm.sql import MIXING, TOP_VECTORS, near_duplicates_sql, quality_rules, url_filters
+from ledgerline.llm.sql import MIXING, TOP_VECTORS, filter_audit, near_duplicates_sql, quality_rules, url_filters
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.toxicity import fit, remainder, score
 from ledgerline.llm.top_vectors import top_k
@@ -117,3 +118,9 @@ def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 4-word shingles are near duplicates."""
     return near_duplicates(table(spark, folder, "documents"), n=4)
+
+
+@query("op12_filter_audit", filter_audit())
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove of every language, in every order."""
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

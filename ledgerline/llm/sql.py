@@ -167,3 +167,50 @@ reach as (
 select d.doc_id, coalesce(c.n, 0) as n_shingles, r.component_id, d.doc_id = r.component_id as kept
 from d left join c using (doc_id)
 join (select doc_id, min(seen) as component_id from reach group by doc_id) r using (doc_id)"""
+
+
+def filter_audit() -> str:
+    """Rows counted by the bits they fail, then every step of every order over those counts."""
+    names = "ABCDE"
+    bits = ", ".join(f"('{name}', {1 << i})" for i, name in enumerate(names))
+    joins = " ".join(
+        f"join f as {name} on " + " and ".join(f"{name}.bit <> {earlier}.bit" for earlier in names[:i])
+        for i, name in enumerate(names) if i)
+    order, taken = " || ".join(f"{n}.name" for n in names), ", ".join(f"{n}.bit" for n in names)
+    return rf"""
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') as w
+  from documents),
+firsts as (select t, min(doc_id) as first from d group by t),
+marks as (
+  select doc_id, coalesce(max(cast(quality = 1 as int)), 0) as good, coalesce(max(cast(toxic = 1 as int)), 0) as toxic
+  from labels group by doc_id),
+b as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         cast(len(w) < 200 as int) + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) as int)
+         + 4 * cast(100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) as int)
+         + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(coalesce(doc_id > first, false) as int) as bits
+  from d join firsts using (t) left join marks using (doc_id)),
+p as (select part, bits, count(*) as n, sum(good) as good, sum(toxic) as toxic from b group by all),
+f(name, bit) as (values {bits}),
+o as (select {order} as filter_order, [{taken}] as taken from f as A {joins}),
+s as (
+  select filter_order, i as step, taken[i] as bit, coalesce(list_sum(taken[1:i - 1]), 0) as before
+  from o, unnest(range(1, 6)) as r(i)),
+c as (
+  select part, filter_order, step, bit,
+         coalesce(sum(n) filter (bits & (before + bit) = 0), 0) as kept,
+         coalesce(sum(n) filter (bits & bit <> 0 and bits & before = 0), 0) as removed,
+         coalesce(sum(n) filter (bits & bit <> 0 and bits & before <> 0), 0) as redundant,
+         coalesce(sum(n) filter (bits = bit), 0) as unique_fails,
+         coalesce(sum(good) filter (bits & bit <> 0 and bits & before = 0), 0) as good_lost,
+         coalesce(sum(toxic) filter (bits & bit <> 0 and bits & before = 0), 0) as toxic_lost
+  from p, (select filter_order, step, cast(bit as bigint) as bit, cast(before as bigint) as before from s)
+  group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept,
+       cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+       cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from c"""
