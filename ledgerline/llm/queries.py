@@ -11,8 +11,9 @@ from ledgerline.llm.line_dups import line_removals
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
+from ledgerline.llm.resample import resample
 from ledgerline.llm.rules_ledger import BASE, POLICIES, ledger, passes
-from ledgerline.llm.sql import MIXING, TOP_VECTORS, filter_audit, near_duplicates_sql, quality_rules, url_filters
+from ledgerline.llm.sql import MIXING, TOP_VECTORS, filter_audit, near_duplicates_sql, quality_rules, resampling, url_filters
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.toxicity import fit, remainder, score
 from ledgerline.llm.top_vectors import top_k
@@ -124,3 +125,9 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove of every language, in every order."""
     return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_importance_resampling", resampling())
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's texts."""
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -214,3 +214,42 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
        cast(toxic_lost as bigint) as toxic_lost,
        cast(sum(removed) over (partition by part, bit) as bigint) as shapley
 from c"""
+
+
+def resampling() -> str:
+    """CRC-32 bit by bit of the distinct words, the rest as the formulas say."""
+    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+with d as materialized (select doc_id, row_number() over () as own, regexp_extract_all({lower}, '{words}') as w from documents),
+f as (select own, unnest(w) as w from d),
+b as (select unnest(regexp_extract_all({lower}, '{words}')) as w from benchmark),
+bytes as (
+  select w, list_transform(range(1, octet_length(encode(w)) + 1),
+         lambda i: cast('0x' || substr(hex(encode(w)), cast(2 * i - 1 as int), 2) as bigint)) as x
+  from (select w from f union select w from b)),
+k as (
+  select w, xor(list_reduce(list_concat([4294967295], x), lambda c, y: list_reduce(
+           list_concat([xor(c, y)], [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda r, z: xor(r >> 1, case when r & 1 = 1 then 3988292384 else 0 end))), 4294967295) % 10000 as bucket
+  from bytes),
+s as (select bucket, cast(count(*) as double) as s from f join k using (w) group by bucket),
+t as (select bucket, cast(count(*) as double) as t from b join k using (w) group by bucket),
+g as (
+  select bucket, cast(floor(1000 * ln(((coalesce(t, 0) + 1) * (coalesce((select sum(s) from s), 0) + 10000))
+         / ((coalesce(s, 0) + 1) * (coalesce((select sum(t) from t), 0) + 10000)))) as bigint) as gain
+  from s full join t using (bucket)),
+m as (
+  select own, cast(count(*) as bigint) as n_features, cast(sum(gain) as bigint) as weight
+  from f join k using (w) join g using (bucket) group by own),
+r as (
+  select doc_id, own, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast(cast('0x' || substr(sha256('2024:' || coalesce(
+           cast(doc_id as varchar), '')), 1, 8) as bigint) as double) + 0.5) / 4294967296))) as bigint) as score
+  from d left join m using (own)),
+e as (
+  select own, row_number() over (order by score desc, doc_id nulls last, n_features) as rank,
+         count(*) over () as n
+  from r where n_words >= 20)
+select doc_id, n_features, weight, score, cast(rank as bigint) as rank
+from r left join (select own, rank from e where rank <= 10 * n // 100) using (own)"""
