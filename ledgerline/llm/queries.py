@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.filter_audit import audit
 from ledgerline.llm.language import identify, learn
 from ledgerline.llm.line_dups import line_removals
+from ledgerline.llm.main_text import main_texts
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
@@ -131,3 +132,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the documents, drawn towards the benchmark's texts."""
     return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_html_extraction")
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    found = main_texts(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
