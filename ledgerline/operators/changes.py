@@ -77,14 +77,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
 def keyed_update(target: DataFrame, updates: DataFrame, key: str,
                  stamp: Mapping[str, Column] | None = None,
-                 when_given: Sequence[str] = ()) -> DataFrame:
+                 when_given: Sequence[str] = (), order: Sequence[str] | None = None) -> DataFrame:
     """Set the columns of ``updates`` on the rows of its keys.
 
     A NULL sets NULL, except in ``when_given`` columns where NULL means "not
-    given". ``updates`` has one row per key; keys without a row change nothing.
+    given". Keys without a row, and NULL, change nothing. Of several updates for a key the
+    last by ``order`` counts; without an order they are an error.
     """
     changed = [c for c in updates.columns if c != key]
-    patch = updates.select(key, F.struct(*changed).alias("_u"), F.lit(True).alias("_hit"))
+    single = one_row_per_key(updates.filter(F.col(key).isNotNull()), [key], order)
+    patch = single.select(key, F.struct(*changed).alias("_u"), F.lit(True).alias("_hit"))
     joined = target.join(patch, key, "left")
     hit, columns = F.col("_hit").isNotNull(), []
     for name in target.columns:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -547,9 +549,21 @@ def open_requests(requests: DataFrame, runs: DataFrame, flows: DataFrame) -> Dat
     ).orderBy("ts", "run_id", "iteration_num")
 
 
-def resolve_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """Requests with the status given for their (run_id, iteration_num)."""
-    given = answers.select("run_id", "iteration_num", F.col("status").alias("_new"))
+def resolve_requests(requests: DataFrame, answers: DataFrame,
+                     order: Sequence[str] | None = None) -> DataFrame:
+    """Requests with the status given for their (run_id, iteration_num).
+
+    Of several answers the last by ``order`` (columns of ``answers``) counts; without an
+    order, answers that differ are an error.
+    """
+    keys = ["run_id", "iteration_num"]
+    if order:
+        status = F.max_by("status", F.struct(*order))
+    else:
+        differ = F.raise_error(F.concat(F.lit("several answers for "), F.concat_ws("/", *keys)))
+        status = F.when(F.min("status") == F.max("status"), F.max("status")).when(
+            F.count("status") > 0, differ.cast("string"))
+    given = answers.groupBy(*keys).agg(status.alias("_new"))
     return requests.join(given, ["run_id", "iteration_num"], "left").withColumn(
         "status", F.coalesce("_new", "status")).select(*requests.columns)
 

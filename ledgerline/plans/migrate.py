@@ -26,12 +26,13 @@ def fallback_id(source_path: Column, flow_name: Column) -> Column:
 def migrated_flows(old_flows: DataFrame, catalogued: DataFrame | None = None) -> DataFrame:
     """Old flows as new rows: the id of their file where it can be read, else the fallback.
 
-    ``catalogued`` has one row per path (see ``ingest.catalogue``).
+    Of several ids that ``catalogued`` (see ``ingest.catalogue``) has for a path, the highest
+    stands, as in ``name_table``.
     """
     if catalogued is None:
         with_id = old_flows.withColumn("_id", F.lit(None).cast("string"))
     else:
-        ids = catalogued.select(F.col("path").alias("source_path"), F.col("flow_id").alias("_id"))
+        ids = catalogued.groupBy(F.col("path").alias("source_path")).agg(F.max("flow_id").alias("_id"))
         with_id = old_flows.join(ids, "source_path", "left")
     return with_id.select(
         F.coalesce("_id", fallback_id(F.col("source_path"), F.col("flow_name"))).alias("flow_id"),

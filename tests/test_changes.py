@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import changes
+from ledgerline.operators import changes, rules
+from ledgerline.plans import migrate
 from ledgerline.schemas import FLOWS
 from ledgerline.sources.tables import (
     LEGACY_DEFAULTS, conform, read_table, with_own_names,
@@ -85,6 +86,37 @@ def test_keyed_update_null_and_not_given(spark):
         [("x", None, "b", T1), ("y", 1, "b", T0)], SCHEMA))
 
 
+def test_repeated_right_hand_keys_are_refused_or_decided(spark):
+    target = spark.createDataFrame([("x", 1, "b", T0), ("y", 1, "b", T0), (None, 1, "b", T0)], SCHEMA)
+    updates = spark.createDataFrame(
+        [("x", 5, "old"), ("x", 7, "new"), (None, 3, "z"), (None, 4, "z")], "k string, a int, b string")
+    got = changes.keyed_update(target, updates, "k", order=["a"])
+    assert rows(got) == rows(spark.createDataFrame(
+        [("x", 7, "new", T0), ("y", 1, "b", T0), (None, 1, "b", T0)], SCHEMA))
+    with pytest.raises(Exception, match="several source rows for key x"):
+        changes.keyed_update(target, updates, "k").collect()
+
+    requests = spark.createDataFrame(
+        [("r", 1, "PENDING"), ("r", 2, "PENDING"), ("q", 1, "PENDING")], "run_id string, iteration_num int, status string")
+    answers = spark.createDataFrame(
+        [("r", 1, "IGNORED", 1), ("r", 1, "RESOLVED", 2), ("r", 2, "RESOLVED", 1), ("r", 2, "RESOLVED", 1), ("r", 2, None, 3)],
+        "run_id string, iteration_num int, status string, at int")
+    want = [("r", 1, "RESOLVED"), ("r", 2, "RESOLVED"), ("q", 1, "PENDING")]
+    decided = rules.resolve_requests(requests, answers.filter("status is not null"), order=["at"])
+    assert rows(decided) == rows(spark.createDataFrame(want, requests.schema))
+    alike = rules.resolve_requests(requests, answers.filter("iteration_num = 2"))
+    assert rows(alike) == rows(spark.createDataFrame([("r", 1, "PENDING"), *want[1:]], requests.schema))
+    with pytest.raises(Exception, match="several answers for r/1"):
+        rules.resolve_requests(requests, answers).collect()
+
+
+def test_a_path_with_two_ids_gives_one_flow(spark):
+    old = spark.createDataFrame([("a", "/p", "DONE")], "flow_name string, source_path string, status string")
+    old = conform(old, LEGACY_FLOWS, LEGACY_DEFAULTS)
+    ids = spark.createDataFrame([("/p", "1"), ("/p", "2"), ("/p", None), (None, "9")], "path string, flow_id string")
+    assert [r["flow_id"] for r in migrate.migrated_flows(old, ids).collect()] == ["2"]
+
+
 def test_bulk_set(spark):
     target = random_table(spark, 5)
     chosen = target.limit(7).select("k").unionByName(target.limit(7).select("k"))
