@@ -7,8 +7,10 @@ from checks.registry import check
 from checks.rules import CURRENT, FLOW_STATUS
 from checks.texts import as_of
 from ledgerline.session import new_dir
+from ledgerline.sources.buckets import whole
 from ledgerline.sources.store import Store
 from ledgerline.streaming import events as streams
+from ledgerline.streaming import silence
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -109,12 +111,23 @@ def two_streams(i):
     return transitions(i, keeps_latest=True)
 
 
-def transitions(i, keeps_latest):
+@check("st3_touched_buckets", f"""WITH {CURRENT},
+upd AS (SELECT flow_id, {FLOW_STATUS} AS new_status FROM cur)
+SELECT f.flow_id, coalesce(u.new_status, f.status) AS status, f.current_run_id
+FROM b_flows f LEFT JOIN upd u ON u.flow_id = f.flow_id""")
+def touched_buckets(i):
+    """The same with flows and runs in buckets, of which a batch writes those of its jobs."""
+    return transitions(i, keeps_latest=True, buckets=16)
+
+
+def transitions(i, keeps_latest, buckets=None):
     base = new_dir(i.spark, "transitions")
     store = Store(i.spark, f"{base}/ledger")
     tables = i.ledger()
-    store.commit(replace={name: tables[name] for name in (
-        "flows", "runs", "events", "artifacts", "executions")})
+    keyed = {"flows": "flow_id", "runs": "run_id"} if buckets else {}
+    store.commit(
+        replace={name: tables[name] for name in ("flows", "runs", "events", "artifacts", "executions") if name not in keyed},
+        parts={name: whole(tables[name], [key], buckets) for name, key in keyed.items()})
     if keeps_latest:
         tables["events"].write.parquet(f"{base}/told")
         events = streams.event_stream(i.spark, f"{base}/told", tables["events"].schema)
@@ -132,7 +145,7 @@ def transitions(i, keeps_latest):
 @check("st4_live_counts", f"""WITH {LAST_EVENT}
 SELECT step_status AS status, count(*) AS count FROM newest GROUP BY step_status""")
 def live_counts(i):
-    return streamed_latest(i, counts="counts").read("counts")
+    return streams.live_counts(streamed_latest(i, counts="counts"))
 
 
 @check("st5_silent_runs", f"""WITH {LAST_EVENT}
@@ -142,3 +155,34 @@ FROM newest WHERE step_status = 'RUNNING'
 def silent(i):
     latest = streamed_latest(i).read("latest")
     return streams.silent_runs(latest, F.expr("TIMESTAMP_NTZ '2024-02-01 00:00:00'"))
+
+
+HALF, END = "2024-01-15 12:00:00", "2024-02-01 00:00:00"
+
+
+def silent_at(as_of):
+    return f"""
+SELECT TIMESTAMP '{as_of}' AS as_of, run_id, step, CAST(epoch(TIMESTAMP '{as_of}') AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) - 7200 AS silent_over_s
+FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY iteration_num DESC, ts DESC, event_seq DESC) AS rn
+      FROM b_events WHERE ts <= TIMESTAMP '{as_of}') q
+WHERE rn = 1 AND step_status = 'RUNNING'
+  AND CAST(epoch(TIMESTAMP '{as_of}') AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) > 7200"""
+
+
+@check("st5_told_by_timers", f"{silent_at(HALF)} UNION ALL {silent_at(END)}")
+def told_by_timers(i):
+    """Who is silent at two times of the clock, told by timers that outlive a restart between them."""
+    base = new_dir(i.spark, "silence")
+    store = Store(i.spark, f"{base}/store")
+    events, found = i("b_events").withColumn("told_at", F.col("ts").cast("timestamp")), []
+    for after, upto in (("1970-01-01 00:00:00", HALF), (HALF, END)):
+        clock = F.lit(upto).cast("timestamp")
+        tick = i.spark.range(1).select(*[
+            (clock if c == "told_at" else F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+        arrived = events.filter((F.col("told_at") > F.lit(after).cast("timestamp")) & (F.col("told_at") <= clock))
+        arrived.unionByName(tick).write.mode("append").parquet(f"{base}/told")
+        told = streams.event_stream(i.spark, f"{base}/told", events.schema)
+        streams.run_available(silence.silence_stream(told, "told_at"), silence.keep_silent(store),
+                              f"{base}/checkpoint", "update")
+        found.append(silence.silent_now(store, clock).withColumn("as_of", clock.cast("timestamp_ntz")))
+    return found[0].unionByName(found[1])

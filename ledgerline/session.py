@@ -68,6 +68,12 @@ def remove_dir(spark: SparkSession, folder: str) -> None:
     system.delete(path, True)
 
 
+def child_names(spark: SparkSession, folder: str) -> set[str]:
+    """Names directly in a folder of our own; none if it is not there."""
+    system, path = _file_system(spark, folder)
+    return {s.getPath().getName() for s in system.listStatus(path)} if system.exists(path) else set()
+
+
 def _file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

@@ -7,18 +7,26 @@ lost half way leaves nothing visible.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ledgerline.operators.quality import duplicate_keys
 from ledgerline.schemas import KEYS, LAYOUT, TABLES
-from ledgerline.session import remove_dir
+from ledgerline.session import child_names, remove_dir
 
-_ENTRY = "version bigint, table string, paths array<string>, batch bigint, stream string"
+if TYPE_CHECKING:
+    from ledgerline.sources.buckets import Part
+
+_ENTRY = ("version bigint, table string, paths array<string>, batch bigint, stream string, "
+          "bucket int, of int, schema string")
+BUCKET = "_bucket"
 
 
 class Store:
@@ -35,10 +43,17 @@ class Store:
                 raise
             return self.spark.createDataFrame([], _ENTRY)   # nothing committed yet
 
-    def _current(self) -> dict[str, tuple[int, list[str]]]:
-        newest = self._entries().groupBy("table").agg(
-            F.max("version").alias("version"), F.max_by("paths", "version").alias("paths"))
-        return {r["table"]: (r["version"], list(r["paths"])) for r in newest.collect()}
+    def _current(self) -> dict[str, tuple[int, dict[int | None, list[str]], int | None, str | None]]:
+        """Newest version, folders by bucket (None: not in buckets), number of buckets, schema."""
+        newest = self._entries().groupBy("table", "bucket").agg(
+            F.max("version").alias("version"), F.max_by("paths", "version").alias("paths"),
+            F.max("of").alias("of"), F.max_by("schema", "version").alias("schema"))
+        found: dict = {}
+        for r in newest.collect():
+            version, paths, of, schema = found.get(r["table"], (0, {}, None, None))
+            paths[r["bucket"]] = list(r["paths"])
+            found[r["table"]] = (max(version, r["version"]), paths, r["of"] or of, r["schema"] or schema)
+        return found
 
     def version(self) -> int:
         return self._entries().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
@@ -51,33 +66,59 @@ class Store:
     def exists(self, table: str) -> bool:
         return table in self._current()
 
-    def read(self, table: str) -> DataFrame:
-        paths = self._current()[table][1]
-        return self.spark.read.parquet(*paths)
+    def buckets(self, table: str) -> int | None:
+        """In how many buckets the table is kept, None if in none (see ``sources.buckets``)."""
+        return self._current()[table][2] if self.exists(table) else None
+
+    def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The table as it is, or only some of its buckets."""
+        _, paths, of, schema = self._current()[table]
+        wanted = list(paths) if buckets is None else [b for b in buckets if b in paths]
+        folders = [path for b in wanted for path in paths[b]]
+        if of is None:
+            return self.spark.read.parquet(*folders)
+        kind = T.StructType.fromJson(json.loads(schema))
+        if not folders:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*folders)
 
     def read_or_empty(self, table: str) -> DataFrame:
-        current = self._current()
-        if table in current:
-            return self.spark.read.parquet(*current[table][1])
+        if self.exists(table):
+            return self.read(table)
         return self.spark.createDataFrame([], TABLES[table])
 
     def commit(self, replace: Mapping[str, DataFrame] | None = None,
                append: Mapping[str, DataFrame] | None = None,
-               batch: int | None = None, check_keys: bool = False, stream: str | None = None) -> int:
-        """Write new states and added rows, then switch to all of them at once.
+               batch: int | None = None, check_keys: bool = False, stream: str | None = None,
+               parts: Mapping[str, Part] | None = None) -> int:
+        """Write new states, added rows and buckets, then switch to all of them at once.
 
-        A stream numbers its batches for itself: several may write to one store.
+        A stream numbers its batches for itself: several may write to one store. A table is kept
+        in buckets from its first commit on, or never.
         """
         current, entries = self._current(), []
         version = 1 + max((entry[0] for entry in current.values()), default=0)
         for mode, tables in (("replace", replace or {}), ("append", append or {})):
             for name, df in tables.items():
+                if name in current and current[name][2]:
+                    raise ValueError(f"{name} is kept in buckets")
                 path = f"{self.base}/data/{name}/{version}-{uuid.uuid4().hex}"
                 df.write.parquet(path)
                 if check_keys and mode == "replace" and name in KEYS:
                     self._refuse_broken(name, path)
-                before = current.get(name, (0, []))[1] if mode == "append" else []
-                entries.append((version, name, before + [path], batch, stream))
+                before = current[name][1][None] if mode == "append" and name in current else []
+                entries.append((version, name, before + [path], batch, stream, None, None, None))
+        for name, part in (parts or {}).items():
+            if name in current and current[name][2] != part.of:
+                raise ValueError(f"{name} is kept in {current[name][2]} buckets, not {part.of}")
+            path = f"{self.base}/data/{name}/{version}-{uuid.uuid4().hex}"
+            # rows of a bucket together in files of a measured size
+            part.rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
+            there = child_names(self.spark, path)
+            schema = part.rows.drop(BUCKET).schema.json() if part.touched else None
+            entries += [
+                (version, name, [f"{path}/{BUCKET}={b}"] if f"{BUCKET}={b}" in there else [], batch,
+                 stream, b, part.of, schema) for b in part.touched]
         if entries:
             self.spark.createDataFrame(entries, _ENTRY).coalesce(1).write.mode("append").json(
                 f"{self.base}/versions")

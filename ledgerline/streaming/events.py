@@ -18,10 +18,10 @@ from pyspark.sql.utils import AnalysisException
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import upsert
 from ledgerline.operators.latest import latest_events
-from ledgerline.operators.totals import status_distribution
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
-from ledgerline.sources.store import Store
+from ledgerline.sources.buckets import BUCKETS, Part, bucket_of, changed, touched_by, whole
+from ledgerline.sources.store import BUCKET, Store
 
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType,
@@ -59,29 +59,41 @@ def latest_stream(events: DataFrame) -> DataFrame:
 
 
 def keep_latest(store: Store, table: str = "latest", counts: str | None = None,
-                stream: str = "latest") -> Callable[[DataFrame, int], None]:
+                stream: str = "latest", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """Handler for ``latest_stream`` in update mode: upsert the changed runs.
 
-    With ``counts``, the number of runs per step status is written along with it.
-    ``stream`` names the stream whose batch numbers these are.
+    The table is kept in hash buckets of the run id. A batch reads and writes the buckets of its
+    runs; files of all others stay. With ``counts``, the runs per step status are written along
+    with it, bucket by bucket (see ``live_counts``). ``stream`` names the stream whose batch
+    numbers these are.
     """
-    def handle(changed: DataFrame, batch: int) -> None:
+    def handle(changed_rows: DataFrame, batch: int) -> None:
         if batch <= store.last_batch(stream):
             return
+        # the batch is evaluated once, and read for its buckets and for its rows
+        changes = store.materialize(changed_rows)
         if store.exists(table):
-            columns = [c for c in changed.columns if c != "run_id"]
-            state = upsert(store.read(table), changed, ["run_id"], columns, columns)
+            columns = [c for c in changes.columns if c != "run_id"]
+            part = changed(store, table, changes, ["run_id"],
+                           lambda old: upsert(old, changes, ["run_id"], columns, columns))
         else:
-            state = changed
-        # counts come from the written table, so the batch is evaluated once
-        store.commit(replace={table: state}, batch=None if counts else batch, stream=stream)
+            part = whole(changes, ["run_id"], buckets)
+        store.commit(parts={table: part}, batch=None if counts else batch, stream=stream)
         if counts:
-            store.commit(replace={counts: status_distribution(store.read(table), "step_status")},
-                         batch=batch, stream=stream)
+            # counted from the buckets as written
+            written = store.read(table, part.touched).withColumn(BUCKET, bucket_of(["run_id"], part.of))
+            fresh = written.groupBy(BUCKET, F.col("step_status").alias("status")).agg(F.count("*").alias("count"))
+            store.commit(parts={counts: Part(fresh, part.touched, part.of)}, batch=batch, stream=stream)
+        store.drop_scratch()
 
     return handle
 
 
+def live_counts(store: Store, table: str = "counts") -> DataFrame:
+    """Runs per status, summed over the buckets that ``keep_latest`` counts."""
+    return store.read(table).groupBy("status").agg(F.sum("count").alias("count"))
+
+
 def ingest_once(folder: str, key: str = "event_id", time: str = "ts", first_batch: int = 0
                 ) -> Callable[[DataFrame, int], None]:
     """Handler that keeps every event id once, in a Parquet table by event date.
@@ -157,10 +169,11 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
                       stream: str = "transitions") -> Callable[[DataFrame, int], None]:
     """Handler for a stream of job states: decide and write for the touched runs.
 
-    ``store`` holds the ledger. Flows and runs get a new version; events and
-    requests are added to; all switch together. Where the store keeps the last
-    event per run (table ``latest``, see ``keep_latest``) that is read and kept
-    up to date, and the events are not read at all.
+    ``store`` holds the ledger; events and requests are added to; all switch together. Flows, runs
+    and the last event per run (table ``latest``, see ``keep_latest``) that the store keeps in
+    buckets are read and written by touched bucket, else they get a whole new version. Jobs
+    are looked up among three columns of the runs. Where ``latest`` is kept the events are
+    not read at all.
     """
     def handle(states: DataFrame, batch: int) -> None:
         if batch <= store.last_batch(stream) or states.isEmpty():
@@ -173,26 +186,33 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
             .agg(F.max_by(F.struct(*rest), F.struct("ts", *rest)).alias("_s"))
             .select("job_run_id", "_s.*")
         )
-        runs = store.materialize(
-            tables["runs"].join(newest.select("job_run_id"), "job_run_id", "left_semi"))
-        ids = runs.select("run_id")
+        ids = store.materialize(
+            tables["runs"].select("run_id", "flow_id", "job_run_id")
+            .join(newest.select("job_run_id"), "job_run_id", "left_semi")).select("run_id", "flow_id")
+        keys = {"runs": "run_id", "flows": "flow_id", latest: "run_id"}
+        parts = {name: touched_by(ids, [key], store.buckets(name)) for name, key in keys.items()
+                 if store.buckets(name)}
+        near = {name: store.read(name, numbers) for name, numbers in parts.items()}
+        tables = {**tables, **{name: near[name] for name in ("runs", "flows") if name in near}}
 
         def of_touched(df: DataFrame) -> DataFrame:
-            return df.join(ids, "run_id", "left_semi")
+            return df.join(ids.select("run_id"), "run_id", "left_semi")
 
-        touched = {**tables, "runs": runs, "events": of_touched(tables["events"]),
-                   "artifacts": of_touched(tables["artifacts"]),
-                   "executions": of_touched(tables["executions"])}
-        kept = store.read(latest) if store.exists(latest) else None
-        last = kept if kept is None else kept.join(ids, "run_id", "left_semi")
+        touched = {**tables, **{name: of_touched(tables[name]) for name in (
+            "runs", "events", "artifacts", "executions")}}
+        kept = near.get(latest, store.read(latest) if store.exists(latest) else None)
+        last = kept if kept is None else of_touched(kept)
         decisions = store.materialize(poll.decide(touched, newest, last))
         result = poll.apply(tables, decisions, as_of(batch), launches, logs_base)
-        replaced = {"flows": result["flows"], "runs": result["runs"]}
+        after = {"flows": result["flows"], "runs": result["runs"]}
         if kept is not None:
             columns = [c for c in kept.columns if c != "run_id"]
             moved = latest_events(last.unionByName(result["events"].select(*kept.columns)))
-            replaced[latest] = upsert(kept, moved, ["run_id"], columns, columns)
-        store.commit(replace=replaced, batch=batch, stream=stream, append={
+            after[latest] = upsert(kept, moved, ["run_id"], columns, columns)
+        in_buckets = {
+            name: Part(after.pop(name).withColumn(BUCKET, bucket_of([keys[name]], store.buckets(name))),
+                       numbers, store.buckets(name)) for name, numbers in parts.items()}
+        store.commit(replace=after, parts=in_buckets, batch=batch, stream=stream, append={
             "events": result["events"], "requests": result["requests"]})
         store.drop_scratch()
 

@@ -36,9 +36,9 @@ def test_compaction_keeps_the_rows(spark, store):
         store.commit(append={"events": table(spark, "events", [
             event(f"r{k}", n, "s", seq=k) for k in range(5)])})
     before = rows(store.read("events"))
-    assert len(store._current()["events"][1]) == 4
+    assert len(store._current()["events"][1][None]) == 4
     store.compact("events")
-    assert len(store._current()["events"][1]) == 1
+    assert len(store._current()["events"][1][None]) == 1
     assert rows(store.read("events")) == before
 
 

@@ -1,6 +1,7 @@
 """Streams in several micro-batches against the same question in batch."""
 
 import random
+import re
 from datetime import timedelta
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from ledgerline.operators.latest import latest_events
 from ledgerline.operators.totals import status_distribution
 from ledgerline.session import new_dir
-from ledgerline.sources.store import Store
+from ledgerline.sources.buckets import Part, touched_by, whole
+from ledgerline.sources.store import BUCKET, Store
 from ledgerline.streaming import events as streams
 from tests.conftest import rows
 from tests.ledgers import T0, T2, event, flow, ledger, run, table
@@ -42,7 +44,7 @@ def test_latest_over_batches(spark, event_files):
     assert query.lastProgress["batchId"] >= 4
     want = latest_events(spark.read.parquet(event_files))
     assert rows(store.read("latest").select(*want.columns)) == rows(want)
-    assert rows(store.read("counts")) == rows(status_distribution(want, "step_status"))
+    assert rows(streams.live_counts(store)) == rows(status_distribution(want, "step_status"))
     # a batch that is run again changes nothing
     version = store.version()
     handle(want.withColumn("step", F.lit("again")), 0)
@@ -66,17 +68,51 @@ def test_each_event_once(spark, event_files):
     assert spark.read.parquet(f"{base}/t").select("event_seq").distinct().count() == 200
 
 
-@pytest.mark.parametrize("keeps_latest", [False, True])
-def test_transitions_per_batch(spark, keeps_latest):
+def test_only_touched_buckets_are_written(spark, event_files):
+    base = new_dir(spark, "buckets")
+    store = Store(spark, base)
+    handle = streams.keep_latest(store, counts="counts", buckets=32)
+    every = latest_events(spark.read.parquet(event_files))
+    handle(every, 0)
+    before = {name: set(store.read(name).inputFiles()) for name in ("latest", "counts")}
+    one = every.filter("run_id = 'r3'").withColumns(
+        {"step": F.lit("moved"), "step_status": F.lit("FAILED"), "iteration_num": F.lit(99)})
+    new = one.withColumn("run_id", F.lit("fresh"))
+    handle(one.unionByName(new), 1)
+    after = {name: set(store.read(name).inputFiles()) for name in ("latest", "counts")}
+    touched = set(touched_by(one.unionByName(new), ["run_id"], 32))
+    assert 1 <= len(touched) <= 2
+    for name in before:
+        def number(path):
+            return int(re.search(f"{BUCKET}=([0-9]+)", path)[1])
+
+        assert {number(f) for f in after[name] - before[name]} == touched
+        assert {f for f in before[name] if number(f) not in touched} == after[name] & before[name]
+    want = every.filter("run_id <> 'r3'").unionByName(one).unionByName(new)
+    assert rows(store.read("latest").select(*want.columns)) == rows(want)
+    assert rows(streams.live_counts(store)) == rows(status_distribution(want, "step_status"))
+    with pytest.raises(ValueError):
+        store.commit(replace={"latest": want})
+    # a touched bucket that has no row any more
+    store.commit(parts={"latest": Part(want.filter("false").withColumn(BUCKET, F.lit(0)), range(32), 32)})
+    assert store.read("latest").columns == want.columns and store.read("latest").isEmpty()
+
+
+@pytest.mark.parametrize("keeps_latest, buckets", [(False, None), (True, None), (False, 8), (True, 8)])
+def test_transitions_per_batch(spark, keeps_latest, buckets):
     base = new_dir(spark, "st3")
     store = Store(spark, f"{base}/ledger")
     tables = ledger(
         spark, flows=[flow("a", run="ra"), flow("b", run="rb"), flow("c", run="rc")],
         runs=[run("ra", "a", "QUEUED"), run("rb", "b"), run("rc", "c")],
         events=[event("ra", 1, "agent_generate"), event("rb", 1, "agent_generate")])
-    store.commit(replace={n: tables[n] for n in ("flows", "runs", "events")})
-    if keeps_latest:
-        store.commit(replace={"latest": latest_events(tables["events"])})
+    last = {"latest": latest_events(tables["events"])} if keeps_latest else {}
+    keyed = {**{n: tables[n] for n in ("flows", "runs")}, **last}
+    if buckets:
+        store.commit(parts={n: whole(df, ["flow_id" if n == "flows" else "run_id"], buckets) for n, df in keyed.items()})
+    else:
+        store.commit(replace=keyed)
+    store.commit(replace={"events": tables["events"]})
     columns = "job_run_id string, life_cycle_state string, result_state string, " \
               "state_message string, poll_error string, ts int"
     told = [[("job-ra", "PENDING", None, None, None, 1), ("job-ra", "RUNNING", None, None, None, 2)],
