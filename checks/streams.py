@@ -93,6 +93,20 @@ def repeats_with_other_times(i):
     return i.spark.read.parquet(f"{base}/events").select("event_id", "user_id", "event_type", "ts")
 
 
+@check("st2_late_repeats", "SELECT event_id, user_id, event_type, ts FROM events")
+def late_repeats(i):
+    """Near repeats meet in the state of an arrival window; others come 400 days late, or untimed, and meet the filters."""
+    base = new_dir(i.spark, "late")
+    raw, arrived = raw_events(i), F.lit(END).cast("timestamp")
+    twice = raw.unionByName(raw).withColumn("told_at", arrived)
+    keep = streams.ingest_once(f"{base}/events")
+    streams.run_available(streams.drop_near_repeats(twice, "told_at").drop("told_at"), keep, f"{base}/first")
+    moved = F.when(F.col("event_id") % 3 > 0, F.col("ts") + F.expr("INTERVAL 400 DAYS"))
+    again = streams.ingest_once(f"{base}/events", first_batch=1)
+    streams.run_available(raw_events(i).withColumn("ts", moved), again, f"{base}/second")
+    return i.spark.read.parquet(f"{base}/events").select("event_id", "user_id", "event_type", "ts")
+
+
 @check("st3_streamed_transitions", f"""WITH {CURRENT},
 upd AS (SELECT flow_id, {FLOW_STATUS} AS new_status FROM cur)
 SELECT f.flow_id, coalesce(u.new_status, f.status) AS status, f.current_run_id

@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import upsert
 from ledgerline.operators.latest import latest_events
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
+from ledgerline.session import remove_dir
 from ledgerline.sources.buckets import BUCKETS, Part, bucket_of, changed, touched_by, whole
 from ledgerline.sources.store import BUCKET, Store
+from ledgerline.streaming.known_ids import folders_that_may_hold, id_number, known_ids, write_filters
 
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType,
@@ -96,31 +97,44 @@ def live_counts(store: Store, table: str = "counts") -> DataFrame:
 
 def ingest_once(folder: str, key: str = "event_id", time: str = "ts", first_batch: int = 0
                 ) -> Callable[[DataFrame, int], None]:
-    """Handler that keeps every event id once, in a Parquet table by event date.
+    """Handler that keeps every event id once, in a Parquet table by batch and event date.
 
     Ids alone are compared: a repeat may carry another time, or none, and the first
-    delivery stands. The ids of all earlier batches are read for it, one column, and
-    joined to those of the batch. Each batch owns a folder per date and overwrites it
-    when it runs again. No event is dropped for being late. A new stream into the same
-    folder starts at ``first_batch``.
+    delivery stands. Filters beside the table (``known_ids``) tell which of its folders may hold
+    an id of the batch; only the ids of those are read and joined. Each batch owns a folder per
+    date and its filters, and overwrites them when it runs again. No event is dropped for
+    being late. A new stream into the same folder starts at ``first_batch``.
     """
     def handle(batch_rows: DataFrame, batch: int) -> None:
         spark, number = batch_rows.sparkSession, batch + first_batch
         rest = [c for c in batch_rows.columns if c != key]
+        kind = batch_rows.schema[key].dataType
         once = (
             batch_rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
             .select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
             .withColumn("event_date", F.to_date(time))
         )
-        written = _written(spark, folder, key, once.schema[key].dataType)
-        if written is not None:
-            known = written.filter(F.col("batch") < number)
-            once = once.join(known.select(key), key, "left_anti")
+        ids = batch_rows.select(id_number(key, kind).alias("id")).distinct()
+        hit = folders_that_may_hold(ids, folder, number)
+        if hit:
+            once = once.join(known_ids(spark, folder, key, kind, hit), key, "left_anti")
+        remove_dir(spark, f"{folder}/batch={number}")      # of an earlier run; it may have had other dates
         _write_batch(once, folder, number, ["event_date"])
+        write_filters(spark, folder, key, kind, number)
 
     return handle
 
 
+def drop_near_repeats(events: DataFrame, clock: str, key: str = "event_id", within: str = "2 days") -> DataFrame:
+    """The stream without ids that came before within ``within`` of the arrival time ``clock``.
+
+    The state holds the ids of that span alone. As the clock is the arrival, not the event's
+    time, no row is late for it; what repeats later is left to ``ingest_once``.
+    """
+    timed = events.withColumn("_clock", F.col(clock).cast("timestamp")).withWatermark("_clock", within)
+    return timed.dropDuplicatesWithinWatermark([key]).drop("_clock")
+
+
 def append_batches(folder: str) -> Callable[[DataFrame, int], None]:
     """Handler that adds the rows of a batch to a Parquet table."""
     def handle(batch_rows: DataFrame, batch: int) -> None:
@@ -136,18 +150,6 @@ def _write_batch(rows: DataFrame, folder: str, batch: int, by: list[str]) -> Non
      .partitionBy("batch", *by).parquet(folder))
 
 
-def _written(spark: SparkSession, folder: str, key: str, key_type: T.DataType
-             ) -> DataFrame | None:
-    """Keys written so far with batch and date, None before the first batch."""
-    schema = T.StructType([
-        T.StructField(key, key_type), T.StructField("batch", T.LongType()),
-        T.StructField("event_date", T.DateType())])
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException:
-        return None
-
-
 def drop_repeats(events: DataFrame, key: str = "event_id") -> DataFrame:
     """The stream with every event id once, whenever a repeat comes.
 
