@@ -71,6 +71,11 @@ UNION ALL SELECT 'not text', n, 3 * n FROM bad WHERE n > 0 UNION ALL SELECT 'emp
 UNION ALL SELECT 'hidden', n, 2 * n FROM bad WHERE n > 0""")
 def scan_report(i):
     """For each broken document also a file of bytes, an empty one and a hidden one."""
+    return files.scan_report(i.spark, odd_files(i)).groupBy("state").agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def odd_files(i):
     base = written_definitions(i, "reported")
     broken = i.definitions().filter("form = 'broken'").select(F.substring("path", 2, 1 << 20).alias("name"))
     more = F.array(
@@ -79,8 +84,7 @@ def scan_report(i):
         F.struct(F.lit("/_hidden.xml").alias("ending"), F.lit(b"ok").alias("content")))
     each = broken.select("name", F.inline(more))
     files.write_files(each.select(F.concat(F.regexp_replace("name", "[.]xml$", ""), "ending").alias("name"), "content"), base)
-    return files.scan_report(i.spark, base).groupBy("state").agg(
-        F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return base
 
 
 @check("s4_log_counts", """
@@ -296,6 +300,14 @@ def report(i):
     return ingest_report(ingest.catalogue(i.definitions(), "defs"))
 
 
+@check("a9_scan_report", """
+SELECT count(*) + 3 * count(*) FILTER (form = 'broken') AS files_found, count(*) FILTER (form <> 'broken') AS parsed,
+  4 * count(*) FILTER (form = 'broken') AS failed FROM b_paths""")
+def report_of_scan(i):
+    """Found, parsed and failed among all files of a folder, those that cannot be read or have no text included."""
+    return ingest_report(ingest.catalogue_scan(files.scan_all(i.spark, odd_files(i)), "defs"))
+
+
 ARTIFACTS = r"""
 SELECT flow_id, id, intent, '/vol/out/' || flow_id || '/' || intent || '/' || replace(replace(name, ' ', '_'), '/', '_') || '.py' AS artifact_ref,
   'Generated test notebook for ' || name || ' (' || intent || ')' AS patch_summary,

@@ -39,6 +39,14 @@ def catalogue(files: DataFrame, volume: str) -> DataFrame:
     )
 
 
+def catalogue_scan(scanned: DataFrame, volume: str) -> DataFrame:
+    """``catalogue`` of a scan (see ``files.scan_all``): what has no text has its state as error."""
+    found = catalogue(scanned.filter("state = 'text'").select("path", "content"), volume)
+    passed = scanned.filter("state <> 'text'").select(
+        "path", F.lit(False).alias("valid"), F.concat_ws(": ", "state", "error").alias("error"))
+    return found.unionByName(passed, allowMissingColumns=True)
+
+
 def processors(files: DataFrame) -> DataFrame:
     """One row per processor with its intent; a document's id is its flow."""
     each = parsed_files(files).select(

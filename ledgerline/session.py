@@ -62,6 +62,14 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return system.makeQualified(path).toString()
 
 
+def resolved(spark: SparkSession, folder: str, make: bool = False) -> str:
+    """The folder where it really lies: mount tables and links of Spark's file system are followed."""
+    system, path = _file_system(spark, folder)
+    if make:
+        system.mkdirs(path)
+    return system.resolvePath(path).toString()
+
+
 def remove_dir(spark: SparkSession, folder: str) -> None:
     """Remove a folder of our own in the shared file system, if it is there."""
     system, path = _file_system(spark, folder)
@@ -78,8 +86,3 @@ def _file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable: keep a set folder, else use ours."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -6,20 +6,20 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.session import qualified
+from ledgerline.session import qualified, resolved
+from ledgerline.sources.listing import hidden, listed_files, opened, with_contents
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.xml", recursive: bool = True,
                ) -> DataFrame:
     """Files below a folder whose name matches (path, content as bytes, size).
 
-    A file that cannot be read ends the job with its name. Names that begin with ``_``
-    or ``.`` and files without content are hidden from Spark's file source;
-    ``scan_report`` tells of them.
+    Spark's own file source: a file that cannot be read ends the job with its name; names that
+    begin with ``_`` or ``.`` and files without content are hidden. ``scan_all`` goes on and
+    tells of all of them.
     """
     return (
         spark.read.format("binaryFile")
@@ -41,26 +41,27 @@ def read_texts(spark: SparkSession, folder: str, pattern: str = "*.xml",
     return files.select("path", as_text(F.col("content")).alias("content"))
 
 
-def listed_files(spark: SparkSession, folder: str, ending: str = ".xml") -> DataFrame:
-    """Path and size of every file below a folder whose name ends so, hidden ones too.
+def scan_all(spark: SparkSession, folder: str, ending: str = ".xml") -> DataFrame:
+    """Every file with its text and what a scan makes of it (path, length, state, error, content).
 
-    Names and sizes only, listed on the driver as Spark's file sources do.
+    ``state`` is ``text``, ``not text``, ``empty``, ``hidden``, ``unreadable`` or, for a folder,
+    ``unreadable folder``; only ``text`` has content. Nothing that cannot be opened ends the job.
     """
-    system, root = pafs.FileSystem.from_uri(qualified(spark, folder).replace("s3a://", "s3://"))
-    found = system.get_file_info(pafs.FileSelector(root, recursive=True))
-    rows = [(f.path, f.size) for f in found if f.is_file and f.path.endswith(ending)]
-    return spark.createDataFrame(rows, "path string, length bigint")
+    base = qualified(spark, folder).rstrip("/")
+    listed = listed_files(spark, folder, ending)
+    passed = (F.col("length") == 0) | hidden(F.col("path"), base)
+    # empty and hidden files are not opened
+    shut = listed.filter((F.col("state") == "file") & passed).withColumns({
+        "state": F.when(F.col("length") == 0, "empty").otherwise("hidden"), "content": F.lit(None).cast("string")})
+    read = with_contents(listed.filter((F.col("state") != "file") | ~passed), folder)
+    text = as_text(F.col("content"))
+    state = F.when(F.col("state") != "file", F.col("state")).when(text.isNull(), "not text").otherwise("text")
+    return read.select("path", "length", state.alias("state"), "error", text.alias("content")).unionByName(shut)
 
 
 def scan_report(spark: SparkSession, folder: str, ending: str = ".xml") -> DataFrame:
-    """Every file and what a scan makes of it: ``text``, ``not text``, ``empty`` or ``hidden``."""
-    read = read_texts(spark, folder, f"*{ending}").select(
-        F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("path"), F.col("content").isNotNull().alias("is_text"))
-    listed = listed_files(spark, folder, ending).withColumn("path", F.regexp_replace("path", "^/*", "/"))
-    state = (
-        F.when(F.col("is_text"), "text").when(~F.col("is_text"), "not text")
-        .when(F.col("length") == 0, "empty").otherwise("hidden"))
-    return listed.join(read, "path", "left").select("path", "length", state.alias("state"))
+    """``scan_all`` without the texts: what was found, and what was passed over and why."""
+    return scan_all(spark, folder, ending).drop("content")
 
 
 def log_counts(spark: SparkSession, run_folders: str) -> DataFrame:
@@ -81,10 +82,10 @@ def write_files(files: DataFrame, base: str) -> int:
     Each task writes its own rows. A file appears under its name only when it is
     complete, so a repeated task overwrites with the same bytes.
     """
-    uri = qualified(files.sparkSession, base).replace("s3a://", "s3://")
+    uri = resolved(files.sparkSession, base, make=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, root = pafs.FileSystem.from_uri(uri)
+        target, root = opened(uri)
         written = 0
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
