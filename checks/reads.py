@@ -1,5 +1,6 @@
 """Lookups, joins, totals, rankings and ordered reads."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from ledgerline.functions.text import record_json
 from ledgerline.operators import joins, latest, lookup, totals
 from ledgerline.operators.rules import admit
 from ledgerline.schemas import FLOWS, LEGACY_FLOWS
-from ledgerline.sources.tables import LEGACY_DEFAULTS, conform, read_table
+from ledgerline.session import new_dir
+from ledgerline.sources.tables import LEGACY_DEFAULTS, conform, keep_by_key, read_table
 
 LAST = """
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id
@@ -245,6 +247,38 @@ def events_with_run(i):
         "run_id", "iteration_num", "step", "event_seq", "flow_id", "run_status")
 
 
+def kept_by_run(i, *names):
+    """Tables of the ledger bucketed by run id, in the shared folder."""
+    tables, own = i.ledger(), uuid.uuid4().hex
+    return [keep_by_key(tables[n], f"{n}_{own}", new_dir(i.spark, n), buckets=16) for n in names]
+
+
+@check("j6_events_with_run_in_buckets", """
+SELECT i.run_id, i.iteration_num, i.step, i.event_seq, r.flow_id, r.status AS run_status
+FROM b_iterations i JOIN b_runs r ON r.run_id = i.run_id""")
+def events_with_run_in_buckets(i):
+    """The same between tables that are bucketed by run: no shuffle."""
+    events, runs = kept_by_run(i, "events", "runs")
+    return latest.details_with_run(events, runs).select(
+        "run_id", "iteration_num", "step", "event_seq", "flow_id", "run_status")
+
+
+@check("j3_current_artifacts_in_buckets", """
+SELECT f.flow_id, p.run_id, p.iteration_num, p.artifact_ref
+FROM b_flows f JOIN b_patches p ON p.run_id = f.current_run_id""")
+def current_artifacts_in_buckets(i):
+    """Only the pointers of the flows are shuffled."""
+    return joins.current_artifacts(i("b_flows"), *kept_by_run(i, "artifacts"))
+
+
+@check("w1_latest_in_buckets", """
+SELECT run_id, iteration_num, step, event_seq FROM (SELECT *, row_number() OVER (
+  PARTITION BY run_id ORDER BY iteration_num DESC, ts DESC, event_seq DESC) AS rn FROM b_iterations) q WHERE rn = 1""")
+def latest_in_buckets(i):
+    """Events of a run are ranked where they lie."""
+    return latest.latest_events(*kept_by_run(i, "events")).select("run_id", "iteration_num", "step", "event_seq")
+
+
 @check("j6_all_details_with_run", """
 SELECT r.flow_id, d.detail, count(*) AS rows FROM (
   SELECT run_id, 'events' AS detail FROM b_iterations UNION ALL

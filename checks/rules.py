@@ -7,7 +7,7 @@ from checks.reads import ADMITTED, LAST
 from checks.registry import check
 from checks.texts import as_of
 from ledgerline.operators import changes, quality, rules
-from ledgerline.plans import ingest, migrate, poll
+from ledgerline.plans import ingest, limits, migrate, poll
 from ledgerline.schemas import TABLES
 from ledgerline.session import new_dir
 from ledgerline.sources.store import Store
@@ -667,6 +667,38 @@ def timeouts(i):
         "run_id", "iteration_num", "job_type", "runtime_s", "status", "ts")
 
 
+ENFORCED = """
+late AS (SELECT r.* FROM b_runs r JOIN b_flows f ON f.current_run_id = r.run_id
+  WHERE r.end_ts IS NULL AND r.status NOT IN ('SUCCESS','FAILED','CANCELLED') AND r.job_run_id IS NOT NULL
+  AND CAST(epoch(TIMESTAMP '1998-01-01 00:00:00') AS BIGINT) - CAST(epoch(r.start_ts) AS BIGINT) > 7200)"""
+
+
+def enforced(i):
+    return limits.enforce(i.ledger(), F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
+
+
+@check("d7_enforced_runs", f"""WITH {ENFORCED}
+SELECT r.run_id, CASE WHEN l.run_id IS NULL THEN r.status ELSE 'CANCELLED' END AS status,
+  CASE WHEN l.run_id IS NULL THEN r.end_ts ELSE TIMESTAMP '1998-01-01 00:00:00' END AS end_ts
+FROM b_runs r LEFT JOIN late l ON l.run_id = r.run_id""")
+def enforced_runs(i):
+    """Current runs over the limit, whose jobs were ended, are cancelled."""
+    return enforced(i)["runs"].select("run_id", "status", "end_ts")
+
+
+@check("d7_enforced_flows", f"""WITH {ENFORCED}
+SELECT f.flow_id, CASE WHEN l.run_id IS NULL THEN f.status ELSE 'STOPPED' END AS status
+FROM b_flows f LEFT JOIN late l ON l.flow_id = f.flow_id""")
+def enforced_flows(i):
+    return enforced(i)["flows"].select("flow_id", "status")
+
+
+@check("d7_enforced_executions", """
+SELECT run_id, iteration_num, job_type, CASE WHEN runtime_s > 3600 THEN 'TIMEOUT' ELSE status END AS status, runtime_s FROM b_exec""")
+def enforced_executions(i):
+    return enforced(i)["executions"].select("run_id", "iteration_num", "job_type", "status", "runtime_s")
+
+
 GATE = """
 gate AS (SELECT run_id, iteration_num, count(*) FILTER (scan_status = 'BLOCKED') AS blocked_scans,
   max(CASE WHEN scan_status = 'BLOCKED' THEN CAST(json_extract(findings_json, '$.severity') AS INT) END) AS worst_severity,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.inputs import AS_OF
 from checks.registry import check
-from ledgerline.functions import text, timing
+from ledgerline.functions import definition, text, timing
 from ledgerline.functions.definition import validity
 from ledgerline.functions.status import legacy_flow_status, legacy_run_status, placeholder_event
 from ledgerline.operators import joins
@@ -247,6 +247,18 @@ def process_groups(i):
     return ingest.groups(i.definitions()).select("path", "place", "group_id", "group_name")
 
 
+@check("c4_process_groups_in_sql", """
+SELECT path, 0 AS place, CASE WHEN form = 'controller' THEN 'g-' || flow_id ELSE 'main_flow' END AS group_id,
+  CASE WHEN form = 'controller' THEN 'group ' || flow_id ELSE 'Main Flow' END AS group_name
+FROM b_paths WHERE form <> 'broken'
+UNION ALL SELECT path, 1, 'flow_1', NULL FROM b_paths WHERE form = 'controller'""")
+def process_groups_in_sql(i):
+    definition.register(i.spark)
+    i.definitions().createOrReplaceTempView("definition_files")
+    return i.spark.sql("SELECT f.path, g.place, g.id AS group_id, g.name AS group_name "
+                       "FROM definition_files f, LATERAL process_groups(f.content) g")
+
+
 INTENT = """
 CASE split_part(type, '.', -1) WHEN 'GetFile' THEN 'ingestion' WHEN 'ReplaceText' THEN 'transformation'
   WHEN 'RouteOnAttribute' THEN 'routing' WHEN 'PutFile' THEN 'output'
@@ -262,6 +274,15 @@ def processors(i):
     return ingest.processors(i.definitions())
 
 
+@check("c5_processors_in_sql", f"WITH {GOOD} SELECT path, flow_id, id, name, type FROM good")
+def processors_in_sql(i):
+    """The table function in a lateral join."""
+    definition.register(i.spark)
+    i.definitions().createOrReplaceTempView("definition_files")
+    return i.spark.sql(
+        "SELECT f.path, p.flow_id, p.id, p.name, p.type FROM definition_files f, LATERAL processors(f.content) p")
+
+
 @check("c6_intents", f"SELECT id, type, {INTENT} AS intent FROM b_processors")
 def intents(i):
     return i("b_processors").select("id", "type", text.intent_of(F.col("type")).alias("intent"))

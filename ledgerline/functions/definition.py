@@ -22,6 +22,9 @@ from ledgerline.schemas import DEFINITION_ROOTS
 # executors get the functions themselves, so they need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# The one group of a document without any
+MAIN_FLOW = ("main_flow", "Main Flow")
+
 _TEXT = T.StringType()
 
 
@@ -100,14 +103,38 @@ def validity(parsed: Column, product: str = "definition") -> Column:
 
 def process_groups(parsed: Column) -> Column:
     """Groups at any depth; a document without any is one flow."""
-    whole = F.array(F.struct(F.lit("main_flow").alias("id"), F.lit("Main Flow").alias("name")))
+    whole = F.array(F.struct(*(F.lit(v).alias(n) for v, n in zip(MAIN_FLOW, ("id", "name")))))
     return F.when(F.size(parsed["groups"]) > 0, parsed["groups"]).otherwise(whole)
 
 
+@F.udtf(returnType="flow_id string, place int, id string, name string, type string", useArrow=True)
+class Processors:
+    """The processors of a document in its order; none where it cannot be read."""
+
+    def eval(self, content: str):
+        found = read_document(content)
+        for place, each in enumerate(found.get("processors") or ()):
+            yield found["flow_id"], place, each["id"], each["name"] or None, each["type"]
+
+
+@F.udtf(returnType="flow_id string, place int, id string, name string", useArrow=True)
+class ProcessGroups:
+    """The process groups of a document that can be read; one without any is one flow."""
+
+    def eval(self, content: str):
+        found = read_document(content)
+        if found.get("error") is None:
+            for place, each in enumerate(found["groups"] or [{"id": MAIN_FLOW[0], "name": MAIN_FLOW[1]}]):
+                yield found["flow_id"], place, each["id"], each["name"]
+
+
 def register(spark: SparkSession) -> None:
-    """Make ``parse_definition(text)`` known to SQL.
+    """Make the definition functions known to SQL.
 
-    ``SELECT inline(parse_definition(content).processors) FROM files`` lists the
-    processors of every document.
+    ``SELECT inline(parse_definition(content).processors) FROM files`` lists the processors of
+    every document, as does ``SELECT f.path, p.* FROM files f, LATERAL processors(f.content) p``;
+    ``process_groups(content)`` is the table function of its groups.
     """
     spark.udf.register("parse_definition", parse_definition)
+    spark.udtf.register("processors", Processors)
+    spark.udtf.register("process_groups", ProcessGroups)

@@ -7,17 +7,22 @@ alias is followed) and names the subtrees that tasks walk; it never holds names
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerline.session import qualified, resolved
 
+# executors get these functions themselves, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SOURCE = "folder_files"
 SUBTREES = 64                # walked by a task each, where the folders are so many
 ROWS, BYTES = 1_000, 4 << 20     # of one Arrow batch

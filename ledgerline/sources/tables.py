@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def read_table(spark: SparkSession, source: str, limit: int | None = None) -> DataFrame:
     """A whole table by catalog name or Parquet path; 0 or None means no limit."""
     df = spark.read.parquet(source) if "/" in source else spark.table(source)
     return df.limit(limit) if limit else df
 
 
+def keep_by_key(df: DataFrame, name: str, path: str, key: str = "run_id", buckets: int = 64) -> DataFrame:
+    """``df`` as a catalog table, bucketed and sorted by ``key``.
+
+    Tables with one number of buckets meet by key without a shuffle, and rows of a key are ranked
+    or grouped where they lie. One file a bucket: the rows are dealt as the buckets are.
+    """
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def with_own_names(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Rename the columns of a ledger written elsewhere to the names used here.
 

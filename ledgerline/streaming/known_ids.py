@@ -7,16 +7,21 @@ in groups of bounded size, and only folders with a hit are read at all.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.session import child_names
 
+# executors get these functions themselves, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_IDS = 8_192
 BITS_PER_ID, PROBES = 16, 6          # an unknown id passes a filter with a chance of 1e-3
 ZONE_IDS = 65_536                    # ids of a batch that meet filters in one group

@@ -8,10 +8,12 @@ the run is told of, and withdrawn when it speaks again.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,9 @@ from ledgerline.schemas import AGENT_LIMIT_S
 from ledgerline.sources.buckets import BUCKETS, changed, whole
 from ledgerline.sources.store import Store
 
+# executors get these functions themselves, so they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _EVENT = ("run_id string, iteration_num int, at_us long, event_seq long, step string, step_status string, "

@@ -76,6 +76,7 @@ def test_document_is_parsed_once(files):
 
 def test_sql_users_can_parse(spark, files):
     register(spark)
+    table_functions(spark)
     files.createOrReplaceTempView("definition_files")
     got = spark.sql("SELECT inline(parse_definition(content).processors) FROM definition_files")
     assert [r["id"] for r in got.collect()] == ["1", "2"]
@@ -151,3 +152,18 @@ def test_template_fields_are_filled_once(spark):
         F.lit("{intent}"), F.lit("a-b c"), F.lit("T"), F.lit("i"),
         "{flow_name}|{function_name}|{processor_name}|{processor_type}|{intent}|{other}"))[0]
     assert made == "{intent}|a_b_c|a-b c|T|i|{other}"
+
+
+def table_functions(spark):
+    """Every document of the file's own examples, by table function and by array."""
+    texts = ["<template><groupId> g </groupId><processor><id>1</id><name/><class>x.A</class></processor>"
+             "<s><processor><id>2</id><name>n</name><class/></processor><processor><id>3</id></processor></s></template>",
+             "<template><groupId>g</template>", None, "", "<flowController><rootGroup id='r'><processGroup id='p'>"
+             "<name>N</name></processGroup><processGroup/></rootGroup></flowController>", "<template/>"]
+    spark.createDataFrame(list(enumerate(texts)), "k int, content string").createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT k, p.* FROM some_files, LATERAL processors(content) p ORDER BY k, place").collect()
+    assert [tuple(r) for r in got] == [(0, "g", 0, "1", None, "x.A"), (0, "g", 1, "2", "n", None)]
+    got = spark.sql("SELECT k, g.* FROM some_files, LATERAL process_groups(content) g ORDER BY k, place").collect()
+    assert [tuple(r) for r in got] == [
+        (0, "g", 0, "main_flow", "Main Flow"), (4, "r", 0, "p", "N"), (4, "r", 1, "flow_1", "Flow 2"),
+        (5, None, 0, "main_flow", "Main Flow")]

@@ -1,6 +1,7 @@
 """What the physical plans must and must not hold."""
 
 import re
+import uuid
 from pathlib import Path
 
 import pytest
@@ -10,6 +11,9 @@ from checks.inputs import Inputs
 from checks.rules import decided
 from ledgerline.operators import joins, latest, lookup, rules, spread
 
+from ledgerline.session import new_dir
+from ledgerline.sources.tables import keep_by_key
+
 SOURCES = Path(__file__).parent.parent / "ledgerline"
 
 
@@ -74,6 +78,21 @@ def test_point_lookup_reaches_the_scan(spark, folder):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderpriority:string>" in text
 
 
+def test_tables_bucketed_by_run_meet_without_a_shuffle(spark, i):
+    names = []
+    for view in ("b_iterations", "b_runs", "b_patches"):
+        names.append(keep_by_key(i(view), f"{view}_{uuid.uuid4().hex}", new_dir(spark, view), buckets=8))
+    events, runs, artifacts = names
+    joined = plan(latest.details_with_run(events, runs))
+    assert "Exchange" not in joined and "SortMergeJoin" in joined
+    assert "Exchange" not in plan(latest.latest_events(events))
+    assert "Exchange" not in plan(events.groupBy("run_id").count().join(runs, "run_id"))
+    flows = spark.range(100).selectExpr("string(id) AS flow_id", "string(id) AS current_run_id")
+    current = plan(joins.current_artifacts(flows, artifacts))
+    assert current.count("Exchange hashpartitioning") == 1      # the pointers of the flows
+    assert len(events.inputFiles()) <= 8 and events.count() == i("b_iterations").count()
+
+
 def test_orphans_are_counted_before_the_join(i):
     text = plan(joins.count_orphans(i("b_iterations"), i("b_runs"), "run_id", "run_id"))
     join = text.index("LeftAnti")

@@ -1,11 +1,14 @@
 """Workflow rules on hand-written rows: admission, next action, hand-off, stop."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import latest, rules
 from ledgerline.operators.joins import status_snapshot
-from ledgerline.plans import poll
+from ledgerline.plans import limits, poll
+from tests.conftest import rows
 from tests.ledgers import T0, T1, T2, event, flow, ledger, run, states, table
 
 def now():
@@ -274,3 +277,25 @@ def test_runs_of_one_second_have_ids_of_their_own(spark):
         runs = runs.unionByName(new.filter("flow_id = 'a'"), allowMissingColumns=True)
     seconds = ids[0][0].removeprefix("a_run_")
     assert ids == [[f"a_run_{seconds}{end}", f"b_run_{seconds}"] for end in ("", "_2", "_3")]
+
+
+def test_limits_that_act(spark):
+    old = T0 - timedelta(hours=9)
+    tables = ledger(
+        spark, flows=[flow("a", run="ra"), flow("b", run="rb"), flow("c", run="rc"), flow("d", run="rd")],
+        runs=[run("ra", "a", start_ts=old), run("rb", "b"), run("rc", "c", job=None, start_ts=old),
+              run("rd", "d", "SUCCESS", start_ts=old, end_ts=T0), run("before", "a", start_ts=old)],
+        executions=[{"run_id": "ra", "iteration_num": 1, "job_type": "flow_job", "status": "SUCCESS", "runtime_s": s}
+                    for s in (3600, 3601)])
+    done = limits.enforce(tables, F.lit(T0))
+    runs = {r["run_id"]: (r["status"], r["end_ts"]) for r in done["runs"].collect()}
+    # the run that no flow points to, and the one without a job, are told of but not ended
+    assert runs == {"ra": ("CANCELLED", T0), "rb": ("RUNNING", None), "rc": ("RUNNING", None),
+                    "rd": ("SUCCESS", T0), "before": ("RUNNING", None)}
+    assert {r["flow_id"]: r["status"] for r in done["flows"].collect()} == {
+        "a": "STOPPED", "b": "RUNNING", "c": "RUNNING", "d": "RUNNING"}
+    assert sorted(r["status"] for r in done["executions"].collect()) == ["SUCCESS", "TIMEOUT"]
+    again = limits.enforce({**tables, **{n: done[n] for n in ("flows", "runs", "executions")}}, F.lit(T2))
+    for name in ("runs", "executions"):
+        assert rows(again[name]) == rows(done[name])
+    assert again["events"].isEmpty() and again["requests"].isEmpty()
