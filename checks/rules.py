@@ -6,10 +6,11 @@ from checks.inputs import AS_OF
 from checks.reads import ADMITTED, LAST
 from checks.registry import check
 from checks.texts import as_of
-from ledgerline.operators import changes, quality, rules
+from ledgerline.operators import changes, quality, rules, totals, upkeep
 from ledgerline.plans import ingest, limits, migrate, poll
 from ledgerline.schemas import TABLES
 from ledgerline.session import new_dir
+from ledgerline.sources import buckets
 from ledgerline.sources.store import Store
 
 # ------------------------------------------------------------------ writes
@@ -158,6 +159,86 @@ def changes_applied(i):
     return changes.apply_changes(old, found, ["flow_id"])
 
 
+def bulk_versions(i):
+    columns = ["flow_id", "status", "updated_ts"]
+    flows = i("b_flows").select(*columns)
+    gone = flows.filter("status = 'NOT_STARTED'").withColumn("flow_id", F.concat(F.lit("gone-"), F.col("flow_id")))
+    return flows.filter("status <> 'DONE'").unionByName(gone), bulk(i).select(*columns)
+
+
+CHANGED = f"""WITH {BULK},
+moved AS (SELECT * FROM bulk WHERE status <> old_status OR updated_ts IS DISTINCT FROM old_ts)
+SELECT 'update_preimage' AS change_type, flow_id, old_status AS status, old_ts AS updated_ts
+FROM moved WHERE old_status <> 'DONE'
+UNION ALL SELECT 'update_postimage', flow_id, status, updated_ts FROM moved WHERE old_status <> 'DONE'
+UNION ALL SELECT 'insert', flow_id, status, updated_ts FROM bulk WHERE old_status = 'DONE'
+UNION ALL SELECT 'delete', 'gone-' || flow_id, old_status, old_ts FROM bulk WHERE old_status = 'NOT_STARTED'"""
+
+
+@check("cdc1_changes_by_digest", CHANGED)
+def change_rows_by_digest(i):
+    """The same changes, joining only the buckets whose digests differ."""
+    return changes.changes_by_digest(*bulk_versions(i), ["flow_id"])
+
+
+@check("cdc1_changes_of_versions", CHANGED)
+def change_rows_of_versions(i):
+    """The same between two versions in a store, reading only the buckets that were written anew."""
+    old, new = bulk_versions(i)
+    store = Store(i.spark, new_dir(i.spark, "versions"))
+    first = store.commit(parts={"flows": buckets.whole(old, ["flow_id"], 32)})
+    news = store.materialize(changes.changes_between(old, new, ["flow_id"]))
+    store.commit(parts={"flows": buckets.changed(
+        store, "flows", news, ["flow_id"], lambda rows: changes.apply_changes(rows, news, ["flow_id"]))})
+    return buckets.changes_of(store, "flows", ["flow_id"], first)
+
+
+# three versions of the runs: up to 1996, then all with some of them ended, then without every seventh
+def run_versions(i):
+    columns = ["run_id", "flow_id", "status", "start_ts"]
+    every = i("b_runs").select(*columns)
+    ended = every.withColumn("status", F.when(F.col("status") == "RUNNING", "SUCCESS").otherwise(F.col("status")))
+    return [every.filter("start_ts < TIMESTAMP_NTZ '1996-01-01 00:00:00'"), ended,
+            ended.filter("CAST(run_id AS BIGINT) % 7 <> 0")]
+
+
+RUNS_AFTER = """
+after AS (SELECT run_id, flow_id, start_ts, CASE status WHEN 'RUNNING' THEN 'SUCCESS' ELSE status END AS status
+  FROM b_runs WHERE CAST(run_id AS BIGINT) % 7 <> 0)"""
+
+
+@check("a2_status_kept_from_changes", f"WITH {RUNS_AFTER} SELECT status, count(*) AS count FROM after GROUP BY status")
+def status_kept(i):
+    """Runs per status after three versions, from the first count and two sets of change rows."""
+    versions = run_versions(i)
+    counts = totals.status_distribution(versions[0])
+    for old, new in zip(versions, versions[1:]):
+        counts = upkeep.status_counts_after(counts, changes.changes_between(old, new, ["run_id"]))
+    return counts
+
+
+@check("a3_dashboard_kept_from_changes", f"""WITH {BULK}
+SELECT count(*) AS total, count(*) FILTER (status = 'NOT_STARTED') AS not_started,
+  count(*) FILTER (status = 'RUNNING') AS converting, count(*) FILTER (status = 'DONE') AS done,
+  count(*) FILTER (status IN ('NEEDS_HUMAN','NEEDS_ATTENTION')) AS needs_attention FROM bulk""")
+def dashboard_kept(i):
+    old, new = bulk_versions(i)
+    counts = upkeep.status_counts_after(
+        totals.status_distribution(old), changes.changes_between(old, new, ["flow_id"]))
+    return upkeep.dashboard_of_counts(counts)
+
+
+@check("a10_attempts_kept_from_changes", f"""WITH {RUNS_AFTER}
+SELECT flow_id, count(*) AS total_attempts, count(*) FILTER (status = 'SUCCESS') AS successful_conversions,
+  min(start_ts) AS first_attempt_at, max(start_ts) AS last_attempt_at FROM after GROUP BY flow_id""")
+def attempts_kept(i):
+    versions = run_versions(i)
+    kept = totals.attempt_totals(versions[0])
+    for old, new in zip(versions, versions[1:]):
+        kept = upkeep.attempt_totals_after(kept, changes.changes_between(old, new, ["run_id"]), new)
+    return kept
+
+
 # --------------------------------------------------------------- migration
 MIGRATED = """
 moved AS (SELECT md5(coalesce(replace(split_part(source_path, '/', -1), '.xml', ''), flow_name)) AS flow_id, flow_name,

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.changes import changes_by_digest
 from ledgerline.sources.store import BUCKET, Store
 
 BUCKETS = 64
@@ -41,6 +42,17 @@ def touched_by(changes: DataFrame, keys: Sequence[str], of: int) -> list[int]:
     return sorted(r[0] for r in changes.select(bucket_of(keys, of)).distinct().collect())
 
 
+def changes_of(store: Store, table: str, keys: Sequence[str], since: int, upto: int | None = None) -> DataFrame:
+    """Change rows between two versions of a table in buckets.
+
+    A bucket whose folder both versions name holds the same rows and is not read; of the others
+    those are joined whose digests differ.
+    """
+    old, new = store.bucket_folders(table, since), store.bucket_folders(table, upto)
+    moved = sorted(b for b in {**old, **new} if old.get(b) != new.get(b))
+    return changes_by_digest(store.read(table, moved, since), store.read(table, moved, upto), keys)
+
+
 def changed(store: Store, table: str, changes: DataFrame, keys: Sequence[str],
             merge: Callable[[DataFrame], DataFrame]) -> Part:
     """The touched buckets after ``merge(old rows of these buckets)``.

@@ -43,9 +43,14 @@ class Store:
                 raise
             return self.spark.createDataFrame([], _ENTRY)   # nothing committed yet
 
-    def _current(self) -> dict[str, tuple[int, dict[int | None, list[str]], int | None, str | None]]:
-        """Newest version, folders by bucket (None: not in buckets), number of buckets, schema."""
-        newest = self._entries().groupBy("table", "bucket").agg(
+    def _current(self, upto: int | None = None
+                 ) -> dict[str, tuple[int, dict[int | None, list[str]], int | None, str | None]]:
+        """Newest version, folders by bucket (None: not in buckets), number of buckets, schema.
+
+        With ``upto``, as they were at that version.
+        """
+        entries = self._entries()
+        newest = (entries if upto is None else entries.filter(F.col("version") <= upto)).groupBy("table", "bucket").agg(
             F.max("version").alias("version"), F.max_by("paths", "version").alias("paths"),
             F.max("of").alias("of"), F.max_by("schema", "version").alias("schema"))
         found: dict = {}
@@ -70,9 +75,13 @@ class Store:
         """In how many buckets the table is kept, None if in none (see ``sources.buckets``)."""
         return self._current()[table][2] if self.exists(table) else None
 
-    def read(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
-        """The table as it is, or only some of its buckets."""
-        _, paths, of, schema = self._current()[table]
+    def bucket_folders(self, table: str, version: int | None = None) -> dict[int | None, list[str]]:
+        """Folders of each bucket at a version, by default the newest."""
+        return self._current(version)[table][1]
+
+    def read(self, table: str, buckets: Iterable[int] | None = None, version: int | None = None) -> DataFrame:
+        """The table as it is, or as it was at a version, or only some of its buckets."""
+        _, paths, of, schema = self._current(version)[table]
         wanted = list(paths) if buckets is None else [b for b in buckets if b in paths]
         folders = [path for b in wanted for path in paths[b]]
         if of is None:
