@@ -7,6 +7,7 @@ from checks.registry import check
 from checks.rules import CURRENT, FLOW_STATUS
 from checks.texts import as_of
 from ledgerline.session import new_dir
+from ledgerline.sources import polls
 from ledgerline.sources.buckets import whole
 from ledgerline.sources.store import Store
 from ledgerline.streaming import events as streams
@@ -134,7 +135,16 @@ def touched_buckets(i):
     return transitions(i, keeps_latest=True, buckets=16)
 
 
-def transitions(i, keeps_latest, buckets=None):
+@check("st3_polled_transitions", f"""WITH {CURRENT},
+upd AS (SELECT flow_id, {FLOW_STATUS} AS new_status FROM cur)
+SELECT f.flow_id, coalesce(u.new_status, f.status) AS status, f.current_run_id
+FROM b_flows f LEFT JOIN upd u ON u.flow_id = f.flow_id""")
+def polled_transitions(i):
+    """The same from the polls of a poller: an older state of every job first, then its state now."""
+    return transitions(i, keeps_latest=False, polled=True)
+
+
+def transitions(i, keeps_latest, buckets=None, polled=False):
     base = new_dir(i.spark, "transitions")
     store = Store(i.spark, f"{base}/ledger")
     tables = i.ledger()
@@ -149,8 +159,13 @@ def transitions(i, keeps_latest, buckets=None):
     told = i("b_job_state").select(
         "job_run_id", "life_cycle_state", "result_state", "state_message", "poll_error",
         F.lit(1).alias("ts"))
-    told.write.parquet(f"{base}/states")
-    states = streams.event_stream(i.spark, f"{base}/states", told.schema)
+    if polled:
+        for number, part in enumerate((told.withColumn("life_cycle_state", F.lit("PENDING")), told)):
+            polls.write_poll(part.drop("poll_error", "ts"), f"{base}/polls", number)
+        states = polls.job_states(polls.poll_stream(i.spark, f"{base}/polls"))
+    else:
+        told.write.parquet(f"{base}/states")
+        states = streams.event_stream(i.spark, f"{base}/states", told.schema)
     streams.run_available(states, streams.apply_transitions(store, lambda batch: as_of()),
                           f"{base}/checkpoint")
     return store.read("flows").select("flow_id", "status", "current_run_id")

@@ -9,9 +9,10 @@ from ledgerline.functions.definition import validity
 from ledgerline.functions.status import legacy_flow_status, legacy_run_status, placeholder_event
 from ledgerline.operators import joins
 from ledgerline.operators.totals import ingest_report
-from ledgerline.plans import ingest, migrate
+from ledgerline.plans import ingest, migrate, records
 from ledgerline.session import new_dir
-from ledgerline.sources import files, jobs
+from ledgerline.sources import files, jobs, polls
+from ledgerline.streaming import events as streams
 
 
 
@@ -168,6 +169,32 @@ def job_runs(i):
         F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "duration_s")
 
 
+POLLED = " UNION ALL ".join(f"""
+SELECT {poll} AS poll, job_run_id, CASE WHEN status = 'CREATING' THEN 'UNKNOWN' ELSE status END AS state,
+  {MS.format('end_time')} AS end_ts, coalesce(CAST(floor((end_time - start_time) / 1000) AS BIGINT), 0) AS duration_s
+FROM snaps WHERE {which}""" for poll, which in enumerate((
+    "CAST(job_run_id AS BIGINT) % 2 = 0", "CAST(job_run_id AS BIGINT) % 2 = 1", "CAST(job_run_id AS BIGINT) % 5 = 0")))
+
+
+@check("s6_streamed_job_runs", f"WITH {SNAPSHOTS} {POLLED}")
+def streamed_job_runs(i):
+    """Three polls through the stream, the last after a restart from the offset of the others."""
+    base, every = new_dir(i.spark, "polls"), snapshots(i)
+    number = F.col("job_run_id").cast("long")
+    parts = [every.filter(number % 2 == 0), every.filter(number % 2 == 1), every.filter(number % 5 == 0)]
+    for poll, part in enumerate(parts):
+        polls.write_poll(part, f"{base}/polls", poll)
+        if poll:
+            streams.run_available(polls.poll_stream(i.spark, f"{base}/polls"),
+                                  streams.append_batches(f"{base}/seen"), f"{base}/checkpoint")
+    seen = i.spark.read.parquet(f"{base}/seen")
+    numbered = jobs.job_runs(seen.withColumn("job_run_id", F.concat_ws("/", "poll", "job_run_id")), F.expr(AS_OF))
+    return numbered.select(
+        F.substring_index("job_run_id", "/", 1).cast("int").alias("poll"),
+        F.substring_index("job_run_id", "/", -1).alias("job_run_id"), "state",
+        F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "duration_s")
+
+
 @check("s6_job_tasks", f"""WITH {SNAPSHOTS}
 SELECT job_run_id, task_key, artifact_path, state, error, {MS.format('start_time')} AS start_ts,
   CAST(floor((end_time - start_time) / 1000) AS BIGINT) AS duration_s FROM tasks""")
@@ -274,6 +301,33 @@ def processors(i):
     return ingest.processors(i.definitions())
 
 
+@check("c5_processors_of_records", f"WITH {GOOD} SELECT path, flow_id, id, name, type, intent FROM good")
+def processors_of_records(i):
+    """From files that are parsed in a stream, none of them a value."""
+    base = written_definitions(i, "records")
+    found = records.processors(records.records(i.spark, base))
+    return found.withColumn("path", below(F.col("path"), base))
+
+
+@check("c4_groups_of_records", """
+SELECT path, 0 AS place, CASE WHEN form = 'controller' THEN 'g-' || flow_id ELSE 'main_flow' END AS group_id,
+  CASE WHEN form = 'controller' THEN 'group ' || flow_id ELSE 'Main Flow' END AS group_name
+FROM b_paths WHERE form <> 'broken'
+UNION ALL SELECT path, 1, 'flow_1', NULL FROM b_paths WHERE form = 'controller'""")
+def groups_of_records(i):
+    base = written_definitions(i, "records")
+    return records.groups(records.records(i.spark, base)).withColumn("path", below(F.col("path"), base))
+
+
+@check("c1_catalogue_of_records", f"""
+SELECT path, CASE WHEN form <> 'broken' THEN flow_id END AS flow_id, replace(split_part(path, '/', -1), '.xml', '') AS flow_name,
+  {SERVER} AS server, CASE WHEN form = 'template' THEN 'defs of ' || flow_id END AS description, form <> 'broken' AS valid FROM b_paths""")
+def catalogue_of_records(i):
+    base = written_definitions(i, "records")
+    found = records.catalogue(records.records(i.spark, base), "defs")
+    return found.withColumn("path", below(F.col("path"), base)).drop("error")
+
+
 @check("c5_processors_in_sql", f"WITH {GOOD} SELECT path, flow_id, id, name, type FROM good")
 def processors_in_sql(i):
     """The table function in a lateral join."""
