@@ -71,7 +71,7 @@ def execution_tasks(artifacts: DataFrame, logs_base: str) -> DataFrame:
     """One task per artifact of an iteration, numbered from 0 in list order."""
     numbered = number_rows(artifacts.select("run_id", "iteration_num", "artifact_ref", "ts"),
                            ["run_id", "iteration_num"],
-                           [F.asc("artifact_ref"), F.asc("ts")], "task_index", start=0)
+                           [F.asc("artifact_ref"), F.asc("ts")], "task_index", start=0, unique=True)
     name, index = artifact_name(F.col("artifact_ref")), F.col("task_index")
     logs = logs_path(logs_base, F.col("run_id"), F.col("iteration_num"))
     return numbered.select(
@@ -84,7 +84,7 @@ def execution_tasks(artifacts: DataFrame, logs_base: str) -> DataFrame:
 def deployment_tasks(listing: DataFrame, order: Sequence[str]) -> DataFrame:
     """Task keys of a deployment: ``task_{i}_{flow}`` and artifact ids ``nb_{i}``."""
     numbered = number_rows(listing.select("flow_id", "artifact_ref", *order), ["flow_id"],
-                           [F.asc(c) for c in order], "task_index", start=0)
+                           [F.asc(c) for c in order], "task_index", start=0, unique=True)
     index = F.col("task_index")
     return numbered.select(
         "flow_id", "task_index", "artifact_ref", last_segment(F.col("artifact_ref")).alias("name"),

@@ -45,6 +45,17 @@ def test_numbers_follow_the_order(skewed):
         assert [(v, n) for _, v, n in found] == sorted((v, n) for _, v, n in found)
 
 
+def test_numbers_without_counting_first(skewed):
+    """Repeated rows among them: each has a number of its own."""
+    twice = skewed.unionByName(skewed.filter("n % 5 = 0"))
+    for order in ([F.asc("v"), F.asc("n")], [F.desc("v")]):
+        whole = number_rows(twice, ["k"], order, "place", 3)
+        plain = number_rows(twice, ["k"], order, "place", 3, unique=True)
+        assert plain.schema["place"].dataType == whole.schema["place"].dataType
+        key = ["k", "v", "place"]
+        assert rows(plain.select(key)) == rows(whole.select(key))
+
+
 def test_descending_numbers_over_ranges(skewed):
     kept = skewed.filter("k = 'hot'")
     got = number_rows(kept, ["k"], [F.desc("v"), F.desc("n")], "place").collect()
