@@ -164,10 +164,17 @@ def folders_that_may_hold(ids: DataFrame, folder: str, before: int) -> list[tupl
                 hits.append((batch, day))
         return pa.table({"batch": pa.array([b for b, _ in hits], pa.int64()), "event_date": pa.array([d for _, d in hits], pa.date32())})
 
-    wide = T.StructType([T.StructField("zone", T.IntegerType()), *chunks.schema.fields])
-    of_zone = F.element_at(F.array(*(F.lit(int(g)) for g in groups)), F.col("zone") + 1)
-    filters = chunks.mapInArrow(overlapping, wide).withColumn(
-        "group", F.pmod(F.xxhash64("batch", "event_date", "low"), of_zone).cast("int"))
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Filters by zone, each in one of its zone's groups."""
+        for part in overlapping(batches):
+            zone = part.column("zone").to_numpy()
+            own = part.column("low").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            group = (own + part.column("batch").to_numpy().astype(np.uint64)) % groups[zone].astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(group.astype(np.int32))], names=[*part.schema.names, "group"])
+
+    wide = T.StructType([T.StructField("zone", T.IntegerType()), *chunks.schema.fields, T.StructField("group", T.IntegerType())])
+    filters = chunks.mapInArrow(grouped, wide)
     keys = ids.select("id").mapInArrow(dealt, "zone int, group int, id long")
     found = keys.groupBy("zone", "group").cogroup(filters.groupBy("zone", "group")).applyInArrow(
         probe, "batch long, event_date date")
