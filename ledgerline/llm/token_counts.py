@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tokenizers_io import (
-    BYTE_SPLIT, WORKER_PIECE_CHARS, WORKER_PIECES, byte_bpe, frequent_words, is_plain, public_path)
+    WORKER_PIECE_CHARS, WORKER_PIECES, byte_bpe, frequent_words, public_path)
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -44,10 +44,7 @@ def _count(text: str, bpe, first: dict[str, int], second: _Lengths) -> int:
             total += sum(len(f) - 1 for f in found)
             parts = [p for f in found for p in f]
     for part in parts:
-        if not is_plain(part):
-            total += bpe.length(part)
-            continue
-        found = list(map(first.get, pieces := BYTE_SPLIT.findall(part)))
+        found = list(map(first.get, pieces := bpe.split(part)))
         if None in found:
             found = [second[p] if n is None else n for p, n in zip(pieces, found)]
         total += sum(found)
@@ -60,7 +57,8 @@ def token_counts(docs: DataFrame, tokenizer: str = BYTE_BPE, text: str = "text",
 
     First tier: a broadcast table of at most FREQUENT_WORDS frequent words (with their
     leading space) and their lengths in tokens. Second tier: each worker's own bounded
-    cache of the pieces it missed. Rows stay in their partitions: nothing is shuffled.
+    cache of the pieces it missed. Texts of any script are cut into pieces and take both
+    tiers. Rows stay in their partitions: nothing is shuffled.
 
     A null or empty text has 0 bytes and 0 tokens; null ids and repeated rows are kept
     as they are; an empty table gives none; other columns of ``docs`` are not read.
@@ -68,9 +66,17 @@ def token_counts(docs: DataFrame, tokenizer: str = BYTE_BPE, text: str = "text",
     ``path``: the vocabulary file, where all executors find it.
     """
     path = path or public_path(tokenizer)
-    bpe = byte_bpe(path)
-    known = {f" {w}": bpe.piece_length(f" {w}") for w in frequent_words(docs, text)
-             if BYTE_SPLIT.findall(f" {w}") == [f" {w}"]}
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path)
+        for batch in batches:
+            pieces = [f" {w}" for w in batch.column(0).to_pylist()]
+            pieces = [p for p in pieces if bpe.split(p) == [p]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pieces, pa.string()), pa.array(map(bpe.piece_length, pieces), pa.int32())], names=["piece", "n"])
+
+    found = frequent_words(docs, text).mapInArrow(lengths, "piece string, n int").toArrow()
+    known = dict(zip(found["piece"].to_pylist(), found["n"].to_pylist()))
     table = docs.sparkSession.sparkContext.broadcast(known)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 

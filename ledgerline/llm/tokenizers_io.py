@@ -2,7 +2,8 @@
 
 A text of Latin-1 characters is cut by the ``re`` module with the classes written out,
 which cuts it as the library does (tests hold every such character against it); any
-other text is cut by the library. Pieces are encoded by the library's own model either way.
+other text is cut by the library's own splitter. Pieces are encoded by the library's own
+model either way, a piece at a time. Only tasks load a vocabulary; the driver does not.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import json
 import os
 import re
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def is_plain(text: str) -> bool:
 
 
 def frequent_words(docs: DataFrame, text: str | Column, k: int = FREQUENT_WORDS,
-                   tracked: int = TRACKED_WORDS) -> list[str]:
-    """About the ``k`` most frequent words of all texts, without their punctuation.
+                   tracked: int = TRACKED_WORDS) -> DataFrame:
+    """``word``: about the ``k`` most frequent words of all texts, without their punctuation.
 
     Bounded sketches count them and are merged in two levels: sketches travel, words do
     not. The list only decides what is looked up first, never what a result is.
@@ -51,15 +52,14 @@ def frequent_words(docs: DataFrame, text: str | Column, k: int = FREQUENT_WORDS,
     marks = "\t\n\x0b\x0c\r.,;:!?\"()|"
     column = F.col(text) if isinstance(text, str) else text
     words = docs.select(F.explode(F.split(F.translate(column, marks, " " * len(marks)), " ")).alias("w"))
-    top = (
+    return (
         words.filter(F.length("w").between(1, FREQUENT_CHARS))
         .groupBy((F.spark_partition_id() % MERGERS).alias("merger"))
         .agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("part"))
         .groupBy((F.col("merger") * 0).alias("one"))     # grouped, so that empty partitions give none
         .agg(F.expr(f"approx_top_k_combine(part, {tracked})").alias("all"))
-        .select(F.inline(F.expr(f"approx_top_k_estimate(`all`, {k})")))
+        .select(F.inline(F.expr(f"approx_top_k_estimate(`all`, {k})"))).select(F.col("item").alias("word"))
     )
-    return [row["item"] for row in top.collect()]
 
 
 def _config(path: str) -> dict:
@@ -75,13 +75,17 @@ class ByteBpe:
 
         config = _config(path)
         self.whole = Tokenizer.from_file(path)
+        self._cut = self.whole.pre_tokenizer
         self.special = [t["content"] for t in config["added_tokens"]]
         config["pre_tokenizer"]["use_regex"] = False
         config["added_tokens"] = []
         self.one = Tokenizer.from_str(json.dumps(config))
 
-    def length(self, text: str) -> int:
-        return len(self.whole.encode(text, add_special_tokens=False).ids)
+    def split(self, text: str) -> list[str]:
+        """The pieces that the library would encode one by one, special tokens aside."""
+        if is_plain(text):
+            return BYTE_SPLIT.findall(text)
+        return [text[a:b] for _, (a, b) in self._cut.pre_tokenize_str(text)]
 
     def piece_length(self, piece: str) -> int:
         return len(self.one.encode(piece, add_special_tokens=False).ids)
@@ -123,6 +127,11 @@ class WordBpe:
         found = self.one.encode_batch(list(words), add_special_tokens=False)
         return [[self.special[w]] if w in self.special else e.ids for w, e in zip(words, found)]
 
+    @cached_property
+    def narrow(self) -> str:
+        """The kind of number that holds every id."""
+        return "<u2" if self.whole.get_vocab_size(True) <= 1 << 16 else "<u4"
+
     def pieces(self) -> list[str]:
         """The piece of each id; what decoding joins ids with."""
         return [self.whole.id_to_token(i) or "" for i in range(self.whole.get_vocab_size(True))]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -18,10 +18,11 @@ from ledgerline.llm.words import slices, text_bytes
 
 WORD_BPE = "word_bpe_49k.json"
 KNOWN_WORDS = 131_072        # words of at most 24 characters that are resolved by broadcast
-KNOWN_TRACKED = 393_216
-HELD_WORDS = 400_000         # distinct words a task holds before it passes them on
+KNOWN_TRACKED = 262_144
+BLOCK_BYTES = 32 << 20       # of text in a block, which one task puts together
 JOIN_IDS = 1 << 19           # ids turned into text at once
 TEXTS_AT_ONCE = 200          # texts of a block that are assembled together
+ASKED_AT_ONCE = 10_000       # words in one Arrow batch
 
 
 class _Letters(dict):
@@ -59,36 +60,54 @@ def _packed(ids: list[int], kind: str) -> bytes:
     return np.asarray(ids, kind).tobytes()
 
 
+def _known(docs: DataFrame, text: str, path: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """Frequent words, joined by spaces, their ids in one array and the number of each word's ids."""
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(path)
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if bpe.words(w) == [w]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.string()), pa.array([_packed(ids, "<u4") for ids in bpe.encode_words(words)], pa.binary())],
+                names=["word", "ids"])
+
+    found = frequent_words(docs, F.lower(text), KNOWN_WORDS, KNOWN_TRACKED).mapInArrow(
+        encoded, "word string, ids binary").toArrow()
+    flat, ends = text_bytes(found["ids"])
+    return " ".join(found["word"].to_pylist()), flat.view("<u4"), np.diff(ends) // 4
+
+
+def _one_for_each_partition(session: SparkSession, n: int) -> Column:
+    """An array of ``n`` numbers that hash partitioning over ``n`` partitions deals one to each."""
+    numbers = session.range(n * (8 + n.bit_length())).select(F.col("id").cast("int").alias("number"))
+    first = numbers.groupBy(F.pmod(F.hash("number"), F.lit(n)).alias("to")).agg(F.min("number").alias("number"))
+    found = sorted(r["number"] for r in first.select("number").collect())        # one row a partition
+    return F.array(*(F.lit(found[k % len(found)]) for k in range(n)))
+
+
 def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_col: str = "doc_id",
            path: str | None = None, decoded: str | None = None) -> DataFrame:
     """``id_col``, ``ids`` (little-endian unsigned 32-bit, packed) and ``n_tokens`` of every text.
 
     ``decoded``: a column for the text that the ids decode to, made in the same task.
 
-    Texts are split into words once and dealt to blocks as letters for known words and
-    a list of the other words. Each block gives its distinct other words; these meet by
-    word, so each is encoded once, and the codes go back to the blocks that asked,
-    where they take the positions of their words. Known words are those that most
-    blocks have (KNOWN_WORDS, a bounded broadcast): no word is asked for by a share of
-    all rows. The list of known words only decides the way of a word.
+    Texts are split into words once and dealt to blocks of measured size, as letters for known
+    words and a list of the other words. Each block numbers its distinct other words in their
+    order and asks for them; these meet by word, so each is encoded once, and the codes go back
+    to the blocks under their numbers, where they take the positions of their words. Known
+    words are those that most blocks have (KNOWN_WORDS, a bounded broadcast): no word is asked
+    for by a share of all rows. The list of known words only decides the way of a word.
 
     A null or empty text, or one of white space, has no ids. Null ids and repeated rows
     are kept; an empty table gives none; other columns of ``docs`` are not read.
     """
     path = path or public_path(tokenizer)
     session = docs.sparkSession
-    blocks = int(session.conf.get("spark.sql.shuffle.partitions"))
-    bpe = word_bpe(path)
-    frequent = frequent_words(docs, F.lower(text), KNOWN_WORDS, KNOWN_TRACKED)
-    frequent = [w for w in frequent if bpe.words(w) == [w]]
-    coded = bpe.encode_words(frequent)
-    known = session.sparkContext.broadcast((
-        " ".join(frequent), np.array([i for ids in coded for i in ids], "<u4"), np.array(list(map(len, coded)), np.int64)))
-    every = bpe.pieces()
-    narrow = "<u2" if len(every) <= 1 << 16 else "<u4"      # of ids on their way
-    pieces = session.sparkContext.broadcast(every) if decoded else None
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    known = session.sparkContext.broadcast(_known(docs, text, path))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.element_at(
+        _one_for_each_partition(session, blocks), (F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) + 1).cast("int")))
     id_kind = rows.schema["id"].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,52 +125,51 @@ def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_co
                 names=["block", "id", "letters", "others"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block that are not known yet."""
+        """The distinct words of each block that are not known yet, numbered in their order."""
         opener, held = zstandard.ZstdDecompressor(), {}
-
-        def passed_on():
-            for block, words in held.items():
-                words.discard("")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(words), block, np.int32)), pa.array(list(words), pa.string())],
-                    names=["block", "word"])
-            held.clear()
-
         for batch in batches:
             for block, body in zip(batch.column(0).to_pylist(), batch.column(3)):
                 held.setdefault(block, set()).update(opener.decompress(body.as_py()).decode().split(" "))
-            if sum(map(len, held.values())) > HELD_WORDS:
-                yield from passed_on()
-        yield from passed_on()
+        for block in list(held):
+            words = sorted(held.pop(block) - {""})
+            for at in range(0, len(words), ASKED_AT_ONCE):
+                some = words[at:at + ASKED_AT_ONCE]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), block, np.int32)), pa.array(np.arange(at, at + len(some), dtype=np.int32)),
+                     pa.array(some, pa.string())], names=["block", "number", "word"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Codes of sorted words; a word is encoded where it first stands."""
         bpe, last, code = word_bpe(path), None, b""
         for batch in batches:
-            runs = batch.column(1).to_pylist()
+            runs = batch.column(2).to_pylist()
             new = [w for w, before in zip(runs, [last, *runs]) if w != before]
-            fresh, out = (_packed(ids, narrow) for ids in bpe.encode_words(new)), []
+            fresh, out = (_packed(ids, bpe.narrow) for ids in bpe.encode_words(new)), []
             for word in runs:
                 if word != last:
                     last, code = word, next(fresh)
                 out.append(code)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "word", "code"])
+                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "number", "code"])
 
     def assemble(texts: pa.Table, codes: pa.Table) -> pa.Table:
-        opener, (_, flat, sizes) = zstandard.ZstdDecompressor(), known.value
-        book = {w: i for i, w in enumerate(codes["word"].to_pylist(), len(sizes) + 1)}
-        own, ends = text_bytes(codes["code"])
-        own, ends = own.view(narrow).astype("<u4"), ends // np.dtype(narrow).itemsize
+        opener, bpe, (_, flat, sizes) = zstandard.ZstdDecompressor(), word_bpe(path), known.value
+        others: set[str] = set()
+        for body in texts["others"]:
+            others.update(opener.decompress(body.as_py()).decode().split(" "))
+        # the block's numbers again
+        book = {w: i for i, w in enumerate(sorted(others - {""}), len(sizes) + 1)}
+        own, ends = text_bytes(codes["code"].take(pc.sort_indices(codes["number"])))
+        own, ends = own.view(bpe.narrow).astype("<u4"), ends // np.dtype(bpe.narrow).itemsize
         table = _Codes(np.concatenate([flat, own]), np.concatenate([sizes, np.diff(ends)]))
-        words_of_ids = pa.array(pieces.value, pa.string()) if decoded else None
+        words_of_ids = pa.array(bpe.pieces(), pa.string()) if decoded else None
         out = []
         for batch in texts.to_batches(TEXTS_AT_ONCE):
             ids = []
-            for coded, others in zip(batch["letters"], batch["others"]):
+            for coded, rest in zip(batch["letters"], batch["others"]):
                 numbers = _numbers(opener.decompress(coded.as_py()))
                 if not numbers.all():
-                    words = opener.decompress(others.as_py()).decode().split(" ")
+                    words = opener.decompress(rest.as_py()).decode().split(" ")
                     numbers[numbers == 0] = list(map(book.__getitem__, words))
                 ids.append(table.of(numbers).tobytes())
             columns = [batch["id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
@@ -166,9 +184,9 @@ def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_co
     dealt = rows.mapInArrow(
         split, f"block int, id {id_kind}, letters binary, others binary").repartition(blocks, "block")
     codes = (
-        dealt.mapInArrow(ask, "block int, word string")
-        .repartition(blocks, "word").sortWithinPartitions("word")
-        .mapInArrow(answer, "block int, word string, code binary")
+        dealt.mapInArrow(ask, "block int, number int, word string")
+        .repartition(blocks, "word").sortWithinPartitions("word", "block")
+        .mapInArrow(answer, "block int, number int, code binary")
     )
     return (
         dealt.groupBy("block").cogroup(codes.groupBy("block"))
@@ -188,15 +206,14 @@ def decode(encoded: DataFrame, tokenizer: str = WORD_BPE, ids: str = "ids", text
            path: str | None = None) -> DataFrame:
     """``encoded`` with a column ``text``: the pieces of ``ids``, a space between them.
 
-    A map-side join of every id with the broadcast table of pieces, whose size is the
-    vocabulary's. Null or empty ids give an empty text; a column named ``text`` is replaced.
+    A map-side join of every id with the table of pieces that each worker has of the
+    vocabulary. Null or empty ids give an empty text; a column named ``text`` is replaced.
     """
     path = path or public_path(tokenizer)
-    pieces = encoded.sparkSession.sparkContext.broadcast(word_bpe(path).pieces())
     encoded = encoded.drop(text)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(pieces.value, pa.string())
+        table = pa.array(word_bpe(path).pieces(), pa.string())
         for batch in batches:
             for part in slices(batch, ids, 4 * JOIN_IDS):
                 packed = [v.as_py() or b"" for v in part.column(part.schema.get_field_index(ids))]

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import tokenizers_io
-from ledgerline.llm.token_counts import BYTE_BPE, token_counts
+from ledgerline.llm.token_counts import BYTE_BPE, _count, _Lengths, token_counts
 from ledgerline.llm.tokenizers_io import BYTE_SPLIT, byte_bpe, frequent_words, public_path, word_bpe
-from ledgerline.llm.word_codes import WORD_BPE, decode, encode
+from ledgerline.llm.word_codes import WORD_BPE, _one_for_each_partition, decode, encode
 
 TEXTS = [
     None, "", "   ", "Hello world, it's the wörld's end!", "Hello world, it's the wörld's end!", "a\x85b\xa0c \x1c d",
@@ -43,6 +43,33 @@ def test_counts_are_the_librarys(docs):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+SCRIPTS = ["it\u2019s plain \u2014 but for a quote", "Съешь же ещё этих мягких французских булок, съешь же ещё", "漢字 仮名 漢字",
+           "a1² ½ don\u2019t don't \U0001f600\u200d\U0001f600", "\u2028 x\u3000y\x85z ", "ἀρχὴ 12٣٤ e\u0301"]
+
+
+def test_texts_of_every_script_take_both_tiers():
+    """Each piece is encoded once at most, and pieces of the first tier never."""
+    bpe, asked = byte_bpe(public_path(BYTE_BPE)), []
+
+    def encode_piece(piece):
+        asked.append(piece)
+        return bpe.piece_length(piece)
+
+    first, second = {" же": bpe.piece_length(" же")}, _Lengths(encode_piece)
+    for _ in range(2):
+        for text in SCRIPTS:
+            assert "".join(bpe.split(text)) == text
+            assert _count(text, bpe, first, second) == len(bpe.whole.encode(text, add_special_tokens=False).ids)
+    assert len(asked) == len(set(asked)) and " же" not in asked and " ещё" in asked
+
+
+def test_one_block_for_each_partition(spark):
+    for n in (1, 7, 51, 200):
+        keys = spark.range(1).select(F.explode(_one_for_each_partition(spark, n)).alias("k"))
+        dealt = keys.repartition(n, "k").groupBy(F.spark_partition_id().alias("p")).count()
+        assert dealt.count() == n
+
+
 def test_a_full_cache_changes_no_count(docs, monkeypatch):
     from ledgerline.llm import token_counts as module
     lengths = module._Lengths(lambda piece: len(piece))
@@ -66,8 +93,10 @@ def test_codes_and_their_text_are_the_librarys(docs):
 
 def test_words_that_no_table_knows(docs, monkeypatch):
     """Every word goes by the join."""
-    monkeypatch.setattr("ledgerline.llm.word_codes.frequent_words", lambda *a: [])
-    monkeypatch.setattr("ledgerline.llm.word_codes.HELD_WORDS", 2)
+    none = docs.sparkSession.createDataFrame([], "word string")
+    monkeypatch.setattr("ledgerline.llm.word_codes.frequent_words", lambda *a: none)
+    monkeypatch.setattr("ledgerline.llm.word_codes.ASKED_AT_ONCE", 3)
+    monkeypatch.setattr("ledgerline.llm.word_codes.BLOCK_BYTES", 1 << 10)
     whole = word_bpe(public_path(WORD_BPE)).whole
     for row in encode(docs.dropDuplicates(["doc_id"])).join(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
         assert np.frombuffer(row["ids"], "<u4").tolist() == whole.encode(row["text"] or "", add_special_tokens=False).ids
@@ -76,11 +105,11 @@ def test_words_that_no_table_knows(docs, monkeypatch):
 def test_empty_tables(docs):
     none = docs.filter("false")
     assert token_counts(none).count() == 0 and encode(none).count() == 0
-    assert frequent_words(none, "text") == []
+    assert frequent_words(none, "text").count() == 0
     assert decode(encode(docs.filter("doc_id = 1"))).first()["text"] == ""
 
 
 def test_frequent_words_are_found(spark):
     docs = spark.createDataFrame([("b a a, a.",), ("a c\na",), (None,)], "text string").repartition(4)
-    assert frequent_words(docs, F.upper("text"))[0] == "A"
+    assert frequent_words(docs, F.upper("text")).first()["word"] == "A"
     assert tokenizers_io.is_plain("é") and not tokenizers_io.is_plain("漢")
