@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.settle import settled
+from ledgerline.llm.settle import settled, unused
 from ledgerline.llm.words import Words, hash_spans, mix, row_order, slices, text_bytes, words_in
 
 RARITY_BITS = 20             # counters of words: 2**20
 RARITY_CHUNK = 1 << 14       # counters that are merged together
 MERGE_FANIN = 256            # parts of a chunk that are merged at first
 SHARDS_PER_PARTITION = 4     # groups of words for each shuffle partition
+SEEN_LINES = 1 << 20         # sets that a task remembers to have sent, before it starts anew
 SPAN = 20_000                # a word's lines of fitting length that are all compared with a line
 PARTNERS = 4                 # lines that an entry proposes at first
 PIVOTS = 64                  # earliest entries of a word beyond SPAN, with which its others are compared at first
@@ -162,26 +163,46 @@ def _indexed(sizes: np.ndarray) -> np.ndarray:
     return sizes - (8 * sizes + 8) // 9 + 1
 
 
+def _fresh(refs: np.ndarray, order: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """Of each set the copy with the least order, unless the task sent one that is no later."""
+    out = np.zeros(len(refs), dtype=bool)
+    if not len(refs):
+        return out
+    by_set = np.lexsort((order, refs))
+    new = np.concatenate([[True], refs[by_set[1:]] != refs[by_set[:-1]]])
+    for at, ref, mine in zip(by_set[new].tolist(), refs[by_set[new]].tolist(), order[by_set[new]].tolist()):
+        if seen.get(ref, FAR) > mine:
+            seen[ref], out[at] = mine, True
+    if len(seen) > SEEN_LINES:
+        seen.clear()
+    return out
+
+
 def _entries(rows: DataFrame, rarity: np.ndarray, orders: list, shards: int) -> DataFrame:
-    """``shard`` and packed ENTRY records of the prefixes of all lines of four words or more.
+    """``shard`` and packed ENTRY records of the prefixes of all sets of four words or more.
 
-    Smaller lines are like none but their equals.
+    Smaller lines are like none but their equals. A task sends a set once, however many lines have
+    it, and again only for an earlier order or when it has forgotten it.
     """
     session = rows.sparkSession
     shared = session.sparkContext.broadcast((rarity, orders))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity, orders = shared.value
+        seen: dict[int, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = _lines(part.column(1), rarity)
-                sizes = lines.sizes
+                sizes, refs = lines.sizes, lines.names()[0]
                 if orders:
                     ids = part.column(0).cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
                     order = np.searchsorted(orders, ids, "right")[lines.row]
                 else:
                     order = np.zeros(len(lines.row), np.int64)
-                take = np.where(sizes >= 4, _probed(sizes), 0)
+                sent = np.flatnonzero(sizes >= 4)
+                sent = sent[_fresh(refs[sent], order[sent], seen)]
+                take = np.zeros(len(sizes), dtype=np.int64)
+                take[sent] = _probed(sizes[sent])
                 upto = np.cumsum(take)
                 place = np.arange(take.sum()) - np.repeat(upto - take, take)
                 token = lines.tokens[np.repeat(lines.first[:-1], take) + place]
@@ -190,7 +211,7 @@ def _entries(rows: DataFrame, rarity: np.ndarray, orders: list, shards: int) ->
                 records["size"] = np.repeat(np.minimum(sizes, 0xFFFF), take)
                 records["place"] = np.minimum(place, 0xFF)
                 records["order"] = np.repeat(order, take)
-                records["ref"] = np.repeat(lines.names()[0], take)
+                records["ref"] = np.repeat(refs, take)
                 records["bits"] = np.repeat(lines.parities(128), take, axis=0)
                 shard = (token >> np.uint64(32)) % np.uint64(shards)
                 sort = np.argsort(shard, kind="stable")
@@ -387,12 +408,12 @@ def _only(sets: DataFrame, asked: np.ndarray) -> DataFrame:
     return sets.mapInArrow(keep, sets.schema)
 
 
-def _losers(pairs: DataFrame, sets: DataFrame, told_apart: bool = True) -> DataFrame:
+def _losers(pairs: DataFrame, sets: DataFrame, at_most: int | None = None, told_apart: bool = True) -> DataFrame:
     """KEY of the later line of each pair ``later, earlier`` whose words reach 0.8.
 
     ``told_apart``: compare wide bitmaps before words, for pairs of which few will reach it.
     """
-    pairs = settled(pairs, "line-pairs", small=True)
+    pairs = settled(pairs, "line-pairs", at_most)
     sets = settled(_only(sets, _filter_of(pairs)), "line-asked")
 
     def side(name: str, *columns: str) -> DataFrame:
@@ -450,18 +471,19 @@ def line_removals(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     crowds = found.filter("crowd is not null")
     offers = found.filter("crowd is null").groupBy("later", "earlier").agg(
         F.min("score").alias("score"), F.max("more").alias("more"))
-    offers = settled(offers, "line-offers", small=True)
+    offers = settled(offers, "line-offers", found.count())
+    n_offers = offers.count()
     sets = settled(_sets(rows, _filter_of(found.select("later", F.coalesce("earlier", "later")))), "line-sets")
 
     best = offers.groupBy("later").agg(F.min(F.struct("score", "earlier")).alias("best"))
-    lost = settled(_losers(best.select("later", "best.earlier"), sets, told_apart=False), "line-lost", small=True)
+    lost = settled(_losers(best.select("later", "best.earlier"), sets, n_offers, told_apart=False), "line-lost", n_offers)
     gone = lost.select(F.col("set_a").alias("later")).distinct()
-    still = settled(offers.join(gone, "later", "left_anti"), "line-still", small=True)
-    lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets), "line-lost", small=True))
+    still = settled(offers.join(gone, "later", "left_anti"), "line-still", n_offers)
+    lost = lost.unionByName(settled(_losers(still.select("later", "earlier"), sets, n_offers), "line-lost", n_offers))
 
     gone = lost.select(F.col("set_a").alias("later")).distinct()
     unsure = crowds.filter("more").select("later").distinct().join(gone, "later", "left_anti")
-    lost = settled(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct(), "line-lost", small=True)
+    lost = settled(lost.unionByName(_losers(_crowd_pairs(unsure, crowds), sets)).distinct(), "line-lost")
 
     place = F.struct("id", "body", "number")
     firsts = lines.groupBy(*KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -485,11 +507,12 @@ def without_lines(docs: DataFrame, removals: DataFrame, text: str = "text", id_c
     A text that loses none is unchanged. A row whose lines with a word are all removed is
     left out. Other columns, and rows without a word, stay.
     """
+    own, at, gone = unused(docs, "is", "at", "cut")
     cut = removals.filter(F.size("removed") > 0).dropDuplicates(["id", "body"]).select(
-        F.struct("id", "body").alias("_at"), F.struct("n_lines", "removed").alias("_cut"))
-    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("_cut.removed", i.cast("long")))
-    joined = docs.withColumn("_is", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("body")))
-    joined = joined.join(cut, F.col("_is") == F.col("_at"), "left")
-    joined = joined.filter(F.col("_cut").isNull() | (F.size("_cut.removed") < F.col("_cut.n_lines")))
+        F.struct("id", "body").alias(at), F.struct("n_lines", "removed").alias(gone))
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(f"{gone}.removed", i.cast("long")))
+    joined = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("body")))
+    joined = joined.join(cut, F.col(own) == F.col(at), "left")
+    joined = joined.filter(F.col(gone).isNull() | (F.size(f"{gone}.removed") < F.col(f"{gone}.n_lines")))
     return joined.withColumn(
-        into, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_is", "_at", "_cut")
+        into, F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop(own, at, gone)

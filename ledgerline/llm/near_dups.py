@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
-from ledgerline.llm.settle import held, settled
+from ledgerline.llm.settle import settled
 from ledgerline.llm.words import distinct_in_rows, grams, mix, slices, words_of
 
 PERMUTATIONS = 128
 BANDS = 32                   # of 4 minima: a pair at 0.8 meets in none with a chance of 5e-8
 LOW_BITS = 4                 # kept of each minimum
-LEAST_MATCHES = 82           # of 128 that a pair at the threshold falls short of by 5 deviations
+LEAST_ESTIMATE = 0.616       # that a pair at the threshold falls short of by 5 deviations
+LEAST_MATCHES = 82           # agreeing low bits of 128 that make this estimate
 THRESHOLD = 80               # per cent
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 128, 16_384, 64   # sets of a block; blocks of a cluster, if those sizes allow it
 
@@ -200,8 +201,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
     over links, ``kept`` says that it is the row's own. Repeated texts are one set, with
     its smallest id for all; a text of fewer than ``n`` words is one shingle; a text
     without words, or null, has no shingle and no link. A null id has a null component,
-    no links, and is kept. Rows that share an id share its component. Empty tables give none;
-    other columns are not read.
+    no links, and is kept. Rows that share an id are judged each by its own text, and reach what
+    that reaches. Empty tables give none; other columns are not read.
 
     Candidates share a band. First each set meets the centre of one of its bands that it
     looks most like, then the other centres; what that confirms is joined into components.
@@ -218,6 +219,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
     bands = classes.select("rep", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = settled(bands.join(shared, "band"), "near-members")
+    n_classes, n_members = classes.count(), members.count()
     needed = members.select(F.col("rep").alias("id")).distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,21 +239,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     centres = members.join(weights, "rep").groupBy("band").agg(
         F.max(F.struct("weight", "rep")).alias("centre")).select("band", F.col("centre.rep").alias("b"))
-    star = held(
+    star = settled(
         members.join(centres, "band").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
         .join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
         .join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
-        .select("a", "b", matches("low_a", "low_b").alias("alike"))
-        .filter(F.col("alike") >= LEAST_MATCHES))
+        .select("a", "b", estimated("low_a", "low_b").alias("alike"))
+        .filter(F.col("alike") >= LEAST_ESTIMATE), "near-star", n_members)
     best = star.groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("unlike"), "b")).alias("best"))
-    best = held(best.select("a", "best.b"))
-    links = held(_confirmed(best, sets))
-    comps = components(links, "a", "b")
+    best = best.select("a", "best.b")
+    links = settled(_confirmed(best, sets), "near-links", n_classes)
+    comps = components(links, "a", "b", n_classes)
 
     # then the other centres, where they are of another component
     others = _apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), comps)
-    links = held(links.unionByName(_confirmed(others, sets)))
-    comps = components(links, "a", "b")
+    links = links.unionByName(settled(_confirmed(others, sets), "near-links", n_members))
+    comps = components(links, "a", "b", n_classes + n_members)
 
     # then all sets that open bands connect, in blocks, where they are of different components
     placed = (
@@ -262,14 +264,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
         placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .filter("least < most")
     )
-    left = held(placed.join(open_bands.select("band", "least"), "band").select("rep", "component", "least"))
-    clusters = components(left.select("component", "least"), "component", "least")
-    links = links.unionByName(_linked_in(
+    left = settled(
+        placed.join(open_bands.select("band", "least"), "band").select("rep", "component", "least"), "near-open", n_members)
+    clusters = components(left.select("component", "least"), "component", "least", left.count())
+    links = links.unionByName(settled(_linked_in(
         left.select("rep", "component").distinct()
         .join(clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component", "left")
         .withColumn("cluster", F.coalesce("cluster", "component"))
-        .join(low, "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")))
-    comps = components(held(links), "a", "b")
+        .join(low, "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")), "near-links"))
+    comps = components(links, "a", "b", links.count())
 
     named = signed.select("id", *name).join(classes.select(*name, "rep"), name, "left")
     found = named.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import gc
 
-from ledgerline.session import new_dir
+from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.session import new_dir
 
-FILES_SHARE = 16             # shuffle partitions that a small table has one file for
+ROWS_A_FILE = 50_000         # of a narrow table
 
 
-def settled(df: DataFrame, label: str, small: bool = False) -> DataFrame:
+def settled(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """``df``, written once to the shared folder of the session and read again.
 
     Cuts the lineage: a lost executor costs no recomputation, and every later use reads
-    the same rows. The folder lies below ``spark.checkpoint.dir``, whose owner clears it.
-    For what is large, dear to make, or made in a loop; ``small`` tables get fewer files.
+    the same rows, from a short plan. The folder lies below ``spark.checkpoint.dir``, whose owner
+    clears it. For what is large, dear to make, made in a loop, or used a few times.
+
+    ``rows``: a count that was taken and that a narrow table cannot exceed; it gets a file, and
+    its last step a task, for every ROWS_A_FILE of them at the fewest.
     """
-    if small:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(1 + partitions // FILES_SHARE)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """``df``, kept by the executors once it is made; what a lost one had is made again.
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver give up what finished work left: plans, and with them broadcasts and shuffles.
 
-    For small tables that are used a few times, which would cost a file for each task. Not
-    for loops: the plan of what is kept still grows.
+    Spark's cleaner drops those of objects that the JVM has collected, and by itself asks for a
+    collection every half hour only; a JVM object stays as long as Python holds it. For between
+    the stages of a long job.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -71,8 +71,9 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     place's share, in which they count already.
 
     Pages are first counted by host and shape, with partial counts before the shuffle, so
-    the tree works on shapes and a hot host is small. It grows by a level at a time while
-    a place has several shapes; one that stands alone has no further place to part at.
+    the tree works on shapes and a hot host is small. It grows by a branching at a time while
+    a place has several shapes: segments that all shapes of a place share are passed in one turn,
+    so turns follow branchings, not the length of paths. A shape that stands alone is done.
     """
     known = pages.join(labels.filter("bad is not null").select("page_id", F.col("bad").cast("int").alias("bad")),
                        "page_id", "left")
@@ -80,23 +81,41 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
         known.groupBy("host", _segments("path").alias("shape"))
         .agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     )
-    shapes = settled(shapes, "url-shapes", small=True)
+    shapes = settled(shapes, "url-shapes", pages.count())
+    n_shapes = shapes.count()
     total = shapes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()     # one row
     every = F.lit(((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2))
     hosts = shapes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("all_share", every)
-    nodes = shapes.withColumn("node", F.lit("")).join(hosts.select("host", _own("all_share").alias("share")), "host")
-    found, depth = [], 0
+    nodes = shapes.withColumns({"node": F.lit(""), "depth": F.lit(0)}).join(hosts.select("host", _own("all_share").alias("share")), "host")
+    found = []
     while True:
-        level = settled(_level(nodes, depth), f"url-level-{depth}", small=True)      # else the plan doubles with each
+        level = settled(_level(nodes), "url-level", n_shapes)      # else the plan doubles with each
         found.append(level.filter("done").select("host", "shape", F.col("node").alias("template"), F.col("share").alias("bad_share")))
-        nodes, depth = level.filter("not done").drop("done"), depth + 1
+        nodes = level.filter("not done").drop("done")
         if nodes.isEmpty():
             return reduce(DataFrame.unionAll, found)
 
 
-def _level(nodes: DataFrame, depth: int) -> DataFrame:
-    """``nodes`` one segment further down; ``done`` where a shape has its whole template."""
-    here = F.get(F.col("shape"), F.lit(depth))
+def _passed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` beyond the segments that all shapes of their place share, to which nothing else happens there.
+
+    What the first and the last of a place in order have in common at their start, all have.
+    """
+    rest = F.slice("shape", F.col("depth") + 1, F.size("shape") - F.col("depth"))
+    ends = nodes.groupBy("host", "node").agg(F.min(rest).alias("first"), F.max(rest).alias("last"))
+    start = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"))
+    common = F.aggregate(F.arrays_zip("first", "last"), start, lambda so_far, pair: F.struct(
+        (so_far["on"] & pair["first"].eqNullSafe(pair["last"])).alias("on"),
+        (so_far["n"] + (so_far["on"] & pair["first"].eqNullSafe(pair["last"])).cast("int")).alias("n")))
+    shared = F.transform(F.slice("shape", F.col("depth") + 1, F.col("common")), lambda s: F.concat(F.lit("/"), s))
+    return nodes.join(ends.select("host", "node", common["n"].alias("common")), ["host", "node"]).withColumns(
+        {"node": F.concat("node", F.array_join(shared, "")), "depth": F.col("depth") + F.col("common")}).drop("common")
+
+
+def _level(nodes: DataFrame) -> DataFrame:
+    """``nodes`` one branching further down; ``done`` where a shape has its whole template."""
+    nodes = _passed(nodes)
+    here = F.get(F.col("shape"), F.col("depth"))
     nodes = nodes.withColumn("step", F.when(here.isNull(), "").otherwise(F.concat(F.lit("/"), here)))
     steps = nodes.groupBy("host", "node", "share", "step").agg(
         F.count("*").alias("shapes"), *(F.sum(c).alias(c) for c in ("pages", "n", "bad")))
@@ -114,11 +133,11 @@ def _level(nodes: DataFrame, depth: int) -> DataFrame:
         F.when(~F.col("unlike") | (F.col("n") == F.col("labels")), F.col("share")).otherwise(_smoothed("share")).alias("branch_share"))
     moved = steps.select("host", "node", "step", "branch").join(branches, ["host", "node", "branch"])
     done = (F.col("shapes") == 1) | (F.col("step") == "")
-    rest = F.slice("shape", depth + 2, F.greatest(F.size("shape"), F.lit(1)))
+    rest = F.slice("shape", F.col("depth") + 2, F.greatest(F.size("shape"), F.lit(1)))
     rest = F.when(F.col("done"), F.array_join(F.transform(rest, lambda s: F.concat(F.lit("/"), s)), "")).otherwise("")
     return nodes.drop("share").join(moved, ["host", "node", "step"]).withColumn("done", done).select(
         "host", "shape", "pages", "n", "bad", F.concat("node", "branch", rest).alias("node"),
-        F.col("branch_share").alias("share"), "done")
+        F.col("branch_share").alias("share"), "done", (F.col("depth") + 1).alias("depth"))
 
 
 def _pooled(branches: DataFrame) -> DataFrame:

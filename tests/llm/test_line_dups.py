@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from ledgerline.llm import line_dups
@@ -85,3 +86,22 @@ def test_repeated_rows_and_null_ids(spark):
     assert sum(map(bool, found_[1])) in (1, 2)     # rows alike stand at one place, and go or stay together
     text_ids = spark.createDataFrame([("b", "s t"), ("a", "s t")], "doc_id string, text string")
     assert found(line_removals(text_ids)) == {"a": (1, []), "b": (1, [0])}
+
+
+def test_a_hot_line_is_sent_once_a_task(spark):
+    """A line of every document, ids falling, so that each copy is earlier than the one before."""
+    line = "a line of many words that every document has somewhere in it"
+    docs = [(n, f"{line}\nown w{n} x{n} y{n} z{n}\n{line}") for n in range(400)]
+    df = spark.createDataFrame(docs, "id long, text string").coalesce(1)
+    rarity = np.zeros(1 << line_dups.RARITY_BITS, np.uint8)
+    for rows, orders, most in ((df, [], 1), (df, [100.0, 300.0], 1), (df.orderBy("id", ascending=False).coalesce(1), [100.0, 300.0], 3)):
+        sent = line_dups._entries(rows, rarity, orders, 4).collect()
+        entries = np.frombuffer(b"".join(bytes(r["entries"]) for r in sent), line_dups.ENTRY)
+        refs, counts = np.unique(entries["ref"], return_counts=True)
+        prefix = int(line_dups._probed(np.array([len(set(line.split()))]))[0])
+        assert len(refs) == 401 and counts.max() <= max(most * prefix, 4)
+    seen = {}
+    refs, order = np.array([5, 5, 7, 5], np.uint64), np.array([3, 2, 9, 2])
+    assert line_dups._fresh(refs, order, seen).tolist() == [False, True, True, False]
+    assert line_dups._fresh(refs, order, seen).tolist() == [False] * 4
+    assert line_dups._fresh(refs[:1], np.array([1]), seen).tolist() == [True]
