@@ -56,7 +56,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     A row's key is a hash of its id and ``seed``, so reruns agree. Within a source, rows
     in the order of their keys are taken up to the source's target: as many whole
     epochs as fit, then rows up to the budget that is left; the row on the cut is taken
-    if that ends nearer to the budget. ``taken`` = ``copies`` * ``size`` words.
+    if that ends nearer to the budget. ``taken`` = ``copies`` * ``size`` words; no row has more
+    than ``most`` copies.
 
     Keys are cut into ranges, words are summed up within a range and the sums of the
     ranges before it are added: no source meets in one task, whatever its share. A null
@@ -72,14 +73,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     rows = settled(rows, "mix-sizes")      # narrow; the texts are read once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     share = F.ceil(F.col("n") * ranges / F.sum("n").over(Window.partitionBy()))
-    plan = sizes.withColumn("ranges", share).select(_named("source").alias("name"), "ranges").join(
-        targets(sizes, weights, most).withColumn("name", _named("source")).drop("source"), "name")
+    plan = settled(sizes.withColumn("ranges", share).select(_named("source").alias("name"), "ranges").join(
+        targets(sizes, weights, most).withColumn("name", _named("source")).drop("source"), "name"), "mix-sources")
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    # a source's row meets its documents in parts, so that a large source is many tasks
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ranges - 1).cast("long")))
+    # sources of more than one range are fewer than ranges, and come to the rows; others hold few rows each
+    rows = rows.withColumn("name", _named("source")).drop("source")
+    large = F.broadcast(plan.filter("ranges > 1").withColumn("large", F.lit(True)))
+    both = rows.join(large, "name", "left")
     dealt = (
-        rows.withColumn("name", _named("source")).drop("source").withColumn("part", at % ranges)
-        .join(plan.withColumn("part", parts), ["name", "part"]).drop("part")
+        both.filter("large").drop("large").unionByName(
+            both.filter("large is null").select(*rows.columns).join(plan.filter("ranges <= 1"), "name"))
         .withColumn("range", F.floor(at * F.col("ranges") / F.lit(1 << 32)))
     )
     earlier = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,7 +98,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     budget = F.floor(F.col("target") + 0.5).cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = F.col("left") - F.col("start")
-    more = (F.col("size") <= left) | ((left > 0) & (2 * left >= F.col("size")))
+    # nothing is left of a source at its stop, also not for texts without a word
+    more = (left > 0) & ((F.col("size") <= left) | (2 * left >= F.col("size")))
     return (
         placed.withColumn("whole", whole).withColumn("left", budget - F.col("whole") * F.col("source_size"))
         .withColumn("copies", F.col("whole") + more.cast("long"))

@@ -33,6 +33,16 @@ def test_targets(spark, seed):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in want)
 
 
+def test_no_fourth_copy_of_texts_without_words(spark):
+    """A small source at its stop, half of whose rows are empty."""
+    rows = [(i, "w " * 5 if i % 2 else pick, "b") for i, pick in enumerate([None, "", " "] * 20)]
+    rows += [(1000 + i, "w " * 400, "a") for i in range(60)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    small = [r for r in got if r["doc_id"] < 1000]
+    assert {r["copies"] for r in small} == {3} and max(r["copies"] for r in got) <= 3
+    assert sum(r["taken"] for r in small) == 3 * small[0]["source_size"]
+
+
 def made(seed):
     pick = random.Random(seed)
     rows = [(i, " ".join("w" * 3 for _ in range(pick.randrange(40))) if i % 11 else None,
