@@ -7,16 +7,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.words import slices
 
-SAMPLE_TEXTS = 64            # labelled texts of a language that the fit reads at most
-EXCERPTS = 8                 # pieces of such a text, one from each eighth of it
-EXCERPT_CHARS = 512          # characters of a piece; a text of up to 4,096 is read whole
-TRAIN_CHARS = 60_000         # normalised characters of a language in its automaton
-ALL_CHARS = 2_400_000        # the same over all languages: bounds a worker's memory
+SAMPLE_TEXTS = 64            # labelled texts of a language that the fit reads at most, whole
+SAMPLE_CHARS = 4_096         # of such a text; a language that has none so short teaches by its shortest
+ALL_CHARS = 2_400_000        # of all such texts: bounds a worker's memory, by fewer texts of many languages
 DENSE = 64                   # codes of a language that have a column in its table; the rest are looked up
 PIECE = 256                  # characters parsed in lockstep with other pieces
 UNKNOWN = "und"
@@ -126,29 +124,69 @@ class Parser:
     def codes(self, text: str) -> np.ndarray:
         return self.kinds[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
 
-    def phrases(self, pieces: np.ndarray, lengths: np.ndarray, table: Automaton) -> np.ndarray:
-        """Number of longest-match phrases of each piece; pieces stand sorted, the longest first."""
-        state = np.zeros(len(lengths), dtype=np.int64)
-        count = np.zeros(len(lengths), dtype=np.int64)
-        alive = np.searchsorted(-lengths, -np.arange(pieces.shape[1]), "left")
-        for step in range(pieces.shape[1]):
-            n = alive[step]
-            if not n:
+    def phrases(self, pieces: np.ndarray, lengths: np.ndarray, table: Automaton,
+                before: np.ndarray | None = None) -> np.ndarray:
+        """Longest-match phrases that begin in each piece; pieces stand sorted, the longest first.
+
+        ``before``: the piece that goes before each in its text, -1 for the first. All pieces are parsed
+        at once, as if a phrase began with each. Then the phrase that is open at the end of a piece
+        goes on in the next, until a phrase begins where one does in that piece's own parse: from
+        there on both are one. So the counts of a text add up to those of its parse as a whole.
+        """
+        n, width = pieces.shape
+        state = np.zeros(n, dtype=np.int64)
+        starts = np.zeros((n, width), dtype=bool)
+        alive = np.searchsorted(-lengths, -np.arange(width), "left")
+        for step in range(width):
+            k = alive[step]
+            if not k:
                 break
-            code = table.own[pieces[:n, step]]
-            after = table.after(state[:n], code)
+            code = table.own[pieces[:k, step]]
+            after = table.after(state[:k], code)
             broken = np.flatnonzero(after < 0)
-            if len(broken):
-                count[broken] += state[broken] > 0        # the phrase before ends here
-                again = table.after(0, code[broken])
-                count[broken] += again < 0                # a character that never occurs is one
-                after[broken] = np.maximum(again, 0)
-            state[:n] = after
-        return count + (state > 0)
+            starts[:k, step] = state[:k] == 0
+            starts[broken, step] = True       # the phrase before ended, or a character that never occurs is one
+            after[broken] = np.maximum(table.after(0, code[broken]), 0)
+            state[:k] = after
+        count = starts.sum(axis=1)
+        if before is None:
+            return count
+        own, end, entered = count.copy(), state.copy(), np.zeros(n, dtype=np.int64)
+        later = np.flatnonzero(before >= 0)
+        while True:
+            entry = end[before[later]]
+            moved = later[entry != entered[later]]
+            if not len(moved):
+                return count
+            entered[moved] = end[before[moved]]
+            count[moved], end[moved] = self._entered(moved, entered[moved], pieces, lengths, table, starts, own, state)
+
+    def _entered(self, which, entry, pieces, lengths, table, starts, own, own_end):
+        """Phrases that begin in pieces which are entered in a state, and the states at their ends."""
+        count, end = own[which].copy(), own_end[which].copy()
+        state, begun = entry.copy(), np.zeros(len(which), dtype=np.int64)
+        active = np.flatnonzero(entry > 0)    # else the phrase before ended with its piece
+        for step in range(pieces.shape[1]):
+            over = active[lengths[which[active]] <= step]
+            count[over], end[over] = begun[over], state[over]
+            active = active[lengths[which[active]] > step]
+            if not len(active):
+                break
+            code = table.own[pieces[which[active], step]]
+            after = table.after(state[active], code)
+            broken = after < 0
+            met = broken & starts[which[active], step]
+            count[active[met]] = begun[active[met]] + starts[which[active[met]], step:].sum(axis=1)
+            begun[active[broken & ~met]] += 1
+            after[broken] = np.maximum(table.after(0, code[broken]), 0)
+            state[active] = after
+            active = active[~met]
+        count[active], end[active] = begun[active], state[active]
+        return count, end
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
-        n, codes, owner = len(column), [], []
+        n, codes, owner, previous = len(column), [], [], []
         for row, value in enumerate(column):
             code = self.codes(value.as_py() or "")
             keep = np.ones(len(code), dtype=bool)
@@ -157,6 +195,7 @@ class Parser:
             if not code.any():
                 continue
             for at in range(0, len(code), PIECE):
+                previous.append(len(codes) - 1 if at else -1)
                 codes.append(code[at:at + PIECE])
                 owner.append(row)
         if not codes or not self.langs:
@@ -167,10 +206,13 @@ class Parser:
         pieces = np.zeros((len(order), int(lengths[0])), dtype=self.kinds.dtype)
         for to, at in enumerate(order):
             pieces[to, : lengths[to]] = codes[at]
+        place = np.empty(len(order) + 1, dtype=np.int64)
+        place[order], place[-1] = np.arange(len(order)), -1
+        before = place[np.asarray(previous)[order]]
         rows = np.asarray(owner)[order]
         sizes = np.bincount(rows, lengths, n)
         found = np.stack([
-            np.bincount(rows, self.phrases(pieces, lengths, t), n) for t in self.tables])
+            np.bincount(rows, self.phrases(pieces, lengths, t, before), n) for t in self.tables])
         rates = found / np.maximum(sizes, 1)              # phrases per character
         best = rates.argmin(axis=0)
         share = 1 / np.maximum(rates, 1e-12)
@@ -184,59 +226,41 @@ def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(texts))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
-    """Normalised training text of each language.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id",
+          sample_texts: int = SAMPLE_TEXTS) -> dict[str, str]:
+    """Normalised training text of each language: whole texts of a bounded number of rows.
 
-    Of each language the SAMPLE_TEXTS rows lowest by the hash of their id are read, and
-    EXCERPTS pieces of EXCERPT_CHARS of each, one drawn by hash from each eighth of it, so
-    what comes to the driver is bounded by the number of languages. If a language has more
-    than TRAIN_CHARS (or its share of ALL_CHARS), all its pieces are shortened alike. Rows
-    with a null text or language teach nothing.
+    Of each language, among the texts that have a letter and at most SAMPLE_CHARS characters, the
+    ``sample_texts`` rows lowest by the hash of their id; if it has none so short, its shortest text.
+    With so many languages that all samples could exceed ALL_CHARS, each has fewer rows, one at
+    the fewest. Rows with a null text or language, or without a letter, teach nothing.
     """
     rows = (
-        docs.select(F.col(lang).alias("lang"), _excerpts(text, id_col).alias("parts"), F.xxhash64(id_col).alias("key"),
-                    F.col(text).alias("text"))
-        .filter("lang is not null and text is not null and length(trim(text)) > 0").drop("text")
+        docs.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(id_col).alias("key"))
+        .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+        .withColumn("over", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)))
     )
-    order = Window.partitionBy("lang").orderBy("key", "parts")
+    # of texts that are too long the shortest alone
+    order = Window.partitionBy("lang").orderBy("over", "key", "text")
     found = (
-        rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_TEXTS)
+        rows.withColumn("n", F.row_number().over(order))
+        .filter((F.col("n") == 1) | (F.col("n") <= sample_texts) & (F.col("over") == 0))
         .orderBy("lang", "n").collect()
     )
-    texts: dict[str, list[list[str]]] = {}
+    texts: dict[str, list[str]] = {}
     for row in found:
-        if _normalised(" ".join(row["parts"])):
-            texts.setdefault(row["lang"], []).append(row["parts"])
-    limit = min(TRAIN_CHARS, ALL_CHARS // max(1, len(texts)))
-    return {name: _shortened(rows_, limit) for name, rows_ in texts.items()}
-
-
-def _excerpts(text: str, id_col: str) -> Column:
-    """A piece of each eighth of a text, from anywhere in it; of a short text the eighths themselves."""
-    eighth = F.ceil(F.length(text) / EXCERPTS).cast("int")
-    spare = F.greatest(eighth - EXCERPT_CHARS, F.lit(0))
-    return F.array(*(
-        F.substring(text, i * eighth + F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), spare + 1).cast("int") + 1,
-                    F.least(eighth, F.lit(EXCERPT_CHARS)))
-        for i in range(EXCERPTS)))
-
-
-def _shortened(rows: list[list[str]], limit: int) -> str:
-    """The rows' pieces, each cut to the greatest length at which all have ``limit`` characters."""
-    size = EXCERPT_CHARS
-    while size > 1 and sum(1 + min(len(p), size) for parts in rows for p in parts) > limit:
-        size -= 1
-    whole = [max(map(len, parts)) <= min(size, EXCERPT_CHARS - 1) for parts in rows]     # its eighths adjoin
-    texts = (("" if w else " ").join(p[:size] for p in parts) for w, parts in zip(whole, rows))
-    return " ".join(filter(None, map(_normalised, texts)))[:limit]
+        if normal := _normalised(row["text"]):
+            texts.setdefault(row["lang"], []).append(normal)
+    each = max(1, ALL_CHARS // (SAMPLE_CHARS * max(1, len(texts))))
+    return {name: " ".join(some[:each]) for name, some in texts.items()}
 
 
 def identify(docs: DataFrame, texts: Mapping[str, str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id_col``, ``lang_pred`` and ``score`` of every whole text, read where it lies.
 
     A text is lower-cased, all but letters become single spaces, and it is parsed greedily
-    into the longest phrases that occur in a language's training text, in pieces of PIECE
-    characters that are walked in lockstep. The language with the fewest phrases per
+    into the longest phrases that occur in a language's training text: in pieces of PIECE
+    characters that are walked in lockstep and joined where one goes over into the next. The language with the fewest phrases per
     character wins (a tie: the first by name). ``score`` is the winner's share of the
     inverse rates. A text that is null or has no letter, and any text if nothing was
     learned, is ``und`` with score 0. Null ids and repeated rows are kept; other columns
