@@ -96,13 +96,18 @@ class Scored:
                 self.own[node] = (min(1.0, self.chars[node] / PARAGRAPH_CHARS) + commas[node]
                                   + min(LENGTH_POINTS, self.chars[node] / LENGTH_CHARS)) * (1 - self.density(node))
                 self.below[node] = self.own[node]
-        self.inside = [False] * n            # in an article
+        self.inside = [False] * n            # in an article or a main element
+        self.nested = [False] * n            # in an article
         for node in range(n):
-            self.inside[node] = node > 0 and (self.inside[parents[node]] or self.is_article(parents[node]))
+            if node:
+                above = parents[node]
+                here = self.is_article(above)
+                self.inside[node] = self.inside[above] or here
+                self.nested[node] = self.nested[above] or here and tags[above] == "article"
             self.links[node] = int(tags[node] == "a" and not self.gone[node])
             self.first[node] = not self.gone[node] and tags[node] in ("h1", "main")
             self.article[node] = self.first[node] or (
-                not self.gone[node] and self.is_article(node) and not self.inside[node])
+                not self.gone[node] and self.is_article(node) and not self.nested[node])
             self.heads[node] = tags[node] in HEADS
         for node in range(n - 1, 0, -1):
             above = parents[node]
@@ -129,7 +134,7 @@ class Scored:
             listed = tags[node] in BLOCKS and tags[node] not in HEADS and tags[node] != "p"
             self.gone[node] = (
                 tags[node] in _DOUBTED or any(r in _ROLES for r in self.roles[node]) or any(map(_JUNK.fullmatch, words))
-                or (tags[node] == "article" and self.inside[node])
+                or (tags[node] == "article" and self.nested[node])
                 or (listed and self.links[node] >= LIST_LINKS and self.density(node) >= LIST_DENSITY))
 
     def scores(self) -> dict[int, float]:
@@ -160,8 +165,8 @@ class Scored:
         else:
             best = next((n for n in range(len(tags)) if not self.gone[n] and self.is_article(n)), 0)
         around, node = None, best
-        while node:
-            if self.is_article(node):
+        while node:                           # the outermost article, else the outermost other
+            if self.is_article(node) and (tags[node] == "article" or around is None or tags[around] != "article"):
                 around = node
             node = parents[node]
         kept = [best if around is None else around]

@@ -13,8 +13,8 @@ from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dups import near_duplicates
 from ledgerline.llm.registry import ORACLES, QUERIES, query, table
 from ledgerline.llm.resample import resample
-from ledgerline.llm.rules_ledger import BASE, POLICIES, ledger, passes
-from ledgerline.llm.sql import MIXING, TOP_VECTORS, filter_audit, near_duplicates_sql, quality_rules, resampling, url_filters
+from ledgerline.llm.rules_ledger import BASE, POLICIES, ablations, ledger, passes
+from ledgerline.llm.sql import MIXING, TOP_VECTORS, filter_audit, near_duplicates_sql, quality_rules, resampling, rule_ablations, url_filters
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.toxicity import fit, remainder, score
 from ledgerline.llm.top_vectors import top_k
@@ -59,6 +59,12 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         (~passes(BASE)).alias("base_failed"), passes(BASE + POLICIES["corpus-2"]).alias("kept"), "failures")
 
 
+@query("op3_rule_ablations", rule_ablations())
+def op3_rule_ablations(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of each policy rejects, and what it alone does."""
+    return ablations(ledger(table(spark, folder, "documents")))
+
+
 @query("op5_word_bpe")
 def op5_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""

@@ -41,6 +41,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from f"""
 
 
+def rule_ablations() -> str:
+    """What each rule of each policy rejects, by the failure bits of ``quality_rules``."""
+    parts = " union all ".join(
+        f"select '{policy}' as policy, '{rule}' as rule, "
+        f"coalesce(sum(n) filter (failures & {mask((rule,))} <> 0), 0) as rejected, "
+        f"coalesce(sum(n) filter (failures & {mask(names)} = {mask((rule,))}), 0) as only_this from counts"
+        for policy, names in POLICIES.items() for rule in names)
+    return f"""
+with entries as ({quality_rules()}),
+counts as (select failures, count(*) as n from entries group by failures)
+select policy, rule, cast(rejected as bigint) as rejected, cast(only_this as bigint) as only_this from ({parts}) as q"""
+
+
 TOP_VECTORS = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e

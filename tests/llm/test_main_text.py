@@ -37,6 +37,8 @@ TEXT = f"The river {A} {B} {C}"
     f'<article>{BODY}<form><p>Your name, your mail, your words.</p><textarea>{A}</textarea><button>Send</button></form></article>',
     f'<div class="newsletter"><p>{A}</p></div><div itemprop="articleBody">{BODY}</div><div class="related"><p>{A}</p></div>',
     f'<div><div><h1>The river</h1><div><p>{A}</p><p>{B}</p><p>{C}</p></div></div></div>',
+    f'<main><article><h1>The river</h1><p>{A}</p></article><article><p>{B}</p></article><article><p>{C}</p></article></main>',
+    f'<main><div class="lead">{MENU}</div><article>{BODY}</article><div><p>Elsewhere, much the same was said, and more.</p></div></main>',
     f'<noscript><p>{A}</p></noscript><main><article>{BODY}</article><article class="teaser"><p>Next, <a href="/x">more</a></p></article></main>',
 ])
 def test_article_alone(page):
@@ -167,7 +169,8 @@ def brute_text(page):
     for node in every:
         node.gone = any(u.tag in M._ASIDE for u in node.up())
     first = {n: any(b.tag in ("h1", "main") and not b.gone for b in n.below()) for n in every}
-    outer = {n for n in every if article(n) and not n.gone and not any(article(u) for u in n.up()[1:])}
+    nested = {n: any(u.tag == "article" and article(u) for u in n.up()[1:]) for n in every}
+    outer = {n for n in every if article(n) and not n.gone and not nested[n]}
     holds = {n: first[n] or not any(M._REMARK.fullmatch(w) for w in n.names) and any(b in outer for b in n.below()) for n in every}
     heads = {n: any(b.tag in HEADS for b in n.below()) for n in every}
     total, worth = points(root), {n: points(n) for n in every}
@@ -185,7 +188,7 @@ def brute_text(page):
         else:
             node.gone = (
                 node.tag in ("form", "header") or any(M._JUNK.fullmatch(n) for n in node.names)
-                or node.tag == "article" and inside
+                or node.tag == "article" and nested[node]
                 or node.block and node.tag not in HEADS and node.tag != "p" and links[node] >= 3 and dense[node] >= 0.8)
     found = {}
     for node in every:
@@ -199,6 +202,7 @@ def brute_text(page):
         found[node] = (found[node] + 25 * named) * (1 - density(node))
     best = max(found, key=found.get) if found else next((n for n in every if article(n) and not n.gone), root)
     around = [u for u in best.up() if article(u)]
+    around = [u for u in around if u.tag == "article"] or around
     best = around[-1] if around else best
     kept, at = {best}, best
     while at.above:

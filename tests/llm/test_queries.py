@@ -53,10 +53,12 @@ def test_stages_in_order(spark, folder):
 def test_stages_take_rows_of_any_kind(spark, folder, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(
         f"{tmp_path}/labels.parquet")
-    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, copies int, component_id int"
-    data = [(1, "a b c d e f", "x", "s", 11, "", "", 1, 1), (1, "a b c d e f", "x", "s", 11, "", "", 1, 1),
-            (None, None, None, None, None, "", "", 1, 1), (None, "", None, None, 0, "", "", 1, 1),
-            (2, "long " * 30_000, "x", None, 1, "", "", 1, 1), (3, "A b c d e f\nnew line", "x", "t", 20, "", "", 1, 1)]
+    kind = ("doc_id long, text string, lang string, source string, n_chars long, score string, size string, copies int, "
+            "component_id int, _is int, _of int, _time int, _cut int, toxicity int, kept_text int, mine int, of int, id string")
+    more = ("", "", 1, 1, *[0] * 8, "")
+    data = [(1, "a b c d e f", "x", "s", 11, *more), (1, "a b c d e f", "x", "s", 11, *more),
+            (None, None, None, None, None, *more), (None, "", None, None, 0, *more),
+            (2, "long " * 30_000, "x", None, 1, *more), (3, "A b c d e f\nnew line", "x", "t", 20, *more)]
     for some in (data, []):
         docs = spark.createDataFrame(some, kind)
         for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -67,5 +69,24 @@ def test_stages_take_rows_of_any_kind(spark, folder, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
 
 
+def test_near_dedup_loses_no_text(spark, folder):
+    """Rows of one id are judged by their own texts; of rows alike in id and text one stays."""
+    x, y = "a text of more than five words that two rows have", "another text, that no other row has at all, so it stays"
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    kind = "doc_id long, text string, key string, alike int, gone string, n int, one int, body string"
+    for rows_, want in (
+        ([(1, x), (3, x), (3, y)], [(1, x), (3, y)]),
+        ([(3, x), (3, x), (3, y)], [(3, x), (3, y)]),
+        ([(None, x), (None, x), (None, y), (7, y), (2, None), (2, "")], [(None, x), (7, y), (2, None)]),
+        ([(5, x), (9, x)], [(5, x)]),
+    ):
+        docs = spark.createDataFrame([(*r, "", 0, "", 0, 0, "") for r in rows_], kind).repartition(2)
+        docs = settled(docs, "rows")
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        found = sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=repr)
+        assert found == sorted(((i, t or "") for i, t in want), key=repr)
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
