@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ledgerline.llm.line_dups import line_removals, without_lines
 from ledgerline.llm.mixing import mix, n_words
 from ledgerline.llm.near_dups import near_duplicates
-from ledgerline.llm.settle import settled
+from ledgerline.llm.settle import let_go, settled, unused
 from ledgerline.llm.ship import ship
 from ledgerline.llm.toxicity import fit, score
 from ledgerline.llm.word_codes import encode
+from ledgerline.operators.spread import number_rows
 
 REJECT_SCORE = 0.5
 SHINGLE_WORDS = 5
@@ -23,7 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below REJECT_SCORE; a null or empty text has the score of the bias."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels)
-    return score(spark, docs, model, into="_toxicity").filter(F.col("_toxicity") < REJECT_SCORE).drop("_toxicity")
+    (found,) = unused(docs, "toxicity")
+    return score(spark, docs, model, into=found).filter(F.col(found) < REJECT_SCORE).drop(found)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,29 +33,62 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses all its lines goes. ``n_chars`` is counted anew where lines went.
     """
-    kept = without_lines(docs, line_removals(docs), into="_text")
-    changed = ~F.col("_text").eqNullSafe(F.col("text"))
+    (found,) = unused(docs, "kept_text")
+    kept = without_lines(docs, line_removals(docs), into=found)
+    changed = ~F.col(found).eqNullSafe(F.col("text"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(changed, F.length("_text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.withColumn("text", F.col("_text")).select(*docs.columns)
+        kept = kept.withColumn("n_chars", F.when(changed, F.length(found).cast("long")).otherwise(F.col("n_chars")))
+    return kept.withColumn("text", F.col(found)).select(*docs.columns)
+
+
+def _by_row(docs: DataFrame, key: str, alike: str) -> DataFrame:
+    """``docs`` with a number for each text of each id, and whether that is one of a repeated or null id.
+
+    An id that one row has is its own number; so the smallest of a group is the smallest id. The texts
+    of other ids are numbered beyond all ids (which stay below 2**62).
+    """
+    rows = docs.count()
+    one, n, body = unused(docs, "one", "n", "body")
+    several = settled(
+        docs.groupBy("doc_id").agg(F.count("*").alias(n)).filter((F.col(n) > 1) | F.col("doc_id").isNull())
+        .select(F.col("doc_id").alias(one), F.lit(True).alias(alike)), "corpus-ids", rows)
+    marked = docs.join(several, F.col("doc_id").eqNullSafe(F.col(one)), "left").drop(one).withColumn(
+        alike, F.coalesce(alike, F.lit(False)))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    texts = marked.filter(alike).select(F.lit(0).alias(one), F.col("doc_id").alias(n), digest.alias(body)).distinct()
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    numbers = settled(number_rows(texts, [one], [F.col(n).asc_nulls_last(), F.col(body)], key, max(top, 0) + 1), "corpus-numbers")
+    mine = marked.filter(alike).withColumn(body, digest).join(
+        numbers.select(F.col(n).alias(one), F.col(body).alias(n), key),
+        F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(body) == F.col(n))).drop(one, n, body)
+    return marked.filter(~F.col(alike)).withColumn(key, F.col("doc_id")).unionByName(mine)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id; null ids stay."""
-    found = near_duplicates(docs, SHINGLE_WORDS)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each component of near duplicates, the document with the smallest id.
+
+    Decided by row: rows of one id, or of a null id, are judged each by its own text, and give way to
+    documents whose id is theirs alone; of rows alike in id and text one stays.
+    """
+    key, alike, gone = unused(docs, "key", "alike", "gone")
+    keyed = _by_row(docs, key, alike)
+    found = near_duplicates(keyed, SHINGLE_WORDS, id_col=key)
+    lost = found.filter(~F.col("kept")).select(F.col(key).alias(gone)).distinct()
+    kept = keyed.join(lost, F.col(key) == F.col(gone), "left_anti")
+    return kept.filter(~F.col(alike)).unionByName(
+        kept.filter(alike).dropDuplicates([key])).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; rows alike in id and size are taken alike."""
+    mine, of, copies, time = unused(docs, "mine", "of", "copies", "time")
     taken = (
-        mix(docs).groupBy(F.struct("doc_id", "size").alias("_of")).agg(F.max("copies").alias("_copies"))
-        .filter("_copies > 0")
+        mix(docs).groupBy(F.struct("doc_id", "size").alias(of)).agg(F.max("copies").alias(copies))
+        .filter(F.col(copies) > 0)
     )
-    sized = docs.withColumn("_is", F.struct("doc_id", n_words("text").alias("size")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return sized.join(taken, F.col("_is") == F.col("_of")).withColumn("_time", times).select(*docs.columns)
+    sized = docs.withColumn(mine, F.struct("doc_id", n_words("text").alias("size")))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    return sized.join(taken, F.col(mine) == F.col(of)).withColumn(time, times).select(*docs.columns)
 
 
 def word_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +100,7 @@ def word_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _stage(function):
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go(spark)                       # of the stage before, which is written
         ship(spark)
         return function(spark, docs, sf_dir)
 
