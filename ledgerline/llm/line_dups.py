@@ -24,7 +24,7 @@ RARITY_BITS = 20             # counters of words: 2**20
 RARITY_CHUNK = 1 << 14       # counters that are merged together
 MERGE_FANIN = 256            # parts of a chunk that are merged at first
 SHARDS_PER_PARTITION = 4     # groups of words for each shuffle partition
-SEEN_LINES = 1 << 20         # sets that a task remembers to have sent, before it starts anew
+SEEN_LINES = 1 << 16         # sets that a task remembers to have sent, before it starts anew
 SPAN = 20_000                # a word's lines of fitting length that are all compared with a line
 PARTNERS = 4                 # lines that an entry proposes at first
 PIVOTS = 64                  # earliest entries of a word beyond SPAN, with which its others are compared at first

@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, text: str = "text", id_col: str
         .join(low.select(F.col("rep").alias("a"), F.col("low").alias("low_a")), "a")
         .join(low.select(F.col("rep").alias("b"), F.col("low").alias("low_b")), "b")
         .select("a", "b", estimated("low_a", "low_b").alias("alike"))
-        .filter(F.col("alike") >= LEAST_ESTIMATE), "near-star", n_members)
+        .filter(F.col("alike") >= LEAST_ESTIMATE), "near-star", n_members, 50_000)
     best = star.groupBy("a").agg(F.min(F.struct((-F.col("alike")).alias("unlike"), "b")).alias("best"))
     best = best.select("a", "best.b")
     links = settled(_confirmed(best, sets), "near-links", n_classes)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.session import new_dir
 
-ROWS_A_FILE = 50_000         # of a narrow table
+ROWS_A_FILE = 250_000        # of a narrow table
 
 
-def settled(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+def settled(df: DataFrame, label: str, rows: int | None = None, a_file: int = ROWS_A_FILE) -> DataFrame:
     """``df``, written once to the shared folder of the session and read again.
 
     Cuts the lineage: a lost executor costs no recomputation, and every later use reads
@@ -19,10 +19,10 @@ def settled(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     clears it. For what is large, dear to make, made in a loop, or used a few times.
 
     ``rows``: a count that was taken and that a narrow table cannot exceed; it gets a file, and
-    its last step a task, for every ROWS_A_FILE of them at the fewest.
+    its last step a task, for every ``a_file`` of them at the fewest: less where that step reads more.
     """
     if rows is not None:
-        df = df.coalesce(1 + rows // ROWS_A_FILE)
+        df = df.coalesce(1 + rows // a_file)
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

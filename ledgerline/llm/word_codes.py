@@ -19,7 +19,7 @@ from ledgerline.llm.words import slices, text_bytes
 WORD_BPE = "word_bpe_49k.json"
 KNOWN_WORDS = 131_072        # words of at most 24 characters that are resolved by broadcast
 KNOWN_TRACKED = 262_144
-BLOCK_BYTES = 32 << 20       # of text in a block, which one task puts together
+BLOCK_BYTES = 16 << 20       # of text in a block, which one task puts together
 JOIN_IDS = 1 << 19           # ids turned into text at once
 TEXTS_AT_ONCE = 200          # texts of a block that are assembled together
 ASKED_AT_ONCE = 10_000       # words in one Arrow batch
@@ -153,6 +153,7 @@ def encode(docs: DataFrame, tokenizer: str = WORD_BPE, text: str = "text", id_co
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "number", "code"])
 
     def assemble(texts: pa.Table, codes: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()           # of the block before
         opener, bpe, (_, flat, sizes) = zstandard.ZstdDecompressor(), word_bpe(path), known.value
         others: set[str] = set()
         for body in texts["others"]:
