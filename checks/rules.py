@@ -508,16 +508,16 @@ def second_poll(i):
     tables = i.ledger()
     store = Store(i.spark, new_dir(i.spark, "polls"))
     decisions = store.materialize(poll.decide(tables, i("b_job_state")))
-    result = poll.apply(tables, decisions, as_of())
-    store.commit(replace={"flows": result["flows"], "runs": result["runs"]},
-                 append={"events": tables["events"].unionByName(result["events"], allowMissingColumns=True)})
+    result = poll.apply(tables, decisions, as_of(), stored=True)
+    store.commit(replace={"flows": result["flows"], "runs": result["runs"]}, append={"events": result["events"]})
     jobs = decisions.filter("follow_up = 'AWAIT'").select(
         "run_id", F.col("exec_iteration").alias("iteration_num"), "n_artifacts",
         F.lit("TERMINATED").alias("life_cycle_state"),
         F.when(F.col("run_id").cast("long") % 2 == 0, "SUCCESS").otherwise("FAILED").alias("result_state"),
         F.lit("lost").alias("state_message"), (F.col("run_id").cast("long") % 90).cast("int").alias("runtime_s"))
     found = poll.record(jobs, as_of(), "/vol/logs")["executions"]
-    after = {**tables, **{name: store.read(name) for name in ("flows", "runs", "events")},
+    events = tables["events"].unionByName(store.read("events"), allowMissingColumns=True)
+    after = {**tables, **{name: store.read(name) for name in ("flows", "runs")}, "events": events,
              "executions": tables["executions"].unionByName(found)}
     waited = store.materialize(jobs.select("run_id"))
     return after, waited
@@ -674,7 +674,7 @@ def snapshot_after(i):
     tables = i.ledger()
     store = Store(i.spark, new_dir(i.spark, "poll"))
     decisions = store.materialize(poll.decide(tables, i("b_job_state")))
-    result = poll.apply(tables, decisions, as_of())
+    result = poll.apply(tables, decisions, as_of(), stored=True)
     store.commit(replace={"flows": result["flows"], "runs": result["runs"]},
                  append={"events": result["events"], "requests": result["requests"]})
     written = {name: store.read(name) for name in ("flows", "runs", "events")}

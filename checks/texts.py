@@ -404,13 +404,13 @@ def generated(i):
 @check("u6_written_artifacts", f"""WITH {GOOD}
 SELECT flow_id AS flow, intent, count(*) AS artifacts FROM good GROUP BY ALL""")
 def written_artifacts(i):
-    """Artifacts written as a table partitioned by flow and intent, read back."""
+    """Artifacts written as a table partitioned by flow, read back."""
     base = new_dir(i.spark, "artifacts")
     made = ingest.generated_artifacts(ingest.processors(i.definitions()), "/vol/out")
     files.write_artifacts(made.select(
         F.col("flow_id").alias("flow"), "intent", F.col("artifact_ref").alias("name"), "content"),
         base)
-    return i.spark.read.parquet(base).groupBy("flow", "intent").agg(
+    return files.read_artifacts(i.spark, base).groupBy("flow", "intent").agg(
         F.count("*").alias("artifacts"))
 
 
@@ -421,7 +421,7 @@ def artifact_contents(i):
     made = ingest.generated_artifacts(ingest.processors(i.definitions()), "/vol/out")
     files.write_artifacts(made.select(
         F.col("flow_id").alias("flow"), "intent", F.col("artifact_ref").alias("name"), "content"), base)
-    return i.spark.read.parquet(base).select(
+    return files.read_artifacts(i.spark, base).select(
         "flow", "intent", "name", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.sieve import apart
 from ledgerline.sources.tables import conform
 
 
@@ -44,12 +45,15 @@ def one_row_per_key(source: DataFrame, keys: Sequence[str],
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
            update: Sequence[str], insert: Sequence[str],
            stamp: Mapping[str, Column] | None = None,
-           order: Sequence[str] | None = None) -> DataFrame:
+           order: Sequence[str] | None = None, few: bool = False) -> DataFrame:
     """Merge by key: matched rows take ``update`` columns, new rows ``insert`` columns.
 
     ``stamp`` columns are set on both. Columns not listed keep the target value,
-    and are NULL in new rows.
+    and are NULL in new rows. ``few`` as in ``keyed_update``, for a single key.
     """
+    if few:
+        touched, others = apart(target, source, keys[0])
+        return upsert(touched, source, keys, update, insert, stamp, order).unionByName(others)
     keys, stamp = list(keys), dict(stamp or {})
     fresh = one_row_per_key(source, keys, order)
     fresh = fresh.select(*keys, F.struct(*[c for c in fresh.columns if c not in keys]).alias("_s"),
@@ -77,13 +81,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str],
 
 def keyed_update(target: DataFrame, updates: DataFrame, key: str,
                  stamp: Mapping[str, Column] | None = None,
-                 when_given: Sequence[str] = (), order: Sequence[str] | None = None) -> DataFrame:
+                 when_given: Sequence[str] = (), order: Sequence[str] | None = None,
+                 few: bool = False) -> DataFrame:
     """Set the columns of ``updates`` on the rows of its keys.
 
     A NULL sets NULL, except in ``when_given`` columns where NULL means "not
     given". Keys without a row, and NULL, change nothing. Of several updates for a key the
     last by ``order`` counts; without an order they are an error.
+
+    ``few``: updates are few beside a target that is read twice without harm (a stored table); rows
+    that no update can be for are not shuffled.
     """
+    if few:
+        touched, rest = apart(target, updates, key)
+        return keyed_update(touched, updates, key, stamp, when_given, order).unionByName(rest)
     changed = [c for c in updates.columns if c != key]
     single = one_row_per_key(updates.filter(F.col(key).isNotNull()), [key], order)
     patch = single.select(key, F.struct(*changed).alias("_u"), F.lit(True).alias("_hit"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.status import present
 from ledgerline.functions.text import WAITING_TEXT, fill
 from ledgerline.operators.latest import latest_events
+from ledgerline.operators.sieve import matching, sieved
 from ledgerline.schemas import TERMINAL_RUN
 
 
@@ -33,10 +34,11 @@ def status_snapshot(flows: DataFrame, runs: DataFrame, events: DataFrame) -> Dat
     """
     pointers = flows.select(present(F.col("current_run_id")).alias("run_id")).filter(F.col("run_id").isNotNull())
     live = runs.filter(present(F.col("job_run_id")).isNotNull()).select(
-        "run_id", F.col("status").alias("run_status")).join(pointers, "run_id", "left_semi")
-    last = latest_events(
+        "run_id", F.col("status").alias("run_status"))
+    live = matching(live, pointers, "run_id")
+    last = latest_events(sieved(
         events.select("run_id", "iteration_num", "ts", "event_seq", "step", "step_status",
-                      "summary", "error").join(live.select("run_id"), "run_id", "left_semi"))
+                      "summary", "error"), pointers, "run_id").join(live.select("run_id"), "run_id", "left_semi"))
     finished = F.col("run_status").isin(TERMINAL_RUN)
     right = live.join(last, "run_id", "left").select(
         "run_id", "run_status",

@@ -13,6 +13,7 @@ from ledgerline.functions.timing import attempt_key, base_run_key, epoch_seconds
 from ledgerline.operators.joins import with_current_run
 from ledgerline.operators.latest import latest_events, top_rows
 from ledgerline.operators.lookup import identifiers
+from ledgerline.operators.sieve import matching, sieved
 from ledgerline.schemas import (
     ACTIVE_JOB, AGENT_LIMIT_S, EXECUTION_LIMIT_S, MAX_ITERATIONS, TERMINAL_RUN,
 )
@@ -199,14 +200,15 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
         job_states = job_states.withColumn("poll_error", F.lit(None).cast("string"))
     job = present(F.col("job_run_id"))
     open_run = ~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))
-    polled = job_states.select(
+    asks = job.isNotNull() & open_run
+    wanted_jobs = runs.filter(asks).select("job_run_id")
+    polled = sieved(job_states, wanted_jobs, "job_run_id").select(
         F.col("job_run_id").alias("_job"), F.lit(True).alias("_asks"), "life_cycle_state",
         "result_state", "state_message", "poll_error")
     # runs that need no poll take their own id as key, so NULL jobs do not meet
-    asks = job.isNotNull() & open_run
     keyed = runs.select("run_id", "flow_id", "status", "job_run_id").withColumns({
         "_asks": asks, "_job": F.when(asks, F.col("job_run_id")).otherwise(F.col("run_id"))})
-    last = latest.select("run_id", "step", "iteration_num", "step_status")
+    last = sieved(latest.select("run_id", "step", "iteration_num", "step_status"), keyed, "run_id")
     facts = keyed.join(polled, ["_job", "_asks"], "left").join(last, "run_id", "left")
 
     step, state, result = F.col("step"), F.col("life_cycle_state"), F.col("result_state")
@@ -232,8 +234,8 @@ def next_actions(runs: DataFrame, job_states: DataFrame, latest: DataFrame,
         .when(F.col("action").isin("EXECUTE_FIXED", "CHECK_EXECUTION"), F.col("iteration_num")).cast("int"))
 
     asked = keyed.filter("_asks").select("run_id")
-    artifacts = artifacts.join(asked, "run_id", "left_semi")
-    executions = executions.join(asked, "run_id", "left_semi")
+    artifacts = matching(artifacts, asked, "run_id")
+    executions = matching(executions, asked, "run_id")
     listed = artifacts.groupBy("run_id", F.col("iteration_num").alias("exec_iteration")).agg(
         F.count("*").alias("n_artifacts"))
     results = iteration_outcomes(executions).withColumnRenamed("iteration_num", "exec_iteration")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.status import present
 from ledgerline.operators.rules import overdue_runs, timed_out
+from ledgerline.operators.sieve import matching
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EXECUTION_LIMIT_S
 
@@ -21,7 +22,7 @@ def overdue_states(runs: DataFrame, as_of: Column, limit_s: int = AGENT_LIMIT_S)
     """
     late = overdue_runs(runs.filter(present(F.col("job_run_id")).isNotNull()), as_of, limit_s).select("run_id")
     none = F.lit(None).cast("string")
-    return runs.join(late, "run_id", "left_semi").select(
+    return matching(runs, late, "run_id").select(
         "job_run_id", F.lit("TERMINATED").alias("life_cycle_state"), F.lit(TIMED_OUT).alias("result_state"),
         none.alias("state_message"), none.alias("poll_error"))
 
@@ -36,7 +37,7 @@ def enforce(tables: dict[str, DataFrame], as_of: Column, logs_base: str = "",
     on; enforcing again changes nothing more.
     """
     states = overdue_states(tables["runs"], as_of, agent_limit_s)
-    late = tables["runs"].join(states.select("job_run_id"), "job_run_id", "left_semi").select(*tables["runs"].columns)
+    late = matching(tables["runs"], states, "job_run_id")
     decisions = poll.decide({**tables, "runs": late}, states)
     result = poll.apply(tables, decisions, as_of, None, logs_base)
     return {**result, "executions": timed_out(tables["executions"], execution_limit_s)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,28 +12,34 @@ from ledgerline.operators.changes import keyed_update
 from ledgerline.operators.joins import status_snapshot
 from ledgerline.operators.rules import (
     execution_rows, human_rows, latest_of, next_actions, scan_hand_offs, start_rows, transition_rows)
+from ledgerline.operators.sieve import matching
 from ledgerline.schemas import TERMINAL_RUN
+from ledgerline.session import written
 
 
 def current_runs(flows: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs that their flow points to. Run ids are unique, so no key is hot."""
     pointers = flows.select(F.col("current_run_id").alias("run_id")).filter(
         present(F.col("run_id")).isNotNull())
-    return runs.join(pointers, "run_id", "left_semi")
+    return matching(runs, pointers, "run_id")
 
 
 def decide(tables: dict[str, DataFrame], job_states: DataFrame,
-           latest: DataFrame | None = None) -> DataFrame:
+           latest: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The next action of every current run.
 
     ``latest`` is the last event per run where a stream keeps it; without it the
     events of open current runs are read and ranked. Finished runs need no last event:
     their action does not depend on it, and they show none.
+
+    The current runs are written once (by ``keep``, or below the shared folder), as all other tables
+    are reduced by them.
     """
-    runs = current_runs(tables["flows"], tables["runs"])
+    keep = keep or (lambda df: written(df, "current-runs"))
+    runs = keep(current_runs(tables["flows"], tables["runs"]).select("run_id", "flow_id", "status", "job_run_id"))
     if latest is None:
         open_runs = runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))).select("run_id")
-        latest = latest_of(tables["events"].join(open_runs, "run_id", "left_semi"))
+        latest = latest_of(matching(tables["events"], open_runs, "run_id"))
     return next_actions(runs, job_states, latest, tables["artifacts"], tables["executions"])
 
 
@@ -59,16 +67,16 @@ def security_gate(tables: dict[str, DataFrame], as_of: Column) -> dict[str, Data
 
 
 def apply(tables: dict[str, DataFrame], decisions: DataFrame, as_of: Column,
-          launches: DataFrame | None = None, logs_base: str = "") -> dict[str, DataFrame]:
+          launches: DataFrame | None = None, logs_base: str = "", stored: bool = False) -> dict[str, DataFrame]:
     """Next states of flows and runs, and rows to add to events and requests.
 
     Each result reads ``decisions``; write them once (``Store.materialize``) when
-    all four results are wanted.
+    all four results are wanted. ``stored`` says so: then runs without an update are not shuffled.
     """
     rows = transition_rows(decisions, as_of, launches, logs_base)
     return {
         "flows": update_flows(tables["flows"], rows["flows"], as_of),
-        "runs": update_runs(tables["runs"], rows["runs"]),
+        "runs": update_runs(tables["runs"], rows["runs"], few=stored),
         "events": rows["events"],
         "requests": rows["requests"],
     }
@@ -86,9 +94,9 @@ def update_flows(flows: DataFrame, updates: DataFrame, as_of: Column) -> DataFra
     return keyed_update(flows, updates, "flow_id", {"updated_ts": as_of})
 
 
-def update_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
+def update_runs(runs: DataFrame, updates: DataFrame, few: bool = False) -> DataFrame:
     """Status always; end time and job only where given."""
-    return keyed_update(runs, updates, "run_id", when_given=["end_ts", "job_run_id"])
+    return keyed_update(runs, updates, "run_id", when_given=["end_ts", "job_run_id"], few=few)
 
 
 def snapshot_after(tables: dict[str, DataFrame], result: dict[str, DataFrame]) -> DataFrame:

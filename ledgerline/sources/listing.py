@@ -24,7 +24,8 @@ from ledgerline.session import qualified, resolved
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SOURCE = "folder_files"
-SUBTREES = 64                # walked by a task each, where the folders are so many
+SUBTREES = 64                # to walk by themselves, where the folders are so many
+TASKS = 256                  # that walk them at most
 ROWS, BYTES = 1_000, 4 << 20     # of one Arrow batch
 MOST_BYTES = (1 << 31) - 1   # of one value
 
@@ -36,6 +37,15 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://").replace("s3n://", "s3://"))
 
 
+def reachable(spark: SparkSession, folder: str) -> bool:
+    """Whether tasks can open the folder's file system by themselves."""
+    try:
+        opened(resolved(spark, folder))
+    except pa.ArrowException:
+        return False
+    return True
+
+
 def children(system: pafs.FileSystem, folder: str) -> tuple[list[pafs.FileInfo], str | None]:
     """What lies directly in a folder, or why that cannot be told."""
     try:
@@ -81,23 +91,32 @@ def walk(system: pafs.FileSystem, tree: Subtree, ending: str) -> Iterator[tuple[
                     yield info.path, None, "unreadable", "neither file nor folder"
 
 
+@dataclass
+class Subtrees(InputPartition):
+    trees: list[Subtree]
+
+
 class FolderReader(DataSourceReader):
     def __init__(self, options):
         self.uri, self.ending = options["path"], options.get("ending", "")
         self.least = int(options.get("subtrees", SUBTREES))
 
-    def partitions(self) -> list[Subtree]:
+    def partitions(self) -> list[Subtrees]:
+        """Subtrees dealt out to tasks: one each, or where they are very many, several."""
         system, root = opened(self.uri)
-        return subtrees(system, root.rstrip("/"), self.least)
+        found = subtrees(system, root.rstrip("/"), self.least)
+        tasks = min(len(found), TASKS)
+        return [Subtrees(found[at::tasks]) for at in range(tasks)]
 
-    def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Subtrees) -> Iterator[pa.RecordBatch]:
         system, root = opened(self.uri)
         root, rows = root.rstrip("/"), []
-        for path, length, state, error in walk(system, partition, self.ending):
-            rows.append((path[len(root):].lstrip("/"), length, state, error))
-            if len(rows) >= ROWS:
-                yield _batch(rows)
-                rows = []
+        for tree in partition.trees:
+            for path, length, state, error in walk(system, tree, self.ending):
+                rows.append((path[len(root):].lstrip("/"), length, state, error))
+                if len(rows) >= ROWS:
+                    yield _batch(rows)
+                    rows = []
         yield _batch(rows)
 
 

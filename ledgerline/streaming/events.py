@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import upsert
 from ledgerline.operators.latest import latest_events
+from ledgerline.operators.sieve import matching
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
 from ledgerline.session import remove_dir
@@ -200,17 +201,19 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
         def of_touched(df: DataFrame) -> DataFrame:
             return df.join(ids.select("run_id"), "run_id", "left_semi")
 
-        touched = {**tables, **{name: of_touched(tables[name]) for name in (
-            "runs", "events", "artifacts", "executions")}}
+        # the rest is reduced by the runs that are decided on
+        touched = {**tables, "runs": of_touched(tables["runs"])}
         kept = near.get(latest, store.read(latest) if store.exists(latest) else None)
-        last = kept if kept is None else of_touched(kept)
-        decisions = store.materialize(poll.decide(touched, newest, last))
-        result = poll.apply(tables, decisions, as_of(batch), launches, logs_base)
+        last = kept
+        decisions = store.materialize(poll.decide(touched, newest, last, store.materialize))
+        result = poll.apply(tables, decisions, as_of(batch), launches, logs_base, stored=True)
         after = {"flows": result["flows"], "runs": result["runs"]}
         if kept is not None:
             columns = [c for c in kept.columns if c != "run_id"]
-            moved = latest_events(last.unionByName(result["events"].select(*kept.columns)))
-            after[latest] = upsert(kept, moved, ["run_id"], columns, columns)
+            # runs without a new event keep their last one
+            added = result["events"].select(*kept.columns)
+            moved = latest_events(matching(kept, added, "run_id").unionByName(added))
+            after[latest] = upsert(kept, moved, ["run_id"], columns, columns, few=True)
         in_buckets = {
             name: Part(after.pop(name).withColumn(BUCKET, bucket_of([keys[name]], store.buckets(name))),
                        numbers, store.buckets(name)) for name, numbers in parts.items()}
