@@ -12,7 +12,7 @@ from ledgerline.operators.changes import keyed_update
 from ledgerline.operators.joins import status_snapshot
 from ledgerline.operators.rules import (
     execution_rows, human_rows, latest_of, next_actions, scan_hand_offs, start_rows, transition_rows)
-from ledgerline.operators.sieve import matching
+from ledgerline.operators.sieve import matching, sieved
 from ledgerline.schemas import TERMINAL_RUN
 from ledgerline.session import written
 
@@ -102,4 +102,5 @@ def update_runs(runs: DataFrame, updates: DataFrame, few: bool = False) -> DataF
 def snapshot_after(tables: dict[str, DataFrame], result: dict[str, DataFrame]) -> DataFrame:
     """The status list as it is once the poll's rows are written."""
     events = tables["events"].unionByName(result["events"], allowMissingColumns=True)
-    return status_snapshot(result["flows"], result["runs"], events)
+    pointers = result["flows"].select(present(F.col("current_run_id")).alias("run_id")).filter(F.col("run_id").isNotNull())
+    return status_snapshot(result["flows"], sieved(result["runs"], pointers, "run_id"), sieved(events, pointers, "run_id"))
