@@ -37,10 +37,14 @@ def decide(tables: dict[str, DataFrame], job_states: DataFrame,
     """
     keep = keep or (lambda df: written(df, "current-runs"))
     runs = keep(current_runs(tables["flows"], tables["runs"]).select("run_id", "flow_id", "status", "job_run_id"))
+    open_runs = runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))).select("run_id", "job_run_id")
     if latest is None:
-        open_runs = runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))).select("run_id")
         latest = latest_of(matching(tables["events"], open_runs, "run_id"))
-    return next_actions(runs, job_states, latest, tables["artifacts"], tables["executions"])
+    else:
+        latest = sieved(latest, runs, "run_id")
+    return next_actions(
+        runs, sieved(job_states, open_runs, "job_run_id"), latest,
+        sieved(tables["artifacts"], open_runs, "run_id"), sieved(tables["executions"], open_runs, "run_id"))
 
 
 def record(jobs: DataFrame, as_of: Column, logs_base: str = "") -> dict[str, DataFrame]:
