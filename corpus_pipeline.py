@@ -18,6 +18,7 @@ from ledgerline.operators.spread import number_rows
 
 REJECT_SCORE = 0.5
 SHINGLE_WORDS = 5
+BATCH_BYTES = "4m"           # of an Arrow batch: texts and packed entries make batches of rows large
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,6 +103,7 @@ def _stage(function):
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         let_go(spark)                       # of the stage before, which is written
         ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         return function(spark, docs, sf_dir)
 
     return run_stage

@@ -11,12 +11,17 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cached_property, lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.words import SPACE, slices, words_of
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Latin-1 letters, numbers and white space, and the two splits over them.
@@ -27,11 +32,15 @@ WORD_SPLIT = re.compile(f"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_S}{_L}{_N}]+")
 
 FREQUENT_WORDS = 32_768      # entries of the broadcast table; its words have at most
 FREQUENT_CHARS = 24          # so many characters, so it stays below 4 MB
-TRACKED_WORDS = 131_072      # counters of the sketch that finds them
-MERGERS = 64                 # first-level mergers of sketches
+TRACKED_WORDS = 131_072      # words whose counts are kept to find them
+MERGERS = 64                 # first-level mergers of counts
 WORKER_PIECES = 400_000      # entries a worker's cache may hold before it starts anew
 WORKER_PIECE_CHARS = 64      # longer pieces are encoded each time
 
+_MARKS = SPACE.copy()        # bytes that stand between words
+_MARKS[np.frombuffer(b".,;:!?\"()|", np.uint8)] = True
+_NO_WORDS = pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+
 
 def is_plain(text: str) -> bool:
     """Whether the text has only Latin-1 characters."""
@@ -42,23 +51,87 @@ def is_plain(text: str) -> bool:
     return True
 
 
+def _heaviest(parts: Sequence[pa.Table], most: int) -> pa.Table:
+    """``word`` and ``n`` of at most ``most`` words, summed up; what the next one has is taken from each (Misra and Gries)."""
+    table = pa.concat_tables([_NO_WORDS, *parts]).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    counts = table["n_sum"].to_numpy()
+    if len(counts) > most:
+        at = len(counts) - most - 1
+        counts = counts - np.partition(counts, at)[at]
+        table, counts = table.filter(pa.array(counts > 0)), counts[counts > 0]
+    return pa.table({"word": table["word"], "n": counts}, schema=_NO_WORDS.schema)
+
+
+def _summed(parts: Iterator[pa.Table], most: int) -> pa.Table:
+    """The same over a stream of parts, of which few are held at once."""
+    held: list[pa.Table] = []
+    for part in parts:
+        held.append(part)
+        if sum(t.num_rows for t in held) > 2 * most:
+            held = [_heaviest(held, most)]
+    return _heaviest(held, most)
+
+
+def _counted(texts: pa.Array) -> pa.Table:
+    """The words of the texts, without their punctuation, and how often each stands there."""
+    found = words_of(texts, _MARKS)
+    ends = np.concatenate([[0], np.cumsum(found.ends - found.starts)]).astype(np.int32)
+    solid = found.data[~_MARKS[found.data]]                # the words, one after the other
+    words = pa.StringArray.from_buffers(len(found.starts), pa.py_buffer(ends), pa.py_buffer(solid))
+    counts = pc.value_counts(words.filter(pc.less_equal(pc.utf8_length(words), FREQUENT_CHARS)))
+    return pa.table([counts.field(0), counts.field(1)], schema=_NO_WORDS.schema)
+
+
 def frequent_words(docs: DataFrame, text: str | Column, k: int = FREQUENT_WORDS,
                    tracked: int = TRACKED_WORDS) -> DataFrame:
     """``word``: about the ``k`` most frequent words of all texts, without their punctuation.
 
-    Bounded sketches count them and are merged in two levels: sketches travel, words do
-    not. The list only decides what is looked up first, never what a result is.
+    Bounded counts of ``tracked`` words are taken in the tasks of the texts and merged in two
+    levels, one row each: counts travel, texts do not. They are held in Arrow, outside the heap
+    of the JVM. The list only decides what is looked up first, never what a result is.
     """
-    marks = "\t\n\x0b\x0c\r.,;:!?\"()|"
     column = F.col(text) if isinstance(text, str) else text
-    words = docs.select(F.explode(F.split(F.translate(column, marks, " " * len(marks)), " ")).alias("w"))
+    texts = docs.select(column.cast("string").alias("text"), (F.spark_partition_id() % MERGERS).alias("merger"))
+
+    def packed(merger: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
+        if table.num_rows:
+            words = table["word"].combine_chunks()
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([merger], pa.int32()), joined, pa.array([table["n"].to_numpy().tobytes()], pa.binary())],
+                names=["merger", "words", "counts"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        for batch in batches:
+            for words, counts in zip(batch.column(1), batch.column(2)):
+                words = pc.split_pattern(pa.array([words.as_py()], pa.string()), " ").flatten()
+                yield pa.table([words, pa.array(np.frombuffer(counts.as_py(), np.int64))], schema=_NO_WORDS.schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = 0
+
+        def parts() -> Iterator[pa.Table]:
+            nonlocal merger
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    merger = part.column(1)[0].as_py()
+                    yield _counted(part.column(0))
+
+        table = _summed(parts(), tracked)
+        yield from packed(merger, table)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(0, _summed(unpacked(batches), tracked))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _summed(unpacked(batches), tracked).sort_by([("n", "descending"), ("word", "ascending")])
+        yield from table.select(["word"]).slice(0, k).to_batches()
+
+    kind = "merger int, words string, counts binary"
     return (
-        words.filter(F.length("w").between(1, FREQUENT_CHARS))
-        .groupBy((F.spark_partition_id() % MERGERS).alias("merger"))
-        .agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("part"))
-        .groupBy((F.col("merger") * 0).alias("one"))     # grouped, so that empty partitions give none
-        .agg(F.expr(f"approx_top_k_combine(part, {tracked})").alias("all"))
-        .select(F.inline(F.expr(f"approx_top_k_estimate(`all`, {k})"))).select(F.col("item").alias("word"))
+        texts.mapInArrow(count, kind).repartition("merger").mapInArrow(merge, kind)
+        .repartition(1).mapInArrow(first, "word string")
     )
 
 

@@ -113,3 +113,30 @@ def test_frequent_words_are_found(spark):
     docs = spark.createDataFrame([("b a a, a.",), ("a c\na",), (None,)], "text string").repartition(4)
     assert frequent_words(docs, F.upper("text")).first()["word"] == "A"
     assert tokenizers_io.is_plain("é") and not tokenizers_io.is_plain("漢")
+
+
+def test_words_are_counted_outside_the_heap(spark):
+    """Of the executors: a sketch of words there took it to its whole size."""
+    docs = spark.createDataFrame([("x y",), (None,)], "text string")
+    plan = frequent_words(docs, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_counts_of_words_are_whole_while_they_fit(spark, monkeypatch):
+    texts = ["a b", "c", "", None, "b.c|d", "\x0bé\u3000é(é)", "w" * 24 + " " + "w" * 25, "漢" * 24, "漢" * 25]
+    monkeypatch.setattr("ledgerline.llm.words.SLICE_BYTES", 4)
+    docs = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    for parts in (1, 5):
+        found = [r["word"] for r in frequent_words(docs.repartition(parts), "text").collect()]
+        assert found == ["b", "c", "a", "d", "w" * 24, "é", "é\u3000é", "漢" * 24]
+        assert [r["word"] for r in frequent_words(docs.repartition(parts), "text", 2).collect()] == ["b", "c"]
+
+
+def test_counts_of_words_are_bounded_and_keep_the_frequent():
+    import pyarrow as pa
+
+    parts = [pa.table({"word": [f"r{i}-{k}" for k in range(50)] + ["often"], "n": [1] * 50 + [9]}) for i in range(40)]
+    found = tokenizers_io._summed(iter(parts), 20)
+    assert found.num_rows <= 20 and found["word"][pa.compute.index(found["n"], pa.compute.max(found["n"])).as_py()].as_py() == "often"
+    total = sum(sum(t["n"].to_pylist()) for t in parts)
+    assert 9 * 40 - total / 21 <= pa.compute.max(found["n"]).as_py() <= 9 * 40
