@@ -16,6 +16,8 @@ from ledgerline.operators.sieve import matching, sieved
 from ledgerline.schemas import TERMINAL_RUN
 from ledgerline.session import written
 
+OF_RUN = ["run_id", "flow_id", "status", "job_run_id"]     # what a decision needs of a run
+
 
 def current_runs(flows: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs that their flow points to. Run ids are unique, so no key is hot."""
@@ -24,6 +26,10 @@ def current_runs(flows: DataFrame, runs: DataFrame) -> DataFrame:
     return matching(runs, pointers, "run_id")
 
 
+def open_runs(runs: DataFrame) -> DataFrame:
+    return runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False)))
+
+
 def decide(tables: dict[str, DataFrame], job_states: DataFrame,
            latest: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The next action of every current run.
@@ -36,15 +42,21 @@ def decide(tables: dict[str, DataFrame], job_states: DataFrame,
     are reduced by them.
     """
     keep = keep or (lambda df: written(df, "current-runs"))
-    runs = keep(current_runs(tables["flows"], tables["runs"]).select("run_id", "flow_id", "status", "job_run_id"))
-    open_runs = runs.filter(~F.coalesce(F.col("status").isin(TERMINAL_RUN), F.lit(False))).select("run_id", "job_run_id")
+    runs = keep(current_runs(tables["flows"], tables["runs"]).select(*OF_RUN))
+    return decide_on(runs, tables, job_states, latest)
+
+
+def decide_on(runs: DataFrame, tables: dict[str, DataFrame], job_states: DataFrame,
+              latest: DataFrame | None = None) -> DataFrame:
+    """``decide`` for ``runs`` (the columns ``OF_RUN``, read several times): current runs, or some of them."""
+    asked = open_runs(runs).select("run_id", "job_run_id")
     if latest is None:
-        latest = latest_of(matching(tables["events"], open_runs, "run_id"))
+        latest = latest_of(matching(tables["events"], asked, "run_id"))
     else:
         latest = sieved(latest, runs, "run_id")
     return next_actions(
-        runs, sieved(job_states, open_runs, "job_run_id"), latest,
-        sieved(tables["artifacts"], open_runs, "run_id"), sieved(tables["executions"], open_runs, "run_id"))
+        runs, sieved(job_states, asked, "job_run_id"), latest,
+        sieved(tables["artifacts"], asked, "run_id"), sieved(tables["executions"], asked, "run_id"))
 
 
 def record(jobs: DataFrame, as_of: Column, logs_base: str = "") -> dict[str, DataFrame]:

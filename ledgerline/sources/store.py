@@ -73,7 +73,8 @@ class Store:
 
     def buckets(self, table: str) -> int | None:
         """In how many buckets the table is kept, None if in none (see ``sources.buckets``)."""
-        return self._current()[table][2] if self.exists(table) else None
+        current = self._current()
+        return current[table][2] if table in current else None
 
     def bucket_folders(self, table: str, version: int | None = None) -> dict[int | None, list[str]]:
         """Folders of each bucket at a version, by default the newest."""

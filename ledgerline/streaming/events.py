@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import upsert
 from ledgerline.operators.latest import latest_events
-from ledgerline.operators.sieve import matching
+from ledgerline.operators.sieve import apart, sieved
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
 from ledgerline.session import remove_dir
@@ -175,48 +175,41 @@ def apply_transitions(store: Store, as_of: Callable[[int], Column], logs_base: s
     ``store`` holds the ledger; events and requests are added to; all switch together. Flows, runs
     and the last event per run (table ``latest``, see ``keep_latest``) that the store keeps in
     buckets are read and written by touched bucket, else they get a whole new version. Jobs
-    are looked up among three columns of the runs. Where ``latest`` is kept the events are
-    not read at all.
+    are looked up among the open current runs: no other run is decided on, so states of other jobs go
+    before they are grouped. Where ``latest`` is kept the events are not read at all.
     """
     def handle(states: DataFrame, batch: int) -> None:
         if batch <= store.last_batch(stream) or states.isEmpty():
             return
         tables = {name: store.read_or_empty(name) for name in TABLES}
+        current = store.materialize(poll.open_runs(
+            poll.current_runs(tables["flows"], tables["runs"].select(*poll.OF_RUN))))
         # the newest state per job; a job may report many times in a batch
         rest = [c for c in states.columns if c not in ("job_run_id", "ts")]
-        newest = (
-            states.groupBy("job_run_id")
+        newest = store.materialize(
+            sieved(states, current, "job_run_id").groupBy("job_run_id")
             .agg(F.max_by(F.struct(*rest), F.struct("ts", *rest)).alias("_s"))
             .select("job_run_id", "_s.*")
         )
-        ids = store.materialize(
-            tables["runs"].select("run_id", "flow_id", "job_run_id")
-            .join(newest.select("job_run_id"), "job_run_id", "left_semi")).select("run_id", "flow_id")
+        told = current.join(newest, "job_run_id", "left_semi").select("run_id")
+        runs = store.materialize(current.join(told, "run_id", "left_semi"))
         keys = {"runs": "run_id", "flows": "flow_id", latest: "run_id"}
-        parts = {name: touched_by(ids, [key], store.buckets(name)) for name, key in keys.items()
-                 if store.buckets(name)}
+        counts = {name: store.buckets(name) for name in keys}
+        parts = {name: touched_by(runs, [key], counts[name]) for name, key in keys.items() if counts[name]}
         near = {name: store.read(name, numbers) for name, numbers in parts.items()}
         tables = {**tables, **{name: near[name] for name in ("runs", "flows") if name in near}}
-
-        def of_touched(df: DataFrame) -> DataFrame:
-            return df.join(ids.select("run_id"), "run_id", "left_semi")
-
-        # the rest is reduced by the runs that are decided on
-        touched = {**tables, "runs": of_touched(tables["runs"])}
         kept = near.get(latest, store.read(latest) if store.exists(latest) else None)
-        last = kept
-        decisions = store.materialize(poll.decide(touched, newest, last, store.materialize))
+        decisions = store.materialize(poll.decide_on(runs, tables, newest, kept))
         result = poll.apply(tables, decisions, as_of(batch), launches, logs_base, stored=True)
         after = {"flows": result["flows"], "runs": result["runs"]}
         if kept is not None:
-            columns = [c for c in kept.columns if c != "run_id"]
             # runs without a new event keep their last one
             added = result["events"].select(*kept.columns)
-            moved = latest_events(matching(kept, added, "run_id").unionByName(added))
-            after[latest] = upsert(kept, moved, ["run_id"], columns, columns, few=True)
+            moved, others = apart(kept, added, "run_id")
+            after[latest] = latest_events(moved.unionByName(added)).unionByName(others)
         in_buckets = {
-            name: Part(after.pop(name).withColumn(BUCKET, bucket_of([keys[name]], store.buckets(name))),
-                       numbers, store.buckets(name)) for name, numbers in parts.items()}
+            name: Part(after.pop(name).withColumn(BUCKET, bucket_of([keys[name]], counts[name])), numbers, counts[name])
+            for name, numbers in parts.items()}
         store.commit(replace=after, parts=in_buckets, batch=batch, stream=stream, append={
             "events": result["events"], "requests": result["requests"]})
         store.drop_scratch()

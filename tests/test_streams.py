@@ -139,6 +139,41 @@ def test_transitions_per_batch(spark, keeps_latest, buckets):
         assert rows(store.read("latest")) == rows(last)
 
 
+def test_jobs_of_other_runs_touch_no_bucket(spark):
+    """States of jobs whose run is closed, or no flow's current one, are not decided on: nothing of theirs is written."""
+    base = new_dir(spark, "others")
+    store = Store(spark, f"{base}/ledger")
+    tables = ledger(
+        spark, flows=[flow("a", run="ra"), flow("b", run="rb"), flow("c", run="rc")],
+        runs=[run("ra", "a"), run("rb", "b", "SUCCESS"), run("rc", "c"), run("old", "c")],
+        events=[event("ra", 1, "agent_generate")])
+    keyed = {**{n: tables[n] for n in ("flows", "runs")}, "latest": latest_events(tables["events"])}
+    store.commit(parts={n: whole(df, ["flow_id" if n == "flows" else "run_id"], 32) for n, df in keyed.items()})
+    store.commit(replace={"events": tables["events"]})
+    handle = streams.apply_transitions(store, lambda batch: F.lit(T2))
+
+    def told(batch, *jobs):
+        before = {n: store.bucket_folders(n) for n in keyed}
+        handle(spark.createDataFrame(
+            [(job, "TERMINATED", "FAILED", "boom", None, n) for n, job in enumerate(jobs)],
+            "job_run_id string, life_cycle_state string, result_state string, "
+            "state_message string, poll_error string, ts int"), batch)
+        assert store.last_batch("transitions") == batch
+        return {n: {b for b, folders in store.bucket_folders(n).items() if folders != before[n][b]} for n in keyed}
+
+    assert told(0, "job-rb", "job-old", "job-unknown") == {"flows": set(), "runs": set(), "latest": set()}
+    assert store.read_or_empty("requests").isEmpty() and store.read("events").count() == 1
+    moved = told(1, "job-rb", "job-old", "job-ra")
+    of = tables["runs"].filter("run_id = 'ra'")
+    assert moved == {"flows": set(touched_by(of, ["flow_id"], 32)), "runs": set(touched_by(of, ["run_id"], 32)),
+                     "latest": set(touched_by(of, ["run_id"], 32))}
+    assert {r["flow_id"]: r["status"] for r in store.read("flows").collect()} == {
+        "a": "NEEDS_HUMAN", "b": "RUNNING", "c": "RUNNING"}
+    assert {r["run_id"]: r["status"] for r in store.read("runs").collect()} == {
+        "ra": "FAILED", "rb": "SUCCESS", "rc": "RUNNING", "old": "RUNNING"}
+    assert rows(store.read("latest")) == rows(latest_events(store.read("events")))
+
+
 def test_silent_runs(spark):
     latest = table(spark, "events", [
         event("quiet", 1, "s"), event("done", 1, "s", "COMPLETED"), event("busy", 1, "s", ts=T2)])
