@@ -153,8 +153,9 @@ def transitions(i, keeps_latest, buckets=None, polled=False):
         replace={name: tables[name] for name in ("flows", "runs", "events", "artifacts", "executions") if name not in keyed},
         parts={name: whole(tables[name], [key], buckets) for name, key in keyed.items()})
     if keeps_latest:
-        tables["events"].write.parquet(f"{base}/told")
-        events = streams.event_stream(i.spark, f"{base}/told", tables["events"].schema)
+        # the stream follows the events of the store itself
+        told, = store.bucket_folders("events")[None]
+        events = streams.event_stream(i.spark, told, tables["events"].schema)
         streams.run_available(streams.latest_stream(events), streams.keep_latest(store), f"{base}/latest", "update")
     told = i("b_job_state").select(
         "job_run_id", "life_cycle_state", "result_state", "state_message", "poll_error",

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -24,8 +26,7 @@ def build_session(app: str = "ledgerline", master: str | None = None, **conf) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # definition files can be large; keep Arrow batches of them small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.ui.enabled": "false",
     }
     settings.update({k: str(v) for k, v in conf.items()})
@@ -34,6 +35,13 @@ def build_session(app: str = "ledgerline", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def state_on_disk(spark: SparkSession) -> None:
+    """Streams that start from now on keep their state on the executors' disks, not in the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # a count for the progress report alone, which looks up every key before it is written
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 

@@ -122,8 +122,11 @@ class Store:
             if name in current and current[name][2] != part.of:
                 raise ValueError(f"{name} is kept in {current[name][2]} buckets, not {part.of}")
             path = f"{self.base}/data/{name}/{version}-{uuid.uuid4().hex}"
-            # rows of a bucket together in files of a measured size
-            part.rows.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
+            # rows of a bucket together, in files of a measured size where the session plans as it runs
+            # (batches of a stream with state do not, and pass over the hint)
+            adaptive = part.rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+            dealt = part.rows.hint("rebalance", BUCKET) if adaptive else part.rows.repartitionById(part.of, BUCKET)
+            dealt.write.partitionBy(BUCKET).parquet(path)
             there = child_names(self.spark, path)
             schema = part.rows.drop(BUCKET).schema.json() if part.touched else None
             entries += [

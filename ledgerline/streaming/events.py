@@ -20,7 +20,7 @@ from ledgerline.operators.latest import latest_events
 from ledgerline.operators.sieve import apart, sieved
 from ledgerline.plans import poll
 from ledgerline.schemas import AGENT_LIMIT_S, EVENT_ORDER, TABLES
-from ledgerline.session import remove_dir
+from ledgerline.session import remove_dir, state_on_disk
 from ledgerline.sources.buckets import BUCKETS, Part, bucket_of, changed, touched_by, whole
 from ledgerline.sources.store import BUCKET, Store
 from ledgerline.streaming.known_ids import folders_that_may_hold, id_number, known_ids, write_filters
@@ -50,13 +50,14 @@ def latest_stream(events: DataFrame) -> DataFrame:
     """The last event of every run as a running aggregate.
 
     Each split combines its rows first, so a run with many events sends one row
-    per split to its state. The state holds one row per run.
+    per split to its state. The state holds one row per run, on disk; of events with one place in
+    the order the largest by its other columns stands.
     """
-    rest = [c for c in events.columns if c != "run_id"]
+    state_on_disk(events.sparkSession)
+    columns = [*EVENT_ORDER, *[c for c in events.columns if c not in ("run_id", *EVENT_ORDER)]]
     return (
-        events.groupBy("run_id")
-        .agg(F.max_by(F.struct(*rest), F.struct(*EVENT_ORDER)).alias("_last"))
-        .select("run_id", *[F.col(f"_last.{c}").alias(c) for c in rest])
+        events.groupBy("run_id").agg(F.max(F.struct(*columns)).alias("_last"))
+        .select("run_id", *[F.col(f"_last.{c}").alias(c) for c in events.columns if c != "run_id"])
     )
 
 
@@ -72,14 +73,14 @@ def keep_latest(store: Store, table: str = "latest", counts: str | None = None,
     def handle(changed_rows: DataFrame, batch: int) -> None:
         if batch <= store.last_batch(stream):
             return
-        # the batch is evaluated once, and read for its buckets and for its rows
-        changes = store.materialize(changed_rows)
         if store.exists(table):
+            # the batch is evaluated once, and read for its buckets and for its rows
+            changes = store.materialize(changed_rows)
             columns = [c for c in changes.columns if c != "run_id"]
             part = changed(store, table, changes, ["run_id"],
                            lambda old: upsert(old, changes, ["run_id"], columns, columns))
         else:
-            part = whole(changes, ["run_id"], buckets)
+            part = whole(changed_rows, ["run_id"], buckets)
         store.commit(parts={table: part}, batch=None if counts else batch, stream=stream)
         if counts:
             # counted from the buckets as written

@@ -21,14 +21,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ledgerline.functions.timing import epoch_seconds
 from ledgerline.operators.changes import one_row_per_key, upsert
 from ledgerline.schemas import AGENT_LIMIT_S
+from ledgerline.session import ROCKSDB
 from ledgerline.sources.buckets import BUCKETS, changed, whole
 from ledgerline.sources.store import Store
 
 # executors get these functions themselves, so they need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 _EVENT = ("run_id string, iteration_num int, at_us long, event_seq long, step string, step_status string, "
           "clock timestamp")
 _ORDER = ("iteration_num", "at_us", "event_seq")

@@ -179,3 +179,30 @@ def test_silent_runs(spark):
         event("quiet", 1, "s"), event("done", 1, "s", "COMPLETED"), event("busy", 1, "s", ts=T2)])
     got = streams.silent_runs(latest, F.lit(T2), 7000).collect()
     assert [(r["run_id"], r["silent_over_s"]) for r in got] == [("quiet", 200)]
+
+
+def test_state_of_latest_is_on_disk(spark, event_files):
+    """Also in a session that was not built here: one row a run does not fit a heap."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    other.conf.set("spark.sql.shuffle.partitions", "3")
+    base = new_dir(spark, "on-disk")
+    store = Store(other, base)
+    query = streams.run_available(streams.latest_stream(follow(other, event_files, False)),
+                                  streams.keep_latest(store, buckets=8), f"{base}/c", "update")
+    assert any(name.startswith("rocksdb") for name in query.lastProgress["stateOperators"][0]["customMetrics"])
+    # three tasks of state, and yet a file a bucket
+    files = [re.search(f"{BUCKET}=([0-9]+)", f)[1] for f in store.read("latest").inputFiles()]
+    assert len(files) == len(set(files))
+    want = latest_events(spark.read.parquet(event_files))
+    assert rows(store.read("latest").select(*want.columns)) == rows(want)
+
+
+def test_events_with_one_place_in_the_order(spark):
+    base = new_dir(spark, "ties")
+    table(spark, "events", [event("r", 1, "a"), event("r", 1, "b"), event("q", 1, "a", ts=None), event("q", 1, None)]
+          ).repartition(4).write.parquet(f"{base}/t")
+    store = Store(spark, f"{base}/store")
+    streams.run_available(streams.latest_stream(follow(spark, f"{base}/t", False)), streams.keep_latest(store), f"{base}/c", "update")
+    assert {(r["run_id"], r["step"]) for r in store.read("latest").collect()} == {("r", "b"), ("q", None)}
